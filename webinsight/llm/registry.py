@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown_lm, exact_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
+from . import brown_lm, exact_dedup, html_extraction, mixing, piece_sampling, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
 from .common import documents
 
 
@@ -12,6 +12,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op2_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode(documents(spark, sf_dir), digest=True)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -24,6 +28,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -41,7 +49,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_mixing, op4_lm_scoring, op5_quality_classifier, op7_simhash, op8_substring_dedup, op9_exact_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_piece_sampling, op3_mixing, op4_lm_scoring, op5_quality_classifier, op6_html_extraction, op7_simhash, op8_substring_dedup, op9_exact_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

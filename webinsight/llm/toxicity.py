@@ -95,17 +95,17 @@ class ClassModel:
         return np.log(_find(self.pairs, self.pair_p, h * len(self.low) + w) + self.left[h] * self.low[w])
 
 
-def class_model(h: np.ndarray, w: np.ndarray, n: np.ndarray, shared: np.ndarray) -> ClassModel:
-    """h, w: ids of distinct pairs; n: their counts; shared: by word, probabilities in both classes together."""
+def class_model(pairs: np.ndarray, histories: np.ndarray, before: np.ndarray, shared: np.ndarray) -> ClassModel:
+    """pairs: rows (h, w, n) whose count is over the discount; histories: (h, sum of counts, sum of their discounts); before:
+    by symbol, the kinds of histories it follows; shared: by symbol, probabilities in both classes together."""
     size = len(shared)
-    key = h * size + w
+    total, left = (np.bincount(histories[:, 0].astype(np.int64), histories[:, i], size) for i in (1, 2))
+    h, w = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64)
+    key, p = h * size + w, (pairs[:, 2] - DISCOUNTS[0]) / np.maximum(total[h], 1)
     order = np.argsort(key)
-    cut = np.minimum(n, DISCOUNTS[0])
-    total, left = np.bincount(h, n, size), np.bincount(h, cut, size)
-    before = np.bincount(w, minlength=size).astype(float)
-    kept, pairs = np.maximum(before - DISCOUNTS[1], 0), max(before.sum(), 1)
-    low = kept / pairs + (1 - kept.sum() / pairs) * shared
-    return ClassModel(key[order], ((n - cut) / np.maximum(total[h], 1))[order], np.where(total > 0, left / np.maximum(total, 1), 1.0), low)
+    kept, kinds = np.maximum(before - DISCOUNTS[1], 0), max(before.sum(), 1)
+    low = kept / kinds + (1 - kept.sum() / kinds) * shared
+    return ClassModel(key[order], p[order], np.where(total > 0, left / np.maximum(total, 1), 1.0), low)
 
 
 @dataclass
@@ -186,10 +186,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), y, np.int32)), pa.array(np.ascontiguousarray(h)), pa.array(np.ascontiguousarray(w))], names=["y", "h", "w"])
 
     pairs = counted.mapInArrow(count, "y int, h bigint, w bigint")
-    got = pairs.groupBy("y", "h", "w").agg(F.count("*").alias("n")).toPandas()
-    shared = np.bincount(got["w"].to_numpy(np.int64), minlength=len(symbols)) + 0.5
+    pairs = common.stage(pairs.groupBy("y", "h", "w").agg(F.count("*").alias("n")), "toxic-pairs")
+    cut = F.least(F.col("n").cast("double"), F.lit(DISCOUNTS[0]))
+    # Each of these has a row for a class and symbol at most, or a count over the discount: small beside the sample.
+    over = pairs.filter(F.col("n") > DISCOUNTS[0]).select("y", "h", "w", "n").toPandas().to_numpy(float)
+    histories = pairs.groupBy("y", "h").agg(F.sum("n").alias("n"), F.sum(cut).alias("cut")).toPandas().to_numpy(float)
+    kinds = pairs.groupBy("y", "w").agg(F.count("*").alias("n")).toPandas().to_numpy(float)
+    before = [np.bincount(k[:, 1].astype(np.int64), k[:, 2], len(symbols)) for k in (kinds[kinds[:, 0] == y] for y in (0, 1))]
+    shared = before[0] + before[1] + 0.5
     shared /= shared.sum()
-    model = {y: class_model(*(got.loc[got["y"] == y, c].to_numpy(np.int64) for c in ("h", "w", "n")), shared) for y in (0, 1)}
+    model = [class_model(over[over[:, 0] == y, 1:], histories[histories[:, 0] == y, 1:], before[y], shared) for y in (0, 1)]
     out = Toxicity(symbols, model[1], model[0], np.zeros(3))
 
     bc = docs.sparkSession.sparkContext.broadcast(out)
