@@ -94,12 +94,13 @@ def seasonal_caps(knee: DataFrame, months: DataFrame, column: str = "knee90", ca
     clim = months.groupBy("deepest_cat", (F.col("month") % 100).alias("m")).agg(F.avg("visits").alias("mean"))
     base = clim.groupBy("deepest_cat").agg(F.avg("mean").alias("level"))
     index = clim.join(base, "deepest_cat").select("deepest_cat", "m", F.when(F.col("level") > 0, F.col("mean") / F.col("level")).otherwise(1.0).alias("idx"))
-    grid = knee.filter(F.col(column).isNotNull()).withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(12))).cast("long")).withColumn("next", F.col("m") % 12 + 1)
+    grid = knee.filter(F.col(column).isNotNull()).withColumn("m", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long")))).withColumn("next", F.col("m") % 12 + 1)
     grid = grid.join(index, ["deepest_cat", "m"], "left").join(index.select("deepest_cat", F.col("m").alias("next"), F.col("idx").alias("idx_next")), ["deepest_cat", "next"], "left")
     clamp = lambda x, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), x))
     top = F.greatest(F.coalesce("idx", F.lit(1.0)), F.coalesce("idx_next", F.lit(1.0)))
     base_cap = clamp(F.col(column), cap_min, cap_max)
-    cap = clamp(F.bround(base_cap * clamp(F.pow(top, F.lit(alpha)), mult_min, mult_max)).cast("long"), cap_min, cap_max)
+    size = F.round(base_cap * clamp(F.pow(top, F.lit(alpha)), mult_min, mult_max), 9)  # halves stay halves
+    cap = clamp(F.bround(size).cast("long"), cap_min, cap_max)
     return grid.select("deepest_cat", F.col("m").alias("month"), base_cap.cast("long").alias("base"), cap.cast("long").alias("cap"), "yearly")
 
 
