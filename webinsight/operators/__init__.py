@@ -1 +1 @@
-
+"""Set-based operators, one module for each domain."""
