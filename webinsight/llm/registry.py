@@ -52,5 +52,44 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_quality_rules, op2_piece_sampling, op3_mixing, op4_lm_scoring, op5_quality_classifier, op6_html_extraction, op7_simhash, op8_substring_dedup, op9_exact_dedup, op10_toxicity)}
 
 
+_W = "[^\\x20\\x09-\\x0D]+"
+
+OP1_SQL = f"""
+with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as t from documents),
+w as (select doc_id, host, t, regexp_extract_all(t, '{_W}') as w from d),
+win as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as s from w, (select unnest(range(1, 100001)) as i) r where i <= len(w) - 4),
+rep as (select doc_id, i from (select *, count(*) over (partition by doc_id, s) as n from win) where n > 1),
+cov as (select doc_id, count(distinct i + k) as n_repeat_words from rep, (select unnest(range(0, 5)) as k) group by 1),
+ln as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_W}')) as l from d),
+c as (select doc_id, host, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars, cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols,
+  cast(len(l) - len(list_distinct(l)) as bigint) as n_dup_lines, cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, len(l) as n_lines from w join ln using (doc_id) left join cov using (doc_id)),
+f as (select *, n_words < 10 as few, 100 * n_repeat_words > 20 * n_words as rep, 10 * n_symbols > word_chars as sym, 10 * n_dup_lines > 3 * n_lines as dup, word_chars < 2 * n_words or word_chars > 15 * n_words as len from c),
+h as (select host, count(*) as n, unnest([count(*) filter (few), count(*) filter (rep), count(*) filter (sym), count(*) filter (dup), count(*) filter (len)]) as x, unnest([1, 2, 3, 4, 5]) as rule from f group by host),
+s as (select rule, sum(n)::double as total, count(*) as k, sum(n * n)::double as nn, sum(x)::double / sum(n) as m, sum(x::double / n * x) as q from h group by rule),
+v as (select rule, m, case when total - nn / total > 0 then (q - total * m * m - (k - 1) * m * (1 - m)) / (total - nn / total) else 0 end as var from s),
+p as (select rule, m, case when var <= 0 then 1000 else least(1000, greatest(1, m * (1 - m) / var - 1)) end as a from v),
+r as (select host, max(n) as host_docs, max((x + a * m) / (n + a)) > 0.5 as host_failed from h join p using (rule) group by host)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few or rep as base_failed, host_docs, host_failed, not (few or rep) and not host_failed as kept from f join r using (host)
+"""
+
+OP3_SQL = f"""
+with recursive d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{_W}')) as bigint) as size, cast('0x' || substr(md5('mix-1:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint) as u from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as rank from d group by source),
+sw as (select *, case rank % 3 when 0 then 5 when 1 then 2 else 1 end as weight from s),
+level as (select 0 as k, 1.5::double * sum(source_size) / sum(weight) as l from sw
+  union all select k + 1, coalesce((1.5::double * sum(source_size) - sum(case when 2 * source_size <= l * weight then 2 * source_size else 0 end)) / nullif(sum(case when 2 * source_size <= l * weight then 0 else weight end), 0), l)
+  from level, sw where k < 60 group by k, l),
+top as (select max(l) as l from level),
+t as (select source, source_size, least(l * weight, 2.0::double * source_size) as target, case when source_size > 0 then floor(least(l * weight, 2.0::double * source_size) / source_size) else 0 end as whole from sw, top),
+o as (select d.*, t.source_size, t.target, t.whole, sum(size) over (partition by d.source order by u, doc_id) as run from d join t on t.source is not distinct from d.source)
+select doc_id, size, source_size, target, cast(size * (whole + case when 2 * run - size <= 2 * (target - whole * source_size) then 1 else 0 end) as bigint) as taken from o
+"""
+
+OP9_SQL = """
+with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as t from documents)
+select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from n
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": OP1_SQL, "op3_mixing": OP3_SQL, "op9_exact_dedup": OP9_SQL}
