@@ -148,7 +148,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     keep = common.crc_fold(F.col("doc_id"), 4) != 2
     both = [labelled(labels.filter(F.col("toxic") == y), "toxic", keep, MAX_DOCS) for y in (0, 1)]
     chosen = common.stage(both[0].unionByName(both[1]), "toxic-labels")
-    sized = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max(common.n_words(F.col("text"))).alias("n"))
+    sized = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max(common.n_words(F.col("text"))).alias("n"))
     ids, used = [], {0: 0, 1: 0}
     rows = sized.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").collect()  # 2 * MAX_DOCS rows at most
     for r in rows:
