@@ -102,11 +102,11 @@ def keep_first(rows: DataFrame) -> DataFrame:
 
 def changed_since(daily: DataFrame, key: str, day: str, value: str, look_back: int = 14) -> DataFrame:
     """Of the newest day: rows whose value differs from the one before in the look-back; first seen counts as changed."""
-    newest = daily.agg(F.max(day).alias("__d"))
-    rows = daily.join(F.broadcast(newest), F.col(day) > F.col("__d") - look_back)
+    newest = daily.agg(F.max(day)).first()[0]
+    rows = daily.filter(F.col(day) > F.lit(newest) - look_back)
     prev = F.lag(value).over(Window.partitionBy(key).orderBy(day))
     seen = F.lag(F.lit(1)).over(Window.partitionBy(key).orderBy(day))
-    rows = rows.withColumns({"prev": prev, "__seen": seen}).filter(F.col(day) == F.col("__d"))
+    rows = rows.withColumns({"prev": prev, "__seen": seen}).filter(F.col(day) == F.lit(newest))
     return rows.filter(F.col("__seen").isNull() | ~F.col(value).eqNullSafe(F.col("prev"))).select(key, day, value, "prev")
 
 

@@ -108,7 +108,7 @@ def verify_ips(hits: DataFrame, ranges: DataFrame, width: int = 4096) -> DataFra
     inside = pairs.withColumn("cell", F.floor(F.col("ip_num") / width)).join(cells, ["operator", "cell"]).filter("ip_num between lo and hi")
     inside = inside.select("operator", "ip_num").distinct().withColumn("hit", F.lit(True))
     listed = ranges.select("operator").distinct().withColumn("listed", F.lit(True))
-    out = hits.join(inside, ["operator", "ip_num"], "left").join(F.broadcast(listed.limit(10_000)), "operator", "left")
+    out = hits.join(inside, ["operator", "ip_num"], "left").join(listed, "operator", "left")
     state = F.when(F.col("operator").isNull(), "unverifiable").when(F.col("listed").isNull() | F.col("ip_num").isNull(), "unchecked").when(F.col("hit"), "verified").otherwise("failed")
     return out.withColumn("verify_state", state).drop("hit", "listed", "operator")
 

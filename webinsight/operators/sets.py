@@ -45,10 +45,10 @@ def last_run(df: DataFrame, key: str, time: str) -> DataFrame:
     return df.withColumn("__last", F.max(time).over(Window.partitionBy(key))).filter(F.col(time) == F.col("__last")).drop("__last")
 
 
-def expand(keywords: DataFrame, forms: DataFrame, text: str = "keyword") -> DataFrame:
-    """Every keyword before and after every form (a short list, whose size Spark checks); a text that arises twice belongs to the least owner."""
-    rows = keywords.join(forms, F.lit(True), "cross")
-    rows = rows.withColumn("combo", F.explode(F.array(F.concat_ws(" ", text, "form"), F.concat_ws(" ", "form", text))))
+def expand(keywords: DataFrame, forms: list[str], text: str = "keyword") -> DataFrame:
+    """Every keyword before and after every form (a short list); a text that arises twice belongs to the least owner."""
+    both = [c for f in forms for c in (F.concat_ws(" ", text, F.lit(f)), F.concat_ws(" ", F.lit(f), text))]
+    rows = keywords.withColumn("combo", F.explode(F.array(*both)))
     return rows.groupBy("combo").agg(F.min(F.struct("owner", text)).alias("o")).select("combo", "o.owner", F.col(f"o.{text}").alias(text))
 
 
@@ -65,9 +65,10 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).filter(F.col("rank") <= n)
 
 
-def top_union(urls: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
-    """Top n URLs of each pattern; of a URL in several, the largest count once."""
-    rows = urls.join(patterns, F.col("url").contains(F.col("pattern")))
+def top_union(urls: DataFrame, patterns: list[str], n: int) -> DataFrame:
+    """Top n URLs of each pattern (a short list, folded into one array expression); of a URL in several, the largest count once."""
+    hits = [F.when(F.col("url").contains(p), F.lit(p)) for p in patterns]
+    rows = urls.withColumn("pattern", F.explode(F.array_compact(F.array(*hits))))
     return top_per_group(rows, ["pattern"], [F.desc("visits"), F.asc("url")], n).groupBy("url").agg(F.max("visits").alias("visits"))
 
 
@@ -93,9 +94,10 @@ def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], *order:
 
 
 def retain(df: DataFrame, day: str, days: int) -> DataFrame:
-    """Rows of the last `days` days up to the newest: the bound is one value, so partitions prune."""
-    newest = df.agg(F.max(day).alias("__newest"))
-    return df.join(F.broadcast(newest), F.col(day) > F.col("__newest") - days).drop("__newest")
+    """Rows of the last `days` days up to the newest. The bound is read first and becomes a literal, so that the filter reaches
+    the scan and prunes its partitions."""
+    newest = df.agg(F.max(day)).first()[0]
+    return df if newest is None else df.filter(F.col(day) > F.lit(newest) - days)
 
 
 def merge_plan(target: DataFrame, staged: DataFrame, key: str, values: list[str], order: str) -> DataFrame:

@@ -135,8 +135,7 @@ def _(t):
 
 @query("joi_13_expand", "select combo, min(owner) as owner from (select unnest([k || ' ' || form, form || ' ' || k]) as combo, owner from (select lower(p_name) as k, p_partkey as owner from part) cross join (values ('cheap'), ('buy'), ('online')) f(form)) group by 1")
 def _(t):
-    forms = t.spark.createDataFrame([("cheap",), ("buy",), ("online",)], "form string")
-    return S.expand(t("part").select(F.lower("p_name").alias("keyword"), F.col("p_partkey").alias("owner")), forms).select("combo", "owner")
+    return S.expand(t("part").select(F.lower("p_name").alias("keyword"), F.col("p_partkey").alias("owner")), ["cheap", "buy", "online"]).select("combo", "owner")
 
 
 @query("joi_14_prefix", "select url_id, prefix from (select url_id, '/' || split_part(url, '/', 2) || '/' || split_part(url, '/', 3) || '/' as prefix from v_content) where prefix in ('/products/src1/', '/products/src2/', '/products/src7/')")
@@ -178,7 +177,7 @@ def _(t):
 @query("top_04_union", "with u as (select url, count(*) as visits from v_visits group by 1), p as (select * from (values ('red'), ('size'), ('brand_1')) p(pattern)), r as (select url, visits, row_number() over (partition by pattern order by visits desc, url) as rn from u join p on contains(url, pattern)) select url, max(visits) as visits from r where rn <= 30 group by 1")
 def _(t):
     u = t("v_visits").groupBy("url").agg(F.count("*").alias("visits"))
-    return S.top_union(u, t.spark.createDataFrame([("red",), ("size",), ("brand_1",)], "pattern string"), 30)
+    return S.top_union(u, ["red", "size", "brand_1"], 30)
 
 
 @query("top_05_heading", "select url, p_name as heading from (select *, row_number() over (partition by url order by n desc, p_name desc) as rn from (select url, p_name, count(*) as n from v_visits join part on l_partkey = p_partkey group by all)) where rn = 1")

@@ -105,8 +105,7 @@ def _(t):
 @query("vis_14_search_finder", """with u as (select url, count(*) as visits from v_visits where contains(url, '/r/') group by url having count(*) > 1), w as (select 1 as row_id, ['red'] as terms union all select 2, ['brand_1', 'widget'] union all select 3, ['ring'])
   select row_id, url, visits, rn from (select *, row_number() over (partition by row_id order by visits desc, url) as rn from u join w on len(list_filter(terms, lambda x: not contains(url, x))) = 0) where rn <= 20""")
 def _(t):
-    wanted = t.spark.createDataFrame([(1, ["red"]), (2, ["brand_1", "widget"]), (3, ["ring"])], "row_id int, terms array<string>")
-    return V.search_finder(t("v_visits"), wanted)
+    return V.search_finder(t("v_visits"), [(1, ["red"]), (2, ["brand_1", "widget"]), (3, ["ring"])])
 
 
 @query("vis_15_search_stats", "select count(distinct url) as urls, count(*) as visits from v_visits where contains(url, '/r/')")
