@@ -188,3 +188,8 @@ def explode_faq(content: DataFrame) -> DataFrame:
     """content (url_id, faq: JSON array of {q, a}): a row for each item with its place."""
     items = F.from_json("faq", "array<struct<q: string, a: string>>")
     return content.select("url_id", F.posexplode(items).alias("place", "item")).select("url_id", "place", "item.q", "item.a")
+
+
+def json_targets(rows: DataFrame, column: str) -> DataFrame:
+    """rows with n_targets: the length of a JSON array, 0 for null and malformed text."""
+    return rows.withColumn("n_targets", F.coalesce(F.json_array_length(column), F.lit(0)))

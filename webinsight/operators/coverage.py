@@ -187,6 +187,15 @@ def payload(selected: DataFrame, headings: DataFrame, max_length: int = 120) ->
     return rows.withColumn("skip", reason)
 
 
+def append_preserved(new: DataFrame, old: DataFrame, key: str = "deepest_cat") -> DataFrame:
+    """new (key, npath, rank) with the paths that only old has, numbered on after the largest rank of their category."""
+    lost = old.select(key, "npath", F.col("rank").alias("old_rank")).join(new.select(key, "npath"), [key, "npath"], "left_anti")
+    top = new.groupBy(key).agg(F.max("rank").alias("top"))
+    more = F.row_number().over(Window.partitionBy(key).orderBy("old_rank", "npath"))
+    kept = lost.join(top, key, "left").select(key, "npath", (F.coalesce("top", F.lit(0)) + more).cast("long").alias("rank"))
+    return new.select(key, "npath", "rank").unionByName(kept)
+
+
 def payload_issues(rows: DataFrame, max_length: int = 120) -> DataFrame:
     """(npath, code) for each rule that a payload row breaks."""
     n = F.count("*").over(Window.partitionBy("npath"))

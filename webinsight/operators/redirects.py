@@ -241,3 +241,13 @@ def check_links(content: DataFrame, products: DataFrame) -> DataFrame:
     state = F.when(F.col("state").isNull(), "unknown").when((F.col("state") == "moved") & F.col("new_id").isNotNull(), "replaced").when(F.col("state") == "live", "valid").otherwise("gone")
     rows = links.join(products, ["category", "product_id"], "left").withColumn("result", state)
     return rows.groupBy("content_id").agg(*(F.count_if(F.col("result") == s).alias(s) for s in ("valid", "replaced", "gone", "unknown")))
+
+
+def rewrite_links(content: DataFrame, products: DataFrame) -> DataFrame:
+    """content (content_id, category, text, ids): the ids of replaced products in the text become the new ids, [id] by [id]."""
+    links = content.select("content_id", "category", F.explode(F.array_distinct("ids")).alias("product_id"))
+    moved = links.join(products.filter((F.col("state") == "moved") & F.col("new_id").isNotNull()), ["category", "product_id"])
+    pairs = moved.groupBy("content_id").agg(F.array_sort(F.collect_list(F.struct("product_id", "new_id"))).alias("pairs"))
+    tag = lambda c: F.concat(F.lit("["), c.cast("string"), F.lit("]"))
+    done = F.aggregate("pairs", F.col("text"), lambda acc, x: F.replace(acc, tag(x["product_id"]), tag(x["new_id"])))
+    return content.join(pairs, "content_id", "left").select("content_id", F.coalesce(done, "text").alias("text"))

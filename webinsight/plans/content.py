@@ -331,3 +331,11 @@ def _(t):
     one = lambda q, a: F.struct(F.concat(F.lit(q), F.col("url_id").cast("string")).alias("q"), F.col(a).alias("a"))
     faq = t("v_content").filter("has_faq").select("url_id", F.to_json(F.array(one("Q", "source"), one("R", "lang"))).alias("faq"))
     return C.explode_faq(faq)
+
+
+@query("map_01_target_count", "select p_partkey, cast(case when p_size % 5 = 0 then 0 else p_size % 4 end as int) as n_targets from part")
+def _(t):
+    n = F.col("p_size")
+    body = F.to_json(F.slice(F.array(F.lit("a"), F.lit("b"), F.lit("c")), F.lit(1), (n % 4).cast("int")))
+    text = F.when(n % 10 == 0, "oops").when(n % 5 != 0, body)
+    return C.json_targets(t("part").select("p_partkey", text.alias("targets")), "targets").select("p_partkey", "n_targets")

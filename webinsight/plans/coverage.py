@@ -170,6 +170,13 @@ def _(t):
     return C.payload(sel, _headings(t)).groupBy("skip").agg(F.count("*").alias("n"))
 
 
+@query("cov_18_preserved", f"""with {_U}, s as ({_SCORE('deepest_cat', 'u')}), rk as (select npath, deepest_cat, row_number() over (partition by deepest_cat order by score desc, visits desc, npath) as rank from s), nw as (select * from rk where rank <= 10), od as (select * from rk where rank <= 20 and rank % 2 = 0)
+  select deepest_cat, npath, rank from nw union all select deepest_cat, npath, (select max(rank) from nw n where n.deepest_cat = o.deepest_cat) + row_number() over (partition by deepest_cat order by rank, npath) from od o where (deepest_cat, npath) not in (select deepest_cat, npath from nw)""")
+def _(t):
+    rows = C.select_top(C.blend_score(urls(t)), default=20)
+    return C.append_preserved(rows.filter("rank <= 10"), rows.filter("rank % 2 = 0"))
+
+
 @query("cov_19_payload_issues", f"""with {_U}, {_HEAD}, rows as (select npath, heading, count(*) over (partition by npath) as n from u left join heads using (npath))
   select npath, code from (select npath, unnest([case when coalesce(npath, '') = '' then 'empty_path' end, case when coalesce(heading, '') = '' then 'empty_heading' end, case when n > 1 then 'duplicate' end, case when contains(npath, '/p/') then 'product_page' end, case when length(heading) > 120 then 'too_long' end]) as code from rows) where code is not null""")
 def _(t):

@@ -147,3 +147,11 @@ def _(t):
     rows = t("lineitem").join(t("supplier"), F.col("l_suppkey") == k).select(F.col("l_orderkey").alias("content_id"), F.col("s_nationkey").alias("category"), (F.col("l_suppkey") + F.col("l_linenumber") % 2 * 3).alias("product_id"))
     content = rows.groupBy("content_id", "category").agg(F.collect_list("product_id").alias("ids"))
     return R.check_links(content, products)
+
+
+@query("url_16_rewrite_links", "select s_suppkey as content_id, 'see [' || case when s_suppkey % 8 = 0 then s_suppkey + 1 else s_suppkey end || '] and [7]' as text from supplier")
+def _(t):
+    k = F.col("s_suppkey")
+    products = t("supplier").select(F.col("s_nationkey").alias("category"), k.alias("product_id"), F.when(k % 4 == 0, "moved").otherwise("live").alias("state"), F.when(k % 8 == 0, k + 1).alias("new_id"))
+    content = t("supplier").select(k.alias("content_id"), F.col("s_nationkey").alias("category"), F.concat(F.lit("see ["), k.cast("string"), F.lit("] and [7]")).alias("text"), F.array(k, F.lit(7).cast("long")).alias("ids"))
+    return R.rewrite_links(content, products)
