@@ -238,8 +238,9 @@ def main_text(html: str | None, forest: gbdt.Forest) -> str:
 
 
 def fit(pages: DataFrame, seed_pages: int = SEED_PAGES) -> gbdt.Forest:
-    chosen = pages.select("url", "html").filter(F.col("html").isNotNull()).withColumn("at", F.xxhash64("url", "html")).orderBy("at").limit(seed_pages)
-    chosen = common.stage(chosen.select("html"), "seed-pages")
+    hashed = pages.select("html", F.xxhash64("url", "html").alias("at")).filter(F.col("html").isNotNull())
+    first = common.stage(hashed.select("at").distinct().orderBy("at").limit(seed_pages), "seed-hashes")
+    chosen = common.stage(hashed.join(F.broadcast(first), "at").select("html"), "seed-pages")
 
     def run(batches):
         for batch in batches:
