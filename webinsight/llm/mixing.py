@@ -7,7 +7,7 @@ until it stays.
 
 Repetitions: a source's documents are each taken floor(target / words) times, and once more while the words of documents
 before them, in an order by seeded hash, stay below the fractional remainder. The cut is found in two steps: sums by the
-hash's top 16 bits, then the documents of one bin. So a source misses its target by half a document at most, and no document is taken
+hash's top 12 bits, then the documents of one bin. So a source misses its target by half a document at most, and no document is taken
 more than ceil(target / words) times. The same seed gives the same mix, at any partitioning.
 
 Defined results: a null text has 0 words; a null source is one source, ranked last; sources without words get target 0.
@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 EPOCHS = 2
 SEED = "mix-1"
-BIN_BITS = 16
+BIN_BITS = 12
 HASH_BITS = 60
 
 
