@@ -40,11 +40,13 @@ ALPHA = 1.0
 ZIPF = 2.7
 SEED = "pieces-1"
 #: Characters that are searched at once (a longer text is searched alone).
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 _P = np.uint64(0x9E3779B97F4A7C15)
-_FILTER_BITS = 20
+_FILTER_BITS = 17
+#: Probability that counts as none.
+EPSILON = 1e-12
 
 
 @dataclass
@@ -54,10 +56,13 @@ class Vocabulary:
     byte_ids: list[int]
     weight: np.ndarray
     longest: int
-    hashes: np.ndarray  # sorted hashes of pieces
-    hash_ids: np.ndarray
-    maybe: np.ndarray
+    hashes: np.ndarray  # sorted hashes of pieces and of their beginnings
+    hash_ids: np.ndarray  # -1 for a beginning that is no piece
+    bucket: np.ndarray  # where the hashes with given leading bits begin
     unseen: float
+    flat: np.ndarray  # bytes of all ids, one after the other
+    starts: np.ndarray
+    sizes: np.ndarray
 
     @staticmethod
     def load(path: str = MODEL, zipf: float = ZIPF) -> Vocabulary:
@@ -82,23 +87,27 @@ class Vocabulary:
         score = np.array([m.get_score(i) for i in range(len(pieces))])
         rank = np.argsort(np.argsort(-score, kind="stable"), kind="stable")
         weight = -np.log(rank + zipf)
-        codes, lengths = _codes([p for p in pieces if p])
-        ids = np.array([i for i, p in enumerate(pieces) if p])
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        named = {p: i for i, p in enumerate(pieces) if p}
+        starts = sorted({p[:k] for p in named for k in range(1, len(p) + 1)})  # no piece goes on where no start is found
+        ids = np.fromiter((named.get(p, -1) for p in starts), np.int32, len(starts))
+        codes, lengths = _codes(starts)
+        first = np.cumsum(lengths) - lengths
         h = np.zeros(len(ids), np.uint64)
         for k in range(lengths.max()):
             on = lengths > k
-            h[on] = _roll(h[on], codes[starts[on] + k])
+            h[on] = _roll(h[on], codes[first[on] + k])
         if len(np.unique(h)) < len(h):
             raise ValueError("piece hashes collide")
         order = np.argsort(h)
-        maybe = np.zeros(1 << _FILTER_BITS, bool)
-        maybe[h >> np.uint64(64 - _FILTER_BITS)] = True
-        return Vocabulary(pieces, data, byte_ids, weight, int(lengths.max()), h[order], ids[order], maybe, float(weight.min()))
+        bucket = np.searchsorted((h[order] >> np.uint64(64 - _FILTER_BITS)).astype(np.int64), np.arange((1 << _FILTER_BITS) + 1)).astype(np.int32)
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        return Vocabulary(pieces, data, byte_ids, weight, int(lengths.max()), h[order], ids[order], bucket, float(weight.min()), flat, np.cumsum(sizes) - sizes, sizes)
 
-    def decode(self, ids) -> str:
-        """The text of a segmentation; the blank before the text is taken off."""
-        return b"".join(map(self.data.__getitem__, ids))[1:].decode()
+    def decode(self, ids) -> bytes:
+        """The UTF-8 text of a segmentation; the blank before the text is taken off."""
+        ids = np.asarray(ids, np.int64)
+        return self.flat[_spread(self.starts[ids], self.sizes[ids])].tobytes()[1:]
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +141,7 @@ class Lattices:
     to: np.ndarray
     source: np.ndarray
     log_p: np.ndarray  # of an edge at its node
+    log_rest: np.ndarray  # of the node's other edges together
     upto: np.ndarray  # running sum of probabilities at the node
     piece: np.ndarray  # -1: the bytes of a character over 127
     code: np.ndarray  # by node: character
@@ -150,10 +160,18 @@ def lattices(chunks: list[str], v: Vocabulary, alpha: float) -> Lattices:
             on = left[pos] > k
             pos, h = pos[on], h[on]
         h = _roll(h, codes[pos + k])
-        hit = np.flatnonzero(v.maybe[h >> np.uint64(64 - _FILTER_BITS)])
-        i = np.minimum(np.searchsorted(v.hashes, h[hit]), len(v.hashes) - 1)
-        ok = v.hashes[i] == h[hit]
-        found[pos[hit[ok]], width - 1 - k] = v.hash_ids[i[ok]]
+        b = (h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+        i, end = v.bucket[b], v.bucket[b + 1]
+        hit = np.flatnonzero(i < end)
+        i, end, goes_on = i[hit], end[hit], np.zeros(len(pos), bool)
+        while len(hit):
+            ok = v.hashes[i] == h[hit]
+            at = hit[ok]
+            found[pos[at], width - 1 - k] = v.hash_ids[i[ok]]
+            goes_on[at] = True
+            on = ~ok & (i + 1 < end)
+            hit, i, end = hit[on], i[on] + 1, end[on]
+        pos, h = pos[goes_on], h[goes_on]
     bare = found[:, width - 1] < 0
     there = found >= 0
     there[bare, width - 1] = True
@@ -187,7 +205,9 @@ def lattices(chunks: list[str], v: Vocabulary, alpha: float) -> Lattices:
     upto = run - np.repeat((run - p)[edge_at[:-1]], degree) if n else run
     if n:
         upto[edge_at[1:] - 1] = 2.0  # the last edge takes what rounding leaves
-    return Lattices(first, edge_at, to, source, log_p, upto, piece, codes)
+    rest_p = 1 - p
+    log_rest = np.where(rest_p > EPSILON, np.log(np.maximum(rest_p, EPSILON)), -np.inf)
+    return Lattices(first, edge_at, to, source, log_p, log_rest, upto, piece, codes)
 
 
 @dataclass
@@ -246,16 +266,14 @@ def _bounds(g: Lattices, edges: np.ndarray, off: np.ndarray, ceiling: np.ndarray
     run = np.concatenate(([0.0], np.cumsum(lp)))
     before = run[:-1] - run[off[:-1]][row]
     step = np.arange(len(edges)) - off[:-1][row]
-    gone = np.exp(lp)
-    at = np.flatnonzero((step == from_step[row]) & (others[row] > 0))
-    gone[at] += others[row[at]]
-    with np.errstate(divide="ignore"):
-        spare = np.log(np.maximum(1 - gone, 0))
-    few = gone > 1 - 1e-12
-    spare[few] = -np.inf
-    e = -np.log(_uniform(key[row], sample, 1, step))
-    bound = -np.logaddexp(-ceiling[row], np.log(e) - (before + spare))
-    bound[few | (step < from_step[row])] = -np.inf
+    spare = g.log_rest[edges]
+    at = (off[:-1] + from_step)[others > 0]
+    left = 1 - np.exp(lp[at]) - others[others > 0]
+    spare[at] = np.where(left > EPSILON, np.log(np.maximum(left, EPSILON)), -np.inf)
+    bound = np.full(len(edges), -np.inf)
+    on = np.flatnonzero((spare > -np.inf) & (step >= from_step[row]))
+    e = -np.log(_uniform(key[row[on]], sample, 1, step[on]))
+    bound[on] = -np.logaddexp(-ceiling[row[on]], np.log(e) - (before[on] + spare[on]))
     return bound, run[off[1:]] - run[off[:-1]]
 
 
@@ -364,7 +382,9 @@ def sample(texts: list[str], keys: list[int], v: Vocabulary, k: int, alpha: floa
     for t in texts:
         found = _CHUNK.findall(" " + t) if t else []
         sizes.append(len(found))
-        parts.append(np.fromiter((table.setdefault(c, len(table)) for c in found), np.int64, len(found)))
+        for c in set(found).difference(table):
+            table[c] = len(table)
+        parts.append(np.fromiter(map(table.__getitem__, found), np.int64, len(found)))
     rows = np.concatenate(([0], np.cumsum(sizes)))
     key = np.array(keys, np.uint64)
     if rows[-1]:
@@ -421,7 +441,7 @@ def encode(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: str = SEED,
                 rows, more = [], []
                 for r, s, log_p, inclusion, ids in sample(texts, keys[first : first + len(texts)], v, k, alpha):
                     rows.append((first + r, s, len(ids), log_p, inclusion))
-                    more.append((xxhash.xxh64_hexdigest(ids.astype("<i4").tobytes()), v.decode(ids.tolist()) == texts[r]) if digest else ids)
+                    more.append((xxhash.xxh64_hexdigest(ids.astype("<i4").tobytes()), v.decode(ids) == texts[r].encode(errors="surrogatepass")) if digest else ids)
                 at, s, n, log_p, inclusion = zip(*rows, strict=True)
                 columns = [batch.column(0).take(pa.array(at)), pa.array(s, pa.int32()), pa.array(n, pa.int64()), pa.array(log_p), pa.array(inclusion)]
                 if digest:
@@ -443,6 +463,6 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(ids):
-        return ids.map(bc.value.decode)
+        return ids.map(lambda x: bc.value.decode(x).decode())
 
     return encoded.withColumn("text", text("ids")).drop("ids")
