@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="webinsight-stage-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.webinsight.stage.dir", found)
     return found
 
@@ -70,6 +73,12 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, tot
     return by_hot.unionByName(by_rest)
 
 
+def without(docs: DataFrame, lost: DataFrame, key: str) -> DataFrame:
+    """docs whose key isn't in lost. How many rows are lost has no bound, so they are never broadcast: both sides are dealt by
+    the key, and the hash table is built on lost, so texts are moved once and aren't sorted."""
+    return docs.join(lost.hint("shuffle_hash"), key, "left_anti")
+
+
 def keep_rows(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without the rows whose key is in dropped (unique keys); null keys stay."""
-    return docs.join(dropped.select(key).filter(F.col(key).isNotNull()), key, "left_anti").select(*docs.columns)
+    return without(docs, dropped.select(key).filter(F.col(key).isNotNull()), key).select(*docs.columns)

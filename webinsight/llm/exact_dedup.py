@@ -99,7 +99,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     lost = common.stage(lost.filter("n > n_kept").select(F.to_json("mark").alias("mark"), "n_kept"), "exact-lost")
     seen = F.to_json(F.struct(F.col("doc_id").alias("id"), F.sha2(normalised(F.col("text")), 256).alias("sha")))
     marked = docs.withColumn("__mark", seen)
-    out = marked.join(lost.select(F.col("mark").alias("__mark")), "__mark", "left_anti")
+    out = common.without(marked, lost.select(F.col("mark").alias("__mark")), "__mark")
     again = lost.filter("n_kept > 0")
     if not again.isEmpty():  # repeated rows: one of them stays
         same = marked.join(again.select(F.col("mark").alias("__mark")), "__mark", "left_semi").dropDuplicates(["__mark"])
