@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -161,6 +162,11 @@ def features(nodes: list[Node]) -> np.ndarray:
     good, bad = np.zeros(n), np.zeros(n)
     base = len(BLOCK_GROUPS) + 1
     total = max(tree[0, 0], 1)
+    kinds = [Counter(nodes[j].tag for j in x.children) for x in nodes]
+    places = [0] * n
+    for x in nodes:
+        for k, j in enumerate(x.children):
+            places[j] = k
     for i, x in enumerate(nodes):
         good[i], bad[i] = sum(t in CONTENT_WORDS for t in x.tokens), sum(t in FURNITURE_WORDS for t in x.tokens)
         own_good, own_bad = good[i] + (x.tag in ROOTS), bad[i] + (x.tag in FURNITURE)
@@ -172,8 +178,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         out[i, GROUP.get(x.tag, len(BLOCK_GROUPS))] = 1
         size, linked, marks, words, tags = tree[i]
         around = nodes[up].children if up >= 0 else [i]
-        place = around.index(i) if len(around) < 50 else 25
-        same = sum(nodes[j].tag == x.tag for j in around[:200])
+        place, same = places[i], kinds[up][x.tag] if up >= 0 else 1
         beside = (tree[up, 0] - size) / max(len(around) - 1, 1) if up >= 0 else 0
         out[i, base : base + 24] = [
             x.depth, np.log1p(x.own), np.log1p(size), size / total, linked / max(size, 1), x.linked / max(x.own, 1), marks / max(words, 1), x.marks / max(x.words, 1),
