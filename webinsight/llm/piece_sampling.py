@@ -410,12 +410,12 @@ def sample(texts: list[str], keys: list[int], v: Vocabulary, k: int, alpha: floa
             yield r, 0, 0.0, 0.0, np.zeros(0, np.int32)
 
 
-def _groups(batch, text: int) -> Iterator[tuple[int, list[str]]]:
+def _groups(batch, text: int, most: int) -> Iterator[tuple[int, list[str]]]:
     """Rows of a batch, some together: (first row, texts)."""
     held, size, first = [], 0, 0
     for i, t in enumerate(batch.column(text).to_pylist()):
         t = t or ""
-        if held and size + len(t) > BATCH_CHARS:
+        if held and size + len(t) > most:
             yield first, held
             held, size, first = [], 0, i
         held.append(t)
@@ -424,10 +424,11 @@ def _groups(batch, text: int) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
-def encode(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: str = SEED, model: str = MODEL, digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: str = SEED, model: str = MODEL, digest: bool = False, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Up to k rows per row of docs: doc_id, sample, n_pieces, log_p, log_inclusion, and ids.
 
-    digest: in place of ids their XXH64, and whether they decode to the text.
+    digest: in place of ids their XXH64, and whether they decode to the text. batch_chars trades memory (about 160 bytes a
+    character) for speed; results don't depend on it.
     """
     bc = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -437,7 +438,7 @@ def encode(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: str = SEED,
         v = bc.value
         for batch in batches:
             keys = [row_key(i, seed) for i in batch.column(0).to_pylist()]
-            for first, texts in _groups(batch, 1):
+            for first, texts in _groups(batch, 1, batch_chars):
                 rows, more = [], []
                 for r, s, log_p, inclusion, ids in sample(texts, keys[first : first + len(texts)], v, k, alpha):
                     rows.append((first + r, s, len(ids), log_p, inclusion))
