@@ -169,6 +169,42 @@ def test_spans_brute_force(spark, span, least):
     assert got == brute_spans(rows, span, least)
 
 
+def brute_all_runs(rows, span, least):
+    """Every run of enough sentences and words, however long: all but its first occurrence goes."""
+    cut = {i: substring_dedup.sentences((t or "").encode()) for i, t in rows}
+    first, marks = {}, {}
+    for turn in (0, 1):
+        for i, t in sorted(rows):
+            data = (t or "").encode()
+            parts = [(k, tuple(data[a:b].split())) for k, (a, b) in enumerate(cut[i]) if data[a:b].split()]
+            for p in range(len(parts)):
+                for q in range(p + span, len(parts) + 1):
+                    h = tuple(w for _, w in parts[p:q])
+                    if sum(map(len, h)) < least:
+                        continue
+                    if turn == 0:
+                        first.setdefault(h, (i, p))
+                    elif first[h] != (i, p):
+                        marks.setdefault(i, set()).update(range(parts[p][0], parts[q - 1][0] + 1))
+    return {i: b"".join((t or "").encode()[a:b] for k, (a, b) in enumerate(cut[i]) if k not in marks.get(i, ())).decode() for i, t in rows}
+
+
+def sentence(rng, n, tag):
+    return " ".join([f"{tag}{rng.integers(0, 10**9)}" for _ in range(n)]) + "."
+
+
+@pytest.mark.parametrize("sizes", [(14, 14, 12, 12), (30, 3, 3), (3, 3, 30), (13, 12), (5, 5, 5, 5, 5, 5, 5), (24, 1, 24, 1)])
+def test_all_runs_brute_force(spark, sizes):
+    rng = np.random.default_rng(len(sizes))
+    passage = " ".join(sentence(rng, n, "p") for n in sizes)
+    rows = [(i, f"{sentence(rng, 6, 'a')} {passage} {sentence(rng, 40, 'z')} {sentence(rng, 2, 'z')}") for i in range(5)]
+    rows += [(9, f"{passage} {sentence(rng, 3, 'm')} {passage}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(docs).collect()}
+    assert got == brute_all_runs(rows, 2, 25)
+    assert all(" p" not in f" {got[i]}" for i in (1, 2, 3, 4, 9))
+
+
 def test_planted_passage(spark):
     passage = " ".join(f"This is sentence number {i} of a passage that many documents share." for i in range(6))
     rows = [(i, f"Document {i} begins in its own way, number {i * 7}. {passage} And it ends {i * 13} alone.", "en", "s", 1) for i in range(30)]

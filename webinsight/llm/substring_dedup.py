@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after marks that white space follows, and after line ends). From each sentence on, the shortest
-run of SPAN sentences or more with MIN_WORDS words or more is hashed (128 bits, over its words). Hashes are counted
+A text is cut into sentences (after marks that white space follows, and after line ends). Of the runs of SPAN sentences or more
+with MIN_WORDS words or more, the shortest from each sentence on and the shortest up to each sentence are hashed (128 bits, over
+their words); inside any longer run these cover every sentence, so its repetition is found whole. Hashes are counted
 globally, with partial sums before the shuffle; runs whose hash occurs again are joined to its first occurrence (least
 doc_id, then first in the text), and the sentences of every other occurrence are removed. Hashes that a large share of
 all runs has are broadcast (1000 at most), the others are joined by shuffle, so a passage that a third of all documents
@@ -46,6 +47,7 @@ def runs(data: bytes, span: int, min_words: int) -> list[tuple[int, int, int, in
     found, seen = [], set()
     parts = [(i, words) for i, (a, b) in enumerate(sentences(data)) if (words := data[a:b].split())]
     text, size = [b" ".join(words) for _, words in parts], [len(words) for _, words in parts]
+    spans = set()
     end, held = 0, 0
     for i in range(len(parts)):
         while end < len(parts) and (end - i < span or held < min_words):
@@ -53,10 +55,20 @@ def runs(data: bytes, span: int, min_words: int) -> list[tuple[int, int, int, in
             end += 1
         if end - i < span or held < min_words:
             break
+        spans.add((i, end))
+        held -= size[i]
+    i, held = 0, 0
+    for end in range(1, len(parts) + 1):
+        held += size[end - 1]
+        while end - i > span and held - size[i] >= min_words:
+            held -= size[i]
+            i += 1
+        if end - i >= span and held >= min_words:
+            spans.add((i, end))
+    for i, end in sorted(spans):
         h = xxhash.xxh3_128_intdigest(b"\n".join(text[i:end]))
         found.append((h >> 64, h & 0xFFFFFFFFFFFFFFFF, parts[i][0], parts[end - 1][0] + 1, h in seen))
         seen.add(h)
-        held -= size[i]
     return found
 
 
