@@ -112,6 +112,22 @@ def test_planted_insults(spark):
         assert r["predicted"] == int(r["doc_id"] % 5 == 0)
 
 
+@pytest.mark.parametrize("y", [0, 1])
+def test_sample_passes_over_texts_that_dont_fit(spark, monkeypatch, y):
+    """The first text of a class, in the sample's order, has more words than the bound; the class's other texts are learnt from."""
+    monkeypatch.setattr(toxicity, "MAX_WORDS", 500)
+    texts = [(i, "w " * 10, "en", "s", 1) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id bigint, quality int, toxic int")
+    order = toxicity._sample(spark.createDataFrame(texts, SCHEMA), labels).groupBy("y").count().collect()
+    whole = {r["y"]: r["count"] for r in order}
+    keep = [i for i in range(60) if i % 2 == y and zlib.crc32(str(i).encode()) % 4 != 2]
+    at = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in keep], "i bigint").select("i", F.xxhash64("i").alias("h")).collect()}
+    first = min(keep, key=at.get)
+    texts[first] = (first, "w " * 600, "en", "s", 1)
+    got = {r["y"]: r["count"] for r in toxicity._sample(spark.createDataFrame(texts, SCHEMA), labels).groupBy("y").count().collect()}
+    assert whole[y] > 1 and got == whole | {y: whole[y] - 1}
+
+
 def page(body):
     return f"<html><head><title>t</title></head><body>{body}</body></html>"
 

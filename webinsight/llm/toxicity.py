@@ -11,8 +11,8 @@ The log-likelihood ratio is taken per word over the whole text, and per word ove
 text doesn't dilute an insult); a logistic curve over both, fitted on labelled rows apart from those counted, makes the
 score.
 
-The sample is bounded: MAX_DOCS labelled texts and MAX_WORDS words of each class at most, first by a hash of the id. Counts are
-summed by Spark; the model (a table of 2 * MAX_WORDS / RARE * 4 symbols at most, and sorted arrays of the bigrams counted) is
+The sample is bounded: MAX_DOCS labelled texts and MAX_WORDS words of each class at most, first by a hash of the id; a text that
+doesn't fit into what is left of the words is passed over, and the next ones are tried. Counts are summed by Spark; the model (a table of 2 * MAX_WORDS / RARE * 4 symbols at most, and sorted arrays of the bigrams counted) is
 broadcast, and every whole text is scored in Arrow batches. Words are lower-cased (A-Z) runs of letters, digits and
 bytes over 127.
 
@@ -152,8 +152,8 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids, used = [], {0: 0, 1: 0}
     rows = sized.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").collect()  # 2 * MAX_DOCS rows at most
     for r in rows:
-        used[r["y"]] += r["n"]
-        if used[r["y"]] <= MAX_WORDS:
+        if used[r["y"]] + r["n"] <= MAX_WORDS:
+            used[r["y"]] += r["n"]
             ids.append((r["doc_id"], r["y"], len(ids) % FOLDS))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, fold int"
     picked = docs.sparkSession.createDataFrame(ids, schema)
