@@ -28,8 +28,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first sampled segmentation of each row: doc_id, sample, n_pieces, log_p, log_inclusion, ids."""
-    return piece_sampling.encode(docs, k=1)
+    """The sampled segmentations of each row: doc_id, sample, n_pieces, log_p, log_inclusion, ids, and whether these decode to the text."""
+    return piece_sampling.encode(docs, check=True)
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixture", mixture), ("pieces", pieces)]

@@ -55,3 +55,32 @@ def test_stages(spark):
 def test_run(spark):
     out = pipeline.run(spark, SF)
     assert out.count() > 0 and out.filter("n_pieces > 0").count() == out.count()
+
+
+def test_pieces_are_all_samples_and_decode(spark):
+    """Tiny texts: the stage emits the operator's K distinct segmentations, or all there are, with brute-force probabilities."""
+    import math
+
+    from webinsight.llm import piece_sampling
+
+    v = piece_sampling.Vocabulary.load()
+    ids = {p: i for i, p in enumerate(v.pieces) if p}
+
+    def every(c):
+        return [((), 0.0)] if not c else [((ids[c[:k]], *a), w + v.weight[ids[c[:k]]]) for k in range(1, len(c) + 1) if c[:k] in ids for a, w in every(c[k:])]
+
+    texts = {1: "the cat", 2: "a", 3: "house", 4: "the cat"}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars int")
+    out = pipeline.pieces(spark, docs, SF)
+    back = {(r["doc_id"], r["sample"]): r["text"] for r in piece_sampling.decode(out).collect()}
+    rows = out.collect()
+    for i, text in texts.items():
+        whole = every(" " + text)
+        z = math.log(sum(math.exp(w) for _, w in whole))
+        p = {a: w - z for a, w in whole}
+        mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["sample"])
+        assert [r["sample"] for r in mine] == list(range(min(piece_sampling.K, len(p))))
+        assert len({tuple(r["ids"]) for r in mine}) == len(mine)
+        for r in mine:
+            assert r["log_p"] == pytest.approx(p[tuple(r["ids"])])
+            assert r["decodes"] and back[i, r["sample"]] == text

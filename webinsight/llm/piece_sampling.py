@@ -424,34 +424,39 @@ def _groups(batch, text: int, most: int) -> Iterator[tuple[int, list[str]]]:
         yield first, held
 
 
-def encode(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: str = SEED, model: str = MODEL, digest: bool = False, batch_chars: int = BATCH_CHARS) -> DataFrame:
+def encode(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: str = SEED, model: str = MODEL, digest: bool = False, batch_chars: int = BATCH_CHARS, check: bool = False) -> DataFrame:
     """Up to k rows per row of docs: doc_id, sample, n_pieces, log_p, log_inclusion, and ids.
 
-    digest: in place of ids their XXH64, and whether they decode to the text. batch_chars trades memory (about 160 bytes a
-    character) for speed; results don't depend on it.
+    digest: in place of ids their XXH64, and whether they decode to the text. check: whether they do, beside the ids.
+    batch_chars trades memory (about 160 bytes a character) for speed; results don't depend on it.
     """
     bc = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    last = "ids_hash string, decodes boolean" if digest else "ids array<int>"
+    last = "ids_hash string, decodes boolean" if digest else "ids array<int>" + ", decodes boolean" * check
 
     def run(batches):
         v = bc.value
         for batch in batches:
             keys = [row_key(i, seed) for i in batch.column(0).to_pylist()]
             for first, texts in _groups(batch, 1, batch_chars):
-                rows, more = [], []
+                rows, more, back = [], [], []
                 for r, s, log_p, inclusion, ids in sample(texts, keys[first : first + len(texts)], v, k, alpha):
                     rows.append((first + r, s, len(ids), log_p, inclusion))
-                    more.append((xxhash.xxh64_hexdigest(ids.astype("<i4").tobytes()), v.decode(ids) == texts[r].encode(errors="surrogatepass")) if digest else ids)
+                    more.append(xxhash.xxh64_hexdigest(ids.astype("<i4").tobytes()) if digest else ids)
+                    if digest or check:
+                        back.append(v.decode(ids) == texts[r].encode(errors="surrogatepass"))
                 at, s, n, log_p, inclusion = zip(*rows, strict=True)
                 columns = [batch.column(0).take(pa.array(at)), pa.array(s, pa.int32()), pa.array(n, pa.int64()), pa.array(log_p), pa.array(inclusion)]
                 if digest:
-                    columns += [pa.array([m[0] for m in more]), pa.array([m[1] for m in more])]
-                    names = ["ids_hash", "decodes"]
+                    columns.append(pa.array(more))
+                    names = ["ids_hash"]
                 else:
                     off = np.concatenate(([0], np.cumsum([len(m) for m in more]))).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(more))))
                     names = ["ids"]
+                if digest or check:
+                    columns.append(pa.array(back))
+                    names.append("decodes")
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sample", "n_pieces", "log_p", "log_inclusion", *names])
 
     schema = f"doc_id {kind}, sample int, n_pieces bigint, log_p double, log_inclusion double, {last}"
