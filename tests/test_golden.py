@@ -148,3 +148,26 @@ def test_title_drops_words_from_the_end(spark):
 def test_mojibake(spark):
     assert one(spark, text.repair_mojibake(F.lit("cafÃ©"))) == "café"
     assert one(spark, text.repair_mojibake(F.lit("café Ä"))) == "café Ä"
+
+
+def test_backtests_run_as_surveyed(spark, monkeypatch):
+    """COV-16 and COV-21: 4 rounds, the top 300, all five weights."""
+    import inspect
+
+    from webinsight.operators import coverage
+    from webinsight.plans import load
+
+    from .conftest import SF
+
+    seen, signature = [], inspect.signature(coverage.backtest)
+
+    def record(*args, **kwargs):
+        call = signature.bind(*args, **kwargs)
+        call.apply_defaults()
+        seen.append((call.arguments["rounds"], call.arguments["cap"], tuple(call.arguments["steps"])))
+        return {"visits": 1.0}, 0.0
+
+    monkeypatch.setattr(coverage, "backtest", record)
+    for name in ("cov_16_backtest_weights", "cov_21_feature_ablation"):
+        load().QUERIES[name](spark, SF)
+    assert seen == [(4, 300, (0.0, 0.5, 1.0, 2.0, 4.0))] * 3

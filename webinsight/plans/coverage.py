@@ -139,7 +139,7 @@ def _frame(t):
 @query("cov_16_backtest_weights")
 def _(t):
     frame, target = _frame(t)
-    weights, best = C.backtest(frame, target, "main_cat", cap=40, rounds=1)
+    weights, best = C.backtest(frame, target, "main_cat", cap=300, rounds=4)
     return t.spark.createDataFrame([(k, float(v), float(best)) for k, v in sorted(weights.items())], "feature string, weight double, objective double")
 
 
@@ -195,8 +195,8 @@ def _(t):
     frame = frame.withColumn("keyword", F.regexp_extract("npath", "color_([a-z]+)", 1))
     by_word = volume.select(F.split_part("keyword", F.lit(" "), F.lit(1)).alias("keyword"), "volume").groupBy("keyword").agg(F.max("volume").alias("volume"))
     frame = frame.join(by_word, "keyword", "left")
-    _, with_volume = C.backtest(frame, target, "main_cat", cap=40, rounds=1, steps=(0.0, 1.0), names=(*C.FEATURES, "volume"))
-    _, without = C.backtest(frame, target, "main_cat", cap=40, rounds=1, steps=(0.0, 1.0))
+    _, with_volume = C.backtest(frame, target, "main_cat", cap=300, rounds=4, names=(*C.FEATURES, "volume"))
+    _, without = C.backtest(frame, target, "main_cat", cap=300, rounds=4)
     return t.spark.createDataFrame([("with_volume", with_volume), ("without", without)], "variant string, objective double")
 
 
