@@ -1,22 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-Two interpolated models, one of toxic and one of ordinary texts, are learnt from labelled rows. A class's bigrams back off
-to its continuation counts (of how many kinds of histories a symbol follows), and these to the counts of both classes
-together. Both levels discount DISCOUNTS from each count, so that an expression seen up to so often is smoothed through the
-shared counts alone: it has nearly the same probability in either class and hardly moves the score. A symbol is a word's
-longest prefix (of 7 or 5 bytes) seen in RARE texts or more, else one symbol for all rare words; the word's share in its
-symbol is common to both classes and cancels. A text counts a bigram once, so repeats and copies of a line weigh little.
-
-The log-likelihood ratio is taken per word over the whole text, and per word over its TOP most toxic words (so that a long
-text doesn't dilute an insult); a logistic curve over both, fitted on labelled rows apart from those counted, makes the
-score.
-
-The sample is bounded: MAX_DOCS labelled texts and MAX_WORDS words of each class at most, first by a hash of the id; a text that
-doesn't fit into what is left of the words is passed over, and the next ones are tried. Counts are summed by Spark; the model (a table of 2 * MAX_WORDS / RARE * 4 symbols at most, and sorted arrays of the bigrams counted) is
-broadcast, and every whole text is scored in Arrow batches. Words are lower-cased (A-Z) runs of letters, digits and
-bytes over 127.
-
-Defined results: a null text counts as empty; texts without words have ratio 0 and get the curve's score there. Null ids
+Two interpolated models, one of toxic and one of ordinary texts, are learnt from labelled rows. A class's bigrams, counted once a
+text, back off to its continuation counts (of how many kinds of words a word follows), and these to those of the word's
+beginnings: a word is reached over its prefixes of PREFIXES bytes, each step with discounted counts of the class. At every step the
+discounted mass goes to the counts of both classes together, so an expression that is rare in both is smoothed through shared counts
+alone and hardly moves the score, while one that only toxic texts have counts the more, the more often and in the more surroundings it
+occurs; words made from one stem add up in its prefixes. Discounts of counts of 1, 2 and more come from counts of counts.
+
+The log-likelihood ratio is taken per word over the whole text, and per word over its one and its TOP most toxic bigrams (so
+that a long text doesn't dilute an insult); a logistic curve over these and the text's length makes the score. The curve is fitted on
+one of FOLDS parts of the sample, rated by models of the other parts; the models that score count the whole sample.
+
+The sample is bounded by rows: MAX_DOCS labelled rows of label 0 and of label 1, first by a hash of the id, their texts whole. Counts
+are summed by Spark. What is broadcast is bounded too: the ENTRIES words and prefixes, and the ENTRIES bigrams, that occur most
+(twice at least); others fall to the next lower order, as in any pruned model. Every whole text is scored in Arrow batches. Words are
+lower-cased (A-Z) runs of letters, digits and bytes over 127.
+
+Defined results: a null text counts as empty; texts without words have ratios 0 and get the curve's score there. Null ids
 are scored; their labels aren't used. Without labels of both kinds every score is the smoothed share of label 1.
 Repeated rows get equal scores. An empty table gives an empty result. Other columns are ignored.
 """
@@ -26,26 +26,27 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .quality_classifier import labelled, with_verdicts
 
-MAX_DOCS = 3000
-MAX_WORDS = 1_000_000
-#: Of bigram and of continuation counts.
-DISCOUNTS = (4.0, 3.0)
-RARE = 10
-PREFIXES = (7, 5)
+#: Rows of label 0 and of label 1 that are learnt from.
+MAX_DOCS = (24_000, 8_000)
+ENTRIES = 1_000_000
+PREFIXES = (3, 5, 7)
 TOP = 3
-#: Of FOLDS parts of the labelled rows, part 0 fits the curve and the others are counted.
-FOLDS = 3
+FOLDS = 4
 #: Entries of the table of words seen, in a worker.
 SEEN = 300_000
+#: Bigrams that a task hands on at once.
+FLUSH = 500_000
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
+_WORD = len(PREFIXES)
 
 
 def tokens(data: bytes | None) -> list[bytes]:
@@ -53,76 +54,60 @@ def tokens(data: bytes | None) -> list[bytes]:
 
 
 def forms(word: bytes) -> list[bytes]:
-    """The prefixes of a word that may be its symbol, longest first."""
-    return list(dict.fromkeys(word[:n] for n in PREFIXES))
-
-
-def _find(keys: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """values of keys (sorted), 0 where there is none."""
-    if not len(keys):
-        return np.zeros(len(at))
-    i = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
-    return np.where(keys[i] == at, values[i], 0)
+    """The prefixes that a word is reached over, longest first."""
+    return [word[:n] for n in reversed(PREFIXES) if len(word) > n]
 
 
 @dataclass
 class Symbols:
-    """Ids of symbols from 2 on; 1 is any rare word, 0 the start of a text."""
+    """Ids: known words, then prefixes for the words below them, then the root for all others, then the start of a text."""
 
-    ids: dict[bytes, int]
+    words: dict[bytes, int]
+    prefixes: dict[bytes, int]
     seen: dict[bytes, int] = field(default_factory=dict)
 
     def __len__(self) -> int:
-        return len(self.ids) + 2
+        return len(self.words) + len(self.prefixes) + 2
 
     def of(self, data: bytes | None) -> np.ndarray:
         if len(self.seen) > SEEN:
             self.seen.clear()
-        words, seen = tokens(data), self.seen
+        words, seen, known, root = tokens(data), self.seen, self.words, len(self) - 2
         for w in set(words).difference(seen):
-            seen[w] = next((i for f in forms(w) if (i := self.ids.get(f))), 1)
+            i = known.get(w)
+            seen[w] = next((j for f in forms(w) if (j := self.prefixes.get(f)) is not None), root) if i is None else i
         return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
 
 
-@dataclass
-class ClassModel:
-    pairs: np.ndarray  # sorted keys history * number of symbols + word
-    pair_p: np.ndarray  # discounted share of the history's count
-    left: np.ndarray  # by history: mass that goes to the lower order
-    low: np.ndarray  # by word: continuation probability, smoothed
-
-    def log_p(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return np.log(_find(self.pairs, self.pair_p, h * len(self.low) + w) + self.left[h] * self.low[w])
-
-
-def class_model(pairs: np.ndarray, histories: np.ndarray, before: np.ndarray, shared: np.ndarray) -> ClassModel:
-    """pairs: rows (h, w, n) whose count is over the discount; histories: (h, sum of counts, sum of their discounts); before:
-    by symbol, the kinds of histories it follows; shared: by symbol, probabilities in both classes together."""
-    size = len(shared)
-    total, left = (np.bincount(histories[:, 0].astype(np.int64), histories[:, i], size) for i in (1, 2))
-    h, w = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64)
-    key, p = h * size + w, (pairs[:, 2] - DISCOUNTS[0]) / np.maximum(total[h], 1)
-    order = np.argsort(key)
-    kept, kinds = np.maximum(before - DISCOUNTS[1], 0), max(before.sum(), 1)
-    low = kept / kinds + (1 - kept.sum() / kinds) * shared
-    return ClassModel(key[order], p[order], np.where(total > 0, left / np.maximum(total, 1), 1.0), low)
-
-
 @dataclass
 class Toxicity:
+    """Log ratios of the two classes' probabilities: of a symbol, of what a history leaves to lower orders, of a kept bigram."""
+
     symbols: Symbols
-    toxic: ClassModel
-    ordinary: ClassModel
-    curve: np.ndarray  # of 1, the ratio per word, the ratio per most toxic word
+    low: np.ndarray
+    left: np.ndarray
+    keys: np.ndarray  # sorted: history * number of symbols + word
+    pairs: np.ndarray
+    curve: np.ndarray  # of 1 and the ratios
+    n_ratios = 4
+
+    def log_ratios(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        out = self.left[h] + self.low[w]
+        if len(self.keys):
+            code = h * len(self.symbols) + w
+            at = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
+            out = np.where(self.keys[at] == code, self.pairs[at], out)
+        return out
 
     def ratios(self, data: bytes | None) -> list[float]:
         w = self.symbols.of(data)
         if not len(w):
-            return [0.0, 0.0]
-        h = np.concatenate(([0], w[:-1]))
-        llr = self.toxic.log_p(h, w) - self.ordinary.log_p(h, w)
-        top = np.sort(llr)[-TOP:]
-        return [float(llr.mean()), float(np.maximum(top, 0).sum() / TOP)]
+            return [0.0] * self.n_ratios
+        k = len(self.symbols)
+        code, n = np.unique(np.concatenate(([k - 1], w[:-1])) * k + w, return_counts=True)
+        each = self.log_ratios(code // k, code % k)
+        top = np.maximum(np.sort(each)[-TOP:], 0)
+        return [float(each @ n / n.sum()), float(top[-1]), float(top.sum() / TOP), float(np.log1p(len(w)))]
 
     def score(self, ratios: np.ndarray) -> np.ndarray:
         z = self.curve[0] + ratios @ self.curve[1:]
@@ -143,81 +128,192 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50)
     return w
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, y, fold) of the bounded sample."""
-    keep = common.crc_fold(F.col("doc_id"), 4) != 2
-    both = [labelled(labels.filter(F.col("toxic") == y), "toxic", keep, MAX_DOCS) for y in (0, 1)]
-    chosen = common.stage(both[0].unionByName(both[1]), "toxic-labels")
-    sized = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max(common.n_words(F.col("text"))).alias("n"))
-    ids, used = [], {0: 0, 1: 0}
-    rows = sized.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").collect()  # 2 * MAX_DOCS rows at most
-    for r in rows:
-        if used[r["y"]] + r["n"] <= MAX_WORDS:
-            used[r["y"]] += r["n"]
-            ids.append((r["doc_id"], r["y"], len(ids) % FOLDS))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, fold int"
-    picked = docs.sparkSession.createDataFrame(ids, schema)
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y", "fold")
+def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
+    """Of counts 1, 2 and more, from the numbers of entries that have counts 1 to 4."""
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    later = lambda a, b, k: k - (k + 1) * y * b / a if a else k / 2
+    d = [later(n1, n2, 1), later(n2, n3, 2), later(n3, n4, 3)]
+    return tuple(float(min(max(x, 0.1), k)) for x, k in zip(d, (0.95, 1.9, 2.85), strict=True))
 
 
-def _id_pairs(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate(([0], w[:-1])), w
+def _taken(count: Column, d: tuple[float, float, float]) -> Column:
+    """What is discounted from a count."""
+    return F.when(count <= 0, 0.0).when(count == 1, d[0]).when(count == 2, d[1]).otherwise(d[2])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
-    sample = common.stage(_sample(docs, labels), "toxic-sample")
-    counted = sample.filter("fold > 0").select("text", "y")
+def _less(count: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.maximum(count - np.array([0.0, *d])[np.minimum(count, 3).astype(np.int64)], 0)
+
+
+def _counts_of_counts(*columns: str) -> list[Column]:
+    return [F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in columns for k in (1, 2, 3, 4)]
+
+
+def _least(rows: DataFrame, n: Column, most: int) -> int:
+    """The least count, 2 or more, that `most` rows or fewer reach; counts are looked at in steps of a quarter of an octave."""
+    bins = rows.groupBy(F.floor(4 * F.log2(n)).alias("bin")).count().orderBy(F.desc("bin")).collect()  # 4 a factor of two
+    at, held = 4, 0
+    for r in bins:
+        held += r["count"]
+        if held > most:
+            at = max(at, r["bin"] + 1)
+            break
+    return int(np.ceil(2 ** (at / 4)))
 
-    def spell(batches):
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if found := sorted({f for w in tokens(text) for f in forms(w)}):
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["form"])
 
-    known = counted.mapInArrow(spell, "form binary").groupBy("form").count().filter(F.col("count") >= RARE).select("form")
-    symbols = Symbols({f: i for i, f in enumerate(sorted(map(bytes, known.toPandas()["form"])), 2)})
-    names = docs.sparkSession.sparkContext.broadcast(symbols)
+def text_pairs(sample: DataFrame) -> DataFrame:
+    """(h, w, n0, n1, rest0, rest1): in how many texts of each class w follows h (empty: the text begins), and in how many
+    of those outside fold 0."""
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def give():
+            y, fold, h, w = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(fold, pa.int32()), pa.array(h, pa.binary()), pa.array(w, pa.binary())], names=["y", "fold", "h", "w"])
 
-    def count(batches):
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(w := names.value.of(text)):
-                    h, w = np.unique(np.stack(_id_pairs(w), axis=1), axis=0).T
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), y, np.int32)), pa.array(np.ascontiguousarray(h)), pa.array(np.ascontiguousarray(w))], names=["y", "h", "w"])
-
-    pairs = counted.mapInArrow(count, "y int, h bigint, w bigint")
-    pairs = common.stage(pairs.groupBy("y", "h", "w").agg(F.count("*").alias("n")), "toxic-pairs")
-    cut = F.least(F.col("n").cast("double"), F.lit(DISCOUNTS[0]))
-    # Each of these has a row for a class and symbol at most, or a count over the discount: small beside the sample.
-    over = pairs.filter(F.col("n") > DISCOUNTS[0]).select("y", "h", "w", "n").toPandas().to_numpy(float)
-    histories = pairs.groupBy("y", "h").agg(F.sum("n").alias("n"), F.sum(cut).alias("cut")).toPandas().to_numpy(float)
-    kinds = pairs.groupBy("y", "w").agg(F.count("*").alias("n")).toPandas().to_numpy(float)
-    before = [np.bincount(k[:, 1].astype(np.int64), k[:, 2], len(symbols)) for k in (kinds[kinds[:, 0] == y] for y in (0, 1))]
-    shared = before[0] + before[1] + 0.5
-    shared /= shared.sum()
-    model = [class_model(over[over[:, 0] == y, 1:], histories[histories[:, 0] == y, 1:], before[y], shared) for y in (0, 1)]
-    out = Toxicity(symbols, model[1], model[0], np.zeros(3))
-
-    bc = docs.sparkSession.sparkContext.broadcast(out)
-    ratios = ["mean", "top"]
-
-    def rate(batches):
+            for text, y, fold in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = tokens(text)
+                held += [(y, fold, h, w) for h, w in set(zip([b"", *words], words, strict=False))]
+                if len(held) > FLUSH:
+                    yield give()
+                    held = []
+        if held:
+            yield give()
+
+    pairs = sample.select("text", "y", "fold").mapInArrow(run, "y int, fold int, h binary, w binary")
+    mine = lambda y: F.col("y") == y
+    return pairs.groupBy("h", "w").agg(*(F.count_if(mine(y)).alias(f"n{y}") for y in (0, 1)), *(F.count_if(mine(y) & (F.col("fold") > 0)).alias(f"rest{y}") for y in (0, 1)))
+
+
+def _steps(word: Column) -> Column:
+    """The nodes that a word is reached over: (node, parent, level); a space marks a whole word."""
+    empty, size = F.lit(b""), F.octet_length(word)
+    prefix = lambda n: F.substring(word, 1, n)
+    up = empty
+    out = []
+    for i, n in enumerate(PREFIXES):
+        out.append(F.when(size > n, F.struct(prefix(n).alias("node"), up.alias("parent"), F.lit(i).alias("level"))))
+        up = prefix(n)
+    longest = empty
+    for n in PREFIXES:
+        longest = F.when(size > n, prefix(n)).otherwise(longest)
+    out.append(F.struct(F.concat(word, F.lit(b" ")).alias("node"), longest.alias("parent"), F.lit(_WORD).alias("level")))
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
+def _frame(rows: DataFrame) -> pd.DataFrame:
+    got = rows.toPandas()
+    for c in got.columns:
+        if got[c].dtype == object:
+            got[c] = got[c].map(bytes)
+    return got.sort_values([c for c in ("node", "h", "w") if c in got]).reset_index(drop=True)
+
+
+def models(pairs: DataFrame, n: str, entries: int = ENTRIES) -> Toxicity:
+    """Both models from staged pairs, with counts in columns n and a class, as one table of log ratios (the curve is still zero)."""
+    sums = F.col("n0") + F.col("n1")
+    pairs = pairs.select("h", "w", *(F.col(f"{n}{y}").cast("double").alias(f"n{y}") for y in (0, 1))).filter(sums > 0)
+    words = pairs.groupBy("w").agg(*(F.count_if(F.col(f"n{y}") > 0).cast("double").alias(f"c{y}") for y in (0, 1)))
+    nodes = words.select("c0", "c1", F.explode(_steps(F.col("w"))).alias("s")).groupBy("s.node", "s.parent", "s.level").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    nodes = common.stage(nodes, "toxic-nodes")
+    by_level = {r["level"]: [discounts(*(r[f"c{y}_{k}"] for k in (1, 2, 3, 4))) for y in (0, 1)] for r in nodes.groupBy("level").agg(*_counts_of_counts("c0", "c1")).collect()}
+    cut = [F.coalesce(*(F.when(F.col("level") == i, _taken(F.col(f"c{y}"), d[y])) for i, d in by_level.items()), F.lit(0.0)) for y in (0, 1)]
+    cuts = nodes.groupBy("parent").agg(*(F.sum(cut[y]).alias(f"cut{y}") for y in (0, 1)))
+    both = F.col("c0") + F.col("c1")
+    kept = nodes.filter(both >= _least(nodes, both, entries))
+    t = _frame(kept.join(cuts.withColumnRenamed("parent", "node"), "node", "left").fillna(0.0, ["cut0", "cut1"]))
+    root = cuts.filter(F.col("parent") == F.lit(b"")).select("cut0", "cut1").first() or (0.0, 0.0)
+    total = nodes.filter(F.col("parent") == F.lit(b"")).agg(F.sum("c0"), F.sum("c1")).first()
+
+    # Row 0 is the root; parents are kept whenever their children are.
+    place = {b"": 0} | {x: i for i, x in enumerate(t["node"], 1)}
+    up = np.array([0, *map(place.__getitem__, t["parent"])], np.int64)
+    level = np.array([-1, *t["level"]], np.int64)
+    c = [np.array([float(total[y] or 0), *t[f"c{y}"]]) for y in (0, 1)]
+    left = [np.where(c[y] > 0, np.array([root[y], *t[f"cut{y}"]]) / np.maximum(c[y], 1e-9), 1.0) for y in (0, 1)]
+    shared = (c[0] + c[1]) / np.maximum(c[0][up] + c[1][up], 1e-9)
+    log_p = [np.zeros(len(up)), np.zeros(len(up))]
+    for i in range(_WORD + 1):
+        at = np.flatnonzero(level == i)
+        if len(at):
+            for y in (0, 1):
+                above = c[y][up[at]]
+                step = np.where(above > 0, _less(c[y][at], by_level[i][y]) / np.maximum(above, 1e-9), 0) + left[y][up[at]] * shared[at]
+                log_p[y][at] = log_p[y][up[at]] + np.log(step)
+    low = log_p[1] - log_p[0]
+    whole, part = np.flatnonzero(level == _WORD), np.flatnonzero((level >= 0) & (level < _WORD))
+    leave = np.log(np.maximum(left[1], 1e-6)) - np.log(np.maximum(left[0], 1e-6))
+    names = t["node"].to_numpy()
+    symbols = Symbols({names[i - 1][:-1]: k for k, i in enumerate(whole)}, {names[i - 1]: len(whole) + k for k, i in enumerate(part)})
+    size = len(symbols)
+    low_of = np.concatenate((low[whole], (low + leave)[part], (low + leave)[[0]], [0.0]))
+
+    # Bigrams above them.
+    d = pairs.agg(*_counts_of_counts("n0", "n1")).first()
+    high = [discounts(*(d[f"n{y}_{k}"] for k in (1, 2, 3, 4))) for y in (0, 1)]
+    ids = symbols.words | {b"": size - 1}
+    seen = pairs.groupBy("h").agg(*(F.sum(f"n{y}").alias(f"n{y}") for y in (0, 1)), *(F.sum(_taken(F.col(f"n{y}"), high[y])).alias(f"cut{y}") for y in (0, 1)))
+    seen = common.stage(seen, "toxic-histories")
+    before = _frame(seen.filter(sums >= _least(seen, sums, entries)))
+    before = before[before["h"].isin(ids)]
+    h_id = before["h"].map(ids).to_numpy(np.int64)
+    totals, stay = [np.zeros(size), np.zeros(size)], [np.ones(size), np.ones(size)]
+    for y in (0, 1):
+        totals[y][h_id] = before[f"n{y}"]
+        stay[y][h_id] = np.where(before[f"n{y}"] > 0, before[f"cut{y}"] / np.maximum(before[f"n{y}"], 1e-9), 1.0)
+    grams = pairs.filter(F.greatest("n0", "n1") > 1)
+    top = _frame(grams.filter(sums >= _least(grams, sums, entries)))
+    top = top[top["h"].isin(ids) & top["w"].isin(symbols.words)]
+    h, w = top["h"].map(ids).to_numpy(np.int64), top["w"].map(symbols.words).to_numpy(np.int64)
+    p = []
+    for y in (0, 1):
+        own = np.where(totals[y][h] > 0, _less(top[f"n{y}"].to_numpy(float), high[y]) / np.maximum(totals[y][h], 1e-9), 0)
+        p.append(np.log(own + np.maximum(stay[y][h], 1e-6) * np.exp(log_p[y][whole][w])))
+    key = h * size + w
+    order = np.argsort(key)
+    stays = np.log(np.maximum(stay[1], 1e-6)) - np.log(np.maximum(stay[0], 1e-6))
+    return Toxicity(symbols, low_of, stays, key[order], (p[1] - p[0])[order], np.zeros(1 + Toxicity.n_ratios))
+
+
+def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, y, fold) of the bounded sample."""
+    keep = common.crc_fold(F.col("doc_id"), 4) != 2
+    both = [labelled(labels.filter(F.col("toxic") == y), "toxic", keep, MAX_DOCS[y]) for y in (0, 1)]
+    chosen = common.stage(both[0].unionByName(both[1]), "toxic-labels")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y", fold.alias("fold"))
+
+
+def _rated(rows: DataFrame, model: Toxicity, kept: str) -> DataFrame:
+    """rows (kept, text) -> kept and the ratios."""
+    bc = rows.sparkSession.sparkContext.broadcast(model)
+    names = [f"r{i}" for i in range(Toxicity.n_ratios)]
+
+    def run(batches):
         for batch in batches:
-            x = np.array([bc.value.ratios(t) for t in batch.column(0).to_pylist()]).reshape(-1, len(ratios))
-            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, x.T)], names=["y", *ratios])
+            x = np.array([bc.value.ratios(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], names=[kept, *names])
 
-    apart = sample.filter("fold = 0").select("text", "y").mapInArrow(rate, "y int, " + ", ".join(f"{r} double" for r in ratios))
-    apart = apart.toPandas().sort_values(["y", *ratios])
-    y = apart["y"].to_numpy(float)
+    return rows.select(kept, "text").mapInArrow(run, f"{kept} {rows.schema[kept].dataType.simpleString()}, " + ", ".join(f"{r} double" for r in names))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
+    sample = common.stage(_sample(docs, labels), "toxic-sample")
+    pairs = common.stage(text_pairs(sample), "toxic-pairs")
+    out = models(pairs, "n")
+    apart = _rated(sample.filter("fold = 0"), models(pairs, "rest"), "y").toPandas()  # a row for each text of fold 0
+    apart = apart.sort_values(list(apart.columns))
+    y, x = apart["y"].to_numpy(float), apart.drop(columns="y").to_numpy()
+    fair = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (common.crc_fold(F.col("doc_id"), 4) != 2))
+    n, ones = fair.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
     if 0 < y.sum() < len(y):
         # The sample is dealt by class; the constant is moved to the classes' shares among all labelled rows.
-        fair = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (common.crc_fold(F.col("doc_id"), 4) != 2))
-        n, ones = fair.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
-        out.curve = logistic(apart[ratios].to_numpy(), y)
+        out.curve = logistic(x, y)
         out.curve[0] += np.log((ones + 1) / (n - ones + 1)) - np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
     else:
-        share = (y.sum() + 1) / (len(y) + 2)
-        out.curve[0] = np.log(share / (1 - share))
+        out.curve[0] = np.log((ones + 1) / (n - ones + 1))
     return out
 
 
@@ -228,7 +324,7 @@ def score(docs: DataFrame, model: Toxicity) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x = np.array([bc.value.ratios(t) for t in batch.column(1).to_pylist()]).reshape(-1, 2)
+            x = np.array([bc.value.ratios(t) for t in batch.column(1).to_pylist()]).reshape(-1, Toxicity.n_ratios)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bc.value.score(x))], names=["doc_id", "score"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
