@@ -26,7 +26,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +35,7 @@ from .quality_classifier import labelled, with_verdicts
 
 #: Rows of label 0 and of label 1 that are learnt from.
 MAX_DOCS = (24_000, 8_000)
-ENTRIES = 1_000_000
+ENTRIES = 300_000
 PREFIXES = (3, 5, 7)
 TOP = 3
 FOLDS = 4
@@ -203,12 +202,10 @@ def _steps(word: Column) -> Column:
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
 
-def _frame(rows: DataFrame) -> pd.DataFrame:
-    got = rows.toPandas()
-    for c in got.columns:
-        if got[c].dtype == object:
-            got[c] = got[c].map(bytes)
-    return got.sort_values([c for c in ("node", "h", "w") if c in got]).reset_index(drop=True)
+def _columns(rows: DataFrame, *order: str) -> dict[str, np.ndarray | list[bytes]]:
+    """rows, collected through Arrow and sorted: numbers as float arrays, names as lists."""
+    got = rows.toArrow().combine_chunks().sort_by([(c, "ascending") for c in order])
+    return {c: got[c].to_pylist() if c in (*order, "parent") else got[c].to_numpy().astype(float) for c in got.column_names}
 
 
 def models(pairs: DataFrame, n: str, entries: int = ENTRIES) -> Toxicity:
@@ -223,7 +220,7 @@ def models(pairs: DataFrame, n: str, entries: int = ENTRIES) -> Toxicity:
     cuts = nodes.groupBy("parent").agg(*(F.sum(cut[y]).alias(f"cut{y}") for y in (0, 1)))
     both = F.col("c0") + F.col("c1")
     kept = nodes.filter(both >= _least(nodes, both, entries))
-    t = _frame(kept.join(cuts.withColumnRenamed("parent", "node"), "node", "left").fillna(0.0, ["cut0", "cut1"]))
+    t = _columns(kept.join(cuts.withColumnRenamed("parent", "node"), "node", "left").fillna(0.0, ["cut0", "cut1"]), "node")
     root = cuts.filter(F.col("parent") == F.lit(b"")).select("cut0", "cut1").first() or (0.0, 0.0)
     total = nodes.filter(F.col("parent") == F.lit(b"")).agg(F.sum("c0"), F.sum("c1")).first()
 
@@ -245,7 +242,7 @@ def models(pairs: DataFrame, n: str, entries: int = ENTRIES) -> Toxicity:
     low = log_p[1] - log_p[0]
     whole, part = np.flatnonzero(level == _WORD), np.flatnonzero((level >= 0) & (level < _WORD))
     leave = np.log(np.maximum(left[1], 1e-6)) - np.log(np.maximum(left[0], 1e-6))
-    names = t["node"].to_numpy()
+    names = t["node"]
     symbols = Symbols({names[i - 1][:-1]: k for k, i in enumerate(whole)}, {names[i - 1]: len(whole) + k for k, i in enumerate(part)})
     size = len(symbols)
     low_of = np.concatenate((low[whole], (low + leave)[part], (low + leave)[[0]], [0.0]))
@@ -256,20 +253,21 @@ def models(pairs: DataFrame, n: str, entries: int = ENTRIES) -> Toxicity:
     ids = symbols.words | {b"": size - 1}
     seen = pairs.groupBy("h").agg(*(F.sum(f"n{y}").alias(f"n{y}") for y in (0, 1)), *(F.sum(_taken(F.col(f"n{y}"), high[y])).alias(f"cut{y}") for y in (0, 1)))
     seen = common.stage(seen, "toxic-histories")
-    before = _frame(seen.filter(sums >= _least(seen, sums, entries)))
-    before = before[before["h"].isin(ids)]
-    h_id = before["h"].map(ids).to_numpy(np.int64)
+    before = _columns(seen.filter(sums >= _least(seen, sums, entries)), "h")
+    h_id = np.array([ids.get(h, -1) for h in before.pop("h")], np.int64)
+    before, h_id = {c: x[h_id >= 0] for c, x in before.items()}, h_id[h_id >= 0]
     totals, stay = [np.zeros(size), np.zeros(size)], [np.ones(size), np.ones(size)]
     for y in (0, 1):
         totals[y][h_id] = before[f"n{y}"]
         stay[y][h_id] = np.where(before[f"n{y}"] > 0, before[f"cut{y}"] / np.maximum(before[f"n{y}"], 1e-9), 1.0)
     grams = pairs.filter(F.greatest("n0", "n1") > 1)
-    top = _frame(grams.filter(sums >= _least(grams, sums, entries)))
-    top = top[top["h"].isin(ids) & top["w"].isin(symbols.words)]
-    h, w = top["h"].map(ids).to_numpy(np.int64), top["w"].map(symbols.words).to_numpy(np.int64)
+    top = _columns(grams.filter(sums >= _least(grams, sums, entries)), "h", "w")
+    h, w = (np.array([i.get(x, -1) for x in top.pop(c)], np.int64) for c, i in (("h", ids), ("w", symbols.words)))
+    known = (h >= 0) & (w >= 0)
+    h, w, top = h[known], w[known], {c: x[known] for c, x in top.items()}
     p = []
     for y in (0, 1):
-        own = np.where(totals[y][h] > 0, _less(top[f"n{y}"].to_numpy(float), high[y]) / np.maximum(totals[y][h], 1e-9), 0)
+        own = np.where(totals[y][h] > 0, _less(top[f"n{y}"], high[y]) / np.maximum(totals[y][h], 1e-9), 0)
         p.append(np.log(own + np.maximum(stay[y][h], 1e-6) * np.exp(log_p[y][whole][w])))
     key = h * size + w
     order = np.argsort(key)
