@@ -35,7 +35,7 @@ from .quality_classifier import labelled, with_verdicts
 
 #: Rows of label 0 and of label 1 that are learnt from.
 MAX_DOCS = (24_000, 8_000)
-ENTRIES = 300_000
+ENTRIES = 200_000
 PREFIXES = (3, 5, 7)
 TOP = 3
 FOLDS = 4
