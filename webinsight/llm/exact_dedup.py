@@ -47,13 +47,15 @@ def _named(rows: DataFrame, parts: Column, extra: DataFrame, bits: int, part_buc
     name = lambda bucket: F.shiftleft(bucket, RANK_BITS)
     if extra.isEmpty():
         return rows.withColumn("names", F.transform(parts, lambda p: name(part_bucket(p))))
-    each = rows.select("uid", F.posexplode(parts).alias("at", "part")).withColumn("bucket", part_bucket(F.col("part")))
+    # Row ids are made once: both sides of the join below read them from the same written table.
+    rows = common.stage(rows.withColumn("parts", parts), "numbered-rows")
+    each = rows.select("uid", F.posexplode("parts").alias("at", "part")).withColumn("bucket", part_bucket(F.col("part")))
     each = each.join(extra, ["bucket", "part"], "left")
     each = each.withColumn("name", name(F.col("bucket")) + F.coalesce(F.col("rank"), F.lit(0)))
     each = each.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("at_names"))
     each = each.select("uid", F.col("at_names.name").alias("names"))
     none = F.lit(None).cast("array<bigint>")
-    rows = rows.drop("names").join(each, "uid", "left")
+    rows = rows.drop("names", "parts").join(each, "uid", "left")
     return rows.withColumn("names", F.coalesce("names", F.array().cast("array<bigint>"), none))
 
 
