@@ -58,15 +58,17 @@ def repeat_words(words: Column) -> Column:
     )
 
 
-def rule_counts(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
-    """Per row: key, host, the counts, base_failed, and one failure flag a rule."""
+def rule_counts(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """Per row: key, host, the counts, base_failed, one failure flag a rule, and the columns in keep."""
+    keep = keep or []
     t = F.coalesce(F.col(text), F.lit(""))
-    one = docs.select(F.col(key), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), t.alias("t"), common.words(F.col(text)).alias("w"))
+    one = docs.select(F.col(key), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), t.alias("t"), common.words(F.col(text)).alias("w"), *keep)
     lines = F.filter(F.split(F.col("t"), "\n", -1), lambda x: x.rlike(common.WORD))
     long = lambda c: c.cast("long")
     one = one.select(
         key,
         "host",
+        *keep,
         long(F.size("w")).alias("n_words"),
         long(F.char_length(F.regexp_replace("t", f"{common.SPACE}+", ""))).alias("word_chars"),
         long(F.char_length(F.regexp_replace("t", r"[^#*$%&|<>]+", ""))).alias("n_symbols"),
@@ -120,14 +122,15 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", key
 
 
 def keep_quality(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, all columns. Rules are judged in the row itself, so texts aren't shuffled."""
-    mine = F.struct(*(F.col(c) for c in docs.columns))
-    packed = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), mine.alias("__row"))
-    counts = common.stage(rule_counts(docs), "rule-counts")
-    bad = common.stage(host_verdicts(counts).filter("host_failed").select("host"), "bad-hosts")
-    w = common.words(F.col("text"))
-    ok = common.let(w, lambda x: (F.size(x) >= MIN_WORDS) & (100 * repeat_words(x) <= MAX_REPEAT_PERCENT * F.size(x)))
-    out = packed.filter(ok).withColumn("host", F.coalesce(F.col("source").cast("string"), F.lit("")))
+    """The rows of docs that pass, all columns. Rules are judged once, in the row itself, so texts aren't shuffled: rows are
+    written beside their failures, hosts are summed from these, and the rows of failed hosts are left out on reading."""
+    mine = F.struct(*(F.col(c) for c in docs.columns)).alias("__row")
+    judged = rule_counts(docs.select("doc_id", "text", "source", mine), keep=["__row"])
+    # A rejected row is needed for its host's counts only.
+    row = F.when(~F.col("base_failed"), F.col("__row")).alias("__row")
+    judged = common.stage(judged.select("host", *RULES, "base_failed", row), "judged-rows")
+    bad = common.stage(host_verdicts(judged.drop("__row")).filter("host_failed").select("host"), "bad-hosts")
+    out = judged.filter(~F.col("base_failed"))
     if not bad.isEmpty():
         out = out.join(bad, "host", "left_anti")
     return out.select("__row.*")
