@@ -146,12 +146,9 @@ def brute_spans(rows, span, least):
         for i, t in sorted(rows):
             data = (t or "").encode()
             parts = [(k, data[a:b].split()) for k, (a, b) in enumerate(cut[i]) if data[a:b].split()]
-            for p in range(len(parts)):
-                q, n = p, 0
-                while q < len(parts) and (q - p < span or n < least):
-                    n += len(parts[q][1])
-                    q += 1
-                if q - p < span or n < least:
+            for p in range(len(parts) - span + 1):
+                q = p + span
+                if sum(len(w) for _, w in parts[p:q]) < least:
                     continue
                 h = tuple(map(tuple, (w for _, w in parts[p:q])))
                 if turn == 0:
@@ -161,7 +158,7 @@ def brute_spans(rows, span, least):
     return {i: b"".join((t or "").encode()[a:b] for k, (a, b) in enumerate(cut[i]) if k not in marks.get(i, ())).decode() for i, t in rows}
 
 
-@pytest.mark.parametrize(("span", "least"), [(2, 25), (3, 5)])
+@pytest.mark.parametrize(("span", "least"), [(2, 25), (3, 0), (2, 0)])
 def test_spans_brute_force(spark, span, least):
     docs = documents(spark, SF)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -201,8 +198,8 @@ def test_all_runs_brute_force(spark, sizes):
     rows += [(9, f"{passage} {sentence(rng, 3, 'm')} {passage}")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
     got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(docs).collect()}
-    assert got == brute_all_runs(rows, 2, 25)
-    assert all(" p" not in f" {got[i]}" for i in (1, 2, 3, 4, 9))
+    assert got == brute_all_runs(rows, substring_dedup.SPAN, 0)
+    assert all((" p" not in f" {got[i]}") == (len(sizes) >= substring_dedup.SPAN) for i in (1, 2, 3, 4))
 
 
 def test_planted_passage(spark):
@@ -221,3 +218,12 @@ def test_spans_odd_rows(spark):
     assert rows.columns == [*docs.columns, "n_sentences", "n_removed"]
     assert rows.count() == len(ODD)
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
+    named = docs.withColumns({"n_removed": F.lit("mine"), "n_sentences": F.lit(1)})
+    again = substring_dedup.remove_repeats(named)
+    assert again.columns == rows.columns and again.agg(F.sum("n_removed")).first()[0] is not None
+
+
+def test_spans_keep_bytes_that_are_not_utf8(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"One \xff two. Three.")), (2, None)], "doc_id bigint, raw binary").select("doc_id", F.expr("cast(raw as string)").alias("text"))
+    got = substring_dedup.remove_repeats(docs).select("doc_id", F.col("text").cast("binary").alias("raw")).collect()
+    assert {r["doc_id"]: bytes(r["raw"]) for r in got} == {1: b"One \xff two. Three.", 2: b""}

@@ -1,16 +1,16 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after marks that white space follows, and after line ends). Of the runs of SPAN sentences or more
-with MIN_WORDS words or more, the shortest from each sentence on and the shortest up to each sentence are hashed (128 bits, over
-their words); inside any longer run these cover every sentence, so its repetition is found whole. Hashes are counted
-globally, with partial sums before the shuffle; runs whose hash occurs again are joined to its first occurrence (least
+A text is cut into sentences (after marks that white space follows, and after line ends). Every run of SPAN consecutive sentences is
+hashed (128 bits, over their words), from each sentence on; a longer run that repeats is covered by those inside it. Hashes are
+counted globally, with partial sums before the shuffle; runs whose hash occurs again are joined to its first occurrence (least
 doc_id, then first in the text), and the sentences of every other occurrence are removed. Hashes that a large share of
 all runs has are broadcast (1000 at most), the others are joined by shuffle, so a passage that a third of all documents
-holds overloads no task. What is left of a text keeps its bytes.
+holds overloads no task. What is left of a text keeps its bytes. min_words, off by default, passes over runs with fewer words.
 
 Defined results: a null text counts as empty and comes back empty. Rows with the same id share their first occurrences:
 what one of them holds first, the others keep too (so repeated rows stay alike). Where only null ids hold a run, it is
-kept in all of them; else null ids never come first. An empty table gives an empty result. Other columns pass through.
+kept in all of them; else null ids never come first. An empty table gives an empty result. Other columns pass through, but
+for columns named n_sentences or n_removed, whose place the results take. Bytes that aren't UTF-8 are kept as they are.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-SPAN = 2
-MIN_WORDS = 25
+SPAN = 3
+MIN_WORDS = 0
 _END = re.compile(rb"[.!?]+(?=[\x20\x09-\x0D])|\n")
 
 
@@ -43,29 +43,14 @@ def sentences(data: bytes) -> list[tuple[int, int]]:
 
 
 def runs(data: bytes, span: int, min_words: int) -> list[tuple[int, int, int, int, bool]]:
-    """(h1, h2, first sentence, sentence after the last, has occurred before in this text)."""
+    """(h1, h2, first sentence, sentence after the last, has occurred before in this text) of each run of span sentences."""
     found, seen = [], set()
     parts = [(i, words) for i, (a, b) in enumerate(sentences(data)) if (words := data[a:b].split())]
-    text, size = [b" ".join(words) for _, words in parts], [len(words) for _, words in parts]
-    spans = set()
-    end, held = 0, 0
-    for i in range(len(parts)):
-        while end < len(parts) and (end - i < span or held < min_words):
-            held += size[end]
-            end += 1
-        if end - i < span or held < min_words:
-            break
-        spans.add((i, end))
-        held -= size[i]
-    i, held = 0, 0
-    for end in range(1, len(parts) + 1):
-        held += size[end - 1]
-        while end - i > span and held - size[i] >= min_words:
-            held -= size[i]
-            i += 1
-        if end - i >= span and held >= min_words:
-            spans.add((i, end))
-    for i, end in sorted(spans):
+    text = [b" ".join(words) for _, words in parts]
+    for i in range(len(parts) - span + 1):
+        end = i + span
+        if min_words and sum(len(words) for _, words in parts[i:end]) < min_words:
+            continue
         h = xxhash.xxh3_128_intdigest(b"\n".join(text[i:end]))
         found.append((h >> 64, h & 0xFFFFFFFFFFFFFFFF, parts[i][0], parts[end - 1][0] + 1, h in seen))
         seen.add(h)
@@ -91,7 +76,7 @@ def _spans(docs: DataFrame, span: int, min_words: int) -> DataFrame:
 
 def repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, tag, spans): per text the sentence runs to remove; tag is the text's XXH64."""
-    rows = _spans(docs, span, min_words)
+    rows = common.stage(_spans(docs, span, min_words), "sentence-runs")
     twice = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
     twice = common.stage(twice.filter("n > 1"), "repeated-runs")
     total = twice.agg(F.sum("n")).first()[0] or 0
@@ -118,19 +103,21 @@ def _clean(data: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the text cleaned, and n_sentences, n_removed."""
-    names = docs.columns
+    names = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
     found = repeats(docs, span, min_words).withColumnsRenamed({"doc_id": "__id", "tag": "__tag", "spans": "__spans"})
-    joined = docs.withColumn("__text_tag", F.xxhash64("text"))
+    joined = docs.select(*names, F.xxhash64("text").alias("__text_tag"))
     joined = joined.join(found, (F.col("__text_tag") == F.col("__tag")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     at = names.index("text")
 
     def run(batches):
         for batch in batches:
-            done = [_clean((t or "").encode(), s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            done = [_clean(t or b"", s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             columns = [batch.column(i) for i in range(len(names))]
-            columns[at] = pa.array([d[0].decode() for d in done], pa.string())
+            columns[at] = pa.array([d[0] for d in done], pa.binary())
             counts = [pa.array(np.array([d[k] for d in done], np.int64)) for k in (1, 2)]
             yield pa.RecordBatch.from_arrays([*columns, *counts], names=[*names, "n_sentences", "n_removed"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.select(*names, "__spans").mapInArrow(run, schema)
+    fields = [T.StructField("text", T.BinaryType()) if c == "text" else docs.schema[c] for c in names]
+    schema = T.StructType([*fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+    binary = joined.withColumn("text", F.col("text").cast("binary")).select(*names, "__spans")
+    return binary.mapInArrow(run, schema).withColumn("text", F.col("text").cast("string"))
