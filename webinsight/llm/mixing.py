@@ -6,8 +6,9 @@ water level L, a target is min(L * weight, epochs * words); each round takes two
 until it stays.
 
 Repetitions: a source's documents are each taken floor(target / words) times, and once more while the words of documents
-before them, in an order by seeded hash, stay below the fractional remainder. The cut is found in two steps: sums by the
-hash's top 12 bits, then the documents of one bin. So a source misses its target by half a document at most, and no document is taken
+before them, in an order by seeded hash, stay below the fractional remainder. The cut is found in steps: sums by the
+hash's top 12 bits, by the next 12 within the bin of the cut and so on, until a bin has BIN_ROWS rows at most, whose documents are
+ordered. So a source misses its target by half a document at most, and no document is taken
 more than ceil(target / words) times. The same seed gives the same mix, at any partitioning.
 
 Defined results: a null text has 0 words; a null source is one source, ranked last; sources without words get target 0.
@@ -26,6 +27,8 @@ SHARE = 1.5
 EPOCHS = 2
 SEED = "mix-1"
 BIN_BITS = 12
+#: Rows that one task orders to find a source's cut.
+BIN_ROWS = 100_000
 HASH_BITS = 60
 
 
@@ -77,12 +80,20 @@ def source_rates(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs
     sources = sources.withColumn("whole", whole).withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size"))
     sources = common.stage(sources, "source-targets")
 
-    shift = HASH_BITS - BIN_BITS
-    bins = sizes.groupBy("key", F.shiftright("u", shift).alias("bin")).agg(F.sum("size").alias("in_bin"))
-    before = F.sum("in_bin").over(Window.partitionBy("key").orderBy("bin")) - F.col("in_bin")
-    bins = bins.withColumn("before", before).join(sources.select("key", "goal"), "key")
-    bins = common.stage(bins.filter((F.col("before") < F.col("goal")) & (F.col("before") + F.col("in_bin") >= F.col("goal"))), "cut-bins")
-    near = sizes.withColumn("bin", F.shiftright("u", shift)).join(bins, ["key", "bin"])
+    # The bin of the hash in which a source's cut lies: by BIN_BITS of it, then by as many more within that bin, until few rows are left.
+    shift, near, before = HASH_BITS - BIN_BITS, sizes.withColumn("parent", F.lit(0).cast("long")), None
+    while True:
+        bins = near.groupBy("key", "parent", F.shiftright("u", shift).alias("bin")).agg(F.sum("size").alias("in_bin"), F.count("*").alias("rows"))
+        ahead = F.sum("in_bin").over(Window.partitionBy("key", "parent").orderBy("bin")) - F.col("in_bin")
+        bins = bins.withColumn("ahead", ahead).join(sources.select("key", "goal"), "key") if before is None else bins.withColumn("ahead", ahead).join(before, ["key", "parent"]).withColumn("ahead", F.col("ahead") + F.col("before"))
+        bins = bins.filter((F.col("ahead") < F.col("goal")) & (F.col("ahead") + F.col("in_bin") >= F.col("goal")))
+        bins = common.stage(bins.select("key", "bin", "goal", F.col("ahead").alias("before"), "rows"), "cut-bins")
+        near = sizes.withColumn("bin", F.shiftright("u", shift)).join(bins.drop("rows"), ["key", "bin"])
+        if shift < BIN_BITS or (bins.agg(F.max("rows")).first()[0] or 0) <= BIN_ROWS:
+            break
+        before = bins.select("key", F.col("bin").alias("parent"), "goal", "before")
+        near = common.stage(near.select("key", "size", "u", "doc_id", F.col("bin").alias("parent")), "cut-rows")
+        shift -= BIN_BITS
     near = near.groupBy("key", "u", "doc_id", "before", "goal").agg(F.sum("size").alias("s"))
     end = F.col("before") + F.sum("s").over(Window.partitionBy("key").orderBy("u", "doc_id"))
     near = near.withColumn("end", end).filter(2 * F.col("end") - F.col("s") <= 2 * F.col("goal"))

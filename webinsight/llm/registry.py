@@ -57,7 +57,7 @@ _W = "[^\\x20\\x09-\\x0D]+"
 OP1_SQL = f"""
 with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as t from documents),
 w as (select doc_id, host, t, regexp_extract_all(t, '{_W}') as w from d),
-win as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as s from w, (select unnest(range(1, 100001)) as i) r where i <= len(w) - 4),
+win as (select doc_id, i, array_to_string(w[i:i + 4], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w)),
 rep as (select doc_id, i from (select *, count(*) over (partition by doc_id, s) as n from win) where n > 1),
 cov as (select doc_id, count(distinct i + k) as n_repeat_words from rep, (select unnest(range(0, 5)) as k) group by 1),
 ln as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_W}')) as l from d),
@@ -77,8 +77,8 @@ with recursive d as (select doc_id, source, cast(len(regexp_extract_all(coalesce
 s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as rank from d group by source),
 sw as (select *, case rank % 3 when 0 then 5 when 1 then 2 else 1 end as weight from s),
 level as (select 0 as k, 1.5::double * sum(source_size) / sum(weight) as l from sw
-  union all select k + 1, coalesce((1.5::double * sum(source_size) - sum(case when 2 * source_size <= l * weight then 2 * source_size else 0 end)) / nullif(sum(case when 2 * source_size <= l * weight then 0 else weight end), 0), l)
-  from level, sw where k < 60 group by k, l),
+  union all select k + 1, more from (select k, l, (1.5::double * sum(source_size) - sum(case when 2 * source_size <= l * weight then 2 * source_size else 0 end)) / nullif(sum(case when 2 * source_size <= l * weight then 0 else weight end), 0) as more
+    from level, sw group by k, l) where more > l),
 top as (select max(l) as l from level),
 t as (select source, source_size, least(l * weight, 2.0::double * source_size) as target, case when source_size > 0 then floor(least(l * weight, 2.0::double * source_size) / source_size) else 0 end as whole from sw, top),
 o as (select d.*, t.source_size, t.target, t.whole, sum(size) over (partition by d.source order by u, doc_id) as run from d join t on t.source is not distinct from d.source)
