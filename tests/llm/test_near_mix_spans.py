@@ -139,23 +139,35 @@ def test_empty_sources_have_target_zero(spark):
     assert got[1] == 0.0 and got[2] > 0
 
 
-def brute_spans(rows, span, least):
-    first, marks = {}, {}
+def brute_runs(rows, span, least, fixed):
+    """Runs of span sentences (fixed), or of any number from span on: all but the first occurrence goes, in stretches of enough words."""
     cut = {i: substring_dedup.sentences((t or "").encode()) for i, t in rows}
+    first, marks = {}, {}
     for turn in (0, 1):
         for i, t in sorted(rows):
             data = (t or "").encode()
-            parts = [(k, data[a:b].split()) for k, (a, b) in enumerate(cut[i]) if data[a:b].split()]
-            for p in range(len(parts) - span + 1):
-                q = p + span
-                if sum(len(w) for _, w in parts[p:q]) < least:
-                    continue
-                h = tuple(map(tuple, (w for _, w in parts[p:q])))
-                if turn == 0:
-                    first.setdefault(h, (i, p))
-                elif first[h] != (i, p):
-                    marks.setdefault(i, set()).update(range(parts[p][0], parts[q - 1][0] + 1))
-    return {i: b"".join((t or "").encode()[a:b] for k, (a, b) in enumerate(cut[i]) if k not in marks.get(i, ())).decode() for i, t in rows}
+            parts = [(k, tuple(data[a:b].split())) for k, (a, b) in enumerate(cut[i]) if data[a:b].split()]
+            for p in range(len(parts)):
+                for q in range(p + span, min(p + span, len(parts)) + 1 if fixed else len(parts) + 1):
+                    h = tuple(w for _, w in parts[p:q])
+                    if turn == 0:
+                        first.setdefault(h, (i, p))
+                    elif first[h] != (i, p):
+                        marks.setdefault(i, set()).update(range(p, q))
+    out = {}
+    for i, t in rows:
+        data = (t or "").encode()
+        parts = [(k, len(data[a:b].split())) for k, (a, b) in enumerate(cut[i]) if data[a:b].split()]
+        gone, p = set(), 0
+        while p < len(parts):
+            q = p
+            while q < len(parts) and q in marks.get(i, ()):
+                q += 1
+            if q > p and sum(n for _, n in parts[p:q]) >= least:
+                gone |= set(range(parts[p][0], parts[q - 1][0] + 1))
+            p = max(q, p + 1)
+        out[i] = b"".join(data[a:b] for k, (a, b) in enumerate(cut[i]) if k not in gone).decode()
+    return out
 
 
 @pytest.mark.parametrize(("span", "least"), [(2, 25), (3, 0), (2, 0)])
@@ -163,27 +175,13 @@ def test_spans_brute_force(spark, span, least):
     docs = documents(spark, SF)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(docs, span, least).collect()}
-    assert got == brute_spans(rows, span, least)
+    assert got == brute_runs(rows, span, least, True)
 
 
-def brute_all_runs(rows, span, least):
-    """Every run of enough sentences and words, however long: all but its first occurrence goes."""
-    cut = {i: substring_dedup.sentences((t or "").encode()) for i, t in rows}
-    first, marks = {}, {}
-    for turn in (0, 1):
-        for i, t in sorted(rows):
-            data = (t or "").encode()
-            parts = [(k, tuple(data[a:b].split())) for k, (a, b) in enumerate(cut[i]) if data[a:b].split()]
-            for p in range(len(parts)):
-                for q in range(p + span, len(parts) + 1):
-                    h = tuple(w for _, w in parts[p:q])
-                    if sum(map(len, h)) < least:
-                        continue
-                    if turn == 0:
-                        first.setdefault(h, (i, p))
-                    elif first[h] != (i, p):
-                        marks.setdefault(i, set()).update(range(parts[p][0], parts[q - 1][0] + 1))
-    return {i: b"".join((t or "").encode()[a:b] for k, (a, b) in enumerate(cut[i]) if k not in marks.get(i, ())).decode() for i, t in rows}
+def test_sentences_cover_the_text():
+    data = ("A b. " + "word, " * 50 + "end! No\nline  ").encode()
+    cuts = substring_dedup.sentences(data)
+    assert b"".join(data[a:b] for a, b in cuts) == data and max(len(data[a:b].split()) for a, b in cuts) < 40
 
 
 def sentence(rng, n, tag):
@@ -198,8 +196,8 @@ def test_all_runs_brute_force(spark, sizes):
     rows += [(9, f"{passage} {sentence(rng, 3, 'm')} {passage}")]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
     got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(docs).collect()}
-    assert got == brute_all_runs(rows, substring_dedup.SPAN, 0)
-    assert all((" p" not in f" {got[i]}") == (len(sizes) >= substring_dedup.SPAN) for i in (1, 2, 3, 4))
+    assert got == brute_runs(rows, substring_dedup.SPAN, 0, False)
+    assert all(" p" not in f" {got[i]}" for i in (1, 2, 3, 4))
 
 
 def test_planted_passage(spark):

@@ -41,7 +41,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_sentences", "n_removed", "text")
+    return substring_dedup.remove_repeats(documents(spark, sf_dir), min_words=substring_dedup.PASSAGE_WORDS).select("doc_id", "n_sentences", "n_removed", "text")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
