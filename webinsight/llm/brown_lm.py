@@ -3,12 +3,13 @@
 log10 P(text) = sum of log10 P(class | class before) + log10 P(word | class), over its words and one end token.
 
 Counts cover all training texts: words are counted in Arrow batches and summed by Spark, without a bound on the
-vocabulary. Words with a share of 1 / EXCHANGE of all tokens or more (so EXCHANGE at most) are put in CLASSES classes by
-exchange: each round counts every word's left and right neighbours by class, moves half of the words (by a hash) to the class
-where the class bigrams' likelihood gains most, all at once, and the best round stays. The long tail of other words has
-TAIL classes by spelling (a hash of the last two bytes), fixed, so that words never seen have a class too. Symbols are thus
-bounded by EXCHANGE + TAIL + 1, and only tables of that bound and the words of a share of 1 / KNOWN or more are broadcast.
-Counts of rarer words are joined by shuffle, each such word's rows being few by definition.
+vocabulary. The KNOWN most frequent words (of MIN_COUNT or more) are put in CLASSES classes by exchange. Frequent ones, with a share
+of 1 / EXCHANGE of all tokens or more (so EXCHANGE at most), go first and settle the classes: each round counts every word's left and
+right neighbours by class, moves half of the words (by a hash) to the class where the class bigrams' likelihood gains most, all at
+once, and the best round stays. Then each other known word's neighbours are counted by these classes, in one pass, and it is moved to
+the class with the largest gain. Words beyond them, and those never seen, have TAIL classes by spelling (a hash of the last two bytes).
+What is broadcast is thus bounded: KNOWN words with counts and classes, and tables of classes squared. Counts of rarer words are
+joined by shuffle, those that a large share of all rows has by broadcast.
 
 Smoothing: class transitions are interpolated with class shares (weight ALPHA); emissions add HALF to each count, one
 unseen word more for each class.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +37,7 @@ CLASSES = 64
 TAIL = 64
 EXCHANGE = 20_000
 KNOWN = 200_000
+MIN_COUNT = 10
 ROUNDS = 6
 ALPHA = 20.0
 HALF = 0.5
@@ -56,7 +59,7 @@ def tail(word: bytes) -> int:
 
 @dataclass
 class Symbols:
-    """Ids: exchanged words, then tails, then the end (also the start of a text)."""
+    """Ids: listed words, then tails, then the end (also the start of a text)."""
 
     ids: dict[bytes, int]
     seen: dict[bytes, int] = field(default_factory=dict)
@@ -186,18 +189,100 @@ def exchange(pairs: DataFrame, symbols: Symbols, rounds: int = ROUNDS) -> tuple[
     return best[1], best[2]
 
 
+def gains(matrix: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """By class, what the likelihood gains when a word that isn't counted in the matrix yet is put there; left, right: counts of its
+    neighbours by class."""
+    into, out = matrix[:, :CLASSES], matrix[:CLASSES, :]
+    a, b = np.flatnonzero(left), np.flatnonzero(right)
+    gain = (_phi(into[a] + left[a, None]) - _phi(into[a])).sum(axis=0) + (_phi(out[:, b] + right[None, b]) - _phi(out[:, b])).sum(axis=1)
+    cols, rows = matrix.sum(axis=0)[:CLASSES], matrix.sum(axis=1)[:CLASSES]
+    gain -= _phi(cols + left.sum()) - _phi(cols) + _phi(rows + right.sum()) - _phi(rows)
+    # All words are placed beside the settled ones at once, so a class without these is none to go to.
+    return np.where(cols + rows > 0, gain, -np.inf)
+
+
+def _summed(train: DataFrame, state, codes) -> DataFrame:
+    """(code, n) over the texts: codes(state, words) gives those of one text; equal ones are summed in a task before they are handed on."""
+    bc = train.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def give():
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                held.append(codes(bc.value, words_of(t)))
+                size += len(held[-1])
+                if size > PAIRS:
+                    yield give()
+                    held, size = [], 0
+        if held:
+            yield give()
+
+    return train.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def class_bigrams(train: DataFrame, symbols: Symbols, classes: np.ndarray) -> np.ndarray:
+    size = CLASSES + TAIL + 1
+
+    def codes(state, words):
+        s, c = state
+        k = c[np.concatenate(([len(s) - 1], s.of(words), [len(s) - 1]))]
+        return k[:-1] * size + k[1:]
+
+    matrix = np.zeros((size, size))
+    for r in _summed(train, (symbols, classes), codes).collect():  # classes squared
+        matrix[r["code"] // size, r["code"] % size] = r["n"]
+    return matrix
+
+
+def place_others(train: DataFrame, symbols: Symbols, classes: np.ndarray, core: int, matrix: np.ndarray) -> np.ndarray:
+    """classes with the listed words from `core` on put where they gain most, beside the settled ones. Their own rows are still by
+    spelling, and so are those of their neighbours among them."""
+    n, size = len(symbols.ids), CLASSES + TAIL + 1
+
+    def codes(state, words):
+        s, c = state
+        w = np.concatenate(([len(s) - 1], s.of(words), [len(s) - 1]))
+        k, at = c[w], np.flatnonzero((w >= core) & (w < n))
+        return np.concatenate(((w[at] * 2) * size + k[at - 1], (w[at] * 2 + 1) * size + k[at + 1]))
+
+    around = _summed(train, (symbols, classes), codes)
+    word = F.floor(F.col("code") / (2 * size)).cast("int")
+    around = around.select(word.alias("id"), F.struct((F.col("code") % (2 * size)).cast("int").alias("c"), "n").alias("e")).groupBy("id").agg(F.collect_list("e").alias("e"))  # 2 * classes entries
+    bc = train.sparkSession.sparkContext.broadcast(matrix)
+
+    def decide(batches):
+        for batch in batches:
+            to = []
+            each, starts = batch.column(1).flatten(), batch.column(1).offsets.to_numpy()
+            c, k = (x.to_numpy() for x in each.flatten())
+            starts = starts - starts[0]
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                v = np.bincount(c[a:b], k[a:b], 2 * size)
+                to.append(int(gains(bc.value, v[:size], v[size:]).argmax()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to, pa.int32())], names=["id", "c"])
+
+    moves = around.mapInArrow(decide, "id int, c int").toPandas()  # KNOWN rows at most
+    out = classes.copy()
+    out[moves["id"].to_numpy()] = moves["c"].to_numpy()
+    return out
+
+
 @dataclass
 class Model:
     symbols: Symbols
     classes: np.ndarray
     step: np.ndarray  # log10 P(class | class before)
-    known: dict[bytes, int]
+    known: np.ndarray  # by listed word: its count
     class_tokens: np.ndarray
     class_words: np.ndarray
     n: int
     v: int
     ends: int
-    line: float
 
     def base(self, c):
         return np.log10((c + HALF) / (self.n + HALF * (self.v + 1)))
@@ -206,18 +291,36 @@ class Model:
         return np.log10((c + HALF) / (self.class_tokens[k] + HALF * (self.class_words[k] + 1)))
 
 
+def listed_words(counts: DataFrame, most: int = KNOWN, least: int = MIN_COUNT) -> DataFrame:
+    """counts of the `most` words at most that occur most; counts are cut in steps of an eighth of an octave, ties stay together."""
+    bins = counts.filter(F.col("n") >= least).groupBy(F.floor(8 * F.log2("n")).cast("int").alias("bin")).count().orderBy(F.desc("bin")).collect()  # 8 a factor of two
+    line, held = 0, 0
+    for r in bins:
+        held += r["count"]
+        if held > most:
+            line = r["bin"] + 1
+            break
+    return counts.filter((F.col("n") >= least) & (F.floor(8 * F.log2("n")) >= line))
+
+
 def train_model(train: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the staged counts (word, n) of all training words."""
     counts = common.stage(word_counts(train), "word-counts")
     total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     ends = train.count()
     n, v = (total or 0) + ends, kinds + (ends > 0)
-    line = n / KNOWN
-    known = {bytes(r["word"]): r["n"] for r in counts.filter(F.col("n") >= line).orderBy("word").toLocalIterator()}  # KNOWN rows at most
-    often = sorted((w for w, c in known.items() if c >= n / EXCHANGE), key=lambda w: (-known[w], w))
-    symbols = Symbols({w: i for i, w in enumerate(often)})
-    pairs = common.stage(symbol_pairs(train, symbols), "symbol-pairs")
-    classes, matrix = exchange(pairs, symbols)
+    known = listed_words(counts).toArrow()  # KNOWN rows at most
+    known = sorted(zip(known["word"].to_pylist(), known["n"].to_pylist(), strict=True), key=lambda wc: (-wc[1], wc[0]))
+    core = sum(c >= n / EXCHANGE for _, c in known)
+    often = Symbols({w: i for i, (w, _) in enumerate(known[:core])})
+    pairs = common.stage(symbol_pairs(train, often), "symbol-pairs")
+    settled, matrix = exchange(pairs, often)
+
+    symbols = Symbols({w: i for i, (w, _) in enumerate(known)})
+    classes = np.concatenate((settled[:core], [CLASSES + tail(w) for w, _ in known[core:]], settled[core:])).astype(np.int64)
+    if 0 < core < len(known):
+        classes = place_others(train, symbols, classes, core, matrix)
+        matrix = class_bigrams(train, symbols, classes)
 
     bc = train.sparkSession.sparkContext.broadcast((symbols, classes))
 
@@ -233,7 +336,41 @@ def train_model(train: DataFrame) -> tuple[Model, DataFrame]:
         tokens[r["c"]], kinds[r["c"]] = r["n"], r["k"]
     share = (matrix.sum(axis=0) + HALF) / (matrix.sum() + HALF * size)
     step = np.log10((matrix + ALPHA * share) / (matrix.sum(axis=1, keepdims=True) + ALPHA))
-    return Model(symbols, classes, step, known, tokens, kinds, int(n), int(v), ends, line), counts
+    return Model(symbols, classes, step, np.array([c for _, c in known], float), tokens, kinds, int(n), int(v), ends), counts
+
+
+def _score_texts(texts: list[bytes | None], m: Model):
+    """By text: tokens, known ones among the listed, base and class scores of these; and of the words beyond: (word, count, what its
+    class takes off) with offsets by text. All texts at once."""
+    parts = [words_of(t) for t in texts]
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    words = [w for p in parts for w in p]
+    names = list(set(words))
+    place = {w: i for i, w in enumerate(names)}
+    at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+    ids = np.fromiter((m.symbols.ids.get(w, -1) for w in names), np.int64, len(names))
+    rare = ids < 0
+    kind = np.where(rare, 0, m.classes[ids]) if len(names) else np.zeros(0, np.int64)
+    kind[rare] = [CLASSES + tail(names[i]) for i in np.flatnonzero(rare)]
+    count = np.where(rare, 0, m.known[ids]) if len(m.known) and len(names) else np.zeros(len(names))
+    base, emit = np.where(rare, 0, m.base(count)), np.where(rare, 0, m.emission(count, kind))
+    text = np.repeat(np.arange(len(parts)), sizes)
+    total = lambda x: np.bincount(text, x, len(parts))
+    # Class transitions: an end before the first word and after the last.
+    end = m.classes[-1]
+    k = kind[at]
+    first, last = np.cumsum(sizes) - sizes, np.cumsum(sizes) - 1
+    before = np.concatenate(([end], k[:-1])) if len(k) else k
+    some = sizes > 0
+    before[first[some]] = end
+    steps = total(m.step[before, k])
+    steps[some] += m.step[k[last[some]], end]
+    steps[~some] += m.step[end, end]
+    code, n = np.unique(text[rare[at]] * max(len(names), 1) + at[rare[at]], return_counts=True)
+    which = code % max(len(names), 1)
+    off = np.searchsorted(code, np.arange(len(parts) + 1) * max(len(names), 1))
+    beyond = ([names[i] for i in which], n, -np.log10(m.class_tokens[kind[which]] + HALF * (m.class_words[kind[which]] + 1)), off)
+    return sizes + 1, total(~rare[at]).astype(np.int64) + (m.ends > 0), total(base[at]) + m.base(m.ends), total(emit[at]) + steps, beyond
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -242,37 +379,22 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        m: Model = bc.value
-        end = len(m.symbols) - 1
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
-                out, rare_words, rare_x, rare_per, off = [], [], [], [], [0]
-                for t in batch.column(1).to_pylist():
-                    words = words_of(t)
-                    k = m.classes[np.concatenate(([end], m.symbols.of(words), [end]))]
-                    many = Counter(words)
-                    here = [(w, x, c) for w, x in many.items() if (c := m.known.get(w))]
-                    kn = m.classes[m.symbols.of([w for w, _, _ in here])]
-                    x, c = np.array([h[1] for h in here], float), np.array([h[2] for h in here], float)
-                    base, value = float(x @ m.base(c)) + float(m.base(m.ends)), float(x @ m.emission(c, kn)) + float(m.step[k[:-1], k[1:]].sum())
-                    rare = [w for w in many if w not in m.known]
-                    kr = m.classes[m.symbols.of(rare)]
-                    rare_words += rare
-                    rare_x += map(many.__getitem__, rare)
-                    rare_per.append(-np.log10(m.class_tokens[kr] + HALF * (m.class_words[kr] + 1)))
-                    off.append(len(rare_words))
-                    out.append((len(words) + 1, int(x.sum()) + (m.ends > 0), base, value))
-                columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
-                each = pa.StructArray.from_arrays([pa.array(rare_words, pa.binary()), pa.array(rare_x, pa.int64()), pa.array(np.concatenate(rare_per))], names=["word", "x", "per"])
-                columns.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), each))
+                *columns, (words, x, per, off) = _score_texts(batch.column(1).to_pylist(), bc.value)
+                each = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(x, pa.int64()), pa.array(per, pa.float64())], names=["word", "x", "per"])
+                columns = [*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(off, pa.int32()), each)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "n_known", "base", "value", "rare"])
 
     schema = f"doc_id {kind}, n_tokens bigint, n_known bigint, base double, value double, rare array<struct<word: binary, x: bigint, per: double>>"
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
     rows = common.stage(rows.withColumn("uid", F.monotonically_increasing_id()), "scored-texts")
     rare = rows.select("uid", F.explode("rare").alias("r")).select("uid", "r.*")
-    rare = rare.join(counts.filter(F.col("n") < model.line), "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
+    # A word that training lacks may be in every text that is scored: such words are looked up by broadcast.
+    seen = rare.groupBy("word").agg(F.count("*").alias("rows")).join(counts, "word", "left")
+    seen = common.stage(seen.select("word", "rows", F.coalesce("n", F.lit(0)).alias("c")), "rare-words")
+    rare = common.attach(rare, seen, ["word"], "rows", seen.agg(F.sum("rows")).first()[0] or 0)
     each = F.col("x") * F.log10(F.col("c") + HALF)
     flat = float(np.log10(model.n + HALF * (model.v + 1)))
     sums = rare.groupBy("uid").agg(
