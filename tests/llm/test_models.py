@@ -41,6 +41,57 @@ def test_base_scores_brute_force(spark):
     assert sum(g["score"] for g in held) > sum(g["base_score"] for g in held)
 
 
+@pytest.mark.parametrize("known", [200_000, 300, 0])
+def test_class_scores_brute_force(spark, monkeypatch, known):
+    """The model's probabilities from its classes alone, recounted; with fewer listed words, more are looked up by join."""
+    monkeypatch.setattr(brown_lm, "KNOWN", known)
+    monkeypatch.setattr(brown_lm.listed_words, "__defaults__", (known, brown_lm.MIN_COUNT))
+    docs = documents(spark, SF)
+    train = docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 1")
+    model, counts = brown_lm.train_model(train)
+    assert len(model.symbols.ids) <= known
+    split = lambda t: (t or "").encode().lower().split()
+    end = len(model.symbols) - 1
+    classed = lambda ws: [int(model.classes[i]) for i in (end, *model.symbols.of(ws), end)]
+    c, into, pairs, outof = Counter(), Counter(), Counter(), Counter()
+    for r in train.collect():
+        ws = split(r["text"])
+        c.update(ws)
+        k = classed(ws)
+        pairs.update(zip(k, k[1:]))
+        outof.update(k[:-1])
+        into.update(k[1:])
+    kinds, tokens = Counter(), Counter()
+    for w, n in c.items():
+        (k,) = classed([w])[1:-1]
+        kinds[k] += 1
+        tokens[k] += n
+    size, every = brown_lm.CLASSES + brown_lm.TAIL + 1, sum(into.values())
+    share = lambda k: (into[k] + 0.5) / (every + 0.5 * size)
+    step = lambda a, b: (pairs[a, b] + brown_lm.ALPHA * share(b)) / (outof[a] + brown_lm.ALPHA)
+    emit = lambda w, k: (c[w] + 0.5) / (tokens[k] + 0.5 * (kinds[k] + 1))
+    got = {r["doc_id"]: r["score"] for r in brown_lm.score(docs, model, counts).collect()}
+    for r in docs.collect():
+        ws = split(r["text"])
+        k = classed(ws)
+        want = sum(math.log10(step(a, b)) for a, b in zip(k, k[1:])) + sum(math.log10(emit(w, q)) for w, q in zip(ws, k[1:]))
+        assert got[r["doc_id"]] == pytest.approx(want, rel=1e-9)
+
+
+def test_rarer_words_are_placed_by_exchange(spark, monkeypatch):
+    """Words too rare for the rounds end in the classes of their own language's frequent words."""
+    monkeypatch.setattr(brown_lm, "EXCHANGE", 60)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        mark = "ab"[i % 2]
+        rows.append((i, " ".join(f"{mark}{k}" if k < 6 else f"{mark}rare{k}{mark}" for k in rng.choice(40, 60, p=[0.13] * 6 + [0.22 / 34] * 34)), "x", "s", 1))
+    model, _ = brown_lm.train_model(spark.createDataFrame(rows, SCHEMA))
+    often = {c: w[:1] for w, i in model.symbols.ids.items() if len(w) == 2 for c in [int(model.classes[i])]}
+    others = [(w[:1], int(model.classes[i])) for w, i in model.symbols.ids.items() if b"rare" in w]
+    assert len(others) == 68 and all(often[c] == mark for mark, c in others)
+
+
 def test_exchange_separates_two_languages(spark):
     """Words of two languages that never meet end in classes of one language each."""
     rng = np.random.default_rng(3)
@@ -231,6 +282,53 @@ def test_extraction_finds_the_article(spark):
     assert got == truth
 
 
+def words_of(text):
+    return text.split()
+
+
+def bare(html):
+    """The page without telling tags and attributes."""
+    import re
+
+    html = re.sub(r"<(/?)(?:article|main|nav|menu|aside|footer|header|form)\b", r"<\1div", html)
+    return re.sub(r"<(div|p|ul|li|section|span|h[1-6]|a)\s[^>]*>", r"<\1>", html)
+
+
+def test_pages_without_landmarks_and_known_names(spark):
+    """Words found and words wrong on pages whose tags and attributes tell nothing, and on ones with unknown names."""
+    from collections import Counter
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {r["page_id"]: Counter(words_of(r["text"])) for r in html_extraction.extract(pages, 100).collect()}
+    forest = html_extraction.fit(pages, 100)
+    hit = found = every = 0
+    for r in pages.collect():
+        got = Counter(words_of(html_extraction.main_text(bare(r["html"]), forest)))
+        hit, found, every = hit + (got & want[r["page_id"]]).total(), found + got.total(), every + want[r["page_id"]].total()
+    assert hit / every > 0.9 and hit / max(found, 1) > 0.8
+
+
+@pytest.mark.parametrize(("body", "text"), [("un<wbr>believable", "unbelievable"), ("x<img src=a>y", "xy"), ("a<br>b", "a b"), ("a &amp; <b>b</b>\n c", "a & b c")])
+def test_what_is_white_space(body, text):
+    page_ = html_extraction.Page(page(f"<p>{body}</p>"))
+    assert html_extraction._SPACE.sub(" ", "".join(x for _, _, x in page_.text)).strip() == text
+
+
+@pytest.mark.parametrize("body", ["<div>" * 30000 + "</p>" * 30000, "<ul><li>" + "<div>" * 20000 + "<li></li>" * 20000, "<i><div>" + "<b>" * 20000 + "</i>" * 20000, "<td>" * 20000 + "<tr>" * 20000])
+def test_parsing_is_linear(body):
+    import time
+
+    began = time.process_time()
+    html_extraction.features(html_extraction.Page(page(body)).nodes)
+    assert time.process_time() - began < 20
+
+
+def test_pages_that_are_not_utf8(spark, forest):
+    pages = spark.createDataFrame([(1, "u", bytearray(b"<article><p>caf\xe9 is open all day</p></article>"))], "page_id int, url string, raw binary").select("page_id", "url", F.expr("cast(raw as string)").alias("html"))
+    (got,) = html_extraction.extract(pages).collect()
+    assert got["n_chars"] == len(got["text"])
+
+
 def test_hierarchical_decoding_is_consistent():
     nodes = [html_extraction.Node("html", -1, 0)] + [html_extraction.Node("div", max(0, i // 2), 1, own=10 * i) for i in range(30)]
     rng = np.random.default_rng(2)

@@ -1,31 +1,35 @@
 """HTML extraction: gradient-boosted trees over DOM-node features, and hierarchical decoding.
 
 A page is parsed into a tree of container and block nodes (inline markup belongs to its block). Each node's features are its tag
-group, depth, own and subtree text, link, mark and tag density of the subtree, children, siblings (how many, of the same tag, their
-share of text, place among them), and its attribute tokens: how many are in word lists of content and of page furniture,
-and hashed shares. The same counts over its ancestors come along.
+group and those of its ancestors, depth, own and subtree text, link, mark and tag density of the subtree, children, siblings (how
+many, of the same tag, their share of text, place among them), and hashed shares of attribute tokens, its own and its ancestors'.
 
-No labels of nodes exist, so the forest learns from SEED_PAGES pages at most (first by a hash of the URL) whose nodes
-structural rules mark: inside an article or main element, and not inside furniture by tag or attribute token, is text;
-furniture and what lies outside is not. Pages without such an element teach only their furniture. The features hold
-densities and surroundings besides, so other pages are judged by likeness.
+No labels of nodes exist, so the forest learns from SEED_PAGES pages at most (first by a hash of the URL) and SEED_NODES different
+nodes of them at most (first by a hash of their features), whose nodes structural rules mark: inside an article or main element, and
+not inside furniture by tag or attribute token, is text; furniture and what lies outside is not. Pages without such an element teach
+only their furniture. What the rules look at isn't handed to the forest as such: it sees hashed tokens, and every seed page comes
+twice, once as it is and once with its attributes and its telling tags (LANDMARKS) taken away, so that densities and surroundings
+have to tell text from furniture as well. So pages without landmarks or known class names are judged by likeness.
 
 Decoding: of all choices in which a dropped node drops all below it, the one with the largest sum of log odds, each
 weighted by the node's own text, is taken (a sum from the leaves up). So an ancestor and a descendant never contradict.
 
-Text: a block is the text between the starts and ends of block elements; white space in it becomes one space, references are decoded.
-Every page is parsed whole, in Arrow batches; the forest is broadcast (a few hundred kB).
+Text: a block is the text between the starts and ends of block elements; white space in it (and a line break) becomes one space,
+references are decoded. Every page is parsed whole, in time linear in its length, in Arrow batches; the forest is broadcast (a
+few hundred kB).
 
-Defined results: null or empty html gives an empty text. Pages that aren't closed, or close out of order, are read as browsers do in the
-main: an open paragraph ends at the next block. Repeated rows get equal texts. An empty table gives an empty result.
+Defined results: null or empty html gives an empty text. Bytes that aren't UTF-8 become U+FFFD. Pages that aren't closed, or close
+out of order, are read as browsers do in the main: an open paragraph ends at the next block. Repeated rows get equal texts. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,7 +40,8 @@ from pyspark.sql import functions as F
 from . import common, gbdt
 
 SEED_PAGES = 2000
-BUCKETS = 16
+SEED_NODES = 40_000
+BUCKETS = 32
 
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img svg path picture source".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -45,7 +50,8 @@ FURNITURE = frozenset("nav aside footer form header menu dialog script style nos
 ROOTS = frozenset("article main".split())
 BLOCK_GROUPS = ("p", "h1 h2 h3 h4 h5 h6", "li dd dt", "ul ol dl", "td th", "table tr tbody thead tfoot", "blockquote pre figure figcaption", "div section", "article main", "nav menu", "aside", "footer", "header hgroup", "form fieldset", "body html")
 GROUP = {t: i for i, g in enumerate(BLOCK_GROUPS) for t in g.split()}
-CONTENT_WORDS = frozenset("article articlebody main content post entry story body text page blog".split())
+#: Tags that a seed page's second copy has as plain containers.
+LANDMARKS = frozenset("article main nav menu aside footer header form".split())
 FURNITURE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice alert gdpr popup modal overlay comment comments commenter "
     "reply replies disqus discussion sidebar side aside widget nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer foot header masthead share sharing social follow "
@@ -77,6 +83,9 @@ class Page(HTMLParser):
         self.nodes = [Node("html", -1, 0)]
         self.text: list[tuple[int, int, str]] = []
         self.open: list[tuple[str, int]] = [("html", 0)]  # tag, node
+        self.places: defaultdict[str, list[int]] = defaultdict(list)  # by tag: where it is in open
+        self.blocks: list[int] = [0]  # where block elements are in open
+        self.bounds: list[int] = [0]  # and those that aren't paragraphs
         self.block, self.links, self.silent = 0, 0, 0
         self.feed(html)
         self.close()
@@ -87,7 +96,7 @@ class Page(HTMLParser):
         tokens = tuple(t.lower() for k, v in attrs if k in ("class", "id", "role", "itemprop", "aria-label", "data-type") and v for t in _TOKEN.findall(v))
         inline = tag in INLINE
         if inline and (not tokens or tag in VOID):
-            if tag in ("br", "wbr", "img"):
+            if tag == "br":
                 self.handle_data(" ")
             elif tag not in VOID:
                 self._push(tag, self.open[-1][1])
@@ -102,13 +111,24 @@ class Page(HTMLParser):
             self._push(tag, len(self.nodes) - 1)
 
     def _push(self, tag, node):
+        at = len(self.open)
         self.open.append((tag, node))
+        self.places[tag].append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+            if tag != "p":
+                self.bounds.append(at)
         self.links += tag == "a"
         self.silent += tag in SILENT
 
     def _pop_to(self, depth):
         while len(self.open) > depth:
             tag, _ = self.open.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+                if tag != "p":
+                    self.bounds.pop()
             self.links -= tag == "a"
             self.silent -= tag in SILENT
 
@@ -116,23 +136,17 @@ class Page(HTMLParser):
         """An open paragraph ends at the next block; an item, cell or row at the next of its kind."""
         ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "option": ("option",)}.get(tag, ())
         stops = {"li": ("ul", "ol", "menu"), "tr": ("table",)}.get(tag, ("table", "tr", "dl"))
-        for i in range(len(self.open) - 1, 0, -1):
-            name = self.open[i][0]
-            if name == "p" or name in ends:
-                self._pop_to(i)
-                self.block += 1
-            elif name not in INLINE and (not ends or name in stops):
-                break
+        last = lambda names: max((at[-1] for n in names if (at := self.places.get(n))), default=0)
+        while (at := last(("p", *ends))) > (last(stops) if ends else self.bounds[-1]):
+            self._pop_to(at)
+            self.block += 1
 
     def handle_endtag(self, tag):
         if tag in ("html", "body") or tag in VOID:
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == tag:
-                self._pop_to(i)
-                break
-            if tag in INLINE and self.open[i][0] not in INLINE:
-                break
+        # An inline element doesn't end across the end of a block.
+        if (at := self.places.get(tag)) and (tag not in INLINE or at[-1] > self.blocks[-1]):
+            self._pop_to(at[-1])
         if tag not in INLINE:
             self.block += 1
 
@@ -149,47 +163,62 @@ class Page(HTMLParser):
             node.words += len(data.split())
 
 
-N_FEATURES = len(BLOCK_GROUPS) + 1 + 24 + BUCKETS
+_GROUPS = len(BLOCK_GROUPS) + 1
+_PLAIN = 20
+N_FEATURES = 2 * _GROUPS + _PLAIN + 2 * BUCKETS
 
 
-def features(nodes: list[Node]) -> np.ndarray:
+def features(nodes: list[Node], bare: bool = False) -> np.ndarray:
+    """bare: as if landmarks were plain containers and no node had attributes."""
     n = len(nodes)
     own = np.array([[x.own, x.linked, x.marks, x.words, 1] for x in nodes], float)
     tree = own.copy()
     for i in range(n - 1, 0, -1):
         tree[nodes[i].parent] += tree[i]
+    tags = ["div" if bare and x.tag in LANDMARKS else x.tag for x in nodes]
+    up = np.array([max(x.parent, 0) for x in nodes])
     out = np.zeros((n, N_FEATURES))
-    good, bad = np.zeros(n), np.zeros(n)
-    base = len(BLOCK_GROUPS) + 1
-    total = max(tree[0, 0], 1)
-    kinds = [Counter(nodes[j].tag for j in x.children) for x in nodes]
-    places = [0] * n
+    # Own tag group and tokens, then the same of all ancestors.
+    mine = np.zeros((n, _GROUPS + BUCKETS), bool)
+    mine[np.arange(n), [GROUP.get(t, _GROUPS - 1) for t in tags]] = True
+    if not bare:
+        for i, x in enumerate(nodes):
+            for t in x.tokens:
+                mine[i, _GROUPS + _bucket(t)] = True
+    above = np.zeros_like(mine)
+    for i in range(1, n):
+        np.logical_or(above[up[i]], mine[up[i]], out=above[i])
+    out[:, : mine.shape[1]] = mine
+    out[:, mine.shape[1] : 2 * mine.shape[1]] = above
+    # Siblings: how many, of the same tag, and the place among them.
+    kinds = Counter((x.parent, t) for x, t in zip(nodes, tags, strict=True))
+    same = np.array([kinds[x.parent, t] for x, t in zip(nodes, tags, strict=True)], float)
+    around = np.array([len(nodes[x.parent].children) if x.parent >= 0 else 1 for x in nodes], float)
+    place = np.zeros(n)
     for x in nodes:
-        for k, j in enumerate(x.children):
-            places[j] = k
-    for i, x in enumerate(nodes):
-        good[i], bad[i] = sum(t in CONTENT_WORDS for t in x.tokens), sum(t in FURNITURE_WORDS for t in x.tokens)
-        own_good, own_bad = good[i] + (x.tag in ROOTS), bad[i] + (x.tag in FURNITURE)
-        good[i], bad[i] = own_good, own_bad
-        up = x.parent
-        if up >= 0:
-            good[i] += good[up]
-            bad[i] += bad[up]
-        out[i, GROUP.get(x.tag, len(BLOCK_GROUPS))] = 1
-        size, linked, marks, words, tags = tree[i]
-        around = nodes[up].children if up >= 0 else [i]
-        place, same = places[i], kinds[up][x.tag] if up >= 0 else 1
-        beside = (tree[up, 0] - size) / max(len(around) - 1, 1) if up >= 0 else 0
-        out[i, base : base + 24] = [
-            x.depth, np.log1p(x.own), np.log1p(size), size / total, linked / max(size, 1), x.linked / max(x.own, 1), marks / max(words, 1), x.marks / max(x.words, 1),
-            tags / max(words, 1), size / max(words, 1), len(x.children), len(around), same, same / len(around), place / len(around), np.log1p(beside),
-            size / max(tree[up, 0], 1) if up >= 0 else 1, own_good, own_bad, good[i], bad[i], x.inline, tree[up, 1] / max(tree[up, 0], 1) if up >= 0 else 0, np.log1p(words),
-        ]
-        for t in x.tokens:
-            out[i, base + 24 + zlib.crc32(t.encode()) % BUCKETS] += 1
+        place[x.children] = np.arange(len(x.children))
+    size, linked, marks, words, count = tree.T
+    o_size, o_linked, o_marks, o_words, _ = own.T
+    parent = tree[up]
+    parent[0] = tree[0]
+    beside = np.where(np.arange(n) > 0, (parent[:, 0] - size) / np.maximum(around - 1, 1), 0)
+    one = lambda a: np.maximum(a, 1)
+    out[:, 2 * mine.shape[1] :] = np.stack(
+        [
+            np.array([x.depth for x in nodes], float), np.log1p(o_size), np.log1p(size), size / max(size[0], 1), linked / one(size), o_linked / one(o_size), marks / one(words), o_marks / one(o_words),
+            count / one(words), size / one(words), np.array([len(x.children) for x in nodes], float), around, same, same / around, place / around, np.log1p(beside),
+            size / one(parent[:, 0]), np.array([x.inline for x in nodes], float), parent[:, 1] / one(parent[:, 0]), np.log1p(words),
+        ],
+        axis=1,
+    )
     return out
 
 
+@lru_cache(1 << 16)
+def _bucket(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "replace")) % BUCKETS
+
+
 def seeds(nodes: list[Node]) -> np.ndarray:
     """1: text, 0: furniture or outside, -1: not marked."""
     out = np.full(len(nodes), -1)
@@ -245,21 +274,22 @@ def main_text(html: str | None, forest: gbdt.Forest) -> str:
 def fit(pages: DataFrame, seed_pages: int = SEED_PAGES) -> gbdt.Forest:
     hashed = pages.select("html", F.xxhash64("url", "html").alias("at")).filter(F.col("html").isNotNull())
     first = common.stage(hashed.select("at").distinct().orderBy("at").limit(seed_pages), "seed-hashes")
-    chosen = common.stage(hashed.join(F.broadcast(first), "at").select("html"), "seed-pages")
+    chosen = common.stage(hashed.join(F.broadcast(first), "at").select(F.col("html").cast("binary").alias("html")), "seed-pages")
 
     def run(batches):
         for batch in batches:
             for html in batch.column(0).to_pylist():
-                nodes = Page(html).nodes
+                nodes = Page(html.decode("utf-8", "replace")).nodes
                 y = seeds(nodes)
                 on = np.flatnonzero(y >= 0)
                 if len(on):
-                    yield pa.RecordBatch.from_arrays([pa.array(y[on].astype(np.int32)), pa.array(features(nodes)[on].tolist(), pa.list_(pa.float64()))], names=["y", "x"])
+                    x = np.concatenate([features(nodes, bare)[on] for bare in (False, True)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(y[on], 2).astype(np.int32)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
-    # 20 nodes a page at most; equal nodes count once.
-    got = chosen.mapInArrow(run, "y int, x array<double>").groupBy("y", "x").count().orderBy(F.xxhash64("y", "x")).limit(20 * seed_pages).toPandas()
+    # Equal nodes count once.
+    got = chosen.mapInArrow(run, "y int, x array<double>").groupBy("y", "x").count().orderBy(F.xxhash64("y", "x")).limit(SEED_NODES).toPandas()
     x = np.array(got["x"].tolist()).reshape(-1, N_FEATURES)
-    return gbdt.fit(x, got["y"].to_numpy(float), trees=60, depth=4)
+    return gbdt.fit(x, got["y"].to_numpy(float), trees=60, depth=5)
 
 
 def extract(pages: DataFrame, seed_pages: int = SEED_PAGES) -> DataFrame:
@@ -269,7 +299,7 @@ def extract(pages: DataFrame, seed_pages: int = SEED_PAGES) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            text = [main_text(h, bc.value) for h in batch.column(2).to_pylist()]
+            text = [main_text(h and h.decode("utf-8", "replace"), bc.value) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
+    return pages.select("page_id", "url", F.col("html").cast("binary").alias("html")).mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars bigint")
