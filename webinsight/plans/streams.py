@@ -9,19 +9,19 @@ from webinsight.sources import sinks, uploads
 from webinsight.sources.work import work_path
 from webinsight.streaming import stream as ST
 
-from .logs import _CUBE
+from .logs import _CUBE, _FULL
 from .registry import query
 
-_HEAD = "#Version: 1.0\n#Fields: " + " ".join(SL.FIELDS)
+def log_lines(t):
+    """v_hits as lines of log files: log_date, hour, host, line, event_id."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("ua", "host", "path", "status", "edge_result", "bytes", "time_taken", "ip_num")]
+    return t("v_hits").select("log_date", F.hour("ts").alias("hour"), F.col("host").alias("dist"), F.concat_ws("\t", *cells).alias("line"), "event_id")
 
 
 def written_logs(t):
-    """v_hits as header-declared log files, one for each date, hour and host."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("ua", "host", "path", "status", "edge_result", "bytes", "time_taken", "ip_num")]
-    rows = t("v_hits").withColumn("line", F.concat_ws("\t", *cells)).withColumn("hour", F.hour("ts"))
-    text = rows.groupBy("log_date", "hour", "host").agg(F.concat_ws("\n", F.lit(_HEAD), F.concat_ws("\n", F.collect_list("line"))).alias("value"))
+    """v_hits as header-declared log files, by date, hour and host."""
     path = work_path(t.spark, "access-logs")
-    text.select("log_date", "value").write.partitionBy("log_date").text(path)
+    SL.write_access_logs(log_lines(t), path, ["log_date", "hour", "dist"])
     return path
 
 
@@ -85,29 +85,43 @@ def settled(t, stream, name):
     return t.spark.read.parquet(path)
 
 
-@query("str_01_drop_folder", f"with {_CUBE} select log_date, bot_family, cast(sum(hits) as bigint) as hits, cast(sum(bytes) as bigint) as bytes from cube group by all")
+_HOURLY = "count(distinct hour(ts))"
+
+
+def _ingested(t, waves):
+    """Log files arrive in the drop folder wave by wave, and each time the stream reads what is new."""
+    drop, archive, target, ledger, state = (work_path(t.spark, n) for n in ("drop", "archive", "cube", "ledger", "cube-state"))
+    for wave in waves:
+        SL.write_access_logs(log_lines(t).filter(wave), drop, ["log_date", "hour", "dist"])
+        ST.ingest(t.spark, drop, archive, t("v_known"), t("v_ranges"), target, ledger, state)
+    return t.spark.read.parquet(target), t.spark.read.parquet(ledger)
+
+
+@query("str_01_drop_folder", f"with {_CUBE} select * from cube")
 def _(t):
-    """Derived files are dropped in a folder, the stream ingests them, and its cube is read back."""
-    drop, target = work_path(t.spark, "drop"), work_path(t.spark, "cube")
-    hits = t("v_hits").select("log_date", "host", "path", "ua", "status", "edge_result", "bytes", "time_taken", "ip_num")
-    hits.write.parquet(drop)
-    ST.ingest(t.spark.readStream.schema(hits.schema).parquet(drop), t("v_known"), t("v_ranges"), target, work_path(t.spark, "cube-state"))
-    return t.spark.read.parquet(target).groupBy("log_date", "bot_family").agg(F.sum("hits").alias("hits"), F.sum("bytes").alias("bytes"))
+    """Text files of the same dates come in two waves: the cube holds the lines of both."""
+    cube, _ = _ingested(t, [F.col("event_id") % 3 == 0, F.col("event_id") % 3 != 0])
+    return cube
 
 
-@query("str_02_completeness", "select cast(ts as date) as log_date, count(distinct hour(ts)) as hours, count(*) as lines, count(distinct hour(ts)) = 24 as complete from events group by 1")
+@query("str_02_completeness", f"""with {_FULL} select log_date, {_HOURLY} as hours_present, cast(count(*) as bigint) as raw_lines, 0 as failed_files, max(bot_lines) as bot_lines, max(known_rows) as known_rows, {_HOURLY} = 24 as is_complete
+  from v_hits join (select log_date, count(*) as bot_lines, count(*) filter (is_known_url) as known_rows from full_hits group by 1) using (log_date) group by 1""")
+def _(t):
+    """The ledger that the ingest keeps."""
+    _, ledger = _ingested(t, [F.lit(True)])
+    return ledger.select("log_date", "hours_present", "raw_lines", "failed_files", "bot_lines", "known_rows", "is_complete")
+
+
+@query("str_02_stream_hours", "select cast(ts as date) as log_date, count(distinct hour(ts)) as hours, count(*) as lines, count(distinct hour(ts)) = 24 as complete from events group by 1")
 def _(t):
     return ST.complete_dates(settled(t, ST.hours_seen(events(t)), "hours"))
 
 
-@query("str_03_late_dates", "select log_date, count(*) as n, max(case when event_id % 2 = 0 then 1 else 2 end) as wave from v_hits group by 1")
+@query("str_03_late_dates", f"with {_CUBE} select log_date, cast(sum(hits) as bigint) as hits, cast(sum(bytes) as bigint) as bytes from cube group by 1")
 def _(t):
-    """Half of the rows come first; then the late rest of each date re-ingests the whole date."""
-    path = work_path(t.spark, "late")
-    rows = t("v_hits").select("event_id", "log_date", F.when(F.col("event_id") % 2 == 0, 1).otherwise(2).alias("wave"))
-    for batch in (rows.filter("wave = 1"), rows):
-        sinks.overwrite_dates(batch, path)
-    return t.spark.read.parquet(path).groupBy("log_date").agg(F.count("*").alias("n"), F.max("wave").alias("wave"))
+    """All but the last hour of each date come first; the late hour's files re-ingest their whole dates."""
+    cube, _ = _ingested(t, [F.col("hour") < 23, F.col("hour") == 23])
+    return cube.groupBy("log_date").agg(F.sum("hits").alias("hits"), F.sum("bytes").alias("bytes"))
 
 
 @query("str_04_tripwires", "select count(*) as hits, true as passed from v_hits where (host = 'www.shop.example' or host like '%.shop.example') and ua not like '%Firefox%'")
@@ -134,6 +148,16 @@ def _(t):
     return ST.fresh_files(files, ledger)
 
 
+@query("str_07_dedupe_stream", "select 'f' || event_id || '.gz' as name from events")
+def _(t):
+    """Each file comes from two drop folders; the stream keeps one of a name."""
+    name = F.concat(F.lit("/f"), F.col("event_id").cast("string"), F.lit(".gz"))
+    files = events(t).select("ts", F.explode(F.array(F.concat(F.lit("/b"), name), F.concat(F.lit("/a"), name))).alias("path"))
+    path = work_path(t.spark, "fresh")
+    ST.run_now(ST.dedupe_files(files), work_path(t.spark, "fresh-state"), path=path)
+    return t.spark.read.parquet(path).select("name")
+
+
 @query("udf_01_sql_functions", "select url, rtrim(split_part(split_part(lower(regexp_replace(url, '^https?://[^/]+', '', 'i')), '?', 1), '#', 1), '/') as p, case when contains(split_part(url, '?', 1), '/c/') then cast(len(string_split(split_part(split_part(url, '?', 1), '/c/', 2), '~~')) as int) else 0 end as depth from (select distinct url from v_visits)")
 def _(t):
     register_sql(t.spark)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Required log fields and the column each becomes.
@@ -27,10 +27,42 @@ def missing_fields(lines: DataFrame) -> DataFrame:
     return lines.select("file").distinct().join(head, "file", "left").select("file", lack.alias("missing")).filter(F.size("missing") > 0)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def file_date(path: Column) -> Column:
+    """A file's date by its name, else by its log_date= folder."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, FILE_NAME, 2), F.lit("")), F.nullif(F.regexp_extract(path, r"log_date=(\d{4}-\d{2}-\d{2})", 1), F.lit("")))
+
+
+def file_hour(path: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(path, FILE_NAME, 3), F.lit("")), F.nullif(F.regexp_extract(path, r"hour=(\d{1,2})", 1), F.lit(""))).cast("int")
+
+
+def base_name(path: Column) -> Column:
+    """What tells one log file from another, in whatever folder it lies: from its log_date= folder on, else the name alone."""
+    return F.coalesce(F.nullif(F.regexp_extract(path, r"(log_date=.*)$", 1), F.lit("")), F.regexp_extract(path, r"([^/]+)$", 1))
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
+def read_dates(spark: SparkSession, folders: list[str], dates: list[str]) -> DataFrame:
+    """Lines of all files of the dates in any of the folders, each base name from one folder."""
+    lines = read_lines(spark, folders).filter(file_date(F.col("file")).isin(dates))
+    files = lines.select("file").distinct().groupBy(base_name(F.col("file")).alias("name")).agg(F.min("file").alias("file"))
+    return lines.join(files.select("file"), "file", "left_semi")
+
+
+def write_access_logs(rows: DataFrame, path: str, keys: list[str], salts: int = 4) -> None:
+    """rows (keys, line) as text files below key= folders, each with the required header. Lines stay rows: a folder's lines are
+    dealt over `salts` tasks at most, so no folder is gathered in one value or task."""
+    head = "#Version: 1.0\n#Fields: " + " ".join(FIELDS)
+    salt = F.pmod(F.xxhash64("line"), F.lit(salts)).alias("salt")
+    body = rows.select(*keys, F.lit(1).alias("at"), F.col("line").alias("value"), salt)
+    heads = body.select(*keys, "salt").distinct().select(*keys, F.lit(0).alias("at"), F.lit(head).alias("value"), "salt")
+    out = body.unionByName(heads).repartition(*keys, "salt").sortWithinPartitions(*keys, "salt", "at")
+    out.select(*keys, "value").write.mode("append").partitionBy(*keys).text(path)
+
+
 def read_access_logs(spark: SparkSession, path: str) -> DataFrame:
     """Raises where a file lacks a required field."""
     lines = read_lines(spark, path)

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webinsight.operators import logs as L
+from webinsight.operators.common import stage
+from webinsight.sources import logs as SL
 from webinsight.sources.sinks import overwrite_dates
+from webinsight.sources.work import exists
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
@@ -36,18 +39,47 @@ def check_tripwires(hits: DataFrame, most_without_known: int = 100_000) -> dict[
     return {"hits": n, "known": known}
 
 
-def ingest(stream: DataFrame, catalog: DataFrame, ranges: DataFrame, target: str, checkpoint: str) -> None:
-    """Each batch: classify, look up, test the tripwires, and replace its dates in the cube (a late file re-ingests its whole date)."""
+def log_stream(spark: SparkSession, drop: str, archive: str | None = None) -> DataFrame:
+    """Lines of the files that arrive in the drop folder, with their file. With an archive, a file moves there after its batch."""
+    r = spark.readStream.format("text").option("recursiveFileLookup", "true")
+    if archive:
+        spark.conf.set("spark.sql.streaming.fileSource.cleaner.numThreads", "0")  # moved within the commit, not beside the next batch
+        r = r.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return r.load(drop).select("value", F.col("_metadata.file_path").alias("file"))
+
+
+def rebuild_dates(spark: SparkSession, folders: list[str], dates: list[str], catalog: DataFrame, ranges: DataFrame, target: str, ledger: str, expected: int = 1) -> None:
+    """The cube and the ledger of whole dates, from every file of theirs in any of the folders; other dates stay as they are.
+
+    A file without a required field counts as failed, and its lines don't enter the cube. Nothing is written where the
+    tripwires hold the lines back, and running it again gives the same tables.
+    """
+    lines = SL.read_dates(spark, folders, dates).withColumn("log_date", F.to_date(SL.file_date(F.col("file"))))
+    bad = SL.missing_fields(lines.select("value", "file")).select("file").withColumn("failed", F.lit(True))
+    parsed = SL.parse_lines(lines.join(bad, "file", "left_anti").select("value", "file")).withColumn("log_date", F.to_date(SL.file_date(F.col("file"))))
+    hits = stage(L.verify_ips(L.with_membership(L.parse_hits(parsed.withColumn("ip_num", F.col("ip").try_cast("long"))), catalog), ranges), "ingested-hits")
+    check_tripwires(hits)
+    data = F.when(~F.col("value").startswith("#") & (F.col("value") != ""), 1).otherwise(0)
+    files = lines.groupBy("file", "log_date").agg(F.sum(data).alias("lines")).join(bad, "file", "left")
+    books = files.groupBy("log_date").agg(
+        F.count("*").alias("files"), F.sum("lines").alias("raw_lines"), F.count_distinct(SL.file_hour(F.col("file"))).alias("hours_present"), F.count_if("failed").alias("failed_files")
+    )
+    kept = hits.groupBy("log_date").agg(F.count("*").alias("bot_lines"), F.count_if("is_known_url").alias("known_rows"))
+    books = books.join(kept, "log_date", "left").na.fill(0).withColumn("expected_files", F.lit(expected).cast("long"))
+    overwrite_dates(L.build_cube(hits), target)
+    overwrite_dates(books.withColumn("is_complete", L.ledger_complete()), ledger)
+
+
+def ingest(spark: SparkSession, drop: str, archive: str, catalog: DataFrame, ranges: DataFrame, target: str, ledger: str, checkpoint: str, expected: int = 1) -> None:
+    """Read what has arrived. A batch only tells which dates have new files; each of these dates is rebuilt whole, from the drop
+    folder and the archive together, so a late file, a second batch or a replay of one never loses lines of its date."""
 
     def each(batch: DataFrame, _: int) -> None:
-        hits = L.verify_ips(L.with_membership(L.parse_hits(batch), catalog), ranges).persist()
-        try:
-            check_tripwires(hits)
-            overwrite_dates(L.build_cube(hits), target)
-        finally:
-            hits.unpersist()
-
-    run_now(stream, checkpoint, each)
+        dates = [r[0] for r in batch.select(SL.file_date(F.col("file")).alias("d")).filter("d is not null").distinct().collect()]
+        if dates:
+            rebuild_dates(spark, [p for p in (drop, archive) if exists(spark, p)], sorted(dates), catalog, ranges, target, ledger, expected)
+
+    run_now(log_stream(spark, drop, archive), checkpoint, each)
 
 
 def hours_seen(stream: DataFrame, late: str = "2 hours") -> DataFrame:
