@@ -54,29 +54,45 @@ NAMES = [
 ]
 
 
-def family(ua: Column) -> Column:
-    """Null for agents that no pattern matches."""
-    return F.coalesce(*(F.when(ua.rlike(f"(?i){p}"), F.lit(name)) for name, _, p in FAMILIES))
+#: Distinct agents up to which their table is broadcast.
+MOST_AGENTS = 10_000
 
 
-def agent_class(fam: Column) -> Column:
-    pairs = [F.lit(x) for name, kind, _ in FAMILIES for x in (name, kind)]
-    return F.create_map(*pairs)[fam]
+def _case(pairs, value: str) -> Column:
+    """A CASE over conditions or values, as one SQL text: built and parsed once."""
+    return F.expr("case " + value + " " + " ".join(f"when {k} then '{v}'" for k, v in pairs) + " end")
 
 
-def agent_name(ua: Column, fam: Column) -> Column:
+def family(ua: str) -> Column:
+    """Of a column's name. Null for agents that no pattern matches; the union of all patterns is tried first."""
+    each = _case(((f"`{ua}` rlike r'(?i){p}'", name) for name, _, p in FAMILIES), "")
+    return F.when(F.col(ua).rlike("(?i)" + "|".join(p for _, _, p in FAMILIES)), each)
+
+
+def agent_class(fam: str) -> Column:
+    return _case(((f"'{name}'", kind) for name, kind, _ in FAMILIES), f"`{fam}`")
+
+
+def agent_name(ua: str, fam: str) -> Column:
     """The longest listed name in the agent, in the list's spelling; the family where there is none."""
     any_name = "(?i)(" + "|".join(sorted((n.replace(".", r"\.") for n in NAMES), key=len, reverse=True)) + ")"
-    spelling = F.create_map(*(F.lit(x) for n in NAMES for x in (n.lower(), n)))
-    found = F.lower(F.regexp_extract(ua, any_name, 1))
-    return F.when(fam.isNotNull(), F.coalesce(spelling[F.nullif(found, F.lit(""))], fam))
+    spelling = _case(((f"'{n.lower()}'", n) for n in NAMES), f"lower(regexp_extract(`{ua}`, r'{any_name}', 1))")
+    return F.when(F.col(fam).isNotNull(), F.coalesce(spelling, F.col(fam)))
 
 
-def classify_agents(hits: DataFrame, ua: str = "ua") -> DataFrame:
-    """hits with bot_family, bot_class, bot_name. Patterns run over the distinct agents, which are few, and are joined back."""
+def _classified(rows: DataFrame, ua: str) -> DataFrame:
+    """One step reads the last one's columns, so each is evaluated once a row."""
     from webinsight.functions.norm import percent_decode
 
-    agents = hits.select(ua).filter(F.col(ua).isNotNull()).distinct()
-    plain = percent_decode(F.col(ua))
-    agents = agents.withColumn("bot_family", family(plain)).withColumn("bot_class", agent_class(F.col("bot_family"))).withColumn("bot_name", agent_name(plain, F.col("bot_family")))
-    return hits.join(agents, ua, "left")
+    rows = rows.withColumn("__plain", percent_decode(F.col(ua))).withColumn("bot_family", family("__plain"))
+    return rows.withColumn("bot_class", agent_class("bot_family")).withColumn("bot_name", agent_name("__plain", "bot_family")).drop("__plain")
+
+
+def classify_agents(hits: DataFrame, ua: str = "ua", most: int = MOST_AGENTS) -> DataFrame:
+    """hits with bot_family, bot_class, bot_name. Patterns run over the distinct agents, which are few: up to `most` of them are
+    broadcast, so hits aren't shuffled by the few agents; where there are more, each hit is classified in place."""
+    agents = [r[0] for r in hits.select(ua).filter(F.col(ua).isNotNull()).distinct().limit(most + 1).collect()]
+    if len(agents) > most:
+        return _classified(hits, ua)
+    table = hits.sparkSession.createDataFrame([(a,) for a in sorted(agents)], f"`{ua}` string")
+    return hits.join(F.broadcast(_classified(table, ua)), ua, "left")

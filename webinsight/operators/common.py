@@ -1,9 +1,35 @@
 """Small helpers of the operators."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webinsight.sources.work import work_path
+
+#: Rows of a dimension that may be broadcast, and the share of rows from which a key counts as hot (so 1000 at most).
+BROADCAST_ROWS = 1_000_000
+HOT_SHARE = 0.001
+
 
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once a row."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the work folder and read it back: computed once, however many readers it has."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def look_up(rows: DataFrame, dim: DataFrame, key: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Left join of a dimension with unique keys that is safe for hot keys. A dimension of `most` rows or fewer is broadcast.
+    Else its rows for the hot keys are, and the other rows, none of which has a hot key, are shuffled."""
+    if dim.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(dim), key, "left")
+    counts = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    counts = stage(counts, "key-counts")
+    line = max(1.0, (counts.agg(F.sum("__n")).first()[0] or 0) * HOT_SHARE)
+    keys = F.broadcast(counts.filter(F.col("__n") >= line).select(key))
+    hot = rows.join(keys, key, "left_semi").join(F.broadcast(dim.join(keys, key, "left_semi")), key, "left")
+    return hot.unionByName(rows.join(keys, key, "left_anti").join(dim, key, "left"))

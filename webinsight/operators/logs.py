@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webinsight.operators.common import look_up
+
 #: Buckets of URL types in display order.
 BUCKETS = [("R-url", ["search"]), ("C-url", ["category_facet"]), ("PLP", ["product", "product_legacy"]), ("Cat-url", ["category", "category_legacy"]), ("Homepage", ["home"]), ("Other", ["list", "sitemap", "robots", "info", "other"])]
 CATALOG_TYPES = ("category_facet", "category", "category_legacy")
@@ -17,7 +19,7 @@ CUBE_KEYS = ["log_date", "host", "bot_family", "url_type", "facet_depth", "is_kn
 
 
 def url_type(path: Column) -> Column:
-    """/r/ anywhere comes first."""
+    """Path prefixes. /r/ anywhere comes first."""
     return (
         F.when(path.contains("/r/"), "search")
         .when(path.startswith("/p/"), "product")
@@ -73,14 +75,16 @@ def lenient_ms(c: Column) -> Column:
 
 
 def parse_hits(hits: DataFrame, domains: tuple[str, ...] = ("shop.example",)) -> DataFrame:
-    """Raw log rows -> classified rows of the kept domains (one distinct-agent join, the rest in place)."""
+    """Raw log rows -> classified rows of the kept domains (agents are looked up, the rest is in place; the path is decoded
+    in a step of its own, so that what reads it doesn't repeat that)."""
     from webinsight.functions.agents import classify_agents
     from webinsight.functions.norm import log_stem
 
     rows = hits.withColumn("host", norm_host(F.col("host"))).filter(keep_host(F.col("host"), domains))
     rows = classify_agents(rows).filter(F.col("bot_family").isNotNull())
-    path = log_stem(F.col("path"))
-    return rows.withColumns({"path": path, "url_type": url_type(path), "facet_depth": facet_depth(path), "status_class": status_class(F.col("status")), "bytes": lenient_bytes(F.col("bytes")), "time_ms": lenient_ms(F.col("time_taken"))})
+    rows = rows.withColumn("path", log_stem(F.col("path")))
+    path = F.col("path")
+    return rows.withColumns({"url_type": url_type(path), "facet_depth": facet_depth(path), "status_class": status_class(F.col("status")), "bytes": lenient_bytes(F.col("bytes")), "time_ms": lenient_ms(F.col("time_taken"))})
 
 
 def known_urls(catalog: DataFrame) -> DataFrame:
@@ -95,7 +99,7 @@ def known_urls(catalog: DataFrame) -> DataFrame:
 
 def with_membership(hits: DataFrame, catalog: DataFrame) -> DataFrame:
     known = known_urls(catalog).withColumnRenamed("url", "path")
-    return hits.join(known, "path", "left").withColumn("is_known_url", F.col("url_id").isNotNull())
+    return look_up(hits, known, "path").withColumn("is_known_url", F.col("url_id").isNotNull())
 
 
 def verify_ips(hits: DataFrame, ranges: DataFrame, width: int = 4096) -> DataFrame:

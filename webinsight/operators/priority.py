@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webinsight.functions.norm import facet_pairs, leaf_slug
+from webinsight.operators.common import stage
 
 #: Thresholds of the decision.
 DEFAULTS = {"on_min_visits_pct": 10.0, "on_min_revenue_pct": 10.0, "on_min_abs_visits": 50, "off_max_visits_pct": 2.0, "off_max_revenue_pct": 2.0}
@@ -66,7 +67,7 @@ def decide(rows: DataFrame, cats: DataFrame, settings: DataFrame, t: dict = DEFA
 
 
 def priority_run(visits: DataFrame, cats: DataFrame, settings: DataFrame) -> DataFrame:
-    parsed = parse_urls(url_totals(visits))
+    parsed = stage(parse_urls(url_totals(visits)), "parsed-urls")  # each URL is parsed once, for both sums
     return decide(shares(attribute(parsed), denominators(parsed)), cats, settings)
 
 

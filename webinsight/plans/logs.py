@@ -35,7 +35,7 @@ _CUBE = f"""{_FULL}, cube as (select log_date, host, bot_family, url_type, facet
 _DAILY = f"""{_FULL}, url_daily as (select log_date, url_id, host, bot_family, count(*) as hits, cast(sum(bytes) as bigint) as bytes, count(*) filter (status_class = '2xx') as n_2xx, count(*) filter (status_class = '3xx') as n_3xx,
   count(*) filter (status_class = '4xx') as n_4xx, count(*) filter (status_class = '5xx') as n_5xx from full_hits where is_known_url and bot_class in ('ai', 'search') group by all)"""
 _UNKNOWN = """unknown_top as (select log_date, host, bot_family, path, hits from (select *, row_number() over (partition by log_date, bot_family order by hits desc, host desc, path desc) as rn from
-  (select log_date, host, bot_family, path, count(*) as hits from full_hits where not is_known_url and bot_class in ('ai', 'search') and url_type not in ('product', 'product_legacy') group by all)) where rn <= 5)"""
+  (select log_date, host, bot_family, path, count(*) as hits from full_hits where not is_known_url and bot_class in ('ai', 'search') and url_type not in ('product', 'product_legacy') group by all)) where rn <= 500)"""
 
 
 def full(t):
@@ -105,7 +105,7 @@ def _(t):
 
 @query("log_12_unknown_top", f"with {_FULL}, {_UNKNOWN} select * from unknown_top")
 def _(t):
-    return L.build_unknown_top(full(t), 5)
+    return L.build_unknown_top(full(t))
 
 
 @query("log_13_daily_series", f"with {_CUBE} select log_date, {_BUCKET} as series, cast(sum(hits) as bigint) as hits from cube group by all")
@@ -135,7 +135,7 @@ def _(t):
   union all select path, cast(sum(hits) as bigint), false from unknown_top group by path) order by hits desc, url, is_known limit 50""")
 def _(t):
     rows = full(t)
-    return L.top_urls(L.build_url_daily(rows), L.build_unknown_top(rows, 5), t("v_known"))
+    return L.top_urls(L.build_url_daily(rows), L.build_unknown_top(rows), t("v_known"))
 
 
 @query("log_18_url_detail", f"""with {_DAILY} select bot_family, log_date, cast(sum(hits) as bigint) as hits, cast(sum(n_2xx) as bigint) as n_2xx, cast(sum(hits - n_2xx - n_3xx - n_4xx - n_5xx) as bigint) as n_other,

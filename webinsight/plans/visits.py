@@ -69,9 +69,9 @@ def _(t):
 
 
 @query("vis_08_category_deltas", """with d as (select deepest_cat as category, count(*) filter (date_key between 19980101 and 19981231) as now, count(*) filter (date_key between 19970101 and 19971231) as before from v_visits where deepest_cat in (select deepest_cat from v_cats where is_lowest) group by 1), e as (select *, now - before as delta from d)
-  select *, 'best' as side from (select * from e order by delta desc, category limit 20) union all select *, 'worst' from (select * from e order by delta, category limit 20)""")
+  select *, 'best' as side from (select * from e order by delta desc, category limit 100) union all select *, 'worst' from (select * from e order by delta, category limit 100)""")
 def _(t):
-    return V.category_deltas(t("v_visits"), "deepest_cat", (19980101, 19981231), (19970101, 19971231), 20, t("v_cats"))
+    return V.category_deltas(t("v_visits"), "deepest_cat", (19980101, 19981231), (19970101, 19971231), 100, t("v_cats"))
 
 
 @query("vis_09_distribution", f"""with s as (select {_LT} as landing, count(*) filter (date_key between 19980101 and 19981231) as value, count(*) filter (date_key between 19970101 and 19971231) as before from v_visits group by 1)
