@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webinsight.functions import norm
+from webinsight.operators.common import stage
 
 #: Fixed values.
 HOME = ("", "/", "/index", "/index.html")
@@ -130,40 +131,45 @@ def apply_rules(urls: DataFrame, rules: list[dict], url: str = "url") -> DataFra
 def resolve(rows: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
     """rows (old, new): `new` followed along the redirects until a dead end or a cycle, `hops` at most.
 
-    Edges are unique by key, the last one wins. A round is one join; keys seen travel along, so cycles end.
+    Edges are unique by key, the last one wins. Distinct targets are followed, and joined back. A round is one join; keys seen
+    travel along, so cycles end.
     """
     last = edges.withColumn("k", norm.equiv_key(F.col("from_url"))).groupBy("k").agg(F.max_by("to_url", "seq").alias("hop"))
-    out = rows.withColumns({"final": F.col("new"), "seen": F.array(norm.equiv_key(F.col("new"))), "open": F.lit(True)})
+    last = last.filter(F.col("hop") != "").withColumn("hop_key", norm.equiv_key(F.col("hop")))
+    out = rows.select("new").distinct().withColumn("k", norm.equiv_key(F.col("new"))).select("new", F.col("new").alias("final"), "k", F.array("k").alias("seen"))
     for _ in range(hops):
-        out = out.withColumn("k", F.when(F.col("open"), norm.equiv_key(F.col("final")))).join(last, "k", "left")
-        key = norm.equiv_key(F.col("hop"))
-        go = F.col("hop").isNotNull() & (F.col("hop") != "") & ~F.array_contains("seen", key)
-        out = out.withColumns({"go": F.coalesce(go, F.lit(False)), "key": key})
-        out = out.withColumns({"final": F.when(F.col("go"), F.col("hop")).otherwise(F.col("final")), "seen": F.when(F.col("go"), F.array_append("seen", F.col("key"))).otherwise(F.col("seen")), "open": F.col("open") & F.col("go")}).drop("k", "hop", "go", "key")
-    return out.select(*rows.columns, "final", (F.size("seen") - 1).cast("long").alias("n_hops"), F.when(F.size("seen") > 1, F.col("new")).alias("flatten_from"))
+        # A dead end has no key any more.
+        out = out.join(last, "k", "left").withColumn("go", F.col("hop_key").isNotNull() & ~F.coalesce(F.array_contains("seen", F.col("hop_key")), F.lit(False)))
+        step = lambda a, b: F.when(F.col("go"), a).otherwise(b)
+        out = out.select("new", step(F.col("hop"), F.col("final")).alias("final"), F.when(F.col("go"), F.col("hop_key")).alias("k"), step(F.array_append("seen", F.col("hop_key")), F.col("seen")).alias("seen"))
+    found = out.select(F.col("new").alias("__new"), "final", (F.size("seen") - 1).cast("long").alias("n_hops"))
+    rows = rows.join(found, F.col("new").eqNullSafe(F.col("__new")), "left").drop("__new")
+    return rows.withColumn("flatten_from", F.when(F.col("n_hops") > 0, F.col("new")))
 
 
 def preflight(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """rows (pos, old, new, country, status): final target and the first reason to skip, in order."""
     code = F.coalesce(F.col("status").try_cast("int"), F.lit(301))
     df = rows.withColumns({"old": strip_domain(F.coalesce("old", F.lit(""))), "new": strip_domain(F.coalesce("new", F.lit(""))), "country": country(F.col("country")), "status": F.when(code.isin(*STATUS_CODES), code).otherwise(301)})
-    df = resolve(df, edges).withColumn("ok", norm.equiv_key(F.col("old")))
+    df = resolve(df, edges)
+    df = df.withColumns({"ok": norm.equiv_key(F.col("old")), "fk": norm.equiv_key(F.col("final")), "blocked": is_homepage(F.col("old")), "multi": has_multi_value(F.col("old")) | has_multi_value(F.col("new"))})
+    # Written once here: what follows reads plain columns, and its code stays small.
+    df = stage(df, "resolved")
     rule = edges.withColumn("ok", norm.equiv_key(F.col("from_url"))).groupBy("ok").agg(F.max_by("to_url", "seq").alias("existing"))
-    df = df.join(rule, "ok", "left")
+    df = df.join(rule.withColumn("existing_key", norm.equiv_key(F.col("existing"))), "ok", "left")
     first = F.row_number().over(Window.partitionBy("ok", "country").orderBy("pos"))
-    same = F.col("existing").isNotNull() & (norm.equiv_key(F.col("existing")) == norm.equiv_key(F.col("final")))
     reason = (
         F.when((F.col("old") == "") | (F.col("new") == ""), "missing URL")
-        .when(is_homepage(F.col("old")), "homepage (blocked)")
-        .when(has_multi_value(F.col("old")) | has_multi_value(F.col("new")), "multi-value facet (no-index)")
-        .when(same, "already redirected")
+        .when(F.col("blocked"), "homepage (blocked)")
+        .when(F.col("multi"), "multi-value facet (no-index)")
+        .when(F.col("existing_key") == F.col("fk"), "already redirected")
         .when(F.col("existing").isNotNull(), "source has existing rule")
-        .when(F.col("ok") == norm.equiv_key(F.col("final")), "self redirect")
+        .when(F.col("ok") == F.col("fk"), "self redirect")
         .when(F.col("dup") > 1, "duplicate in batch")
     )
     df = df.withColumn("dup", first).withColumn("skip_reason", reason)
     sources = df.filter("skip_reason is null").select(F.col("ok").alias("fk")).distinct().withColumn("__src", F.lit(True))
-    df = df.withColumn("fk", norm.equiv_key(F.col("final"))).join(sources, "fk", "left")
+    df = df.join(sources, "fk", "left")
     return df.select("pos", "old", "final", "country", "status", "flatten_from", F.when(F.col("skip_reason").isNull() & F.col("__src"), "target is batch source").otherwise(F.col("skip_reason")).alias("skip_reason"))
 
 
@@ -179,7 +185,7 @@ def rewrite(urls: DataFrame, categories: dict[str, str], facets: dict[str, str],
 
 
 def structural_issues(url: Column) -> Column:
-    """Array of issue codes, in order."""
+    """Array of issue codes, in order. The codes."""
     low = F.lower(url)
     path = norm.percent_decode(F.split_part(F.split_part(F.regexp_replace(url, "(?i)^https?://[^/]+", ""), F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1)))
     query = F.split_part(F.split_part(url, F.lit("#"), F.lit(1)), F.lit("?"), F.lit(2))
@@ -207,31 +213,69 @@ def structural_issues(url: Column) -> Column:
     return F.array_compact(F.array(*(F.when(cond, F.lit(code)) for code, cond in tests)))
 
 
-def validate(urls: DataFrame, cats: DataFrame, settings: DataFrame, url: str = "url") -> DataFrame:
-    """Structural codes, and taxonomy codes: unknown category, wrong main category, facet not linked, facet disabled."""
+def taxonomy_issues(urls: DataFrame, cats: DataFrame, settings: DataFrame, values: DataFrame | None = None, url: str = "url") -> DataFrame:
+    """Per distinct URL: main, sub, true_main, tax (codes in order), facets_valid, facets_total.
+
+    cats (deepest_cat, main_cat, and enabled where it is known), settings (deepest_cat, slug, and enabled, noindex), values (slug,
+    value_id, and seo). An unknown main category or category ends the checks; a facet that isn't linked, or whose value is no
+    number or unknown, ends its own. Each facet gives its codes, in the order of the URL.
+    """
+    flag = lambda df, name, default: F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
     rows = urls.select(url).distinct()
     parts = category_parts(F.col(url))
-    rows = rows.withColumns({"main": parts["main"], "sub": F.lower(parts["sub"]), "pairs": norm.facet_pairs(F.col(url))})
-    rows = rows.join(cats.select(F.col("deepest_cat").alias("sub"), F.col("main_cat").alias("true_main")).distinct(), "sub", "left")
-    facets = rows.select(url, "sub", F.explode(F.transform("pairs", lambda p: p["slug"])).alias("slug"))
-    facets = facets.join(settings.select(F.col("deepest_cat").alias("sub"), "slug", "seo_prio", F.lit(True).alias("linked")), ["sub", "slug"], "left")
-    facets = facets.groupBy(url).agg(F.count_if(F.col("linked").isNull()).alias("unlinked"), F.count_if(F.col("seo_prio") == F.lit(False)).alias("disabled"))
+    rows = rows.withColumns({"main": F.lower(parts["main"]), "sub": F.lower(parts["sub"]), "pairs": F.coalesce(norm.facet_pairs(F.col(url)), F.array().cast("array<struct<slug:string,value:string>>"))})
+    mains = cats.select(F.col("main_cat").alias("main"), F.lit(True).alias("known_main")).distinct()
+    known = cats.groupBy(F.col("deepest_cat").alias("sub")).agg(F.min("main_cat").alias("true_main"), F.bool_or(flag(cats, "enabled", True)).alias("on"))
+    rows = rows.join(mains, "main", "left").join(known, "sub", "left")
+    stop = F.when(F.col("main").isNull(), "NO_MAINCAT").when(F.col("known_main").isNull(), "MAINCAT_NOT_FOUND").when(F.col("sub").isNotNull() & F.col("true_main").isNull(), "CATEGORY_NOT_FOUND")
+    rows = rows.withColumn("stop", stop)
+    facets = rows.filter("stop is null").select(url, F.coalesce("sub", "main").alias("level"), F.posexplode("pairs").alias("at", "p")).select(url, "level", "at", "p.slug", "p.value")
+    linked = settings.select(F.col("deepest_cat").alias("level"), "slug", flag(settings, "enabled", True).alias("use"), flag(settings, "noindex", False).alias("hide"), F.lit(True).alias("linked"))
+    facets = facets.join(linked, ["level", "slug"], "left").withColumn("value_id", F.col("value").try_cast("long"))
+    if values is not None:
+        listed = values.select("slug", "value_id", flag(values, "seo", True).alias("seo"), F.lit(True).alias("listed"))
+        facets = facets.join(listed, ["slug", "value_id"], "left")
+    else:
+        facets = facets.withColumns({"seo": F.lit(True), "listed": F.lit(True)})
+    bad = F.when(F.col("value_id").isNull(), "INVALID_VALUE_ID").when(F.col("listed").isNull(), "VALUE_NOT_FOUND")
+    codes = F.array_compact(F.array(F.when(~F.col("use"), "FACET_DISABLED"), F.when(F.col("hide"), "FACET_NOINDEX"), bad, F.when(bad.isNull() & ~F.col("seo"), "VALUE_LOW_SEO_PRIORITY")))
+    codes = F.when(F.col("linked").isNull(), F.array(F.lit("FACET_NOT_LINKED"))).otherwise(codes)
+    valid = F.col("linked").isNotNull() & bad.isNull()
+    facets = facets.groupBy(url).agg(F.array_sort(F.collect_list(F.struct("at", codes.alias("codes")))).alias("each"), F.count_if(valid).alias("facets_valid"))
     rows = rows.join(facets, url, "left")
-    tax = F.array_compact(F.array(F.when(F.col("sub").isNotNull() & F.col("true_main").isNull(), "UNKNOWN_CATEGORY"), F.when(F.col("true_main") != F.col("main"), "WRONG_MAINCAT"), F.when(F.col("true_main").isNotNull() & (F.col("unlinked") > 0), "FACET_NOT_LINKED"), F.when(F.col("disabled") > 0, "FACET_DISABLED")))
-    return rows.select(url, "main", "sub", "true_main", F.concat(structural_issues(F.col(url)), tax).alias("issues"))
+    here = F.array_compact(F.array("stop", F.when(F.col("stop").isNull() & (F.col("true_main") != F.col("main")), "HIERARCHY_MISMATCH"), F.when(F.col("stop").isNull() & ~F.col("on"), "CATEGORY_DISABLED")))
+    tax = F.concat(here, F.coalesce(F.flatten(F.transform("each", lambda x: x["codes"])), F.array().cast("array<string>")))
+    return rows.select(url, "main", "sub", "true_main", tax.alias("tax"), F.coalesce("facets_valid", F.lit(0)).cast("long").alias("facets_valid"), F.size("pairs").cast("long").alias("facets_total"))
+
+
+def validate(urls: DataFrame, cats: DataFrame, settings: DataFrame, values: DataFrame | None = None, url: str = "url") -> DataFrame:
+    """Structural codes, then taxonomy codes."""
+    rows = taxonomy_issues(urls, cats, settings, values, url)
+    return rows.select(url, "main", "sub", "true_main", F.concat(structural_issues(F.col(url)), "tax").alias("issues"), "facets_valid", "facets_total")
 
 
-BLOCKERS = ("UNKNOWN_CATEGORY", "MISSING_PRODUCTS_PREFIX", "EMPTY_FACET_SLUG", "EMPTY_FACET_VALUE", "INVALID_CHARS")
+#: Codes that leave too little to rebuild a URL from, and those that rebuilding mends.
+BLOCKERS = (
+    "MAINCAT_NOT_FOUND", "NO_MAINCAT", "CATEGORY_NOT_FOUND", "CATEGORY_DISABLED", "FACET_NOT_LINKED", "INVALID_VALUE_ID", "VALUE_NOT_FOUND", "INVALID_CHARS", "EMPTY_FACET_SLUG",
+    "EMPTY_FACET_VALUE", "MISSING_PRODUCTS_PREFIX", "DOUBLE_MAINCAT",
+)
+FIXABLE = ("HIERARCHY_MISMATCH", "DOUBLE_PRODUCTS", "UPPERCASE_IN_PATH", "FRAGMENT_PRESENT", "TRACKING_PARAMS", "UNWANTED_PARAM", "QUERY_PARAMS", "DUPLICATE_FACET", "HAS_BUCKET")
 
 
 def suggest(checked: DataFrame, url: str = "url") -> DataFrame:
-    """A corrected URL: right main category, distinct facets, lower case; null when a blocker stands."""
-    path = F.split_part(F.split_part(F.regexp_replace(F.col(url), "(?i)^https?://[^/]+", ""), F.lit("#"), F.lit(1)), F.lit("?"), F.lit(1))
-    fixed = F.when(F.col("true_main").isNotNull(), F.regexp_replace(path, "^/products/[^/]+/", F.concat(F.lit("/products/"), F.col("true_main"), F.lit("/")))).otherwise(path)
-    base, tail = F.split_part(fixed, F.lit("/c/"), F.lit(1)), norm.strip_trailing(F.split_part(fixed, F.lit("/c/"), F.lit(2)))
-    low = F.lower(F.when(fixed.contains("/c/"), F.concat(base, F.lit("/c/"), F.array_join(F.array_distinct(F.split(tail, "~~")), "~~"))).otherwise(fixed))
-    blocked = F.arrays_overlap("issues", F.array(*map(F.lit, BLOCKERS)))
-    return checked.select(url, F.when(~blocked, low).alias("suggestion"))
+    """A rebuilt URL where something can be mended and nothing stands in the way, else null: the right main category, the search
+    term kept, the first facet of each name, lower case, scheme and host kept; null if that is the URL itself."""
+    mend = F.arrays_overlap("issues", F.array(*map(F.lit, FIXABLE))) & ~F.arrays_overlap("issues", F.array(*map(F.lit, BLOCKERS)))
+    main = F.coalesce(F.when(F.array_contains("issues", "HIERARCHY_MISMATCH"), F.col("true_main")), F.col("main"))
+    host = F.lower(F.regexp_extract(F.trim(url), "(?i)^(https?://[^/]+)", 1))
+    term = F.regexp_extract(url, "(?i)/r/([^/?#]+)", 1)
+    pairs = norm.facet_pairs(F.split_part(F.col(url), F.lit("#"), F.lit(1)))
+    names = F.transform(pairs, lambda p: p["slug"])
+    once = F.filter(pairs, lambda p, i: F.array_position(names, p["slug"]) == i + 1)
+    path = F.concat(F.lit("/products"), F.coalesce(F.concat(F.lit("/"), main), F.lit("")), F.coalesce(F.concat(F.lit("/"), "sub"), F.lit("")), F.when(term != "", F.concat(F.lit("/r/"), term)).otherwise(""))
+    path = F.concat(path, F.when(F.size(once) > 0, F.concat(F.lit("/c/"), F.array_join(F.transform(once, lambda p: F.concat(p["slug"], F.lit("~"), p["value"])), "~~"))).otherwise("/"))
+    out = F.concat(host, F.lower(path))
+    return checked.select(url, F.when(mend & (out != F.trim(url)), out).alias("suggestion"))
 
 
 def check_links(content: DataFrame, products: DataFrame) -> DataFrame:

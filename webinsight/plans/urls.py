@@ -118,14 +118,47 @@ def _(t):
     return R.preflight(rows, t("v_redirects"))
 
 
+_BAD = """bad as (select distinct case clicks % 9 when 0 then replace(url, '/products/', '/products/products/') || '#x' when 1 then upper(url) when 2 then replace(url, '/brand_1/', '/brand_9/') when 3 then replace(url, '/products/brand_1', '/products/shoes') when 4 then replace(url, '/brand_2_', '/lost_2_') else url end as url from v_visits)"""
+
+
+def _bad(t):
+    n = F.col("clicks") % 9
+    to = lambda a, b: F.replace("url", F.lit(a), F.lit(b))
+    url = F.when(n == 0, F.concat(to("/products/", "/products/products/"), F.lit("#x"))).when(n == 1, F.upper("url")).when(n == 2, to("/brand_1/", "/brand_9/")).when(n == 3, to("/products/brand_1", "/products/shoes")).when(n == 4, to("/brand_2_", "/lost_2_")).otherwise(F.col("url"))
+    return t("v_visits").select(url.alias("url"))
+
+
+def _taxonomy(t):
+    """Categories, linked facets and facet values, with their flags."""
+    cats = t("v_cats").withColumn("enabled", F.length("deepest_cat") % 7 != 0)
+    settings = t("v_settings").filter("slug <> 'rare'").withColumns({"enabled": F.col("seo_prio").isNull() | F.col("seo_prio"), "noindex": F.length("slug") % 5 == 0})
+    values = t("part").select(F.explode(F.array(F.lit("size"), F.concat(F.lit("color_"), F.split_part("p_name", F.lit(" "), F.lit(1))))).alias("slug"), F.col("p_size").cast("long").alias("value_id")).filter("value_id % 10 <> 0").distinct()
+    return cats, settings, values.withColumn("seo", F.col("value_id") % 4 != 0)
+
+
 def _checked(t):
-    bad = t("v_visits").select(F.when(F.col("clicks") % 9 == 0, F.concat(F.replace("url", F.lit("/products/"), F.lit("/products/products/")), F.lit("#x"))).when(F.col("clicks") % 9 == 1, F.upper("url")).when(F.col("clicks") % 9 == 2, F.replace("url", F.lit("/brand_1/"), F.lit("/brand_9/"))).otherwise(F.col("url")).alias("url"))
-    return R.validate(bad, t("v_cats"), t("v_settings"))
+    return R.validate(_bad(t), *_taxonomy(t))
 
 
 @query("url_14_validate")
 def _(t):
-    return _checked(t).select(F.explode("issues").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return _checked(t)
+
+
+@query("url_14_taxonomy", f"""with {_BAD}, p as (select url, string_split(regexp_replace(split_part(url, '?', 1), '^[hH][tT][tT][pP][sS]?://[^/]+', ''), '/c/') as halves from bad),
+  q as (select url, list_filter(string_split(halves[1], '/'), lambda x: x <> '') as parts, contains(split_part(url, '?', 1), '/c/') as has, split_part(url, '?', 1) as u from p),
+  r as (select url, lower(parts[2]) as main, lower(parts[3]) as sub, case when has then list_filter(list_transform(string_split(split_part(u, '/c/', 2), '~~'), lambda x: {{'slug': lower(split_part(trim(x, '/'), '~', 1)), 'value': split_part(split_part(trim(x, '/'), '~', 2), '/', 1)}}), lambda y: y.slug <> '' and y.value <> '') else [] end as pairs from q),
+  k as (select r.*, c.main_cat as true_main, length(c.deepest_cat) % 7 <> 0 as cat_on, case when main is null then 'NO_MAINCAT' when main not in (select main_cat from v_cats) then 'MAINCAT_NOT_FOUND' when sub is not null and c.main_cat is null then 'CATEGORY_NOT_FOUND' end as stop
+    from r left join v_cats c on c.deepest_cat = sub),
+  f as (select url, coalesce(sub, main) as level, unnest(pairs) as p, unnest(range(len(pairs))) as pos from k where stop is null),
+  vals as (select distinct slug, p_size as value_id from (select p_size, unnest(['size', 'color_' || split_part(p_name, ' ', 1)]) as slug from part) where p_size % 10 <> 0),
+  g as (select url, pos, s.slug is not null as linked, s.seo_prio is not null and not s.seo_prio as off, length(f.p.slug) % 5 = 0 as hide, case when try_cast(f.p.value as bigint) is null then 'INVALID_VALUE_ID' when v.value_id is null then 'VALUE_NOT_FOUND' end as bad, v.value_id % 4 = 0 as low
+    from f left join (select * from v_settings where slug <> 'rare') s on s.deepest_cat = f.level and s.slug = f.p.slug left join vals v on v.slug = f.p.slug and v.value_id = try_cast(f.p.value as bigint)),
+  e as (select url, flatten(list(case when not linked then ['FACET_NOT_LINKED'] else list_filter([case when off then 'FACET_DISABLED' end, case when hide then 'FACET_NOINDEX' end, bad, case when bad is null and low then 'VALUE_LOW_SEO_PRIORITY' end], lambda x: x is not null) end order by pos)) as codes, count(*) filter (linked and bad is null) as valid from g group by url)
+  select url, main, sub, true_main, list_concat(list_filter([stop, case when stop is null and true_main <> main then 'HIERARCHY_MISMATCH' end, case when stop is null and not cat_on then 'CATEGORY_DISABLED' end], lambda x: x is not null), coalesce(codes, [])) as tax,
+    cast(coalesce(valid, 0) as bigint) as facets_valid, cast(len(pairs) as bigint) as facets_total from k left join e using (url)""")
+def _(t):
+    return R.taxonomy_issues(_bad(t), *_taxonomy(t))
 
 
 @query("url_14_structural", "select url, list_filter([case when contains(url, '?utm_') then 'TRACKING_PARAMS' end, case when list_has_any(string_split(split_part(split_part(url, '?', 1), '/c/', 2), '~~'), ['x~']) then 'EMPTY_FACET_VALUE' end, case when regexp_matches(url, '/c/line~[A-Z]') then 'UPPERCASE_IN_PATH' end, case when contains(url, '/r/') then 'HAS_BUCKET' end], lambda x: x is not null) as issues from (select distinct url from v_visits)")
