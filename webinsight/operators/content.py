@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webinsight.functions.norm import canon_key, canonical_url, facet_pairs
+from webinsight.functions.norm import canon_key, canonical_url, facet_pairs, fold
 
 
 def failure_tags(url: Column) -> Column:
@@ -78,9 +78,10 @@ def publish_set(content: DataFrame) -> DataFrame:
 
 def facet_keys(visits: DataFrame) -> DataFrame:
     """(cat, key, visits, revenue, urls, sample): traffic by category and facet key in URL order."""
+    sums = visits.groupBy(F.col("deepest_cat").alias("cat"), "url").agg(F.count("*").alias("visits"), F.sum("revenue").alias("revenue"))
     slugs = F.transform(facet_pairs(F.col("url")), lambda p: p["slug"])
-    rows = visits.select(F.col("deepest_cat").alias("cat"), F.array_join(slugs, "~").alias("key"), "revenue", "url").filter("key <> ''")
-    return rows.groupBy("cat", "key").agg(F.count("*").alias("visits"), F.sum("revenue").cast("double").alias("revenue"), F.count_distinct("url").alias("urls"), F.min("url").alias("sample"))
+    rows = sums.withColumn("key", F.array_join(slugs, "~")).filter("key <> ''")
+    return rows.groupBy("cat", "key").agg(F.sum("visits").alias("visits"), F.sum("revenue").cast("double").alias("revenue"), F.count("*").alias("urls"), F.min("url").alias("sample"))
 
 
 def gap_combos(traffic: DataFrame, covered: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def gap_bands(graded: DataFrame) -> DataFrame:
     return graded.groupBy(band.alias("band"), "grade").agg(F.count("*").alias("combos"), F.sum("visits").alias("visits"), F.sum("revenue").cast("decimal(20,4)").cast("double").alias("revenue"))
 
 
-def title_blueprint(rows: DataFrame, rules: DataFrame, limit: int = 60) -> DataFrame:
+def title_blueprint(rows: DataFrame, rules: DataFrame, limit: int = 200) -> DataFrame:
     """rows (id, noun, slugs) with rules (slug, word, place, pin): facet words by place, pinned ones last, after the noun;
     words are dropped from the end until the title fits."""
     each = rows.select("id", "noun", F.explode("slugs").alias("slug")).join(rules, "slug")
@@ -141,14 +142,31 @@ def build_queue(gaps: DataFrame, covered: DataFrame, impossible: DataFrame) -> D
     return rows.withColumn("skip", F.when(F.col("ck") == "", "empty").when(F.col("__c"), "covered").when(F.col("__i"), "impossible")).drop("__c", "__i")
 
 
-def topic_drift(docs: DataFrame, least: int = 4) -> DataFrame:
-    """docs (id, title, text): words of a text that end like the title's last word but have another head that is some title's own word."""
-    titles = docs.select("id", F.lower(F.element_at(F.split("title", " "), -1)).alias("head"), F.lower("text").alias("text"))
-    vocabulary = titles.select(F.col("head").alias("word")).distinct()
-    words = titles.select("id", "head", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0)))).alias("word"))
-    tail = F.right("head", F.lit(least))
-    rows = words.filter((F.length("head") >= least) & F.endswith("word", tail) & (F.col("word") != F.col("head")))
-    return rows.join(vocabulary, "word", "left_semi").groupBy("id").agg(F.count("*").alias("n_drift"), F.min("word").alias("example"))
+def _plain(c: Column) -> Column:
+    """Lower case, without marks, hyphens and blanks."""
+    return F.regexp_replace(fold(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+
+
+def topic_drift(docs: DataFrame, least: int = 6, head: int = 3) -> DataFrame:
+    """docs (id, title, text): words of a text that share the tail of the title's last word but have another head.
+
+    A tail has `least` letters or more, leaves `head` or more of the title's word, and is some title's last word itself. Words that
+    the title holds, or whose head it holds, are no drift. The longest tail with such words wins: id, tail, words, and
+    in_opening, whether one of them is in the first sentence.
+    """
+    rows = docs.select("id", _plain(F.regexp_extract(F.trim(F.coalesce("title", F.lit(""))), r"(\S+)$", 1)).alias("last"), _plain(F.col("title")).alias("full"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "<[^>]+>", " ")).alias("text"))
+    vocabulary = rows.select(F.col("last").alias("tail")).distinct()
+    size = F.length("last")
+    tails = rows.filter(size >= least + head).select("id", "last", "full", F.explode(F.transform(F.sequence(F.lit(least), size - head), lambda k: F.right(F.col("last"), k))).alias("tail"))
+    tails = tails.join(vocabulary, "tail", "left_semi")
+    words = rows.select("id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)), _plain))).alias("word"))
+    rest = F.expr("left(word, length(word) - length(tail))")
+    other = F.endswith("word", F.col("tail")) & (F.col("word") != F.col("last")) & ~F.contains("full", F.col("word")) & (F.length(rest) >= head) & ~((F.length(rest) >= 4) & F.contains("full", rest))
+    hits = words.join(tails, "id").filter(other)
+    found = hits.groupBy("id", "tail").agg(F.array_sort(F.collect_set("word")).alias("words"))
+    best = found.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.length("tail"))))).filter("rn = 1").drop("rn")
+    opening = rows.select("id", _plain(F.get(F.split("text", r"(?<=[.!?])\s", 2), F.lit(0))).alias("opening"))
+    return best.join(opening, "id").select("id", "tail", "words", F.exists("words", lambda w: F.contains(F.col("opening"), w)).alias("in_opening"))
 
 
 def sister_scan(docs: DataFrame, cats: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from webinsight.functions.norm import keyword_norm
 from webinsight.functions.text import plain_tokens, stem
+from webinsight.operators.common import stage
 
 #: Fixed values: (threshold, adjustment), the first that the value meets.
 COVERAGE_BANDS = ((90.0, 8), (75.0, 3), (60.0, 0), (40.0, -8), (0.0, -18))
@@ -18,6 +20,31 @@ DOMINANCE_BANDS = ((0.85, 6), (0.65, 2), (0.45, 0), (0.30, -8), (0.0, -15))
 COUNT_BANDS = ((1000, 0), (500, -3), (200, -8), (100, -12), (0, -15))
 DOMINANCE_MIN_COUNT = 1000
 FUZZY_MIN, FUZZY_STRICT, MIN_LENGTH, LENGTH_RATIO, SYNONYM_SCORE = 80, 95, 3, 0.4, 95
+STRICT_FACETS = ("winkel", "merk")
+#: Words that alone don't tell what is searched (sizes, colours, shapes; nouns; forms of a product).
+GENERIC_ADJECTIVES = (
+    "mini midi maxi mega micro macro small medium large xs s m l xl xxl xxxl klein kleine groot grote middel middelgroot middelgrote "
+    "kort korte lang lange smal smalle breed brede dun dunne dik dikke hoog hoge laag lage compact compacte "
+    "wit witte zwart zwarte grijs grijze rood rode blauw blauwe groen groene geel gele oranje paars paarse roze bruin bruine "
+    "beige creme crème goud gouden zilver zilveren rond ronde vierkant vierkante rechthoekig rechthoekige ovaal ovale plat platte "
+    "glad gladde ruw ruwe zacht zachte hard harde metalen houten plastic rubber rubberen basic standaard algemeen algemene"
+).split()
+GENERIC_NOUNS = "meubel meubels meubilair set sets kast kasten huis huisje huisjes tafel tafels stoel stoelen lamp lampen accessoire accessoires onderdeel onderdelen systeem systemen unit units pakket pakketten".split()
+GENERIC_FORMS = "poeder poeders spray sprays gel gels tablet tabletten capsule capsules korrel korrels vloeibaar vloeistof pasta schuim stick sticks doekje doekjes druppels".split()
+#: Names of shops that often match by chance, and (pattern in the query, pattern in the value, penalty).
+GENERIC_VALUES = ["action", "action.com", "hema", "ikea", "kruidvat", "kruidvat.nl", "blokker", "gamma", "praxis", "karwei", "bol.com", "amazon", "mediamarkt", "coolblue", "wehkamp", "leen bakker"]
+BAD_PAIRS = [
+    (r"\bboren\b", "appelboren", -40),
+    (r"\bzwembad\b", "zwembadfonteinen", -30),
+    (r"\bpomp\b", "pompons", -40),
+    (r"(?:\btoilet\b.*fontein|fontein.*toilet|fontein.*wc|wc.*fontein)\b", "vijverfonteinen", -40),
+    (r"\bopblaasba", "buttplugs|dildo|vibrator", -50),
+    (r"\bmagnetron\b", "magnetronsterilisators", -30),
+    (r"\bauto\b", "autopeds", -30),
+    (r"\bbank\b.*kopen|kopen.*bank\b", "bankhoezen", -20),
+    (r"\bkeuken\b", "keukenpincetten", -30),
+]
+LONG_TOKEN, SEMANTIC_MIN_COUNT, MAX_DEPTH = 8, 10, 6
 
 
 def category_volume(keywords: DataFrame, forms: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -53,30 +80,75 @@ def keyword_redirects(paths: DataFrame, results: DataFrame) -> DataFrame:
     return best.select("old", F.col("b.combo").alias("combo"), F.col("b.n").alias("n"))
 
 
-def _indel(a: str, b: str) -> float:
-    """100 (len a + len b - insertions and deletions) / (len a + len b), by the longest common subsequence."""
-    if not a or not b:
-        return 100.0 if a == b else 0.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        left = 0
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], left + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+def common_length(a: list[str], b: list[str]) -> np.ndarray:
+    """Length of the longest common subsequence of each pair, all pairs at once: a row of bits for each a, a step for each place in b
+    (bit-parallel; letters beyond 63 are carried in further words)."""
+    n = len(a)
+    wide = max((len(x) for x in a), default=0)
+    long = max((len(x) for x in b), default=0)
+    words = max((wide + 62) // 63, 1)
+    code = lambda texts, width, pad: np.array([[*map(ord, x), *[pad] * (width - len(x))] for x in texts], np.int32).reshape(n, width)
+    left, right = code(a, words * 63, -1).reshape(n, words, 63), code(b, long, -2)
+    weight = np.uint64(1) << np.arange(63, dtype=np.uint64)
+    full = np.uint64((1 << 63) - 1)
+    rows = np.full((n, words), full)
+    for j in range(long):
+        match = ((left == right[:, j, None, None]) * weight).sum(axis=2, dtype=np.uint64)
+        carry = np.zeros(n, np.uint64)
+        for w in range(words):
+            row = rows[:, w]
+            hit = row & match[:, w]
+            total = row + hit + carry
+            carry = total >> np.uint64(63)
+            rows[:, w] = (total & full) | (row & ~match[:, w])
+    inside = np.arange(words * 63).reshape(words, 63) < np.array([len(x) for x in a]).reshape(n, 1, 1)
+    return ((((rows[:, :, None] >> np.arange(63, dtype=np.uint64)) & np.uint64(1)) == 0) & inside).sum(axis=(1, 2))
 
 
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """100 (len a + len b - insertions and deletions) / (len a + len b)."""
     for a, b in pairs:
-        yield pd.Series([_indel(x, y) for x, y in zip(a, b, strict=True)])
+        size = (a.str.len() + b.str.len()).to_numpy(float)
+        yield pd.Series(np.where(size > 0, 200.0 * common_length(a.tolist(), b.tolist()) / np.maximum(size, 1), 100.0))
+
+
+def _pieces(length: Column, most: Column) -> Column:
+    """(start from 1, size) of most + 1 pieces that cover a text of that length, as even as can be."""
+    n = F.least(most + 1, length)
+    edge = lambda i: F.floor(i * length / n).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((edge(i) + 1).alias("start"), (edge(i + 1) - edge(i)).alias("size")))
+
+
+def near_pairs(left: DataFrame, right: DataFrame, threshold: int = FUZZY_MIN) -> DataFrame:
+    """(k, vk): every pair of k of left and vk of right whose indel ratio may reach the threshold; none is lost.
+
+    A ratio of t allows d = (1 - t / 100) (len k + len vk) insertions and deletions. Cut vk into d + 1 pieces: an edit spoils
+    one at most, so one of them stands in k, d places off its own at most. So pairs are found by equi-joins on
+    (both lengths, piece number, piece), at any position of the errors, and only they are compared.
+    """
+    slack = (100 - threshold) / 100
+    edits = F.floor(slack * (F.col("lk") + F.col("lv")) + 1e-9).cast("int")
+    low = lambda n: F.greatest(F.lit(MIN_LENGTH), F.ceil(n * F.greatest(F.lit(LENGTH_RATIO), F.lit((1 - slack) / (1 + slack))) - 1e-9)).cast("int")
+    high = lambda n: F.floor(n * min(1 / LENGTH_RATIO, (1 + slack) / (1 - slack)) + 1e-9).cast("int")
+    lengths = lambda n: F.explode(F.when(low(n) <= high(n), F.sequence(low(n), high(n))))
+    right = right.select("vk").distinct().withColumn("lv", F.length("vk")).filter(F.col("lv") >= MIN_LENGTH)
+    right = right.withColumn("lk", lengths(F.col("lv"))).select("vk", "lk", "lv", F.posexplode(_pieces(F.col("lv"), edits)).alias("at", "p"))
+    right = right.select("vk", "lk", "lv", "at", F.substring(F.col("vk"), F.col("p.start"), F.col("p.size")).alias("piece"))
+    left = left.select("k").distinct().withColumn("lk", F.length("k")).filter(F.col("lk") >= MIN_LENGTH)
+    left = left.withColumn("lv", lengths(F.col("lk"))).withColumn("d", edits).select("k", "lk", "lv", "d", F.posexplode(_pieces(F.col("lv"), F.col("d"))).alias("at", "p"))
+    first, last = F.greatest(F.lit(1), F.col("p.start") - F.col("d")), F.least(F.col("lk") - F.col("p.size") + 1, F.col("p.start") + F.col("d"))
+    left = left.select("k", "lk", "lv", "at", F.explode(F.array_distinct(F.when(first <= last, F.transform(F.sequence(first, last), lambda i: F.substring(F.col("k"), i, F.col("p.size")))))).alias("piece"))
+    return left.join(right, ["lk", "lv", "at", "piece"]).select("k", "vk").distinct()
 
 
 def match_keywords(queries: DataFrame, values: DataFrame, synonyms: DataFrame, threshold: int = FUZZY_MIN) -> DataFrame:
-    """queries (query) to values (value_id, value, count): exact, then without blanks and marks, then by synonym, then
-    fuzzy. Only queries without an equi-join match reach the fuzzy stage, and there only candidates that share the first
-    three letters of a token and are alike in length. The largest count wins among equals."""
+    """queries (query) to values (value_id, value, count, and facet where there is one): exact, then without blanks and marks,
+    then by synonym, then fuzzy. Only queries without an equi-join match reach the fuzzy stage, which sees every value that
+    may reach the threshold; values of a STRICT_FACETS facet need FUZZY_STRICT. The largest count wins among equals."""
+    facet = F.lower("facet") if "facet" in values.columns else F.lit(None).cast("string")
     q = queries.select("query", keyword_norm(F.col("query")).alias("k")).distinct()
-    v = values.select("value_id", "value", "count", keyword_norm(F.col("value")).alias("vk"))
+    v = values.select("value_id", "value", "count", keyword_norm(F.col("value")).alias("vk"), F.coalesce(facet.isin(*STRICT_FACETS), F.lit(False)).alias("strict"))
     tight = lambda c: F.regexp_replace(c, "[^a-z0-9]", "")
     cols = ["query", "value_id", "value", "count", "score", "how"]
     exact = q.join(v, F.col("k") == F.col("vk")).withColumns({"score": F.lit(100.0), "how": F.lit("exact")}).select(cols)
@@ -84,19 +156,30 @@ def match_keywords(queries: DataFrame, values: DataFrame, synonyms: DataFrame, t
     syn = q.join(synonyms, F.col("k") == F.col("word")).join(v, F.col("meaning") == F.col("vk")).withColumns({"score": F.lit(float(SYNONYM_SCORE)), "how": F.lit("synonym")}).select(cols)
     sure = exact.unionByName(near).unionByName(syn)
     open_q = q.join(sure.select("query").distinct(), "query", "left_anti").filter(F.length("k") >= MIN_LENGTH)
-    block = lambda c: F.explode(F.array_distinct(F.transform(F.filter(plain_tokens(c), lambda t: F.length(t) >= MIN_LENGTH), lambda t: F.substring(t, 1, 3))))
-    pairs = open_q.withColumn("b", block(F.col("k"))).join(v.filter(F.length("vk") >= MIN_LENGTH).withColumn("b", block(F.col("vk"))), "b").drop("b").dropDuplicates(["query", "value_id"])
-    short, long = F.least(F.length("k"), F.length("vk")), F.greatest(F.length("k"), F.length("vk"))
-    fuzzy = pairs.filter(short >= LENGTH_RATIO * long).withColumn("score", indel_ratio("k", "vk")).filter(F.col("score") >= threshold).withColumn("how", F.lit("fuzzy")).select(cols)
+    pairs = near_pairs(open_q, v, threshold).withColumn("score", indel_ratio("k", "vk")).filter(F.col("score") >= threshold)
+    fuzzy = open_q.join(pairs, "k").join(v, "vk").filter(~F.col("strict") | (F.col("score") >= FUZZY_STRICT)).withColumn("how", F.lit("fuzzy")).select(cols)
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.desc("count"), "value_id")
     return sure.unionByName(fuzzy).withColumn("rn", F.row_number().over(best)).filter("rn = 1").drop("rn")
 
 
+def numeric_signature(text: Column) -> Column:
+    """Number groups of a text as a set: dimensions with their sides in order ("5x3" is "3x5"), and the numbers outside them."""
+    dimension, number = r"\d+(?:[.,]\d+)?\s*[x×]\s*\d+(?:[.,]\d+)?", r"\d+(?:[.,]\d+)?"
+    low = F.lower(F.coalesce(text, F.lit("")))
+    numbers = lambda c: F.transform(F.regexp_extract_all(c, F.lit(number), F.lit(0)), lambda x: F.replace(x, F.lit(","), F.lit(".")))
+    in_order = lambda c: F.transform(F.array_sort(F.transform(numbers(c), lambda x, i: F.struct(x.cast("double").alias("n"), i.alias("i"), x.alias("x")))), lambda s: s["x"])
+    sides = F.transform(F.regexp_extract_all(low, F.lit(dimension), F.lit(0)), lambda d: F.array_join(in_order(d), "x"))
+    return F.array_distinct(F.concat(sides, numbers(F.regexp_replace(low, dimension, " "))))
+
+
 def token_coverage(queries: DataFrame, values: DataFrame, least: int = 50) -> DataFrame:
-    """floor(50 coverage + 30 specificity + 20 adjacency) of value tokens in the query, joined on stems; best value a query."""
+    """floor(50 coverage + 30 specificity + 20 adjacency) of value tokens in the query, joined on stems; a value whose number
+    groups aren't all in the query is no match; best value a query."""
     q = queries.select("query", F.posexplode(F.transform(plain_tokens(F.col("query")), stem)).alias("pos", "s"), F.size(plain_tokens(F.col("query"))).alias("nq"))
-    v = values.select("value_id", "count", F.explode(F.array_distinct(F.transform(plain_tokens(F.col("value")), stem))).alias("s"), F.size(F.array_distinct(F.transform(plain_tokens(F.col("value")), stem))).alias("nv"))
-    rows = q.join(v, "s").groupBy("query", "value_id", "count", "nq", "nv").agg(F.count_distinct("s").alias("m"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    v = values.select("value_id", "count", "value", F.explode(F.array_distinct(F.transform(plain_tokens(F.col("value")), stem))).alias("s"), F.size(F.array_distinct(F.transform(plain_tokens(F.col("value")), stem))).alias("nv"))
+    q = q.withColumn("q_numbers", numeric_signature(F.col("query")))
+    v = v.withColumn("v_numbers", numeric_signature(F.col("value"))).drop("value")
+    rows = q.join(v, "s").filter(F.size(F.array_except("v_numbers", "q_numbers")) == 0).groupBy("query", "value_id", "count", "nq", "nv").agg(F.count_distinct("s").alias("m"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     adj = F.when(F.col("hi") - F.col("lo") + 1 <= F.col("m"), 1.0).otherwise(F.col("m") / (F.col("hi") - F.col("lo") + 1))
     rows = rows.withColumn("score", F.floor(50.0 * F.col("m") / F.col("nv") + 30.0 * F.least(F.col("m") / F.col("nq"), F.lit(1.0)) + 20.0 * adj).cast("long")).filter(F.col("score") >= least)
     w = Window.partitionBy("query").orderBy(F.desc("m"), F.desc("score"), F.desc("count"), "value_id")
@@ -114,11 +197,38 @@ def resolve_duplicates(values: DataFrame, share: float = 0.7) -> DataFrame:
 
 
 def dominant_category(counts: DataFrame) -> DataFrame:
-    """counts (query, main_cat, deepest_cat, n): the main category of most products, in it the deepest; share among siblings."""
-    total = counts.groupBy("query", "main_cat").agg(F.sum("n").alias("n_main"), F.max(F.struct("n", "deepest_cat")).alias("d"))
-    w = Window.partitionBy("query")
-    rows = total.withColumns({"all": F.sum("n_main").over(w), "rn": F.row_number().over(w.orderBy(F.desc("n_main"), "main_cat"))}).filter("rn = 1")
-    return rows.select("query", "main_cat", (F.col("n_main") / F.col("all")).alias("share"), F.col("d.deepest_cat").alias("deepest_cat"), (F.col("d.n") / F.col("n_main")).alias("deep_share"), F.col("n_main").alias("count"))
+    """counts (query, category, name, depth, n): the category that a query's results lie in.
+
+    From the largest category of the least depth, down to its largest child at each further depth (a child's key begins with its
+    parent's and _), until there is none. Then a category elsewhere whose name holds more of the query's words takes over, if it
+    has SEMANTIC_MIN_COUNT results or more and isn't above the one found. Ties go to the least key. share: of the siblings.
+    """
+    rows = counts.withColumn("level", F.dense_rank().over(Window.partitionBy("query").orderBy("depth")))
+    words = lambda c: F.array_distinct(F.transform(plain_tokens(c), stem))
+    rows = rows.withColumn("sem", F.size(F.array_intersect(words(F.col("query")), words(F.col("name")))))
+    rows = stage(rows.withColumn("parent", F.when(F.col("category").contains("_"), F.regexp_replace("category", "_[^_]*$", "")).otherwise("")), "category-counts")
+    pick = lambda df, order: df.withColumn("rn", F.row_number().over(Window.partitionBy("query").orderBy(*order))).filter("rn = 1")
+    total = F.sum("n").over(Window.partitionBy("query")).alias("of")
+    top = pick(rows.filter("level = 1").select("query", "category", "depth", "n", "sem", total), [F.desc("n"), "category"]).drop("rn").withColumn("open", F.lit(True))
+    for level in range(2, MAX_DEPTH + 1):
+        kids = rows.filter(F.col("level") == level).select("query", *(F.col(c).alias(f"k_{c}") for c in ("category", "depth", "n", "sem")))
+        kids = kids.join(top.filter("open").select("query", "category"), "query").filter(F.startswith("k_category", F.concat("category", F.lit("_"))))
+        kids = kids.withColumn("k_of", F.sum("k_n").over(Window.partitionBy("query"))).drop("category")
+        top = top.join(pick(kids, [F.desc("k_n"), "k_category"]).drop("rn"), "query", "left")
+        went = F.col("k_category").isNotNull()
+        # A depth of the query at which the branch has no child ends it.
+        ended = rows.filter(F.col("level") == level).select("query").distinct().withColumn("there", F.lit(True))
+        top = top.join(ended, "query", "left")
+        top = top.select("query", *(F.when(went, F.col(f"k_{c}")).otherwise(F.col(c)).alias(c) for c in ("category", "depth", "n", "sem", "of")), (F.col("open") & (went | F.col("there").isNull())).alias("open"))
+    other = rows.select("query", *(F.col(c).alias(f"o_{c}") for c in ("category", "depth", "n", "sem", "parent"))).join(top.select("query", "category", "sem"), "query")
+    other = other.filter((F.col("o_category") != F.col("category")) & ~F.startswith("category", F.concat("o_category", F.lit("_"))))
+    other = pick(other, [F.desc("o_sem"), F.desc("o_n"), "o_category"]).filter((F.col("o_sem") > F.col("sem")) & (F.col("o_n") >= SEMANTIC_MIN_COUNT))
+    sisters = rows.groupBy("query", F.col("depth").alias("o_depth"), F.col("parent").alias("o_parent")).agg(F.sum("n").alias("o_of"))
+    other = other.join(sisters, ["query", "o_depth", "o_parent"]).select("query", "o_category", "o_depth", "o_n", "o_of", "o_sem")
+    out = top.join(other, "query", "left")
+    better = lambda c: F.coalesce(F.col(f"o_{c}"), F.col(c)).alias(c)
+    out = out.select("query", better("category"), better("depth"), better("n"), better("of"), F.coalesce("o_sem", F.lit(0)).cast("int").alias("semantic"))
+    return out.select("query", "category", "depth", F.col("n").alias("count"), (F.col("n") / F.col("of")).alias("share"), "semantic")
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -161,10 +271,83 @@ def tier(score: Column) -> Column:
     return F.when(score >= 90, "A").when(score >= 75, "B").when(score >= 50, "C").otherwise("D")
 
 
-def reliability(base: Column, exact: Column, numeric_ok: Column, brand_lost: Column, facet_kept: Column) -> Column:
-    """Base with bonuses and penalties; a lost number rejects (0)."""
-    score = base + F.when(exact, 10).otherwise(0) + F.when(facet_kept, 5).otherwise(0) - F.when(brand_lost, 20).otherwise(0)
-    return F.when(~numeric_ok, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), score))).cast("int")
+def _tokens(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def value_is_query(keyword: Column, value: Column) -> Column:
+    """All words of the keyword are in the value, plurals aside, and the value has one more at most."""
+    plain = lambda c: F.array_distinct(F.transform(_tokens(c), lambda t: F.when((F.length(t) > 3) & t.endswith("s"), F.regexp_replace(t, "s$", "")).otherwise(t)))
+    k, v = plain(keyword), plain(value)
+    return (F.size(k) > 0) & (F.size(v) > 0) & (F.size(F.array_except(k, v)) == 0) & (F.size(v) - F.size(k) <= 1)
+
+
+def bridges(keyword: Column, value: Column) -> Column:
+    """A word of the keyword and one of the value are equal, or share a stem of four letters or more; plural spellings
+    (a last v or z for f or s, double vowels) count as one."""
+    loose = lambda t: F.regexp_replace(F.regexp_replace(t, "s+$", ""), "e+$", "")
+    cut = lambda t: F.regexp_replace(t, "^(.{3,}?)(?:eren|en|s)$", "$1")
+    deep = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(cut(t), "v$", "f"), "z$", "s"), r"([aeou])\1+", "$1")
+    forms = lambda ts: F.transform(ts, lambda t: F.struct(t.alias("t"), loose(t).alias("l"), deep(t).alias("d")))
+    k, v = forms(F.filter(_tokens(keyword), lambda t: F.length(t) >= 3)), forms(_tokens(value))
+    long = lambda c: F.length(c) >= 4
+    same = lambda a, b: (
+        (a["t"] == b["t"])
+        | (long(a["l"]) & (b["t"].contains(a["l"]) | (long(b["t"]) & a["t"].contains(b["l"]))))
+        | (long(a["t"]) & long(b["t"]) & (b["d"].contains(a["d"]) | a["d"].contains(b["d"])))
+    )
+    return F.exists(k, lambda a: F.exists(v, lambda b: same(a, b)))
+
+
+def reject_reason(matched: Column, unmatched: Column, kind: Column) -> Column:
+    """Why a match is worth nothing; null where it stands. Words are lower-cased; a null list is empty."""
+    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda w: F.lower(F.trim(w))), lambda w: w != "")
+    have, lack = clean(matched), clean(unmatched)
+    listed = lambda *lists: F.array(*(F.lit(w) for ws in lists for w in ws))
+    only = lambda *lists: (F.size(have) > 0) & (F.size(F.array_except(have, listed(*lists))) == 0)
+    every = (GENERIC_ADJECTIVES, GENERIC_NOUNS, GENERIC_FORMS)
+    special = F.exists(F.array_except(lack, listed(*every)), lambda w: w.rlike(r"^\p{L}{4,}$"))
+    return (
+        F.when(only(GENERIC_ADJECTIVES), "generic adjectives only")
+        .when((kind == "cross_category_type") & only(GENERIC_ADJECTIVES, GENERIC_NOUNS), "generic words across categories")
+        .when(special & only(*every), "generic words only, special ones unmatched")
+        .when(F.exists(lack, lambda w: F.length(w) >= LONG_TOKEN), "long word unmatched")
+    )
+
+
+def reliability(matches: DataFrame) -> DataFrame:
+    """matches (keyword, value_names, kind, match_score, facet_count, cross, reason, coverage, h1, matched, unmatched) with
+    reject, score (0 to 100) and tier.
+
+    A match by the name of a sub-category is rated by its score and coverage; any other by 60 points of its score, bonuses for staying
+    in the category and for exact matches, penalties for fallbacks, shop names, known bad pairs, coverage and unlike headings. Then
+    rejects give 0, a dropped facet 25 at most, and a value that is the query 90 (a synonym 80) at least.
+    """
+    zero = lambda cond, n: F.when(cond, F.lit(float(n))).otherwise(0.0)
+    rows = matches.withColumn("reject", reject_reason(F.col("matched"), F.col("unmatched"), F.col("kind")))
+    low, values = F.lower(F.coalesce("keyword", F.lit(""))), F.lower(F.coalesce("value_names", F.lit("")))
+    rows = rows.withColumns({
+        "__generic": F.exists(F.array(*map(F.lit, GENERIC_VALUES)), lambda g: values.contains(g)),
+        "__bad": F.least(F.lit(0.0), F.lit(0.0), *(zero(low.rlike(a) & values.rlike(b), n) for a, b, n in BAD_PAIRS)),
+        "__bridged": (F.col("kind") != "facet_probe_fallback") | bridges(F.col("keyword"), F.col("value_names")),
+        "__equal": value_is_query(F.col("keyword"), F.col("value_names")),
+        "cross": F.coalesce("cross", F.lit(False)),
+    })
+    m, cov, kind, cross = F.col("match_score"), F.coalesce("coverage", F.lit(100.0)), F.col("kind"), F.col("cross")
+    name = F.when(m == 100, 95.0).when(m >= 95, 75 + (m - 95) * 2.5).otherwise(50 + (m - 80) * 1.4)
+    name = name - F.when(cov < 50, 30).when(cov < 75, 15).when(cov < 100, 5).otherwise(0)
+    facet = m / 100 * 60 + zero(~cross, 20) + zero(m == 100, 10) + zero(kind == "category_fallback", -25) + zero(kind == "cross_category_type", -15) + zero(F.col("__generic"), -15)
+    facet = facet + zero(F.col("__generic") & cross, -10) + F.col("__bad") + zero(cross & F.contains("reason", F.lit("[maincat]")), -10) + zero(cross & F.contains("reason", F.lit("[parent_subcat]")), -5)
+    facet = facet + F.when(cov < 25, -35).when(cov < 50, -20).when(cov < 75, -10).otherwise(0)
+    facet = facet + F.when(F.col("h1").isNull(), 0).when(F.col("h1") >= 85, 5).when(F.col("h1") >= 70, 0).when(F.col("h1") >= 50, -10).otherwise(-20)
+    facet = F.when(kind == "duplicate_facet_dropped", F.least(facet, F.lit(25.0))).otherwise(facet)
+    whole = (F.col("facet_count") <= 1) & (cov >= 100) & (F.coalesce(F.size("unmatched"), F.lit(0)) <= 0)
+    floor = F.when(whole & F.col("__equal"), 90.0).when(whole & (kind == "synonym"), 80.0).otherwise(0.0)
+    dead = (kind != "subcategory_name") & ((cross & (cov < 33)) | ~F.col("__bridged"))
+    rows = rows.withColumn("__points", F.when(kind == "subcategory_name", name).otherwise(F.greatest(facet, floor)))
+    score = F.when(F.col("reject").isNotNull() | dead, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), F.col("__points").cast("int"))))
+    rows = rows.withColumn("score", score.cast("int")).withColumn("tier", tier(F.col("score")))
+    return rows.drop("__generic", "__bad", "__bridged", "__equal", "__points")
 
 
 def run_summary(scored: DataFrame, done: DataFrame) -> DataFrame:

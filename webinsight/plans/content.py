@@ -242,13 +242,14 @@ def _(t):
     return S.import_missing(up, have).select("url", "content")
 
 
+TITLE_LIMIT = 200
 _RULES = [("line", "Line", 2, False), ("size", "Sized", 1, False), ("bulk", "in bulk", 9, True), ("rare", "Rare", 0, False)]
 _RULES_SQL = "rules as (select * from (values ('line', 'Line', 2, false), ('size', 'Sized', 1, false), ('bulk', 'in bulk', 9, true), ('rare', 'Rare', 0, false)) r(slug, word, place, pin))"
 
 
 def titles(t):
     tr = traffic(t).select(F.concat_ws("|", "cat", "key").alias("id"), F.col("cat").alias("noun"), F.split("key", "~").alias("slugs"))
-    return C.title_blueprint(tr, t.spark.createDataFrame(_RULES, "slug string, word string, place int, pin boolean"), 60)
+    return C.title_blueprint(tr, t.spark.createDataFrame(_RULES, "slug string, word string, place int, pin boolean"), TITLE_LIMIT)
 
 
 @query("con_10_title_blueprint", f"with {_TRAFFIC}, {_RULES_SQL}, e as (select cat || '|' || key as id, cat as noun, unnest(string_split(key, '~')) as slug from traffic), w as (select id, noun, string_agg(word, ' ' order by place, e.slug, word) filter (not pin) as b, string_agg(word, ' ' order by place, e.slug, word) filter (pin) as a from e join rules using (slug) group by all) select id, concat_ws(' ', b, noun, a) as title from w")
@@ -286,9 +287,19 @@ def _(t):
     return impossible(t)
 
 
-@query("con_13_topic_drift")
+_DRIFT_SQL = """with d as (select doc_id as id, regexp_extract(text, '([a-z]{9,})', 1) as last, trim(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g')) as text from documents),
+  v as (select distinct last as tail from d), s as (select id, last, unnest(list_transform(range(6, len(last) - 2), lambda k: right(last, k))) as tail from d where len(last) >= 9),
+  t as (select s.* from s join v using (tail)), w as (select id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) as word from d),
+  h as (select id, tail, word, left(word, len(word) - len(tail)) as rest from w join t using (id) where ends_with(word, tail) and word <> last and not contains(last, word)
+    and len(word) - len(tail) >= 3 and not (len(word) - len(tail) >= 4 and contains(last, left(word, len(word) - len(tail))))),
+  g as (select id, tail, list_sort(list(distinct word)) as words from h group by all), b as (select * from (select *, row_number() over (partition by id order by len(tail) desc) as rn from g) where rn = 1),
+  o as (select id, regexp_replace(strip_accents(lower(regexp_extract(text, '^((?s:.*?)[.!?])\\s', 1))), '[^a-z0-9]', '', 'g') as one, regexp_replace(strip_accents(lower(text)), '[^a-z0-9]', '', 'g') as every, regexp_matches(text, '[.!?]\\s') as cut from d)
+  select b.id, tail, words, len(list_filter(words, lambda x: contains(case when cut then one else every end, x))) > 0 as in_opening from b join o using (id)"""
+
+
+@query("con_13_topic_drift", _DRIFT_SQL)
 def _(t):
-    docs = t("documents").select(F.col("doc_id").alias("id"), F.regexp_extract("text", "([a-z]{6,})", 1).alias("title"), "text")
+    docs = t("documents").select(F.col("doc_id").alias("id"), F.regexp_extract("text", "([a-z]{9,})", 1).alias("title"), "text")
     return C.topic_drift(docs)
 
 

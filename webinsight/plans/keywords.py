@@ -49,8 +49,11 @@ def values(t):
 
 
 def misspelt(t):
-    n = F.col("p_partkey") % 3
-    return t("part").select(F.when(n == 0, F.col("p_name")).when(n == 1, F.regexp_replace("p_name", "(.{4})(.)", "$1x$2")).otherwise(F.concat("p_name", F.lit("s")))).toDF("query")
+    """One letter more at any place, one less, or a plural."""
+    n = F.col("p_partkey") % 4
+    more = F.concat(F.expr("left(p_name, p_partkey % (length(p_name) - 1))"), F.lit("x"), F.expr("substr(p_name, p_partkey % (length(p_name) - 1) + 1)"))
+    less = F.concat(F.expr("left(p_name, p_partkey % (length(p_name) - 1))"), F.expr("substr(p_name, p_partkey % (length(p_name) - 1) + 2)"))
+    return t("part").select(F.when(n == 0, F.col("p_name")).when(n == 1, more).when(n == 2, less).otherwise(F.concat("p_name", F.lit("s")))).toDF("query")
 
 
 @query("key_05_match_keywords")
@@ -73,11 +76,16 @@ def _(t):
     return K.resolve_duplicates(rows.groupBy("name", "category").agg(F.count("*").alias("count")))
 
 
-@query("key_08_dominant_category", "with c as (select p_name as query, replace(lower(p_brand), '#', '_') as main_cat, replace(lower(p_brand), '#', '_') || '_' || lower(p_type) as deepest_cat, count(*) as n from part group by all), t as (select query, main_cat, cast(sum(n) as bigint) as n_main, max({'n': n, 'deepest_cat': deepest_cat}) as d from c group by all), w as (select *, sum(n_main) over (partition by query) as all_n, row_number() over (partition by query order by n_main desc, main_cat) as rn from t) select query, main_cat, n_main / all_n as share, d.deepest_cat as deepest_cat, d.n / n_main as deep_share, n_main as count from w where rn = 1")
+@query("key_08_dominant_category", """with c as (select p_name as query, replace(lower(p_brand), '#', '_') as main_cat, replace(lower(p_brand), '#', '_') || '_' || lower(p_type) as deepest_cat, count(*) as n from part group by all),
+  m as (select query, main_cat, cast(sum(n) as bigint) as n from c group by all), t as (select * from (select *, row_number() over (partition by query order by n desc, main_cat) as rn from m) where rn = 1),
+  k as (select c.*, sum(c.n) over (partition by c.query) as total, row_number() over (partition by c.query order by c.n desc, deepest_cat) as rn from c join t using (query, main_cat))
+  select query, deepest_cat as category, 2 as depth, n as count, n / total as share, 0 as semantic from k where rn = 1""")
 def _(t):
     main = F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_"))
-    rows = t("part").select(F.col("p_name").alias("query"), main.alias("main_cat"), F.concat(main, F.lit("_"), F.lower("p_type")).alias("deepest_cat"))
-    return K.dominant_category(rows.groupBy("query", "main_cat", "deepest_cat").agg(F.count("*").alias("n")))
+    deep = F.concat(main, F.lit("_"), F.lower("p_type"))
+    each = F.explode(F.array(F.struct(main.alias("category"), F.lit(1).alias("depth")), F.struct(deep.alias("category"), F.lit(2).alias("depth")))).alias("c")
+    rows = t("part").select(F.col("p_name").alias("query"), each).select("query", "c.*")
+    return K.dominant_category(rows.withColumn("name", F.col("category")).groupBy("query", "category", "name", "depth").agg(F.count("*").alias("n")))
 
 
 @query("key_09_heading_overlap")
@@ -104,11 +112,42 @@ def _(t):
     return scored(t)
 
 
-@query("key_10_reliability", "select p_partkey, cast(case when p_size % 7 = 0 then 0 else greatest(0, least(100, p_size + 45 + case when p_size % 2 = 0 then 10 else 0 end + case when p_size % 3 = 0 then 5 else 0 end - case when p_size % 5 = 0 then 20 else 0 end)) end as int) as score, case when s >= 90 then 'A' when s >= 75 then 'B' when s >= 50 then 'C' else 'D' end as tier from (select *, case when p_size % 7 = 0 then 0 else p_size + 45 + case when p_size % 2 = 0 then 10 else 0 end + case when p_size % 3 = 0 then 5 else 0 end - case when p_size % 5 = 0 then 20 else 0 end end as s from part)")
-def _(t):
-    n = F.col("p_size")
-    s = K.reliability(n + 45, n % 2 == 0, n % 7 != 0, n % 5 == 0, n % 3 == 0)
-    return t("part").select("p_partkey", s.alias("score"), K.tier(s).alias("tier"))
+_KINDS = ["facet", "subcategory_name", "category_fallback", "cross_category_type", "facet_probe_fallback", "synonym", "duplicate_facet_dropped"]
+_LIST = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+_RELIABLE = f"""m as (select p_partkey as k, p_name as keyword, case p_partkey % 3 when 0 then p_name when 1 then 'HEMA ' || p_name else 'Keuken' end as value_names, {_LIST(_KINDS)}[p_partkey % 7 + 1] as kind,
+    80 + p_size % 21 as match_score, p_partkey % 2 + 1 as facet_count, p_partkey % 4 = 0 as is_cross, case when p_partkey % 2 = 0 then 'x [maincat]' else 'y' end as reason, (p_partkey % 6) * 20.0 as coverage, case when p_size % 3 > 0 then p_size * 2 end as h1,
+    split_part(p_name, ' ', 1) as one, case p_partkey % 11 when 0 then ['waterproofing'] when 1 then [split_part(p_name, ' ', 2)] else [] end as lack from part),
+  w as (select *, list_contains({_LIST(K.GENERIC_ADJECTIVES)}, one) as adj, list_contains({_LIST(K.GENERIC_ADJECTIVES + K.GENERIC_NOUNS)}, one) as noun, list_contains({_LIST(K.GENERIC_ADJECTIVES + K.GENERIC_NOUNS + K.GENERIC_FORMS)}, one) as form from m),
+  r as (select *, case when adj then 'generic adjectives only' when kind = 'cross_category_type' and noun then 'generic words across categories'
+      when form and len(list_filter(lack, lambda x: regexp_matches(x, '^[a-z]{{4,}}$') and not list_contains({_LIST(K.GENERIC_ADJECTIVES + K.GENERIC_NOUNS + K.GENERIC_FORMS)}, x))) > 0 then 'generic words only, special ones unmatched'
+      when len(list_filter(lack, lambda x: len(x) >= 8)) > 0 then 'long word unmatched' end as reject, contains(lower(value_names), 'hema') as generic from w),
+  b as (select *, case when match_score = 100 then 95.0 when match_score >= 95 then 75 + (match_score - 95) * 2.5 else 50 + (match_score - 80) * 1.4 end - case when coverage < 50 then 30 when coverage < 75 then 15 when coverage < 100 then 5 else 0 end as by_name,
+    match_score / 100 * 60 + case when is_cross then 0 else 20 end + case when match_score = 100 then 10 else 0 end - case kind when 'category_fallback' then 25 when 'cross_category_type' then 15 else 0 end - case when generic then 15 else 0 end - case when generic and is_cross then 10 else 0 end
+      - case when is_cross and contains(reason, '[maincat]') then 10 else 0 end - case when coverage < 25 then 35 when coverage < 50 then 20 when coverage < 75 then 10 else 0 end + case when h1 is null then 0 when h1 >= 85 then 5 when h1 >= 70 then 0 when h1 >= 50 then -10 else -20 end as by_facet from r),
+  c as (select *, greatest(case when kind = 'duplicate_facet_dropped' then least(by_facet, 25) else by_facet end, case when facet_count <= 1 and coverage >= 100 and len(lack) = 0 and k % 3 < 2 then 90 when facet_count <= 1 and coverage >= 100 and len(lack) = 0 and kind = 'synonym' then 80 else 0 end) as other from b),
+  reliable as (select k as p_partkey, reject, cast(case when reject is not null or (kind <> 'subcategory_name' and is_cross and coverage < 33) or (kind = 'facet_probe_fallback' and k % 3 = 2) then 0
+    else greatest(0, least(100, trunc(case when kind = 'subcategory_name' then by_name else other end))) end as int) as score from c)"""
+
+
+@query("key_10_reliability", f"with {_RELIABLE} select *, case when score >= 90 then 'A' when score >= 75 then 'B' when score >= 50 then 'C' else 'D' end as tier from reliable")
+def _(t):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    rows = t("part").select(
+        "p_partkey",
+        F.col("p_name").alias("keyword"),
+        F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, F.concat(F.lit("HEMA "), "p_name")).otherwise("Keuken").alias("value_names"),
+        F.element_at(F.array(*map(F.lit, _KINDS)), (k % 7 + 1).cast("int")).alias("kind"),
+        (80 + size % 21).alias("match_score"),
+        (k % 2 + 1).alias("facet_count"),
+        (k % 4 == 0).alias("cross"),
+        F.when(k % 2 == 0, "x [maincat]").otherwise("y").alias("reason"),
+        ((k % 6) * F.lit(20.0)).alias("coverage"),
+        F.when(size % 3 > 0, size * 2).alias("h1"),
+        F.array(word(1)).alias("matched"),
+        F.when(k % 11 == 0, F.array(F.lit("waterproofing"))).when(k % 11 == 1, F.array(word(2))).otherwise(F.array().cast("array<string>")).alias("unmatched"),
+    )
+    return K.reliability(rows).select("p_partkey", "reject", "score", "tier")
 
 
 @query("key_12_run_summary", f"with {_SCORED}, k as (select *, case when score >= 90 then 'A' when score >= 75 then 'B' when score >= 50 then 'C' else 'D' end as tier from scored where l_orderkey % 10 <> 0) select tier, count(*) as n, count(*) * 100.0::double / sum(count(*)) over () as pct from k group by 1")
