@@ -171,3 +171,60 @@ def test_backtests_run_as_surveyed(spark, monkeypatch):
     for name in ("cov_16_backtest_weights", "cov_21_feature_ablation"):
         load().QUERIES[name](spark, SF)
     assert seen == [(4, 300, (0.0, 0.5, 1.0, 2.0, 4.0))] * 3
+
+
+def test_dominant_category_descends_and_is_overridden_by_name(spark):
+    rows = [
+        ("pellets", "tuin_1", "Barbecues", 1, 211), ("pellets", "tuin_2", "Afscheiding", 1, 190), ("pellets", "tuin_2_7", "Gaas", 2, 170), ("pellets", "tuin_1_4", "Houtskool", 2, 90), ("pellets", "tuin_1_5", "Kolen", 2, 60),
+        ("hittebestendige verf", "klus_1", "Schuren", 1, 300), ("hittebestendige verf", "klus_1_3", "Schuurpapier", 2, 200), ("hittebestendige verf", "klus_2", "Schilderen", 1, 80), ("hittebestendige verf", "klus_2_9", "Verf", 2, 60), ("hittebestendige verf", "klus_2_8", "Kwasten", 2, 20),
+        ("koffie", "eten_1", "Koffie", 1, 50), ("koffie", "eten_1_2", "Cups", 2, 40), ("few verf", "klus_1", "Schuren", 1, 30), ("few verf", "klus_2", "Verf", 1, 9),
+    ]
+    got = {r["query"]: (r["category"], r["depth"], r["count"], round(r["share"], 3), r["semantic"]) for r in keywords.dominant_category(spark.createDataFrame(rows, "query string, category string, name string, depth int, n bigint")).collect()}
+    assert got == {
+        "pellets": ("tuin_1_4", 2, 90, 0.6, 0),
+        "hittebestendige verf": ("klus_2_9", 2, 60, 0.75, 1),
+        "koffie": ("eten_1_2", 2, 40, 1.0, 0),
+        "few verf": ("klus_1", 1, 30, round(30 / 39, 3), 0),
+    }
+
+
+def test_topic_drift(spark):
+    text = "Tennis- en padelrackets zijn er volop. Tennisrackets ook."
+    rows = [(1, "Tennisrackets", text), (2, "Rackets", "x"), (3, "Zwarte schoenen", "voetbalschoenen"), (4, "Wegwerp serviezen", "wegwerpserviezen. Later padelrackets"), (5, "Tennisrackets", "Eerst dit. Dan padelrackets")]
+    got = {r["id"]: (r["tail"], r["words"], r["in_opening"]) for r in content.topic_drift(spark.createDataFrame(rows, "id int, title string, text string")).collect()}
+    assert got == {1: ("rackets", ["padelrackets"], True), 5: ("rackets", ["padelrackets"], False)}
+
+
+def test_ingest_rebuilds_whole_dates(spark, tmp_path):
+    """Two batches of one date, a late file of an older one, a replay, and a file without its fields."""
+    from webinsight.sources import logs as SL
+    from webinsight.streaming import stream as ST
+
+    drop, archive, target, ledger, state = (str(tmp_path / n) for n in ("drop", "archive", "cube", "ledger", "state"))
+    catalog = spark.createDataFrame([(1, "/p/1")], "url_id bigint, url string")
+    ranges = spark.createDataFrame([("google", 0, 9)], "operator string, lo bigint, hi bigint")
+    (tmp_path / "drop").mkdir()
+
+    def arrive(name, n, head=True):
+        line = "\t".join(["Googlebot", "shop.example", "/p/1", "200", "Hit", "10", "0.5", "7"])
+        (tmp_path / "drop" / name).write_text(("#Fields: " + " ".join(SL.FIELDS) + "\n" if head else "#Fields: x-host-header\n") + (line + "\n") * n)
+
+    def read():
+        ST.ingest(spark, drop, archive, catalog, ranges, target, ledger, state)
+        hits = {str(r["log_date"]): r["n"] for r in spark.read.parquet(target).groupBy("log_date").agg(F.sum("hits").alias("n")).collect()}
+        books = {str(r["log_date"]): (r["files"], r["raw_lines"], r["hours_present"], r["failed_files"], r["known_rows"]) for r in spark.read.parquet(ledger).collect()}
+        return hits, books
+
+    arrive("A.2024-01-01-00.x.log.gz".replace(".log.gz", ""), 3)
+    arrive("A.2024-01-02-00.x", 5)
+    assert read()[0] == {"2024-01-01": 3, "2024-01-02": 5}
+    arrive("A.2024-01-02-01.x", 2)
+    assert read()[0] == {"2024-01-01": 3, "2024-01-02": 7}
+    arrive("A.2024-01-01-09.x", 4)
+    arrive("B.2024-01-01-09.x", 9, head=False)
+    hits, books = read()
+    assert hits == {"2024-01-01": 7, "2024-01-02": 7}
+    assert books == {"2024-01-01": (3, 16, 2, 1, 7), "2024-01-02": (2, 7, 2, 0, 7)}
+    folders = [d for d in (drop, archive) if ST.exists(spark, d)]
+    ST.rebuild_dates(spark, folders, ["2024-01-01"], catalog, ranges, target, ledger)
+    assert read() == (hits, books)
