@@ -94,11 +94,51 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def symbol_pairs(train: DataFrame, symbols: Symbols) -> DataFrame:
-    """(h, w, n): counts of neighbouring symbols."""
-    bc = train.sparkSession.sparkContext.broadcast(symbols)
+def encode(docs: DataFrame, symbols: Symbols) -> DataFrame:
+    """Staged rows uid, doc_id, ids (a listed word's id; -1 less its tail for others), and rare (word, x, tail): the other words with
+    their counts in the text. Texts are split here alone; what follows reads numbers."""
+    bc = docs.sparkSession.sparkContext.broadcast(symbols)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        known = bc.value.ids
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                parts = [words_of(t) for t in batch.column(1).to_pylist()]
+                words = [w for p in parts for w in p]
+                names = list(set(words))
+                place = {w: i for i, w in enumerate(names)}
+                where = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+                code = np.fromiter((known.get(w, -1) for w in names), np.int64, len(names))
+                for i in np.flatnonzero(code < 0):
+                    code[i] = -1 - tail(names[i])
+                ids = code[where].astype(np.int32)
+                off = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))
+                other, width = np.flatnonzero(ids < 0), max(len(names), 1)
+                text = np.repeat(np.arange(len(parts)), np.diff(off))
+                pair, x = np.unique(text[other] * width + where[other], return_counts=True)
+                which = pair % width
+                rare = pa.StructArray.from_arrays([pa.array([names[i] for i in which], pa.binary()), pa.array(x, pa.int64()), pa.array((-1 - code[which]).astype(np.int32))], names=["word", "x", "tail"])
+                lists = [(off, pa.array(ids)), (np.searchsorted(pair, np.arange(len(parts) + 1) * width), rare)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.ListArray.from_arrays(pa.array(o, pa.int32()), v) for o, v in lists)], names=["doc_id", "ids", "rare"])
+
+    schema = f"doc_id {kind}, ids array<int>, rare array<struct<word: binary, x: bigint, tail: int>>"
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return common.stage(rows.withColumn("uid", F.monotonically_increasing_id()), "encoded-texts")
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch, and where each text begins (one more at the end)."""
+    off = lists.offsets.to_numpy()
+    return lists.flatten().to_numpy().astype(np.int64), (off - off[0]).astype(np.int64)
+
+
+def _summed(encoded: DataFrame, state, codes) -> DataFrame:
+    """(code, n) over the texts: codes(state, ids, starts) gives those of a batch; equal ones are summed before they are handed on."""
+    bc = encoded.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def give():
@@ -106,19 +146,32 @@ def symbol_pairs(train: DataFrame, symbols: Symbols) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
         for batch in batches:
-            k = len(bc.value)
-            for t in batch.column(0).to_pylist():
-                w = np.concatenate(([k - 1], bc.value.of(words_of(t)), [k - 1]))
-                held.append(w[:-1] * k + w[1:])
-                size += len(w)
-                if size > PAIRS:
-                    yield give()
-                    held, size = [], 0
+            held.append(codes(bc.value, *_flat(batch.column(0))))
+            size += len(held[-1])
+            if size > PAIRS:
+                yield give()
+                held, size = [], 0
         if held:
             yield give()
 
-    k = len(symbols)
-    pairs = train.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return encoded.select("ids").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _with_ends(values: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    """Texts one after the other, an end before each and after the last: a text's end is the next one's start."""
+    return np.insert(values, starts, end)
+
+
+def symbol_pairs(encoded: DataFrame, names: list[bytes], core: int) -> DataFrame:
+    """(h, w, n): counts of neighbouring symbols: the first `core` words, tails for all others, and the end."""
+    k = core + TAIL + 1
+
+    def codes(tails, ids, starts):
+        w = np.where(ids < 0, core - 1 - ids, np.where(ids < core, ids, core + tails[np.maximum(ids, 0)] if len(tails) else ids))
+        w = _with_ends(w, starts, k - 1)
+        return w[:-1] * k + w[1:]
+
+    pairs = _summed(encoded, np.array([tail(w) for w in names], np.int64), codes)
     return pairs.select(F.floor(F.col("code") / k).cast("int").alias("h"), (F.col("code") % k).cast("int").alias("w"), "n")
 
 
@@ -201,59 +254,39 @@ def gains(matrix: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
     return np.where(cols + rows > 0, gain, -np.inf)
 
 
-def _summed(train: DataFrame, state, codes) -> DataFrame:
-    """(code, n) over the texts: codes(state, words) gives those of one text; equal ones are summed in a task before they are handed on."""
-    bc = train.sparkSession.sparkContext.broadcast(state)
-
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def give():
-            code, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
-
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.append(codes(bc.value, words_of(t)))
-                size += len(held[-1])
-                if size > PAIRS:
-                    yield give()
-                    held, size = [], 0
-        if held:
-            yield give()
+def _classes_of(classes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return np.where(ids < 0, CLASSES - 1 - ids, classes[np.maximum(ids, 0)])
 
-    return train.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
-
-def class_bigrams(train: DataFrame, symbols: Symbols, classes: np.ndarray) -> np.ndarray:
+def class_bigrams(encoded: DataFrame, classes: np.ndarray) -> np.ndarray:
     size = CLASSES + TAIL + 1
 
-    def codes(state, words):
-        s, c = state
-        k = c[np.concatenate(([len(s) - 1], s.of(words), [len(s) - 1]))]
+    def codes(c, ids, starts):
+        k = _with_ends(_classes_of(c, ids), starts, size - 1)
         return k[:-1] * size + k[1:]
 
     matrix = np.zeros((size, size))
-    for r in _summed(train, (symbols, classes), codes).collect():  # classes squared
+    for r in _summed(encoded, classes, codes).collect():  # classes squared
         matrix[r["code"] // size, r["code"] % size] = r["n"]
     return matrix
 
 
-def place_others(train: DataFrame, symbols: Symbols, classes: np.ndarray, core: int, matrix: np.ndarray) -> np.ndarray:
-    """classes with the listed words from `core` on put where they gain most, beside the settled ones. Their own rows are still by
-    spelling, and so are those of their neighbours among them."""
-    n, size = len(symbols.ids), CLASSES + TAIL + 1
+def place_others(encoded: DataFrame, classes: np.ndarray, core: int, n: int, matrix: np.ndarray) -> np.ndarray:
+    """classes with the listed words from `core` to n put where they gain most beside the settled ones; neighbours that aren't
+    settled themselves don't count."""
+    size = CLASSES + TAIL + 1
 
-    def codes(state, words):
-        s, c = state
-        w = np.concatenate(([len(s) - 1], s.of(words), [len(s) - 1]))
-        k, at = c[w], np.flatnonzero((w >= core) & (w < n))
-        return np.concatenate(((w[at] * 2) * size + k[at - 1], (w[at] * 2 + 1) * size + k[at + 1]))
+    def codes(c, ids, starts):
+        w, k = _with_ends(ids, starts, -1 - TAIL), _with_ends(_classes_of(c, ids), starts, size - 1)
+        at = np.flatnonzero(w >= core)
+        settled = (k < CLASSES) | (k == size - 1)
+        left, right = at[settled[at - 1]], at[settled[at + 1]]
+        return np.concatenate(((w[left] * 2) * size + k[left - 1], (w[right] * 2 + 1) * size + k[right + 1]))
 
-    around = _summed(train, (symbols, classes), codes)
+    around = _summed(encoded, classes, codes)
     word = F.floor(F.col("code") / (2 * size)).cast("int")
     around = around.select(word.alias("id"), F.struct((F.col("code") % (2 * size)).cast("int").alias("c"), "n").alias("e")).groupBy("id").agg(F.collect_list("e").alias("e"))  # 2 * classes entries
-    bc = train.sparkSession.sparkContext.broadcast(matrix)
+    bc = encoded.sparkSession.sparkContext.broadcast(matrix)
 
     def decide(batches):
         for batch in batches:
@@ -303,26 +336,42 @@ def listed_words(counts: DataFrame, most: int = KNOWN, least: int = MIN_COUNT) -
     return counts.filter((F.col("n") >= least) & (F.floor(8 * F.log2("n")) >= line))
 
 
-def train_model(train: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the staged counts (word, n) of all training words."""
+@dataclass
+class Listed:
+    """The training words: staged counts (word, n) of all, the listed ones with theirs, and sums."""
+
+    counts: DataFrame
+    names: list[bytes]
+    known: np.ndarray
+    core: int
+    n: int
+    v: int
+    ends: int
+
+
+def list_words(train: DataFrame) -> Listed:
     counts = common.stage(word_counts(train), "word-counts")
     total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     ends = train.count()
     n, v = (total or 0) + ends, kinds + (ends > 0)
     known = listed_words(counts).toArrow()  # KNOWN rows at most
     known = sorted(zip(known["word"].to_pylist(), known["n"].to_pylist(), strict=True), key=lambda wc: (-wc[1], wc[0]))
-    core = sum(c >= n / EXCHANGE for _, c in known)
-    often = Symbols({w: i for i, (w, _) in enumerate(known[:core])})
-    pairs = common.stage(symbol_pairs(train, often), "symbol-pairs")
-    settled, matrix = exchange(pairs, often)
+    return Listed(counts, [w for w, _ in known], np.array([c for _, c in known], float), sum(c >= n / EXCHANGE for _, c in known), int(n), int(v), ends)
 
-    symbols = Symbols({w: i for i, (w, _) in enumerate(known)})
-    classes = np.concatenate((settled[:core], [CLASSES + tail(w) for w, _ in known[core:]], settled[core:])).astype(np.int64)
-    if 0 < core < len(known):
-        classes = place_others(train, symbols, classes, core, matrix)
-        matrix = class_bigrams(train, symbols, classes)
 
-    bc = train.sparkSession.sparkContext.broadcast((symbols, classes))
+def fit(encoded: DataFrame, listed: Listed) -> Model:
+    """The model of encoded training texts."""
+    core, names = listed.core, listed.names
+    often = Symbols({w: i for i, w in enumerate(names[:core])})
+    pairs = common.stage(symbol_pairs(encoded, names, core), "symbol-pairs")
+    settled, matrix = exchange(pairs, often)
+    symbols = Symbols({w: i for i, w in enumerate(names)})
+    classes = np.concatenate((settled[:core], [CLASSES + tail(w) for w in names[core:]], settled[core:])).astype(np.int64)
+    if 0 < core < len(names):
+        classes = place_others(encoded, classes, core, len(names), matrix)
+        matrix = class_bigrams(encoded, classes)
+
+    bc = encoded.sparkSession.sparkContext.broadcast((symbols, classes))
 
     def classed(batches):
         for batch in batches:
@@ -332,65 +381,42 @@ def train_model(train: DataFrame) -> tuple[Model, DataFrame]:
 
     size = CLASSES + TAIL + 1
     tokens, kinds = np.zeros(size), np.zeros(size)
-    for r in counts.select("word", "n").mapInArrow(classed, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+    for r in listed.counts.select("word", "n").mapInArrow(classed, "c int, n bigint").groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         tokens[r["c"]], kinds[r["c"]] = r["n"], r["k"]
     share = (matrix.sum(axis=0) + HALF) / (matrix.sum() + HALF * size)
     step = np.log10((matrix + ALPHA * share) / (matrix.sum(axis=1, keepdims=True) + ALPHA))
-    return Model(symbols, classes, step, np.array([c for _, c in known], float), tokens, kinds, int(n), int(v), ends), counts
-
-
-def _score_texts(texts: list[bytes | None], m: Model):
-    """By text: tokens, known ones among the listed, base and class scores of these; and of the words beyond: (word, count, what its
-    class takes off) with offsets by text. All texts at once."""
-    parts = [words_of(t) for t in texts]
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    words = [w for p in parts for w in p]
-    names = list(set(words))
-    place = {w: i for i, w in enumerate(names)}
-    at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-    ids = np.fromiter((m.symbols.ids.get(w, -1) for w in names), np.int64, len(names))
-    rare = ids < 0
-    kind = np.where(rare, 0, m.classes[ids]) if len(names) else np.zeros(0, np.int64)
-    kind[rare] = [CLASSES + tail(names[i]) for i in np.flatnonzero(rare)]
-    count = np.where(rare, 0, m.known[ids]) if len(m.known) and len(names) else np.zeros(len(names))
-    base, emit = np.where(rare, 0, m.base(count)), np.where(rare, 0, m.emission(count, kind))
-    text = np.repeat(np.arange(len(parts)), sizes)
-    total = lambda x: np.bincount(text, x, len(parts))
-    # Class transitions: an end before the first word and after the last.
-    end = m.classes[-1]
-    k = kind[at]
-    first, last = np.cumsum(sizes) - sizes, np.cumsum(sizes) - 1
-    before = np.concatenate(([end], k[:-1])) if len(k) else k
-    some = sizes > 0
-    before[first[some]] = end
-    steps = total(m.step[before, k])
-    steps[some] += m.step[k[last[some]], end]
-    steps[~some] += m.step[end, end]
-    code, n = np.unique(text[rare[at]] * max(len(names), 1) + at[rare[at]], return_counts=True)
-    which = code % max(len(names), 1)
-    off = np.searchsorted(code, np.arange(len(parts) + 1) * max(len(names), 1))
-    beyond = ([names[i] for i in which], n, -np.log10(m.class_tokens[kind[which]] + HALF * (m.class_words[kind[which]] + 1)), off)
-    return sizes + 1, total(~rare[at]).astype(np.int64) + (m.ends > 0), total(base[at]) + m.base(m.ends), total(emit[at]) + steps, beyond
+    return Model(symbols, classes, step, listed.known, tokens, kinds, listed.n, listed.v, listed.ends)
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, n_tokens, n_known, base_score, score."""
-    bc = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def train_model(train: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the staged counts (word, n) of all training words."""
+    listed = list_words(train)
+    return fit(encode(train, Symbols({w: i for i, w in enumerate(listed.names)})), listed), listed.counts
 
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
-                *columns, (words, x, per, off) = _score_texts(batch.column(1).to_pylist(), bc.value)
-                each = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(x, pa.int64()), pa.array(per, pa.float64())], names=["word", "x", "per"])
-                columns = [*map(pa.array, columns), pa.ListArray.from_arrays(pa.array(off, pa.int32()), each)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "n_known", "base", "value", "rare"])
 
-    schema = f"doc_id {kind}, n_tokens bigint, n_known bigint, base double, value double, rare array<struct<word: binary, x: bigint, per: double>>"
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
-    rows = common.stage(rows.withColumn("uid", F.monotonically_increasing_id()), "scored-texts")
-    rare = rows.select("uid", F.explode("rare").alias("r")).select("uid", "r.*")
+def score_encoded(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """One row per encoded row: doc_id, n_tokens, n_known, base_score, score."""
+    known = np.append(model.known, 0)
+    kinds = np.append(model.classes[: len(model.known)], 0)
+    tables = (model.step, model.classes[: len(model.known)], model.base(known), model.emission(known, kinds), model.base(model.ends), model.ends > 0)
+    bc = rows.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches):
+        step, classes, base, emit, base_end, ends = bc.value
+        for batch in batches:
+            ids, starts = _flat(batch.column(1))
+            n, listed, at = np.diff(starts), ids >= 0, np.maximum(ids, 0)
+            k = _with_ends(_classes_of(np.append(classes, 0), ids), starts, CLASSES + TAIL)
+            text = np.repeat(np.arange(len(n)), n)
+            total = lambda x, text=text, n=n: np.bincount(text, x, len(n))
+            steps = np.bincount(np.repeat(np.arange(len(n)), n + 1), step[k[:-1], k[1:]], len(n))
+            columns = [n + 1, total(listed).astype(np.int64) + ends, total(np.where(listed, base[at], 0)) + base_end, total(np.where(listed, emit[at], 0)) + steps]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *map(pa.array, columns)], names=["uid", "doc_id", "n_tokens", "n_known", "base", "value"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    scored = rows.select("uid", "ids", "doc_id").mapInArrow(run, f"uid bigint, doc_id {kind}, n_tokens bigint, n_known bigint, base double, value double")
+    per = [float(-np.log10(model.class_tokens[CLASSES + i] + HALF * (model.class_words[CLASSES + i] + 1))) for i in range(TAIL)]
+    rare = rows.select("uid", F.explode("rare").alias("r")).select("uid", "r.word", "r.x", F.element_at(F.array(*map(F.lit, per)), F.col("r.tail") + 1).alias("per"))
     # A word that training lacks may be in every text that is scored: such words are looked up by broadcast.
     seen = rare.groupBy("word").agg(F.count("*").alias("rows")).join(counts, "word", "left")
     seen = common.stage(seen.select("word", "rows", F.coalesce("n", F.lit(0)).alias("c")), "rare-words")
@@ -402,14 +428,21 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         F.sum(each - F.col("x") * flat).alias("more_base"),
         F.sum(each + F.col("x") * F.col("per")).alias("more_value"),
     )
-    out = rows.drop("rare").join(sums, "uid", "left")
+    out = scored.join(sums, "uid", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select("doc_id", "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"), plus("base", "more_base").alias("base_score"), plus("value", "more_value").alias("score"))
 
 
+def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_tokens, n_known, base_score, score."""
+    return score_encoded(encode(docs, model.symbols), model, counts)
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """Learns from the training fold and scores every row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = common.crc_fold(F.col("doc_id"), 5) == HELD_OUT
-    model, counts = train_model(docs.filter(~held))
-    out = score(docs, model, counts)
+    listed = list_words(docs.filter(~held))
+    encoded = encode(docs, Symbols({w: i for i, w in enumerate(listed.names)}))
+    model = fit(encoded.filter(~held), listed)
+    out = score_encoded(encoded, model, listed.counts)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
