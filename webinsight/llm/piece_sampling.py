@@ -153,37 +153,39 @@ def lattices(chunks: list[str], v: Vocabulary, alpha: float) -> Lattices:
     first = ends - lengths
     left = np.repeat(ends, lengths) - np.arange(n)  # characters to the chunk's end
     width = min(v.longest, int(lengths.max(initial=1)))
-    found = np.full((n, width), -1, np.int32)  # longest first
+    found: list[tuple[np.ndarray, np.ndarray]] = []  # by size: nodes, and their pieces of that size
     pos, h = np.arange(n), np.zeros(n, np.uint64)
     for k in range(width):
         if k:
             on = left[pos] > k
             pos, h = pos[on], h[on]
+        if not len(pos):
+            break
         h = _roll(h, codes[pos + k])
         b = (h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
         i, end = v.bucket[b], v.bucket[b + 1]
         hit = np.flatnonzero(i < end)
-        i, end, goes_on = i[hit], end[hit], np.zeros(len(pos), bool)
+        i, end, ids = i[hit], end[hit], np.full(len(pos), -2, np.int32)
         while len(hit):
             ok = v.hashes[i] == h[hit]
-            at = hit[ok]
-            found[pos[at], width - 1 - k] = v.hash_ids[i[ok]]
-            goes_on[at] = True
+            ids[hit[ok]] = v.hash_ids[i[ok]]
             on = ~ok & (i + 1 < end)
             hit, i, end = hit[on], i[on] + 1, end[on]
+        # A character always has an edge: its piece, or its bytes.
+        full = ids >= 0
+        found.append((pos, np.maximum(ids, -1)) if not k else (pos[full], ids[full]))
+        goes_on = ids > -2
         pos, h = pos[goes_on], h[goes_on]
-    bare = found[:, width - 1] < 0
-    there = found >= 0
-    there[bare, width - 1] = True
-    source, column = np.nonzero(there)
-    piece = found[source, column].astype(np.int64)
+    size = np.repeat(np.arange(1, len(found) + 1), [len(x) for x, _ in found])
+    source, piece = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+    order = np.argsort(source * 256 - size, kind="stable")  # longest first
+    source, size, piece = source[order], size[order], piece[order].astype(np.int64)
     weight = alpha * np.where(piece >= 0, v.weight[piece], 2 * v.unseen)
     lone = np.flatnonzero((piece < 0) & (codes[source] < 128))
     piece[lone] = np.array(v.byte_ids)[codes[source[lone]].astype(np.int64)]
-    size = width - column
     rest = left[source] - size
     to = np.where(rest > 0, source + size, -1)
-    edge_at = np.concatenate(([0], np.cumsum(there.sum(axis=1))))
+    edge_at = np.concatenate(([0], np.cumsum(np.bincount(source, minlength=n)))).astype(np.int64)
     # Backward sums, by distance from the end of the chunk.
     beta = np.zeros(n + 1)
     order = np.argsort(left, kind="stable")
