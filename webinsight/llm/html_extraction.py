@@ -287,9 +287,9 @@ def fit(pages: DataFrame, seed_pages: int = SEED_PAGES) -> gbdt.Forest:
                     yield pa.RecordBatch.from_arrays([pa.array(np.tile(y[on], 2).astype(np.int32)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     # Equal nodes count once.
-    got = chosen.mapInArrow(run, "y int, x array<double>").groupBy("y", "x").count().orderBy(F.xxhash64("y", "x")).limit(SEED_NODES).toPandas()
-    x = np.array(got["x"].tolist()).reshape(-1, N_FEATURES)
-    return gbdt.fit(x, got["y"].to_numpy(float), trees=60, depth=5)
+    got = chosen.mapInArrow(run, "y int, x array<double>").groupBy("y", "x").count().orderBy(F.xxhash64("y", "x")).limit(SEED_NODES).select("y", "x").toArrow().combine_chunks()
+    x = got["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES) if got.num_rows else np.zeros((0, N_FEATURES))
+    return gbdt.fit(x, got["y"].to_numpy().astype(float), trees=60, depth=5)
 
 
 def extract(pages: DataFrame, seed_pages: int = SEED_PAGES) -> DataFrame:
