@@ -13,9 +13,10 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def shop_performance(items: DataFrame) -> DataFrame:
-    """Revenue, cost, margin, transactions, linkage (distinct linked clicks over distinct clicks), revenue per click."""
-    linked = F.count_distinct(F.when(F.col("label") != "label_R", F.col("item_id")))
+def shop_performance(items: DataFrame, linked: Column) -> DataFrame:
+    """Revenue, cost, margin, transactions, linkage (distinct linked items over distinct items), revenue per click; linked: whether
+    a row's item is."""
+    linked = F.count_distinct(F.when(linked, F.col("item_id")))
     rows = items.groupBy("shop_id").agg(F.sum("value").cast("double").alias("revenue"), F.sum("cost").cast("double").alias("cost"), F.count("*").alias("transactions"), linked.alias("n_linked"), F.count_distinct("item_id").alias("n_items"), F.sum("clicks").alias("clicks"))
     return rows.withColumns({"margin": F.col("revenue") - F.col("cost"), "linkage": F.col("n_linked") / F.col("n_items"), "rev_click": F.when(F.col("clicks") > 0, F.col("revenue") / F.col("clicks"))})
 
@@ -24,10 +25,10 @@ def pct_delta(new: Column, old: Column) -> Column:
     return F.when(new.isNotNull() & old.isNotNull() & (old != 0), (new - old) / old * 100)
 
 
-def window_delta(items: DataFrame, split: int) -> DataFrame:
-    """Revenue per click of both halves of the line numbers, and the change in percent."""
+def window_delta(items: DataFrame, recent: Column) -> DataFrame:
+    """Revenue per click of the recent rows and of the others, and the change in percent."""
     half = lambda cond: F.sum(F.when(cond, F.col("value"))).cast("double") / F.sum(F.when(cond, F.col("clicks")))
-    rows = items.groupBy("shop_id").agg(half(F.col("l_linenumber") > split).alias("rev_click"), half(F.col("l_linenumber") <= split).alias("rev_click_old"))
+    rows = items.groupBy("shop_id").agg(half(recent).alias("rev_click"), half(~recent).alias("rev_click_old"))
     return rows.withColumn("delta", pct_delta(F.col("rev_click"), F.col("rev_click_old")))
 
 

@@ -30,12 +30,12 @@ def action(df):
 
 @query("cam_01_shop_performance", f"with {_PERF} select * from perf")
 def _(t):
-    return C.shop_performance(t("v_items"))
+    return C.shop_performance(t("v_items"), F.col("label") != "label_R")
 
 
 @query("cam_02_window_delta", f"with {_DELTA} select * from dl")
 def _(t):
-    return C.window_delta(t("v_items"), 3)
+    return C.window_delta(t("v_items"), F.col("l_linenumber") > 3)
 
 
 @query("cam_03_campaign_totals", "select *, case when clicks > 0 then value / clicks end as opb from (select campaign, cast(sum(clicks) as bigint) as clicks, cast(sum(value) as double) as value, cast(sum(cast(trunc(cost * 1000000) as bigint)) as double) / 1e6 as cost from v_items group by 1)")
@@ -52,7 +52,7 @@ def _(t):
 
 @query("cam_05_performers", f"with {_PERF} select * from perf order by revenue desc, clicks desc, cost desc, shop_id limit 20")
 def _(t):
-    return C.performers(C.shop_performance(t("v_items")))
+    return C.performers(C.shop_performance(t("v_items"), F.col("label") != "label_R"))
 
 
 @query("cam_06_item_sets", """select item_id, cast(sum(clicks) as bigint) as clicks, cast(sum(value) as double) as value, cast(sum(cost) as double) as cost, array_to_string(list_sort(list(distinct campaign)), ',') as campaigns, array_to_string(list_sort(list(distinct label)), ',') as labels, array_to_string(list_sort(list(distinct account)), ',') as accounts from v_items group by 1""")
@@ -104,7 +104,7 @@ def _(t):
 
 @query("cam_12_shop_actions", f"with {_PERF}, {_DELTA} select shop_id, {_ACTION} as action, {_REASON} as reason from (select p.shop_id, margin, p.rev_click, delta, linkage, transactions from perf p join dl using (shop_id))")
 def _(t):
-    rows = C.shop_performance(t("v_items")).join(C.window_delta(t("v_items"), 3).select("shop_id", "delta"), "shop_id")
+    rows = C.shop_performance(t("v_items"), F.col("label") != "label_R").join(C.window_delta(t("v_items"), F.col("l_linenumber") > 3).select("shop_id", "delta"), "shop_id")
     return action(rows).select("shop_id", "a.action", "a.reason")
 
 
