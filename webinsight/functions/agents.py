@@ -95,4 +95,6 @@ def classify_agents(hits: DataFrame, ua: str = "ua", most: int = MOST_AGENTS) ->
     if len(agents) > most:
         return _classified(hits, ua)
     table = hits.sparkSession.createDataFrame([(a,) for a in sorted(agents)], f"`{ua}` string")
-    return hits.join(F.broadcast(_classified(table, ua)), ua, "left")
+    # `most` rows at most, worked out here, so that the plan over the hits holds no patterns.
+    known = hits.sparkSession.createDataFrame(_classified(table, ua).collect(), f"`{ua}` string, bot_family string, bot_class string, bot_name string")
+    return hits.join(F.broadcast(known), ua, "left")

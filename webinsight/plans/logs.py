@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from webinsight.functions.agents import FAMILIES, NAMES, classify_agents
 from webinsight.functions.norm import log_stem
 from webinsight.operators import logs as L
+from webinsight.operators.common import stage
 
 from .registry import query
 
@@ -39,7 +40,8 @@ _UNKNOWN = """unknown_top as (select log_date, host, bot_family, path, hits from
 
 
 def full(t):
-    return L.verify_ips(L.with_membership(L.parse_hits(t("v_hits")), t("v_known")), t("v_ranges"))
+    """Log rows are written first, as a log folder would hold them: what reads them has a small plan, however often it does."""
+    return L.verify_ips(L.with_membership(L.parse_hits(stage(t("v_hits"), "hits")), stage(t("v_known"), "known")), t("v_ranges"))
 
 
 def cube(t):
