@@ -145,12 +145,13 @@ def _summed(encoded: DataFrame, state, codes) -> DataFrame:
             code, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
 
-        for batch in batches:
-            held.append(codes(bc.value, *_flat(batch.column(0))))
-            size += len(held[-1])
-            if size > PAIRS:
-                yield give()
-                held, size = [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                held.append(codes(bc.value, *_flat(whole.column(0).slice(at, ROWS))))
+                size += len(held[-1])
+                if size > PAIRS:
+                    yield give()
+                    held, size = [], 0
         if held:
             yield give()
 
@@ -403,7 +404,7 @@ def score_encoded(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame
 
     def run(batches):
         step, classes, base, emit, base_end, ends = bc.value
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             ids, starts = _flat(batch.column(1))
             n, listed, at = np.diff(starts), ids >= 0, np.maximum(ids, 0)
             k = _with_ends(_classes_of(np.append(classes, 0), ids), starts, CLASSES + TAIL)
