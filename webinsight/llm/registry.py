@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import brown_lm, exact_dedup, html_extraction, mixing, piece_sampling, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
+from . import brown_lm, exact_dedup, filter_audit, html_extraction, license_scan, merkle_manifest, mixing, piece_sampling, quality_classifier, quality_rules, simhash, substring_dedup, toxicity
 from .common import documents
 
 
@@ -48,8 +48,20 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_piece_sampling, op3_mixing, op4_lm_scoring, op5_quality_classifier, op6_html_extraction, op7_simhash, op8_substring_dedup, op9_exact_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_piece_sampling, op3_mixing, op4_lm_scoring, op5_quality_classifier, op6_html_extraction, op7_simhash, op8_substring_dedup, op9_exact_dedup, op10_toxicity, op11_license_scan, op12_merkle_manifest, op13_filter_audit)}
 
 
 _W = "[^\\x20\\x09-\\x0D]+"
@@ -90,6 +102,67 @@ with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]
 select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, doc_id = min(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from n
 """
 
+_TEMPLATES = ", ".join(f"('{name}', '{label}', [{', '.join(repr(x) for x in license_scan.word_set(text))}])" for name, label, text in license_scan.TEMPLATES)
+_PHRASE = lambda p: " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split()))
+
+OP11_SQL = f"""
+with d as (select row_number() over () as uid, doc_id, regexp_extract_all(lower(replace(coalesce(text, ''), chr(8490), chr(65533))), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+t(name, label, words) as (values {_TEMPLATES}),
+hit as (select uid, i - 1 as start, unnest(list_filter([{', '.join(f"case when {_PHRASE(p)} then '{label}' end" for p, label in license_scan.PHRASES)}], lambda x: x is not null)) as label
+  from (select uid, w, unnest(range(1, len(w) + 1)) as i from d where list_contains(w, 'license'))),
+p as (select uid, count(*) as n_base, min(start) as first_word, max(start) as last_word, list(distinct label) as base from hit group by 1),
+b as (select uid, s as start, unnest(list_distinct(w[s + 1:s + 64])) as word from (select uid, w, unnest(range(0, greatest(len(w) - 32, 1), 32)) as s from d)),
+tw as (select name, label, words, unnest(words) as word from t),
+f as (select uid, start, name, label, words, count(*) as overlap from b join tw using (word) group by all having count(*) >= ceil(round(len(words) * 0.9::double, 6))),
+k as (select uid, start, label, overlap / len(words) as share from f where not exists (select 1 from f g where g.uid = f.uid and g.start = f.start and len(g.words) > len(f.words) and list_has_all(g.words, f.words))),
+m as (select uid, list(distinct label) as more, max(share) as best, count(distinct start) as n_blocks from k group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, array_to_string(list_sort(coalesce(base, [])), ',') as base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') as labels, greatest(coalesce(best, 0), case when n_base > 0 then 0.5 else 0 end)::double as score, coalesce(n_blocks, 0) as n_blocks
+from d left join p using (uid) left join m using (uid)
+"""
+
+_FIELD = lambda x: f"case when {x} is null then '-' else strlen(cast({x} as varchar)) || ':' || {x} end"
+_LEAF = lambda text: f"sha256({' || '.join(map(_FIELD, ('doc_id', 'source', 'lang', 'n_chars')))} || {_FIELD(text)})"
+
+OP12_SQL = f"""
+with recursive crc_bits as (select i, 0 as k, i as x from (select unnest(range(256)) as i) union all select i, k + 1, case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end from crc_bits where k < 8),
+crc as (select list(x order by i) as c from crc_bits where k = 8),
+d as (select doc_id, source, {_LEAF('text')} as leaf, case when xor(list_reduce(list_transform(range(1, length(cast(doc_id as varchar)) + 1), lambda j: cast(ascii(cast(doc_id as varchar)[j]) as bigint)), lambda a, b: xor(a // 256, c[xor(a % 256, b) + 1]), 4294967295), 4294967295) % 5 = 0
+  then {_LEAF("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} end as changed from documents, crc),
+leafs as (select row_number() over (order by doc_id nulls first, leaf) as uid, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, * from d),
+up as (select source, 0 as lvl, pos, leaf as digest, count(*) over (partition by source) as n from leafs
+  union all select source, lvl + 1, pos // 16, sha256(string_agg(digest, '' order by pos)), any_value((n + 15) // 16) from up where n > 1 group by source, lvl, pos // 16),
+sub as (select source, digest as subroot, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n from up where n = 1),
+top as (select 0 as lvl, pos, subroot as digest, n from sub union all select lvl + 1, pos // 16, sha256(string_agg(digest, '' order by pos)), any_value((n + 15) // 16) from top where n > 1 group by lvl, pos // 16),
+levels as (select source, lvl, pos, digest, 0 as part from up where n > 1 union all select null, lvl, pos, digest, 1 from top where n > 1),
+path as (select uid, l.part, l.lvl, string_agg(digest, '' order by l.pos) filter (l.pos < own) as before, string_agg(digest, '' order by l.pos) filter (l.pos > own) as after from (
+    select uid, leafs.source, p.part, p.lvl, case when p.part = 0 then leafs.pos // cast(power(16, p.lvl) as bigint) else sub.pos // cast(power(16, p.lvl) as bigint) end as own from leafs join sub on sub.source is not distinct from leafs.source
+      join (select distinct part, source, lvl from levels) p on p.part = 1 or p.source is not distinct from leafs.source) r
+  join levels l on l.part = r.part and l.lvl = r.lvl and l.pos // 16 = r.own // 16 and (l.part = 1 or l.source is not distinct from r.source) group by uid, l.part, l.lvl),
+lists as (select uid, list(coalesce(before, '') order by part, lvl) as b, list(coalesce(after, '') order by part, lvl) as a from path group by uid),
+fold as (select uid, 0 as k, coalesce(changed, leaf) as now, coalesce(b, []) as b, coalesce(a, []) as a from leafs left join lists using (uid) union all select uid, k + 1, sha256(b[k + 1] || now || a[k + 1]), b, a from fold where k < len(b)),
+folded as (select uid, now as folded_root, array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || a[i]), '') as siblings from fold where k = len(b))
+select doc_id, leaf, subroot, digest as root, sha256(siblings) as proof_sha256, folded_root, folded_root = digest as verified, leafs.pos as place, changed is not null as tampered
+from leafs join folded using (uid) join sub on sub.source is not distinct from leafs.source cross join (select digest from top where n = 1)
+"""
+
+OP13_SQL = f"""
+with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_W}') as w from documents),
+l as (select doc_id, coalesce(max(quality), 0) = 1 as good, coalesce(max(toxic), 0) = 1 as toxic from labels group by 1),
+f as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic, {{A: len(w) < 200, B: 100 * len(list_distinct(w)) < 50 * len(w), C: 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t),
+  D: regexp_matches(t, '[#$%&*|]'), E: coalesce(doc_id > min(doc_id) over (partition by t), false)}} as x from d left join l using (doc_id)),
+m as (select part, good, toxic, concat(case when x.A then 'A' else '' end, case when x.B then 'B' else '' end, case when x.C then 'C' else '' end, case when x.D then 'D' else '' end, case when x.E then 'E' else '' end) as fails, count(*) as n from f group by all),
+one as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+o as (select a.c || b.c || c.c || d.c || e.c as filter_order from one a, one b, one c, one d, one e where len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s as (select filter_order, step, filter_order[step] as c, filter_order[1:step - 1] as earlier from o, (select unnest(range(1, 6)) as step)),
+r as (select part, filter_order, cast(step as integer) as step, c,
+  cast(coalesce(sum(n) filter (translate(fails, earlier || c, '') = fails), 0) as bigint) as kept, cast(coalesce(sum(n) filter (translate(fails, earlier, '') = fails and contains(fails, c)), 0) as bigint) as removed,
+  cast(coalesce(sum(n) filter (translate(fails, earlier, '') <> fails and contains(fails, c)), 0) as bigint) as redundant, cast(coalesce(sum(n) filter (fails = c), 0) as bigint) as unique_fails,
+  cast(coalesce(sum(n) filter (translate(fails, earlier, '') = fails and contains(fails, c) and good), 0) as bigint) as good_lost, cast(coalesce(sum(n) filter (translate(fails, earlier, '') = fails and contains(fails, c) and toxic), 0) as bigint) as toxic_lost
+  from m, s group by all)
+select * exclude (c), cast(sum(removed) over (partition by part, c) as bigint) as shapley from r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op3_mixing": OP3_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op11_license_scan": OP11_SQL, "op12_merkle_manifest": OP12_SQL, "op13_filter_audit": OP13_SQL, "op1_quality_rules": OP1_SQL, "op3_mixing": OP3_SQL, "op9_exact_dedup": OP9_SQL}
