@@ -8,8 +8,9 @@ alone and hardly moves the score, while one that only toxic texts have counts th
 occurs; words made from one stem add up in its prefixes. Discounts of counts of 1, 2 and more come from counts of counts.
 
 The log-likelihood ratio is taken per word over the whole text, and per word over its one and its TOP most toxic bigrams (so
-that a long text doesn't dilute an insult); a logistic curve over these and the text's length makes the score. The curve is fitted on
-one of FOLDS parts of the sample, rated by models of the other parts; the models that score count the whole sample.
+that a long text doesn't dilute an insult); a logistic curve over these and the text's length makes the score. The curve is cross-fitted:
+each of FOLDS parts of the sample is rated by models of the other parts, and the curve is fitted on all of these ratings, in standard
+units with a ridge, so that few toxic rows don't bend it; the models that score count the whole sample.
 
 The sample is bounded by rows: MAX_DOCS labelled rows of label 0 and of label 1, first by a hash of the id, their texts whole. Counts
 are summed by Spark. What is broadcast is bounded too: the ENTRIES words and prefixes, and the ENTRIES bigrams, that occur most
@@ -18,7 +19,7 @@ lower-cased (A-Z) runs of letters, digits and bytes over 127.
 
 Defined results: a null text counts as empty; texts without words have ratios 0 and get the curve's score there. Null ids
 are scored; their labels aren't used. Without labels of both kinds every score is the smoothed share of label 1.
-Repeated rows get equal scores. An empty table gives an empty result. Other columns are ignored.
+Repeated rows get equal scores; of rows with one id that are learnt from, the one with the least hash counts. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,7 @@ ENTRIES = 200_000
 PREFIXES = (3, 5, 7)
 TOP = 3
 FOLDS = 4
+RIDGE = 1.0
 #: Entries of the table of words seen, in a worker.
 SEEN = 300_000
 #: Bigrams that a task hands on at once.
@@ -113,9 +117,10 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> np.ndarray:
-    """Newton's method; weights of (1, *x). The constant isn't penalised."""
-    a = np.column_stack([np.ones(len(x)), x])
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 50) -> np.ndarray:
+    """Newton's method; weights of (1, *x). The ridge counts in standard units of x; the constant isn't penalised."""
+    mean, unit = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    a = np.column_stack([np.ones(len(x)), (x - mean) / unit])
     w, pen = np.zeros(a.shape[1]), ridge * np.eye(a.shape[1])
     pen[0, 0] = 1e-6
     for _ in range(steps):
@@ -124,6 +129,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
+    w[1:] /= unit
+    w[0] -= w[1:] @ mean
     return w
 
 
@@ -161,8 +168,8 @@ def _least(rows: DataFrame, n: Column, most: int) -> int:
 
 
 def text_pairs(sample: DataFrame) -> DataFrame:
-    """(h, w, n0, n1, rest0, rest1): in how many texts of each class w follows h (empty: the text begins), and in how many
-    of those outside fold 0."""
+    """(h, w, n0, n1, less0_0, less0_1, ...): in how many texts of each class w follows h (empty: the text begins), and for each fold
+    in how many of those outside it."""
 
     def run(batches):
         held: list[tuple] = []
@@ -183,7 +190,7 @@ def text_pairs(sample: DataFrame) -> DataFrame:
 
     pairs = sample.select("text", "y", "fold").mapInArrow(run, "y int, fold int, h binary, w binary")
     mine = lambda y: F.col("y") == y
-    return pairs.groupBy("h", "w").agg(*(F.count_if(mine(y)).alias(f"n{y}") for y in (0, 1)), *(F.count_if(mine(y) & (F.col("fold") > 0)).alias(f"rest{y}") for y in (0, 1)))
+    return pairs.groupBy("h", "w").agg(*(F.count_if(mine(y)).alias(f"n{y}") for y in (0, 1)), *(F.count_if(mine(y) & (F.col("fold") != k)).alias(f"less{k}_{y}") for k in range(FOLDS) for y in (0, 1)))
 
 
 def _steps(word: Column) -> Column:
@@ -281,11 +288,14 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     both = [labelled(labels.filter(F.col("toxic") == y), "toxic", keep, MAX_DOCS[y]) for y in (0, 1)]
     chosen = common.stage(both[0].unionByName(both[1]), "toxic-labels")
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y", fold.alias("fold"))
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # Of rows with one id, one is learnt from: the sample is bounded by rows too.
+    one = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    return one.select("text", "y", fold.alias("fold"))
 
 
-def _rated(rows: DataFrame, model: Toxicity, kept: str) -> DataFrame:
-    """rows (kept, text) -> kept and the ratios."""
+def _rated(rows: DataFrame, model: Toxicity, kept: str) -> tuple[DataFrame, Broadcast]:
+    """rows (kept, text) -> kept and the ratios; and the broadcast, which may go once these are read."""
     bc = rows.sparkSession.sparkContext.broadcast(model)
     names = [f"r{i}" for i in range(Toxicity.n_ratios)]
 
@@ -294,14 +304,19 @@ def _rated(rows: DataFrame, model: Toxicity, kept: str) -> DataFrame:
             x = np.array([bc.value.ratios(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], names=[kept, *names])
 
-    return rows.select(kept, "text").mapInArrow(run, f"{kept} {rows.schema[kept].dataType.simpleString()}, " + ", ".join(f"{r} double" for r in names))
+    return rows.select(kept, "text").mapInArrow(run, f"{kept} {rows.schema[kept].dataType.simpleString()}, " + ", ".join(f"{r} double" for r in names)), bc
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     sample = common.stage(_sample(docs, labels), "toxic-sample")
     pairs = common.stage(text_pairs(sample), "toxic-pairs")
     out = models(pairs, "n")
-    apart = _rated(sample.filter("fold = 0"), models(pairs, "rest"), "y").toPandas()  # a row for each text of fold 0
+    rated = []
+    for k in range(FOLDS):
+        rows, bc = _rated(sample.filter(F.col("fold") == k), models(pairs, f"less{k}_"), "y")
+        rated.append(rows.toPandas())  # a row for each text of the fold
+        bc.destroy()
+    apart = pd.concat(rated, ignore_index=True)
     apart = apart.sort_values(list(apart.columns))
     y, x = apart["y"].to_numpy(float), apart.drop(columns="y").to_numpy()
     fair = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (common.crc_fold(F.col("doc_id"), 4) != 2))
