@@ -74,9 +74,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> gbdt.Fo
     def run(batches):
         for batch in batches:
             x = [features(t).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    got = mine.mapInArrow(run, "y int, x array<double>").toPandas()  # max_rows texts
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    seen = mine.mapInArrow(run, f"doc_id {kind}, y int, x array<double>")
+    # Of rows with one id, one is learnt from: max_rows rows at most reach the driver.
+    got = seen.groupBy("doc_id", "y").agg(F.min_by("x", F.struct(F.xxhash64("x"), "x")).alias("x")).drop("doc_id").toPandas()
     x = np.array(got["x"].tolist()).reshape(-1, N_FEATURES)
     order = np.lexsort((*x.T, got["y"]))  # sums of floats don't depend on the partitioning
     got, x = got.iloc[order], x[order]
