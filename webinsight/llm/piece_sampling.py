@@ -18,8 +18,8 @@ All rows of a batch are searched at once in numpy. Random numbers come from a co
 seed), so a row's samples don't depend on batches or partitions.
 
 Defined results: a null text counts as empty; it has one segmentation without pieces (log p and inclusion 0). A text with
-fewer than k segmentations returns them all, with inclusion 0 (certain). Repeated rows and rows with null ids get the
-samples of their key. An empty table gives an empty result. Other columns are ignored.
+fewer than k segmentations returns them all, with inclusion 0 (certain). A byte that isn't
+UTF-8 is a character without a piece: an edge of its own byte. Repeated rows and rows with null ids get the samples of their key. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -405,7 +405,7 @@ def sample(texts: list[str], keys: list[int], v: Vocabulary, k: int, alpha: floa
                 continue
             mine = ids[a:b]
             if (mine < 0).any():
-                mine = np.array([x for p, e in zip(mine.tolist(), path.edges[a:b].tolist(), strict=True) for x in ([p] if p >= 0 else [v.byte_ids[c] for c in chr(int(g.code[g.source[e]])).encode("utf-8", "surrogatepass")])])
+                mine = np.array([x for p, e in zip(mine.tolist(), path.edges[a:b].tolist(), strict=True) for x in ([p] if p >= 0 else [v.byte_ids[c] for c in chr(int(g.code[g.source[e]])).encode(errors="surrogateescape")])])
             yield r, s, float(path.log_p[i]), float(min(inclusion[i], 0.0)), mine.astype(np.int32)
     for r, n in enumerate(sizes):
         if not n:
@@ -416,7 +416,7 @@ def _groups(batch, text: int, most: int) -> Iterator[tuple[int, list[str]]]:
     """Rows of a batch, some together: (first row, texts)."""
     held, size, first = [], 0, 0
     for i, t in enumerate(batch.column(text).to_pylist()):
-        t = t or ""
+        t = (t or b"").decode(errors="surrogateescape")
         if held and size + len(t) > most:
             yield first, held
             held, size, first = [], 0, i
@@ -446,7 +446,7 @@ def encode(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: str = SEED,
                     rows.append((first + r, s, len(ids), log_p, inclusion))
                     more.append(xxhash.xxh64_hexdigest(ids.astype("<i4").tobytes()) if digest else ids)
                     if digest or check:
-                        back.append(v.decode(ids) == texts[r].encode(errors="surrogatepass"))
+                        back.append(v.decode(ids) == texts[r].encode(errors="surrogateescape"))
                 at, s, n, log_p, inclusion = zip(*rows, strict=True)
                 columns = [batch.column(0).take(pa.array(at)), pa.array(s, pa.int32()), pa.array(n, pa.int64()), pa.array(log_p), pa.array(inclusion)]
                 if digest:
@@ -462,15 +462,15 @@ def encode(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: str = SEED,
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sample", "n_pieces", "log_p", "log_inclusion", *names])
 
     schema = f"doc_id {kind}, sample int, n_pieces bigint, log_p double, log_inclusion double, {last}"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """encoded (ids, and any other columns) with `text` in place of ids."""
     bc = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("binary")
     def text(ids):
-        return ids.map(lambda x: bc.value.decode(x).decode())
+        return ids.map(bc.value.decode)
 
-    return encoded.withColumn("text", text("ids")).drop("ids")
+    return encoded.withColumn("text", text("ids").cast("string")).drop("ids")
