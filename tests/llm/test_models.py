@@ -398,3 +398,33 @@ def test_sampling_odd_rows(spark):
     assert all(r["decodes"] for r in rows) and all(r["log_inclusion"] <= 0 for r in rows)
     assert [r["n_pieces"] for r in rows if r["doc_id"] in (3, 4)] == [0, 0]
     assert piece_sampling.encode(docs.limit(0)).count() == 0
+
+
+def test_pieces_of_bytes_that_are_not_utf8(spark):
+    raw = [b"\xff\x41\xfe\x20\xc3", b"", None, b"ok \xed\xa0\x80 then", "é".encode()[:1]]
+    docs = spark.createDataFrame([(i, None if b is None else bytearray(b)) for i, b in enumerate(raw)], "doc_id bigint, b binary").select("doc_id", F.expr("cast(b as string)").alias("text"))
+    out = piece_sampling.encode(docs, k=2, check=True)
+    rows = out.collect()
+    assert {r["doc_id"] for r in rows} == set(range(len(raw))) and all(r["decodes"] for r in rows)
+    back = piece_sampling.decode(out).select("doc_id", F.col("text").cast("binary").alias("b")).collect()
+    assert all(bytes(r["b"]) == (raw[r["doc_id"]] or b"") for r in back)
+
+
+@pytest.mark.parametrize(("run", "label"), [(quality_classifier.fit, "quality"), (toxicity.fit, "toxic")])
+def test_one_row_of_an_id_is_learnt_from(spark, run, label):
+    """An id with very many rows doesn't make the sample grow."""
+    rows = [(i % 9, f"text number {i}", "en", "s", 1) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(9)], "doc_id bigint, quality int, toxic int")
+    docs = spark.createDataFrame(rows, SCHEMA)
+    a, b = run(docs, labels), run(docs.repartition(7), labels)
+    score = lambda m: m.predict(np.ones((1, quality_classifier.N_FEATURES))) if label == "quality" else m.score(np.ones((1, 4)))
+    assert np.allclose(score(a), score(b))
+
+
+def test_pieces_in_stage_of_pipeline_take_bytes(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(1, bytearray(b"\xffA \xc3"), "en", "s", 1)], "doc_id bigint, b binary, lang string, source string, n_chars bigint")
+    docs = docs.select("doc_id", F.expr("cast(b as string)").alias("text"), "lang", "source", "n_chars")
+    for _, stage in pipeline.STAGES[1:]:
+        docs = stage(spark, docs, SF)
+    assert docs.count() >= 1 and docs.filter("not decodes").count() == 0

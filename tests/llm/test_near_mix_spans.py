@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from webinsight.llm import mixing, simhash, substring_dedup
+from webinsight.llm import common, exact_dedup, mixing, quality_rules, simhash, substring_dedup
 from webinsight.llm.common import documents
 
 from ..conftest import SF
@@ -225,3 +225,26 @@ def test_spans_keep_bytes_that_are_not_utf8(spark):
     docs = spark.createDataFrame([(1, bytearray(b"One \xff two. Three.")), (2, None)], "doc_id bigint, raw binary").select("doc_id", F.expr("cast(raw as string)").alias("text"))
     got = substring_dedup.remove_repeats(docs).select("doc_id", F.col("text").cast("binary").alias("raw")).collect()
     assert {r["doc_id"]: bytes(r["raw"]) for r in got} == {1: b"One \xff two. Three.", 2: b""}
+
+
+def test_near_stage_tells_rows_apart_by_id_and_text(spark):
+    a, b = "a b c d e f g h", "quite another text that shares no word with it"
+    rows = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (None, b, "en", "s", 1), (None, "third one of them", "en", "s", 1), (7, None, "en", "s", 1), (8, "", "en", "s", 1)]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, "third one of them"), (1, a), (5, b), (7, "")]
+    assert simhash.drop_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_exact_stage_with_many_equal_rows(spark):
+    rows = [(1, "same text", "en", "s", 1)] * 60 + [(2, "same  text", "en", "s", 1)] * 30 + [(1, "other", "en", "s", 1), (None, "x", "en", "s", 1), (None, "x", "en", "s", 1)]
+    kept = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "x"), (1, "other"), (1, "same text")]
+
+
+@pytest.mark.parametrize("share", [0.001, 0.9])
+def test_failed_hosts_leave_however_many_rows_they_have(spark, monkeypatch, share):
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    good, bad = " ".join(f"word{i}" for i in range(40)), " ".join(f"wo#rd$%&{i}" for i in range(40))
+    rows = [(i, bad, "en", "bad", 1) for i in range(400)] + [(i, good, "en", "good" if i % 2 else "fine", 1) for i in range(400, 2000)]
+    kept = quality_rules.keep_quality(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["doc_id"] for r in kept} == set(range(400, 2000)) and len(kept) == 1600

@@ -73,12 +73,30 @@ def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, tot
     return by_hot.unionByName(by_rest)
 
 
-def without(docs: DataFrame, lost: DataFrame, key: str) -> DataFrame:
-    """docs whose key isn't in lost. How many rows are lost has no bound, so they are never broadcast: both sides are dealt by
-    the key, and the hash table is built on lost, so texts are moved once and aren't sorted."""
-    return docs.join(lost.hint("shuffle_hash"), key, "left_anti")
-
-
-def keep_rows(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose key is in dropped (unique keys); null keys stay."""
-    return without(docs, dropped.select(key).filter(F.col(key).isNotNull()), key).select(*docs.columns)
+def without(docs: DataFrame, lost: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """docs whose key isn't in lost (unique, non-null keys; `weight`: how many of docs' `total` rows have the key). Keys with many
+    rows, 1000 at most, are broadcast. How many others there are has no bound: both sides are dealt by the key, and the hash table
+    is built on lost, so texts are moved once and aren't sorted."""
+    line = max(2.0, total * HOT_SHARE)
+    hot, rest = lost.filter(F.col(weight) >= line).select(key), lost.filter(F.col(weight) < line).select(key)
+    return docs.join(F.broadcast(hot), key, "left_anti").join(rest.hint("shuffle_hash"), key, "left_anti")
+
+
+def one_of_each(docs: DataFrame, marks: DataFrame, mark: Column, total: int) -> DataFrame:
+    """The rows of docs that stay, all columns. mark: a non-null string of a row's id and content; marks (mark, n, n_kept), unique: how
+    many of docs' `total` rows have it, and how many of these stay, one at most."""
+    lost = stage(marks.filter("n > n_kept").withColumnRenamed("mark", "__mark"), "lost-marks")
+    marked = docs.withColumn("__mark", mark)
+    out = without(marked, lost, "__mark", "n", total)
+    again = lost.filter("n_kept > 0")
+    if not again.isEmpty():  # repeated rows: one of them stays
+        out = out.unionByName(rows_marked(marked, again, total).dropDuplicates(["__mark"]))
+    return out.select(*docs.columns)
+
+
+def rows_marked(marked: DataFrame, again: DataFrame, total: int) -> DataFrame:
+    """Rows whose mark is in again; marks with many rows are broadcast, the others shuffled."""
+    line = max(2.0, total * HOT_SHARE)
+    hot, rest = F.broadcast(again.filter(F.col("n") >= line).select("__mark")), again.filter(F.col("n") < line).select("__mark")
+    first = marked.join(hot, "__mark", "left_semi")
+    return first.unionByName(marked.join(hot, "__mark", "left_anti").join(rest, "__mark", "left_semi"))

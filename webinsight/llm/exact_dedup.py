@@ -96,14 +96,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", *
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns; the decisions are joined back by id and content."""
     found = common.stage(exact_duplicates(docs), "exact-duplicates")
-    mark = F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
-    lost = found.groupBy(mark.alias("mark")).agg(F.count_if("kept").alias("n_kept"), F.count("*").alias("n"))
-    lost = common.stage(lost.filter("n > n_kept").select(F.to_json("mark").alias("mark"), "n_kept"), "exact-lost")
+    mark = F.to_json(F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))).alias("mark")
     seen = F.to_json(F.struct(F.col("doc_id").alias("id"), F.sha2(normalised(F.col("text")), 256).alias("sha")))
-    marked = docs.withColumn("__mark", seen)
-    out = common.without(marked, lost.select(F.col("mark").alias("__mark")), "__mark")
-    again = lost.filter("n_kept > 0")
-    if not again.isEmpty():  # repeated rows: one of them stays
-        same = marked.join(again.select(F.col("mark").alias("__mark")), "__mark", "left_semi").dropDuplicates(["__mark"])
-        out = out.unionByName(same)
-    return out.select(*docs.columns)
+    marks = found.groupBy(mark).agg(F.count("*").alias("n"), F.count_if("kept").alias("n_kept"))
+    return common.one_of_each(docs, marks, seen, found.count())

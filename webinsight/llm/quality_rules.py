@@ -129,8 +129,12 @@ def keep_quality(docs: DataFrame) -> DataFrame:
     # A rejected row is needed for its host's counts only.
     row = F.when(~F.col("base_failed"), F.col("__row")).alias("__row")
     judged = common.stage(judged.select("host", *RULES, "base_failed", row), "judged-rows")
-    bad = common.stage(host_verdicts(judged.drop("__row")).filter("host_failed").select("host"), "bad-hosts")
-    out = judged.filter(~F.col("base_failed"))
-    if not bad.isEmpty():
-        out = out.join(bad, "host", "left_anti")
+    hosts = common.stage(host_verdicts(judged.drop("__row")).select("host", "host_docs", "host_failed"), "host-verdicts")
+    line = max(1.0, (hosts.agg(F.sum("host_docs")).first()[0] or 0) * common.HOT_SHARE)
+    hot, bad = hosts.filter(F.col("host_docs") >= line), hosts.filter("host_failed")
+    out = judged.filter(~F.col("base_failed")).join(F.broadcast(hot.filter("host_failed").select("host")), "host", "left_anti")
+    rare = bad.filter(F.col("host_docs") < line).select("host")
+    if not rare.isEmpty():  # rows of hosts with many rows are never dealt by host
+        big = F.broadcast(hot.select("host"))
+        out = out.join(big, "host", "left_semi").unionByName(out.join(big, "host", "left_anti").join(rare, "host", "left_anti"))
     return out.select("__row.*")

@@ -159,7 +159,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ma
 
 
 def drop_near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the least doc_id; all columns."""
-    found = near_duplicates(docs, max_bits=max_bits)
-    lost = common.stage(found.filter("doc_id <> component_id").select("doc_id").distinct(), "near-lost")
-    return common.keep_rows(docs, lost)
+    """The rows of docs that stay, all columns: of each component one row, that with the least doc_id (null ids last), then the least
+    SHA-256 of its text. Rows are told apart by id and text, so a row stays or goes by its own text, whoever else has its id."""
+    sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), sha.alias("sha"))
+    found = common.stage(near_duplicates(docs.select(row.alias("row"), "text"), key="row", max_bits=max_bits).drop("fingerprint"), "near-duplicates")
+    # Rows alike in id and text share a mark; where it is the first of its component, one of them stays.
+    first = F.max((F.col("row") == F.col("component_id")).cast("long"))
+    marks = found.groupBy(F.to_json("row").alias("mark")).agg(F.count("*").alias("n"), first.alias("n_kept"))
+    return common.one_of_each(docs, marks, F.to_json(row), found.count())
