@@ -202,11 +202,11 @@ def test_ingest_rebuilds_whole_dates(spark, tmp_path):
 
     drop, archive, target, ledger, state = (str(tmp_path / n) for n in ("drop", "archive", "cube", "ledger", "state"))
     catalog = spark.createDataFrame([(1, "/p/1")], "url_id bigint, url string")
-    ranges = spark.createDataFrame([("google", 0, 9)], "operator string, lo bigint, hi bigint")
+    ranges = spark.createDataFrame([("google", "66.249.64.0/19"), ("google", "2001:4860:4801::/48")], "operator string, cidr string")
     (tmp_path / "drop").mkdir()
 
     def arrive(name, n, head=True):
-        line = "\t".join(["Googlebot", "shop.example", "/p/1", "200", "Hit", "10", "0.5", "7"])
+        line = "\t".join(["Googlebot", "shop.example", "/p/1", "200", "Hit", "10", "0.5", "66.249.66.1" if n % 2 else "2001:4860:4801:1::9"])
         (tmp_path / "drop" / name).write_text(("#Fields: " + " ".join(SL.FIELDS) + "\n" if head else "#Fields: x-host-header\n") + (line + "\n") * n)
 
     def read():
@@ -228,3 +228,4 @@ def test_ingest_rebuilds_whole_dates(spark, tmp_path):
     folders = [d for d in (drop, archive) if ST.exists(spark, d)]
     ST.rebuild_dates(spark, folders, ["2024-01-01"], catalog, ranges, target, ledger)
     assert read() == (hits, books)
+    assert [r[0] for r in spark.read.parquet(target).select("verify_state").distinct().collect()] == ["verified"]

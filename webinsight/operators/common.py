@@ -24,12 +24,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def look_up(rows: DataFrame, dim: DataFrame, key: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """Left join of a dimension with unique keys that is safe for hot keys. A dimension of `most` rows or fewer is broadcast.
-    Else its rows for the hot keys are, and the other rows, none of which has a hot key, are shuffled."""
+    Else its rows for the hot keys are, and the other rows, none of which has a hot key or none at all, are shuffled."""
     if dim.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(dim), key, "left")
-    counts = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    known = rows.filter(F.col(key).isNotNull())
+    counts = known.groupBy(key).agg(F.count("*").alias("__n"))
     counts = stage(counts, "key-counts")
     line = max(1.0, (counts.agg(F.sum("__n")).first()[0] or 0) * HOT_SHARE)
     keys = F.broadcast(counts.filter(F.col("__n") >= line).select(key))
-    hot = rows.join(keys, key, "left_semi").join(F.broadcast(dim.join(keys, key, "left_semi")), key, "left")
-    return hot.unionByName(rows.join(keys, key, "left_anti").join(dim, key, "left"))
+    hot = known.join(keys, key, "left_semi").join(F.broadcast(dim.join(keys, key, "left_semi")), key, "left")
+    rest = known.join(keys, key, "left_anti").join(dim, key, "left")
+    return hot.unionByName(rest).unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webinsight.operators.common import look_up
+from webinsight.functions.addresses import address_key, cell, network
+from webinsight.operators.common import look_up, stage
 
 #: Buckets of URL types in display order.
 BUCKETS = [("R-url", ["search"]), ("C-url", ["category_facet"]), ("PLP", ["product", "product_legacy"]), ("Cat-url", ["category", "category_legacy"]), ("Homepage", ["home"]), ("Other", ["list", "sitemap", "robots", "info", "other"])]
@@ -102,19 +103,35 @@ def with_membership(hits: DataFrame, catalog: DataFrame) -> DataFrame:
     return look_up(hits, known, "path").withColumn("is_known_url", F.col("url_id").isNotNull())
 
 
-def verify_ips(hits: DataFrame, ranges: DataFrame, width: int = 4096) -> DataFrame:
-    """hits with verify_state. Ranges are cut into buckets of `width` addresses, so the interval test is an equi-join on the
-    bucket; distinct (operator, address) pairs are tested, not hits."""
+def network_cells(ranges: DataFrame) -> DataFrame:
+    """ranges (operator, cidr) -> (operator, version, prefix, cell), once each; texts that aren't networks are left out."""
+    rows = ranges.select("operator", network(F.col("cidr")).alias("n")).filter(F.col("n").isNotNull())
+    return rows.select("operator", F.substring("n.key", 1, 1).alias("version"), "n.prefix", cell(F.col("n.key"), F.col("n.prefix")).alias("cell")).distinct()
+
+
+def verify_ips(hits: DataFrame, ranges: DataFrame) -> DataFrame:
+    """hits (bot_family, ip: address text of either version) with verify_state, by ranges (operator, cidr: network text).
+
+    An address is in a network if its first bits are the network's, so the interval join is an equi-join on (operator, version,
+    prefix, bits): each different address has a cell for every prefix length in use (162 at most). Different pairs of operator
+    and address are tested, not hits, and the verdicts are looked up by hits in a way that is safe for a crawler's few addresses.
+    """
     ops = F.create_map(*(F.lit(x) for kv in OPERATORS.items() for x in kv))
-    hits = hits.withColumn("operator", ops[F.col("bot_family")])
-    pairs = hits.filter(F.col("operator").isNotNull() & F.col("ip_num").isNotNull()).select("operator", "ip_num").distinct()
-    cells = ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    inside = pairs.withColumn("cell", F.floor(F.col("ip_num") / width)).join(cells, ["operator", "cell"]).filter("ip_num between lo and hi")
-    inside = inside.select("operator", "ip_num").distinct().withColumn("hit", F.lit(True))
-    listed = ranges.select("operator").distinct().withColumn("listed", F.lit(True))
-    out = hits.join(inside, ["operator", "ip_num"], "left").join(listed, "operator", "left")
-    state = F.when(F.col("operator").isNull(), "unverifiable").when(F.col("listed").isNull() | F.col("ip_num").isNull(), "unchecked").when(F.col("hit"), "verified").otherwise("failed")
-    return out.withColumn("verify_state", state).drop("hit", "listed", "operator")
+    hits = hits.withColumn("__op", ops[F.col("bot_family")])
+    cells = stage(network_cells(ranges.filter(F.col("operator").isin(*OPERATORS.values()))), "network-cells")
+    lengths = sorted((r["version"], r["prefix"]) for r in cells.select("version", "prefix").distinct().collect())
+    listed = [r[0] for r in ranges.filter(F.col("operator").isin(*OPERATORS.values())).select("operator").distinct().collect()]
+    address = F.when(F.col("__op").isNotNull() & F.col("ip").isNotNull(), F.concat_ws(" ", "__op", "ip"))
+    pairs = hits.select("__op", "ip", address.alias("__address")).filter(F.col("__op").isin(*listed) & F.col("__address").isNotNull()).distinct()
+    pairs = stage(pairs.withColumn("key", address_key(F.col("ip"))), "addresses").filter(F.col("key").isNotNull())
+    used = F.array(*(F.struct(F.lit(v).alias("v"), F.lit(p).alias("p")) for v, p in lengths)) if lengths else F.array().cast("array<struct<v:string,p:int>>")
+    mine = F.filter(used, lambda x: x["v"] == F.substring("key", 1, 1))
+    each = pairs.select("__address", F.explode_outer(F.transform(mine, lambda x: F.concat_ws(" ", F.col("__op"), cell(F.col("key"), x["p"])))).alias("cell"))
+    known = cells.select(F.concat_ws(" ", "operator", "cell").alias("cell"), F.lit(True).alias("inside"))
+    tested = look_up(each, known, "cell").groupBy("__address").agg(F.coalesce(F.bool_or("inside"), F.lit(False)).alias("__inside"))
+    out = look_up(hits.withColumn("__address", address), stage(tested, "address-verdicts"), "__address")
+    state = F.when(F.col("__op").isNull(), "unverifiable").when(F.col("__inside").isNull(), "unchecked").when(F.col("__inside"), "verified").otherwise("failed")
+    return out.select(*hits.drop("__op").columns, state.alias("verify_state"))
 
 
 def build_cube(hits: DataFrame) -> DataFrame:

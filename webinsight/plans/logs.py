@@ -21,16 +21,27 @@ _DEPTH = "case when contains(p, '/c/') and trim(substr(p, instr(p, '/c/') + 3),
 _STATUS = "case when regexp_matches(status, '^[0-9]') then status[1] || 'xx' else '?' end"
 _PARSED = f"""parsed as (
   select event_id, log_date, host, fam as bot_family, {_CLASS} as bot_class, p as path, {_TYPE} as url_type, {_DEPTH} as facet_depth, status, {_STATUS} as status_class, edge_result,
-    coalesce(try_cast(bytes as bigint), 0) as bytes, coalesce(cast(trunc(try_cast(time_taken as decimal(18,6)) * 1000) as bigint), 0) as time_ms, ip_num
+    coalesce(try_cast(bytes as bigint), 0) as bytes, coalesce(cast(trunc(try_cast(time_taken as decimal(18,6)) * 1000) as bigint), 0) as time_ms, ip
   from (select *, {_FAMILY} as fam, case when rtrim(path, '/') = '' then '/' else rtrim(path, '/') end as p from
     (select * replace (case when lower(host) like 'www.%' then substr(lower(host), 5) else lower(host) end as host) from v_hits) h where host = 'shop.example' or host like '%.shop.example') x where fam is not null)"""
 _KNOWN = "knownu as (select max(url_id) as url_id, case when rtrim(url, '/') = '' then '/' else rtrim(url, '/') end as url from v_known group by 2)"
 _OP = "case bot_family when 'Googlebot' then 'google' when 'OpenAI' then 'openai' when 'Bing' then 'bing' end"
-_FULL = f"""{_PARSED}, {_KNOWN}, full_hits as (
+_DOT = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
+_H4 = lambda x: f"array_to_string(list_transform(string_split({x}, '.'), lambda o: lpad(lower(hex(cast(o as integer))), 2, '0')), '')"
+_HALF = lambda x: f"list_transform(list_filter(string_split({x}, ':'), lambda g: g <> ''), lambda g: lpad(lower(g), 4, '0'))"
+_DIGIT = "instr('0123456789abcdef', substr(key, p // 4 + 2, 1)) - 1"
+_NETS = f"""addr as (select x, case when regexp_full_match(x, '{_DOT}') then '4' || {_H4('x')} when contains(x, ':') then '6' || array_to_string(list_concat(a, list_resize(cast([] as varchar[]), 8 - len(a) - len(b), '0000'), b), '') end as key
+    from (select x, {_HALF("split_part(y, '::', 1)")} as a, {_HALF("split_part(y, '::', 2)")} as b from (select x, case when t = '' then x else left(x, length(x) - length(t)) || substr({_H4('t')}, 1, 4) || ':' || substr({_H4('t')}, 5, 4) end as y
+      from (select x, case when contains(x, ':') then regexp_extract(x, '{_DOT}$') else '' end as t from (select ip as x from parsed union select split_part(cidr, '/', 1) from v_ranges))))),
+  nets as (select operator, rpad(left(key, p // 4 + 1) || case when p // 4 + 1 < length(key) then lower(hex(({_DIGIT}) // (16 >> (p % 4)) * (16 >> (p % 4)))) else '' end, cast(length(key) as integer), '0') as lo,
+      rpad(left(key, p // 4 + 1) || case when p // 4 + 1 < length(key) then lower(hex(({_DIGIT}) // (16 >> (p % 4)) * (16 >> (p % 4)) + (16 >> (p % 4)) - 1)) else '' end, cast(length(key) as integer), 'f') as hi, key
+    from (select operator, key, case when contains(m, '.') then cast(list_sum(list_transform(string_split(m, '.'), lambda o: bit_count(cast(o as integer)))) as integer) else cast(m as integer) end as p
+      from (select operator, split_part(cidr, '/', 1) as x, split_part(cidr, '/', 2) as m from v_ranges) join addr using (x)))"""
+_FULL = f"""{_PARSED}, {_KNOWN}, {_NETS}, full_hits as (
   select p.*, k.url_id, k.url_id is not null as is_known_url,
-    case when {_OP} is null then 'unverifiable' when {_OP} not in (select operator from v_ranges) then 'unchecked'
-      when exists (select 1 from v_ranges r where r.operator = {_OP} and p.ip_num between r.lo and r.hi) then 'verified' else 'failed' end as verify_state
-  from parsed p left join knownu k on k.url = p.path)"""
+    case when {_OP} is null then 'unverifiable' when {_OP} not in (select operator from v_ranges) or a.key is null then 'unchecked'
+      when exists (select 1 from nets r where r.operator = {_OP} and r.lo = r.key and a.key between r.lo and r.hi) then 'verified' else 'failed' end as verify_state
+  from parsed p left join addr a on a.x = p.ip left join knownu k on k.url = p.path)"""
 _CUBE = f"""{_FULL}, cube as (select log_date, host, bot_family, url_type, facet_depth, is_known_url, status_class, edge_result, verify_state, count(*) as hits,
   cast(sum(bytes) as bigint) as bytes, cast(sum(time_ms) as bigint) as sum_time_ms from full_hits group by all)"""
 _DAILY = f"""{_FULL}, url_daily as (select log_date, url_id, host, bot_family, count(*) as hits, cast(sum(bytes) as bigint) as bytes, count(*) filter (status_class = '2xx') as n_2xx, count(*) filter (status_class = '3xx') as n_3xx,

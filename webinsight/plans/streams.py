@@ -14,7 +14,7 @@ from .registry import query
 
 def log_lines(t):
     """v_hits as lines of log files: log_date, hour, host, line, event_id."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("ua", "host", "path", "status", "edge_result", "bytes", "time_taken", "ip_num")]
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("ua", "host", "path", "status", "edge_result", "bytes", "time_taken", "ip")]
     return t("v_hits").select("log_date", F.hour("ts").alias("hour"), F.col("host").alias("dist"), F.concat_ws("\t", *cells).alias("line"), "event_id")
 
 

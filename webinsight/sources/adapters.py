@@ -63,13 +63,17 @@ ADAPTERS = {
           case k % 3 when 0 then 'Hit' when 1 then 'Miss' else 'RefreshHit' end as edge_result,
           case when k % 17 = 0 then '-' else cast(cast(floor(value * 100) as bigint) as string) end as bytes,
           case when k % 19 = 0 then 'bad' else cast(cast(value as decimal(12,2)) as string) end as time_taken,
-          user_id * 1000 + k as ip_num
+          case when k % 23 = 0 then '-' when k % 3 = 0 then '2001:db8:' || lower(hex(user_id % 16)) || '::' || lower(hex(k))
+            when k % 6 = 1 then '2001:DB8:' || hex(user_id % 16) || ':0:0:0:66.0.0.' || cast(k as string)
+            else '66.' || cast(cast(floor(user_id / 100.0) as bigint) % 256 as string) || '.' || cast(user_id % 100 as string) || '.' || cast(k as string) end as ip
         from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from {events}) e""",
     "v_known": """
         select min(event_id) as url_id, case when path = '/' then '/' else regexp_replace(path, '/+$', '') end as url from {v_hits} where k % 7 = 0 group by 2""",
     "v_ranges": """
-        select case n_regionkey when 0 then 'google' when 1 then 'openai' when 2 then 'bing' else 'other' end as operator,
-          cast(n_nationkey * 6000 as bigint) as lo, cast(n_nationkey * 6000 + 2999 as bigint) as hi
+        select case n_regionkey when 0 then 'google' when 1 then 'openai' else 'other' end as operator,
+          case n_nationkey % 5 when 0 then '66.' || cast(cast(floor(n_nationkey / 10.0) as bigint) as string) || '.' || cast(n_nationkey * 4 as string) || '.0/22'
+            when 1 then '2001:db8:' || lower(hex(n_nationkey % 16)) || '::/48' when 2 then '2001:DB8:' || hex(n_nationkey % 16) || '::/122'
+            when 3 then '66.0.' || cast(n_nationkey * 4 as string) || '.1/22' else '66.0.' || cast(n_nationkey * 3 as string) || '.0/255.255.255.0' end as cidr
         from {nation}""",
     "v_ledger": """
         select log_date, count(distinct hour(ts)) as hours_present, count(*) as raw_lines, count(distinct user_id % 5) as files, 5 as expected_files,

@@ -57,7 +57,7 @@ def rebuild_dates(spark: SparkSession, folders: list[str], dates: list[str], cat
     lines = SL.read_dates(spark, folders, dates).withColumn("log_date", F.to_date(SL.file_date(F.col("file"))))
     bad = SL.missing_fields(lines.select("value", "file")).select("file").withColumn("failed", F.lit(True))
     parsed = SL.parse_lines(lines.join(bad, "file", "left_anti").select("value", "file")).withColumn("log_date", F.to_date(SL.file_date(F.col("file"))))
-    hits = stage(L.verify_ips(L.with_membership(L.parse_hits(parsed.withColumn("ip_num", F.col("ip").try_cast("long"))), catalog), ranges), "ingested-hits")
+    hits = stage(L.verify_ips(L.with_membership(L.parse_hits(parsed), catalog), ranges), "ingested-hits")
     check_tripwires(hits)
     data = F.when(~F.col("value").startswith("#") & (F.col("value") != ""), 1).otherwise(0)
     files = lines.groupBy("file", "log_date").agg(F.sum(data).alias("lines")).join(bad, "file", "left")
