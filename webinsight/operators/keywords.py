@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,41 +108,120 @@ def common_length(a: list[str], b: list[str]) -> np.ndarray:
     return ((((rows[:, :, None] >> np.arange(63, dtype=np.uint64)) & np.uint64(1)) == 0) & inside).sum(axis=(1, 2))
 
 
+#: Letters of texts that are compared at once.
+CELLS = 4_000_000
+
+
 @F.pandas_udf(T.DoubleType())
 def indel_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """100 (len a + len b - insertions and deletions) / (len a + len b)."""
     for a, b in pairs:
-        size = (a.str.len() + b.str.len()).to_numpy(float)
-        yield pd.Series(np.where(size > 0, 200.0 * common_length(a.tolist(), b.tolist()) / np.maximum(size, 1), 100.0))
-
-
-def _pieces(length: Column, most: Column) -> Column:
-    """(start from 1, size) of most + 1 pieces that cover a text of that length, as even as can be."""
-    n = F.least(most + 1, length)
-    edge = lambda i: F.floor(i * length / n).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((edge(i) + 1).alias("start"), (edge(i + 1) - edge(i)).alias("size")))
+        la, lb = a.str.len().to_numpy(), b.str.len().to_numpy()
+        order, common = np.lexsort((lb, la)), np.zeros(len(a), np.int64)
+        # Pairs of about equal lengths are compared together: arrays are as wide as these, in slices of CELLS at most.
+        at = 0
+        while at < len(order):
+            width = max(int(la[order[at]]), 63)
+            end = int(np.searchsorted(la[order], 2 * width, "right"))
+            end = min(end, at + max(1, CELLS // (2 * width)))
+            mine = order[at:end]
+            common[mine] = common_length(a.iloc[mine].tolist(), b.iloc[mine].tolist())
+            at = end
+        size = (la + lb).astype(float)
+        yield pd.Series(np.where(size > 0, 200.0 * common / np.maximum(size, 1), 100.0))
+
+
+#: Letters fall into eight groups of about equal weight; a common part of T letters is compared over fewer groups the longer it is.
+GROUPS = 8
+MERGED = {8: (0, 1, 2, 3, 4, 5, 6, 7), 6: (0, 1, 2, 3, 4, 4, 5, 5), 5: (0, 1, 2, 2, 3, 3, 4, 4), 4: (0, 0, 1, 1, 2, 2, 3, 3), 3: (0, 0, 0, 1, 1, 2, 2, 2), 2: (0, 0, 0, 0, 1, 1, 1, 1), 1: (0,) * 8}
+
+
+def _n_groups(common: int) -> int:
+    return next((g for most, g in ((8, 8), (12, 6), (18, 5), (26, 4), (60, 3), (200, 2)) if common <= most), 1)
+
+
+def letter_groups(texts: DataFrame, column: str) -> tuple[str, str]:
+    """Letters in use (Unicode bounds them) and the group of each as a digit, so that groups hold about as many letters of the texts."""
+    letters = texts.select(F.explode(F.split(column, "")).alias("c")).groupBy("c").count().orderBy(F.desc("count"), "c").collect()
+    held, chars, digits = [0] * GROUPS, [], []
+    for r in letters:
+        g = held.index(min(held))
+        held[g] += r["count"]
+        chars.append(r["c"])
+        digits.append(str(g))
+    return "".join(chars), "".join(digits)
+
+
+@cache
+def _taken(groups: int, n: int) -> np.ndarray:
+    """Every way to take n letters out of groups: a row of counts each."""
+    if groups == 1:
+        return np.array([[n]])
+    return np.concatenate([np.column_stack([np.full(len(rest := _taken(groups - 1, n - k)), k), rest]) for k in range(n + 1)])
+
+
+def common_parts(counts: np.ndarray, least: Callable[[int], range], need: Callable[[int], int], swap: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(other length, key) for each part that a text with these group counts may have in common with a text of another length. swap: the
+    other text is the one of the left side."""
+    n, others, keys = int(counts.sum()), [], []
+    for m in least(n):
+        t = need(n + m)
+        if t > min(n, m):
+            continue
+        g = _n_groups(t)
+        mine = np.bincount(MERGED[g], counts, g).astype(np.int64)
+        left = mine - _taken(g, n - t)
+        left = left[(left >= 0).all(axis=1)]
+        a, b = (m, n) if swap else (n, m)
+        h = np.full(len(left), a * 1_000_003 + b, np.uint64)
+        for c in left.T.astype(np.uint64):
+            h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        others.append(np.full(len(h), m, np.int32))
+        keys.append(h.view(np.int64))
+    return (np.concatenate(others), np.concatenate(keys)) if keys else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, threshold: int = FUZZY_MIN) -> DataFrame:
     """(k, vk): every pair of k of left and vk of right whose indel ratio may reach the threshold; none is lost.
 
-    A ratio of t allows d = (1 - t / 100) (len k + len vk) insertions and deletions. Cut vk into d + 1 pieces: an edit spoils
-    one at most, so one of them stands in k, d places off its own at most. So pairs are found by equi-joins on
-    (both lengths, piece number, piece), at any position of the errors, and only they are compared.
+    A ratio of t needs a common subsequence of T = t (len k + len vk) / 200 letters. In counts of letter groups it is a part of T
+    letters of both texts: each side lists the parts of T letters that its counts allow, and they meet in an equi-join on
+    (lengths, part). Texts with equal counts are one class there, so classes are joined, not texts; classes with T letters in common
+    by all groups are then expanded, and pairs of texts with T common letters stay (a letter counts as often as it occurs).
     """
     slack = (100 - threshold) / 100
-    edits = F.floor(slack * (F.col("lk") + F.col("lv")) + 1e-9).cast("int")
-    low = lambda n: F.greatest(F.lit(MIN_LENGTH), F.ceil(n * F.greatest(F.lit(LENGTH_RATIO), F.lit((1 - slack) / (1 + slack))) - 1e-9)).cast("int")
-    high = lambda n: F.floor(n * min(1 / LENGTH_RATIO, (1 + slack) / (1 - slack)) + 1e-9).cast("int")
-    lengths = lambda n: F.explode(F.when(low(n) <= high(n), F.sequence(low(n), high(n))))
-    right = right.select("vk").distinct().withColumn("lv", F.length("vk")).filter(F.col("lv") >= MIN_LENGTH)
-    right = right.withColumn("lk", lengths(F.col("lv"))).select("vk", "lk", "lv", F.posexplode(_pieces(F.col("lv"), edits)).alias("at", "p"))
-    right = right.select("vk", "lk", "lv", "at", F.substring(F.col("vk"), F.col("p.start"), F.col("p.size")).alias("piece"))
-    left = left.select("k").distinct().withColumn("lk", F.length("k")).filter(F.col("lk") >= MIN_LENGTH)
-    left = left.withColumn("lv", lengths(F.col("lk"))).withColumn("d", edits).select("k", "lk", "lv", "d", F.posexplode(_pieces(F.col("lv"), F.col("d"))).alias("at", "p"))
-    first, last = F.greatest(F.lit(1), F.col("p.start") - F.col("d")), F.least(F.col("lk") - F.col("p.size") + 1, F.col("p.start") + F.col("d"))
-    left = left.select("k", "lk", "lv", "at", F.explode(F.array_distinct(F.when(first <= last, F.transform(F.sequence(first, last), lambda i: F.substring(F.col("k"), i, F.col("p.size")))))).alias("piece"))
-    return left.join(right, ["lk", "lv", "at", "piece"]).select("k", "vk").distinct()
+    low, high = max(LENGTH_RATIO, (1 - slack) / (1 + slack)), min(1 / LENGTH_RATIO, (1 + slack) / (1 - slack))
+    lengths = lambda n: range(max(MIN_LENGTH, math.ceil(n * low - 1e-9)), math.floor(n * high + 1e-9) + 1)
+    need = lambda both: math.ceil(threshold / 200 * both - 1e-9)
+    left, right = left.select(F.col("k").alias("t")).distinct(), right.select(F.col("vk").alias("t")).distinct()
+    long = F.length("t") >= MIN_LENGTH
+    left, right = stage(left.filter(long), "near-left"), stage(right.filter(long), "near-right")
+    chars, digits = letter_groups(left.unionByName(right), "t")
+    in_group = F.translate("t", chars, digits) if chars else F.col("t")
+    count = lambda g: F.length(F.col("d")) - F.length(F.replace(F.col("d"), F.lit(str(g)), F.lit("")))
+    classed = lambda df: df.withColumn("d", in_group).select("t", F.array(*(count(g) for g in range(GROUPS))).alias("c"))
+
+    def parts(df: DataFrame, swap: bool, c: str) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for counts in batch.column(0).to_pylist():
+                    other, key = common_parts(np.array(counts), lengths, need, swap)
+                    yield pa.RecordBatch.from_arrays([pa.array([counts] * len(key), batch.schema.field(0).type), pa.array(other), pa.array(key)], names=[c, "other", "key"])
+
+        return df.select(F.col("c").alias(c)).distinct().mapInArrow(run, f"{c} array<int>, other int, key bigint")
+
+    a, b = classed(left), classed(right)
+    met = parts(a, False, "ca").drop("other").join(parts(b, True, "cb").drop("other"), "key").select("ca", "cb").distinct()
+    total = lambda *arrays: F.aggregate(F.concat(*arrays), F.lit(0), lambda x, y: x + y)
+    needed = F.ceil(F.lit(threshold / 200) * total("ca", "cb") - 1e-9)
+    met = met.filter(total(F.zip_with("ca", "cb", lambda x, y: F.least(x, y))) >= needed)
+    # Letters numbered by occurrence, so that sets of them are bags.
+    letters = F.split("t", "")
+    bag = F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, 1, i + 1), lambda y: y == x)).cast("string")))
+    pairs = stage(met, "near-classes").join(a.select(F.col("c").alias("ca"), F.col("t").alias("k"), bag.alias("ba")), "ca").join(b.select(F.col("c").alias("cb"), F.col("t").alias("vk"), bag.alias("bb")), "cb")
+    enough = F.size(F.array_intersect("ba", "bb")) >= F.ceil(F.lit(threshold / 200) * (F.length("k") + F.length("vk")) - 1e-9)
+    return pairs.filter(enough).select("k", "vk")
 
 
 def match_keywords(queries: DataFrame, values: DataFrame, synonyms: DataFrame, threshold: int = FUZZY_MIN) -> DataFrame:
