@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from webinsight.functions import agents, norm, text
 from webinsight.operators import campaigns, content, keywords, logs, redirects, sets
-from webinsight.streaming.stream import TripwireError, check_tripwires
+from webinsight.streaming.stream import TripwireError, gated
 
 
 def one(spark, column, **values):
@@ -112,11 +112,12 @@ def test_fuzzy_match(spark):
 
 def test_tripwires(spark):
     hits = spark.range(3).withColumn("is_known_url", F.lit(False))
-    assert check_tripwires(hits) == {"hits": 3, "known": 0}
+    rows, got = gated(hits)
+    assert got == {"hits": 3, "known": 0} and rows.count() == 3
     with pytest.raises(TripwireError):
-        check_tripwires(hits, 2)
+        gated(hits, 2)
     with pytest.raises(TripwireError):
-        check_tripwires(hits.limit(0))
+        gated(hits.limit(0))
 
 
 def test_cube_counts_every_parsed_line_at_any_partitioning(spark):
@@ -225,7 +226,107 @@ def test_ingest_rebuilds_whole_dates(spark, tmp_path):
     hits, books = read()
     assert hits == {"2024-01-01": 7, "2024-01-02": 7}
     assert books == {"2024-01-01": (3, 16, 2, 1, 7), "2024-01-02": (2, 7, 2, 0, 7)}
-    folders = [d for d in (drop, archive) if ST.exists(spark, d)]
-    ST.rebuild_dates(spark, folders, ["2024-01-01"], catalog, ranges, target, ledger)
+    ST.rebuild_dates(spark, f"{ledger}-landing", ["2024-01-01"], catalog, ranges, target, ledger)
     assert read() == (hits, books)
     assert [r[0] for r in spark.read.parquet(target).select("verify_state").distinct().collect()] == ["verified"]
+
+
+def test_refused_batch_leaves_the_tables(spark, tmp_path, monkeypatch):
+    """Many hits of which none is known: cube and ledger stay as they were. Metrics come with the write, in one pass."""
+    from webinsight.sources import logs as SL
+    from webinsight.streaming import stream as ST
+
+    drop, archive, target, ledger, state = (str(tmp_path / n) for n in ("drop", "archive", "cube", "ledger", "state"))
+    (tmp_path / "drop").mkdir()
+    ranges = spark.createDataFrame([("google", "66.249.64.0/19")], "operator string, cidr string")
+    head = "#Fields: " + " ".join(SL.FIELDS) + "\n"
+    line = "\t".join(["Googlebot", "shop.example", "/p/1", "200", "Hit", "10", "0.5", "66.249.66.1"]) + "\n"
+    arrive = lambda name, n: (tmp_path / "drop" / name).write_text(head + line * n)
+    arrive("A.2024-01-01-00.x", 3)
+    read = lambda catalog: ST.ingest(spark, drop, archive, catalog, ranges, target, ledger, state)
+    read(spark.createDataFrame([(1, "/p/1")], "url_id bigint, url string"))
+    before = sorted(map(str, spark.read.parquet(target).collect()))
+    monkeypatch.setattr(ST.check_tripwires, "__defaults__", (4,))
+    monkeypatch.setattr(ST.gated, "__defaults__", (4,))
+    arrive("A.2024-01-01-01.x", 4)
+    with pytest.raises(Exception, match="none of a known URL"):
+        read(spark.createDataFrame([(2, "/p/2")], "url_id bigint, url string"))
+    assert sorted(map(str, spark.read.parquet(target).collect())) == before
+    monkeypatch.undo()
+    read(spark.createDataFrame([(1, "/p/1")], "url_id bigint, url string"))  # the batch comes again
+    assert spark.read.parquet(target).agg(F.sum("hits")).first()[0] == 7
+
+
+def test_only_folders_of_the_dates_are_read(spark, tmp_path):
+    from webinsight.sources import logs as SL
+
+    landing = str(tmp_path / "landing")
+    lines = [("x", f"/in/A.2024-01-0{d}-0{h}.x") for d in (1, 2) for h in (1, 2)] + [("no date", "/in/readme")]
+    to = lambda rows: spark.createDataFrame(rows, "value string, file string")
+    assert SL.land(to(lines), landing, 0) == ["2024-01-01", "2024-01-02"]
+    assert SL.land(to([("y", "/in/A.2024-01-02-09.x"), ("z", "/late/A.2024-01-02-01.x")]), landing, 1) == ["2024-01-02"]
+    assert SL.land(to([("y", "/in/A.2024-01-02-09.x"), ("z", "/late/A.2024-01-02-01.x")]), landing, 1) == ["2024-01-02"]  # a replay
+    got = SL.read_dates(spark, landing, ["2024-01-02"])
+    assert sorted((r["value"], r["file"]) for r in got.collect()) == [("x", "/in/A.2024-01-02-01.x"), ("x", "/in/A.2024-01-02-02.x"), ("y", "/in/A.2024-01-02-09.x")]
+    assert got.inputFiles() and all("2024-01-02" in f for f in got.inputFiles())
+
+
+def test_late_rows_are_dropped_and_counted(spark):
+    from webinsight.plans import streams
+    from webinsight.plans.registry import Tables
+    from webinsight.streaming import stream as ST
+
+    from .conftest import SF
+
+    rows, late = streams.in_waves(Tables(spark, SF), "late", ST.hourly_hits)
+    assert late > 0 and rows.count() == rows.select("hour", "event_type").distinct().count()
+
+
+def test_upsert_touches_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(400).select("id", F.lit("old").alias("v"), F.lit(0).alias("seq"))
+    sets.create_buckets(rows, path, ["id"], 16)
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t").rglob("*.parquet")}
+    before = files()
+    source = spark.createDataFrame([(3, "a", 1), (3, "b", 2), (3, "c", 2), (900, "new", 1), (3, "a", 1)], "id bigint, v string, seq int")
+    for _ in range(2):  # a second run changes nothing
+        touched = sets.upsert_buckets(source, path, ["id"], F.desc("seq"), F.asc("v"), buckets=16)
+        got = {r["id"]: r["v"] for r in spark.read.parquet(path).collect()}
+        assert len(got) == 401 and spark.read.parquet(path).count() == 401
+        assert got.pop(3) == "b" and got.pop(900) == "new" and set(got.values()) == {"old"}
+    same = {f for f, at in before.items() if files().get(f) == at}
+    assert 1 <= len(touched) <= 2 and len({f.split("bucket=")[1].split("/")[0] for f in before} - {f.split("bucket=")[1].split("/")[0] for f in same}) == len(touched)
+
+
+def test_ties_in_time_are_settled_by_the_other_values(spark):
+    rows = [("k", 1, "a", 5), ("k", 2, "b", 1), ("k", 2, "c", None), ("k", 2, "c", 7), ("k", 3, "z", 9)]
+    df = spark.createDataFrame(rows, "key string, t int, v string, n int")
+    for parts in (1, 5):
+        assert [tuple(r) for r in sets.as_of(df.repartition(parts), ["key"], "t", 2).collect()] == [("k", 2, "c", 7)]
+
+
+def test_rule_table_equals_the_folded_form(spark):
+    rules = [
+        {"kind": "cat_cat", "old": "a", "new": "b"}, {"kind": "cat_cat", "old": "b", "new": "c"}, {"kind": "cat_cat", "old": "x/y", "new": "xy"}, {"kind": "facet_facet", "old": "k~1", "new": "kk~one"}, {"kind": "facet_facet", "old": "color_red~1", "new": "red~1"},
+        {"kind": "facet_facet", "old": "plain", "new": "fancy"}, {"kind": "facet_facet", "old": "~~", "new": "~~"}, {"kind": "cat_facet", "cat": "a", "old": "size~4", "new": "size~5"}, {"kind": "cat_facet_remove", "cat": "b", "old": "rare", "new": None}, {"kind": "bucket_bucket", "old": "shoe", "new": "boot"},
+        {"kind": "bucket_bucket", "old": "s", "new": "t"}, {"kind": "remove_bucket"},
+    ]
+    paths = ["/products/a/c/k~1~~color_red~12", "/a/b/c/size~4~~rare~9", "/b/c/rare_x~9~~k~11", "/products/x/y/plain/", "/r/shoe_store/", "/a/r/s", "/xk~1", "", "/", "/products/a", "/a/?q=k~1", "/A/c/K~1", "/b/c/rare", "/a/a/c/size~44~~xsize~4"]
+    urls = spark.createDataFrame([(f"https://h.example{p}" if i % 2 else p,) for i, p in enumerate(paths)] + [(paths[0],)], "url string")
+    table = spark.createDataFrame([(i, r["kind"], r.get("cat"), r.get("old"), r.get("new")) for i, r in enumerate(rules)], "seq int, kind string, cat string, old string, new string")
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    want = plain(redirects.apply_rules(urls, rules[:-1]))
+    assert plain(redirects.apply_rule_table(urls, table.filter("kind <> 'remove_bucket'"))) == want
+    assert plain(redirects.apply_rule_table(urls, table)) == plain(redirects.apply_rules(urls, rules))
+    assert plain(redirects.apply_rule_table(urls, table.limit(0))) == plain(redirects.apply_rules(urls, []))
+    many = spark.range(5000).select(F.col("id").cast("int").alias("seq"), F.lit("facet_facet").alias("kind"), F.lit(None).cast("string").alias("cat"), F.concat(F.lit("f"), F.col("id") % 50, F.lit("~"), "id").alias("old"), F.concat(F.lit("g~"), "id").alias("new"))
+    links = spark.range(300).select(F.concat(F.lit("/p/c/f"), F.col("id") % 50, F.lit("~"), F.col("id") * 7, F.lit("~~z~1")).alias("url"))
+    got = redirects.apply_rule_table(links, many)
+    assert "fallback" not in got._jdf.queryExecution().toString()
+    for r in got.collect():
+        first, value = r["url"].removeprefix("/p/c/").split("~~")[0].split("~")
+        w = f"{first}~{value}"
+        for i in range(5000):
+            if f"f{i % 50}~{i}" in r["url"]:
+                w = w.replace(f"f{i % 50}~{i}", f"g~{i}")
+        assert r["new_url"] == "/p/c/" + "~~".join(sorted([w, "z~1"], key=lambda x: x.split("~")[0]))

@@ -1,6 +1,6 @@
 """Small helpers of the operators."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from webinsight.sources.work import work_path
@@ -22,6 +22,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, dict]:
+    """As stage, with metrics over df that are gathered in the write itself: one pass."""
+    seen = Observation()
+    return stage(df.observe(seen, *(m.alias(k) for k, m in metrics.items())), name), seen.get
+
+
 def look_up(rows: DataFrame, dim: DataFrame, key: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """Left join of a dimension with unique keys that is safe for hot keys. A dimension of `most` rows or fewer is broadcast.
     Else its rows for the hot keys are, and the other rows, none of which has a hot key or none at all, are shuffled."""
@@ -35,3 +41,11 @@ def look_up(rows: DataFrame, dim: DataFrame, key: str, most: int = BROADCAST_ROW
     hot = known.join(keys, key, "left_semi").join(F.broadcast(dim.join(keys, key, "left_semi")), key, "left")
     rest = known.join(keys, key, "left_anti").join(dim, key, "left")
     return hot.unionByName(rest).unionByName(rows.filter(F.col(key).isNull()), allowMissingColumns=True)
+
+
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of one group row (unique keys, `weight`: its number of rows) onto each of `total` rows, safe when one group holds most of
+    them: groups of HOT_SHARE of the rows or more, 1000 at most, are broadcast; the shuffled rest has no hot key."""
+    line = max(1.0, total * HOT_SHARE)
+    hot = F.broadcast(groups.filter(F.col(weight) >= line))
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.filter(F.col(weight) < line), keys))

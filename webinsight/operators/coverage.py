@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webinsight.functions.norm import month_of, npath
+from webinsight.operators.common import stage
+from webinsight.operators.ranks import by_size, positions, tie_ranks
 
 WEIGHT_VISITS, WEIGHT_REVENUE = 0.889, 0.111
 
@@ -55,31 +57,65 @@ def selection_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def knees(urls: DataFrame, key: str = "deepest_cat", shares: Sequence[int] = (80, 90, 95)) -> DataFrame:
     """Per category: the least rank by visits that reaches each share of its volume, its volume and its URLs."""
-    w = Window.partitionBy(key).orderBy(F.desc("visits"), "npath")
-    rows = urls.filter("visits > 0").withColumns({"rn": F.row_number().over(w), "run": F.sum("visits").over(w.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("visits").over(Window.partitionBy(key))})
+    order = [F.desc("visits"), F.col("npath")]
+
+    def small(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(key).orderBy(*order)
+        return rows.withColumns({"rn": F.row_number().over(w), "run": F.sum("visits").over(w.rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("visits").over(Window.partitionBy(key))})
+
+    def large(rows: DataFrame) -> DataFrame:
+        placed = positions(rows, [key], order, "visits")
+        return placed.select(*rows.columns, (F.col("pos") + 1).alias("rn"), "run", F.col("group_value").alias("total"))
+
+    rows = by_size(urls.filter("visits > 0"), key, small, large)
     cut = [F.min(F.when(F.col("run") * 100 >= F.col("total") * p, F.col("rn"))).cast("long").alias(f"knee{p}") for p in shares]
     return rows.groupBy(key).agg(*cut, F.sum("visits").alias("yearly"), F.count("*").alias("urls"))
 
 
 def blend_score(urls: DataFrame, key: str = "deepest_cat", wv: float = WEIGHT_VISITS, wr: float = WEIGHT_REVENUE) -> DataFrame:
     """wv * percent_rank of ln(1 + visits) + wr * percent_rank of ln(1 + revenue), within the category."""
-    pr = lambda c: F.percent_rank().over(Window.partitionBy(key).orderBy(F.log1p(c)))
-    return urls.withColumn("score", F.lit(wv) * pr(F.col("visits")) + F.lit(wr) * pr(F.greatest(F.col("revenue"), F.lit(0.0))))
+    values = {"__v": F.log1p("visits"), "__r": F.log1p(F.greatest(F.col("revenue"), F.lit(0.0)))}
+    score = lambda v, r: (F.lit(wv) * v + F.lit(wr) * r).alias("score")
+
+    def small(rows: DataFrame) -> DataFrame:
+        pr = lambda c: F.percent_rank().over(Window.partitionBy(key).orderBy(c))
+        return rows.select(*urls.columns, score(pr(values["__v"]), pr(values["__r"])))
+
+    def large(rows: DataFrame) -> DataFrame:
+        named = rows.withColumns(values | {"__key": F.struct(key)})
+        ranked = tie_ranks(tie_ranks(named, ["__key"], "__v", ("__vr", "__vt", "__vn")), ["__key"], "__r", ("__rr", "__rt", "__rn"))
+        part = lambda rank, n: (F.col(rank) - 1) / (F.col(n) - 1)
+        return ranked.select(*urls.columns, score(part("__vr", "__vn"), part("__rr", "__rn")))
+
+    return by_size(urls, key, small, large)
 
 
 def rank_pct(df: DataFrame, key: str, column: str) -> DataFrame:
     """Average-tie rank over the number of rows; 0.5 for nulls."""
-    w = Window.partitionBy(key, F.col(column).isNull())
-    ties = F.count("*").over(Window.partitionBy(key, column))
-    rank = F.rank().over(w.orderBy(column)) + (ties - 1) / 2
-    return df.withColumn(f"{column}_pct", F.when(F.col(column).isNull(), 0.5).otherwise(rank / F.count("*").over(w)))
+    name = f"{column}_pct"
+    filled = F.col(column).isNotNull()
+
+    def small(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(key, F.col(column).isNull())
+        rank = F.rank().over(w.orderBy(column)) + (F.count("*").over(Window.partitionBy(key, column)) - 1) / 2
+        return rows.withColumn(name, F.when(filled, rank / F.count("*").over(w)).otherwise(0.5))
+
+    def large(rows: DataFrame) -> DataFrame:
+        ranked = tie_ranks(rows.filter(filled).withColumn("__key", F.struct(key)), ["__key"], column, ("__rank", "__ties", "__n"))
+        pct = ((F.col("__rank") + (F.col("__ties") - 1) / 2) / F.col("__n")).alias(name)
+        return ranked.select(*df.columns, pct).unionByName(rows.filter(~filled).withColumn(name, F.lit(0.5)))
+
+    return by_size(df, key, small, large)
 
 
 def select_top(scored: DataFrame, key: str = "deepest_cat", caps: DataFrame | None = None, default: int = 300) -> DataFrame:
+    """Rows by rank up to the category's cap. The largest cap bounds the ranking itself, so each task keeps as many rows a category at most
+    before these meet."""
+    most = default if caps is None else max(default, caps.agg(F.max("cap")).first()[0] or 0)
     w = Window.partitionBy(key).orderBy(F.desc("score"), F.desc("visits"), "npath")
-    rows = scored.withColumn("rank", F.row_number().over(w).cast("long"))
+    rows = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(most)).withColumn("rank", F.col("rank").cast("long"))
     if caps is None:
-        return rows.filter(F.col("rank") <= default)
+        return rows
     return rows.join(caps.select(key, "cap"), key, "left").filter(F.col("rank") <= F.coalesce("cap", F.lit(default))).drop("cap")
 
 
@@ -143,34 +179,38 @@ def backtest(frame: DataFrame, targets: DataFrame, key: str, cap: int = 300, rou
     """
     for c in names:
         frame = rank_pct(frame, key, c)
-    joined = frame.join(targets.select("npath", F.col("visits").alias("t_visits"), F.col("revenue").alias("t_revenue")), "npath", "left").na.fill(0, ["t_visits", "t_revenue"]).persist()
-    try:
-        weights, best = {c: 1.0 for c in names}, -math.inf
-        for _ in range(rounds):
-            before = dict(weights)
-            for c in names:
-                trials = F.explode(F.array(*(F.lit(s) for s in steps)))
-                rows = joined.withColumn("w", trials)
-                fixed = sum((F.lit(weights[o]) * F.col(f"{o}_pct") for o in names if o != c), F.lit(0.0))
-                rows = rows.withColumn("s", fixed + F.col("w") * F.col(f"{c}_pct"))
-                top = F.row_number().over(Window.partitionBy("w", key).orderBy(F.desc("s"), "npath")) <= cap
-                got = rows.withColumn("top", top).groupBy("w").agg(*((F.sum(F.when(F.col("top"), F.col(t))) / F.sum(t)).alias(t) for t in ("t_visits", "t_revenue"))).collect()  # a row a candidate
-                for r in sorted(got, key=lambda r: (abs(r["w"] - weights[c]), r["w"])):
-                    value = 0.5 * (r["t_visits"] or 0.0) + 0.5 * (r["t_revenue"] or 0.0)
-                    if value > best + 1e-12:
-                        best, weights[c] = value, r["w"]
-            if weights == before:
-                break
-        return weights, best
-    finally:
-        joined.unpersist()
+    joined = frame.join(targets.select("npath", F.col("visits").alias("t_visits"), F.col("revenue").alias("t_revenue")), "npath", "left").na.fill(0, ["t_visits", "t_revenue"])
+    joined = stage(joined.select(key, "npath", "t_visits", "t_revenue", *(f"{c}_pct" for c in names)), "backtest-frame")
+    whole = joined.agg(*(F.sum(t).alias(t) for t in ("t_visits", "t_revenue"))).first()
+    weights, best = {c: 1.0 for c in names}, -math.inf
+    for _ in range(rounds):
+        before = dict(weights)
+        for c in names:
+            trials = F.explode(F.array(*(F.lit(s) for s in steps)))
+            fixed = sum((F.lit(weights[o]) * F.col(f"{o}_pct") for o in names if o != c), F.lit(0.0))
+            rows = joined.withColumn("w", trials).select("w", key, "npath", "t_visits", "t_revenue", (fixed + F.col("w") * F.col(f"{c}_pct")).alias("s"))
+            # Ranks beyond the cap are cut where rows are read, so few of a category meet.
+            top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("w", key).orderBy(F.desc("s"), "npath"))).filter(F.col("rank") <= cap)
+            got = top.groupBy("w").agg(*(F.sum(t).alias(t) for t in ("t_visits", "t_revenue"))).collect()  # a row a candidate
+            share = lambda r, t: (r[t] or 0.0) / whole[t] if whole[t] else 0.0
+            for r in sorted(got, key=lambda r: (abs(r["w"] - weights[c]), r["w"])):
+                value = 0.5 * share(r, "t_visits") + 0.5 * share(r, "t_revenue")
+                if value > best + 1e-12:
+                    best, weights[c] = value, r["w"]
+        if weights == before:
+            break
+    return weights, best
 
 
 def coverage_curve(scored: DataFrame, targets: DataFrame, key: str, sizes: Sequence[int]) -> DataFrame:
-    """Coverage by cap, from one ranking."""
+    """Coverage by cap, from one ranking down to the largest cap; the total is summed beside it."""
+    target = targets.select("npath", F.col("visits").alias("t"))
+    scored = stage(scored, "scored")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), F.desc("visits"), "npath"))
-    rows = scored.withColumn("rank", rank).join(targets.select("npath", F.col("visits").alias("t")), "npath")
-    out = rows.agg(*((F.sum(F.when(F.col("rank") <= n, F.col("t"))) * 100.0 / F.sum("t")).alias(str(n)) for n in sizes))
+    rows = scored.withColumn("rank", rank).filter(F.col("rank") <= max(sizes)).join(target, "npath")
+    total = scored.select("npath").join(target, "npath").agg(F.sum("t").alias("total"))
+    sums = rows.agg(*(F.sum(F.when(F.col("rank") <= n, F.col("t"))).alias(f"s{n}") for n in sizes)).crossJoin(F.broadcast(total))
+    out = sums.select(*((F.col(f"s{n}") * 100.0 / F.col("total")).alias(str(n)) for n in sizes))
     return out.unpivot([], [str(n) for n in sizes], "cap", "coverage_pct").withColumn("cap", F.col("cap").cast("long"))
 
 

@@ -6,12 +6,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import attach, stage
+
+#: Rows of a group that a window may sort in one task; larger groups are ranked in pieces.
+GIANT = 500_000
 
 PART, AT = "__part", "__at"
 
@@ -48,3 +51,26 @@ def positions(rows: DataFrame, key: Sequence[str], order: Sequence[Column], valu
         w = Window.partitionBy(PART, *key).orderBy(AT).rowsBetween(Window.unboundedPreceding, 0)
         cols += [(F.sum(value).over(w) + F.col("__value_before")).alias("run"), F.col("__group_value").alias("group_value")]
     return out.select(*cols)
+
+
+def tie_ranks(rows: DataFrame, key: Sequence[str], value: str, names: tuple[str, str, str] = ("rank", "ties", "group_rows")) -> DataFrame:
+    """rows with the rank of a value in its group (the least place of its equals, 1 first), the number of its equals, and of all
+    rows. Keys and values aren't null. Different values are ranked, with their counts, and looked up by rows."""
+    values = stage(rows.groupBy(*key, value).agg(F.count("*").alias("__n")), "values")
+    total = values.agg(F.sum("__n")).first()[0] or 0
+    placed = positions(values, key, [F.col(value)], value="__n", name="values-in-order")
+    rank, ties, size = names
+    dim = placed.select(*key, value, (F.col("run") - F.col("__n") + 1).alias(rank), F.col("__n").alias(ties), F.col("group_value").alias(size))
+    return attach(rows, stage(dim, "value-ranks"), [*key, value], ties, total)
+
+
+def by_size(rows: DataFrame, key: str, small: Callable[[DataFrame], DataFrame], large: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame:
+    """small(rows of groups that one task can sort), and large(rows of giant groups) where there are such; both give the same columns."""
+    rows = stage(rows, "rows-to-rank")
+    sizes = rows.groupBy(F.col(key).alias("__g")).count()
+    giants = stage(sizes.filter(F.col("count") > (GIANT if most is None else most)).select("__g"), "giant-groups")
+    if giants.isEmpty():
+        return small(rows)
+    same = F.col(key).eqNullSafe(F.col("__g"))
+    # A giant group has over `most` rows, so there are few.
+    return small(rows.join(F.broadcast(giants), same, "left_anti")).unionByName(large(rows.join(F.broadcast(giants), same, "left_semi")))

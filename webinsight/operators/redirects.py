@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webinsight.functions import norm
-from webinsight.operators.common import stage
+from webinsight.operators.common import look_up, stage
 
 #: Fixed values.
 HOME = ("", "/", "/index", "/index.html")
@@ -107,8 +107,7 @@ def apply_rules(urls: DataFrame, rules: list[dict], url: str = "url") -> DataFra
     """
     raw = F.split_part(F.col(url), F.lit("?"), F.lit(1))
     out = raw
-    order = ("cat_cat", "facet_facet", "cat_facet", "cat_facet_remove", "bucket_bucket", "remove_bucket")
-    for r in sorted(rules, key=lambda r: order.index(r["kind"])):
+    for r in sorted(rules, key=lambda r: FAMILIES.index(r["kind"])):
         kind = r["kind"]
         if kind == "cat_cat":
             hit, new = raw.contains(f"/{r['old']}/"), F.replace(out, F.lit(f"/{r['old']}/"), F.lit(f"/{r['new']}/"))
@@ -123,11 +122,90 @@ def apply_rules(urls: DataFrame, rules: list[dict], url: str = "url") -> DataFra
         else:
             hit, new = raw.contains("/r/"), F.regexp_replace(out, "/r/[^/]+", "")
         out = F.when(hit, new).otherwise(out)
-    low = F.lower(out)
-    tidy = norm.sort_facets(F.regexp_replace(F.regexp_replace(low, "(?<!:)//+", "/"), "(~~)+$|/c/?$", ""))
+    tidy = _tidy(out)
     return urls.select(url, tidy.alias("new_url"), (tidy != raw).alias("changed"))
 
 
+#: Families of canonical rules, in the order they are applied.
+FAMILIES = ("cat_cat", "facet_facet", "cat_facet", "cat_facet_remove", "bucket_bucket", "remove_bucket")
+_REACH = 3
+
+
+def _rule_anchor(rule: dict[str, Column]) -> Column:
+    """A piece of text that every URL to which the rule applies has at a place of the same kind; long enough to be rare."""
+    old, kind = rule["old"], rule["kind"]
+    at = F.instr(old, "~")
+    left, right = F.least(at - 1, F.lit(_REACH)), F.least(F.length(old) - at, F.lit(_REACH))
+    tilde = F.concat_ws(":", F.lit("f"), left, right, F.substring(old, at - left, left + 1 + right))
+    gram = lambda tag: F.concat_ws(":", F.lit(tag), F.least(F.length(old), F.lit(_REACH)), F.substring(old, 1, _REACH))
+    return F.when(kind == "cat_cat", F.concat(F.lit("c:"), F.split_part(old, F.lit("/"), F.lit(1)))).when(kind == "bucket_bucket", gram("b")).when(kind == "remove_bucket", "r").when(at > 0, tilde).otherwise(gram("g"))
+
+
+def _url_anchors(raw: Column, kinds: set[str]) -> Column:
+    """The anchors of a URL, of the kinds that rules use (`f:left:right`, `g:length`, `b:length`)."""
+    n = F.length(raw)
+    each = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    out = [F.transform(F.split(raw, "/"), lambda x: F.concat(F.lit("c:"), x)), F.when(raw.contains("/r/"), F.array(F.lit("r"))).otherwise(F.array().cast("array<string>"))]
+    for k in sorted(kinds):
+        tag, *sizes = k.split(":")
+        a = int(sizes[0])
+        if tag == "f":
+            b = int(sizes[1])
+            out.append(_cut(F.filter(each, lambda i: F.substring(raw, i, F.lit(1)) == "~"), raw, k, a, a + 1 + b))
+        elif tag == "b":
+            out.append(_cut(F.filter(each, lambda i: F.substring(raw, i, F.lit(3)) == "/r/"), raw, k, -3, a))
+        else:
+            out.append(_cut(each, raw, k, 0, a))
+    return F.array_distinct(F.flatten(F.array(*out)))
+
+
+def _cut(places: Column, raw: Column, kind: str, back: int, size: int) -> Column:
+    inside = F.filter(places, lambda i: i - back >= 1)
+    return F.transform(inside, lambda i: F.concat(F.lit(f"{kind}:"), F.substring(raw, i - back, F.lit(size))))
+
+
+def apply_rule_table(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """As apply_rules, for any number of rules (seq, kind, cat, old, new): by family, then by seq.
+
+    Different URLs meet the rules in an equi-join on anchors (a path segment, the letters around a ~, those behind /r/), so a URL's row
+    has the few rules that may apply; these are tested on the original URL and applied one after the other. No expression grows
+    with the rules.
+    """
+    order = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("kind"))
+    named = rules.select(F.struct(order.alias("family"), "seq", "kind", "cat", "old", "new").alias("rule"), _rule_anchor({"kind": F.col("kind"), "old": F.coalesce("old", F.lit(""))}).alias("anchor"))
+    index = stage(named.groupBy("anchor").agg(F.collect_set("rule").alias("rules")), "rule-index")
+    used = {r[0] for r in index.select(F.regexp_extract("anchor", "^(f:[0-9]:[0-9]|[gb]:[0-9]):", 1)).distinct().collect()} - {""}
+    one = stage(urls.select(F.col(url).alias("u")).distinct().withColumn("raw", F.split_part("u", F.lit("?"), F.lit(1))), "rule-urls")
+    each = one.select("u", F.explode(_url_anchors(F.col("raw"), used)).alias("anchor"))
+    met = look_up(each, index, "anchor").filter(F.col("rules").isNotNull()).groupBy("u").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"))
+    raw = F.col("raw")
+    slashed = lambda x: F.concat(F.lit("/"), x, F.lit("/"))
+    bucket = lambda x: F.concat(F.lit("/r/"), x)
+
+    def hit(x: Column) -> Column:
+        facet = F.contains(raw, x["old"])
+        return F.when(x["kind"] == "cat_cat", F.contains(raw, slashed(x["old"]))).when(x["kind"] == "facet_facet", facet).when(x["kind"].startswith("cat_facet"), F.contains(raw, slashed(x["cat"])) & facet).when(x["kind"] == "bucket_bucket", F.contains(raw, bucket(x["old"]))).otherwise(raw.contains("/r/"))
+
+    def done(acc: Column, x: Column) -> Column:
+        gone = F.regexp_replace(acc, F.concat(x["old"], F.lit("[^~/]*(~[^~/]+)?(~~)?")), F.lit(""))
+        return (
+            F.when(x["kind"] == "cat_cat", F.replace(acc, slashed(x["old"]), slashed(x["new"])))
+            .when(x["kind"].isin("facet_facet", "cat_facet"), F.replace(acc, x["old"], x["new"]))
+            .when(x["kind"] == "cat_facet_remove", gone)
+            .when(x["kind"] == "bucket_bucket", F.replace(acc, bucket(x["old"]), bucket(x["new"])))
+            .otherwise(F.regexp_replace(acc, "/r/[^/]+", ""))
+        )
+
+    new = F.when(F.col("rules").isNull(), raw).otherwise(F.aggregate("rules", raw, lambda acc, x: F.when(hit(x), done(acc, x)).otherwise(acc)))
+    out = stage(one.join(met, "u", "left").select("u", "raw", new.alias("new")), "rule-results")
+    out = out.select(F.col("u").alias(url), _tidy(F.col("new")).alias("new_url"), "raw").select(url, "new_url", (F.col("new_url") != F.col("raw")).alias("changed"))
+    return look_up(urls.select(url), out, url)
+
+
+def _tidy(url: Column) -> Column:
+    return norm.sort_facets(F.regexp_replace(F.regexp_replace(F.lower(url), "(?<!:)//+", "/"), "(~~)+$|/c/?$", ""))
+
+
 def resolve(rows: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
     """rows (old, new): `new` followed along the redirects until a dead end or a cycle, `hops` at most.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from webinsight.operators.common import stage
+
 
 def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
@@ -13,9 +15,11 @@ def latest_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def as_of(df: DataFrame, keys: list[str], time: str, at) -> DataFrame:
-    """Per key the newest row whose time is not after `at`."""
-    values = F.struct(*(c for c in df.columns if c not in keys))
-    return df.filter(F.col(time) <= at).groupBy(*keys).agg(F.max_by(values, time).alias("v")).select(*keys, "v.*")
+    """Per key the newest row whose time is not after `at`; of rows with one time, that with the largest other values, in column
+    order (nulls least)."""
+    rest = [c for c in df.columns if c not in keys and c != time]
+    newest = F.max(F.struct(time, *rest)).alias("v")
+    return df.filter(F.col(time) <= at).groupBy(*keys).agg(newest).select(*keys, "v.*").select(*df.columns)
 
 
 def changed_flags(daily: DataFrame, key: str, day: str, flag: str) -> DataFrame:
@@ -82,9 +86,37 @@ def flags_to_rows(df: DataFrame, ids: list[str], flags: list[str]) -> DataFrame:
     return df.unpivot(ids, flags, "flag", "value").filter("value = 1").drop("value")
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """source's rows win; the rest of target stays."""
-    return source.unionByName(target.join(source.select(*keys), keys, "left_anti"))
+def upsert(target: DataFrame, source: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """source's rows win; the rest of target stays. Of source rows with one key, the first in the given order wins; without an order,
+    that with the least values, in column order (nulls first)."""
+    order = order or tuple(F.col(c).asc_nulls_first() for c in source.columns if c not in keys)
+    mine = latest_by(source, keys, *order) if order else source.dropDuplicates(keys)
+    return mine.unionByName(target.join(source.select(*keys), keys, "left_anti"))
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def create_buckets(rows: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
+    """A target that can be changed in place: rows by hash of their key, a folder a bucket."""
+    rows.withColumn("bucket", bucket_of(keys, buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def upsert_buckets(source: DataFrame, path: str, keys: list[str], *order: Column, buckets: int = 64) -> list[int]:
+    """Upsert into such a target: only the buckets that source has keys of are read and rewritten. Returns them.
+
+    Buckets are merged into a table of their own before they replace the old ones, so running it again after a failure gives the
+    same target.
+    """
+    spark = source.sparkSession
+    source = stage(source.withColumn("bucket", bucket_of(keys, buckets)), "upsert-source")
+    touched = sorted(r[0] for r in source.select("bucket").distinct().collect())  # `buckets` at most
+    if touched:
+        target = spark.read.schema(source.schema).parquet(path).filter(F.col("bucket").isin(touched))
+        merged = stage(upsert(target, source, keys, *order), "upsert-merged")
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
 
 
 def insert_ignore(target: DataFrame, source: DataFrame, keys: list[str], *order: Column) -> DataFrame:

@@ -6,6 +6,8 @@ from webinsight.operators import content as C
 from webinsight.operators import sets as S
 from webinsight.operators.visits import money  # noqa: F401
 
+from webinsight.sources.work import work_path
+
 from .registry import query
 
 _FS = "list_transform(list_filter(string_split(split_part(split_part(url, '?', 1), '/c/', 2), '~~'), lambda x: split_part(trim(x, '/'), '~', 1) <> '' and split_part(trim(x, '/'), '~', 2) <> ''), lambda x: lower(split_part(trim(x, '/'), '~', 1)))"
@@ -204,6 +206,21 @@ def _(t):
     return S.upsert(p, new, ["p_partkey"])
 
 
+_LINES = "select l_orderkey as part_key, l_linenumber as n, l_shipdate as day from lineitem where l_orderkey % 8 = 3"
+
+
+@query("src_07_upsert_in_place", f"""with src as ({_LINES}), one as (select part_key, n, day from (select *, row_number() over (partition by part_key order by day desc, n) as rn from src) where rn = 1)
+  select o_orderkey as part_key, cast(0 as int) as n, o_orderdate as day from orders where o_orderkey not in (select part_key from src) union all select part_key, cast(n as int), day from one""")
+def _(t):
+    """Orders by bucket; an eighth of them gets its newest line in place of the order's own row. Source keys repeat."""
+    path = work_path(t.spark, "order-days")
+    rows = t("orders").select(F.col("o_orderkey").alias("part_key"), F.lit(0).alias("n"), F.col("o_orderdate").alias("day"))
+    S.create_buckets(rows, path, ["part_key"])
+    new = t("lineitem").filter("l_orderkey % 8 = 3").select(F.col("l_orderkey").alias("part_key"), F.col("l_linenumber").cast("int").alias("n"), F.col("l_shipdate").alias("day"))
+    S.upsert_buckets(new, path, ["part_key"], F.desc("day"), F.asc("n"))
+    return t.spark.read.parquet(path).drop("bucket")
+
+
 @query("src_08_insert_ignore", "select p_partkey, p_name from part where p_partkey % 2 = 0 union all select l_partkey, min('new ' || l_linenumber) from lineitem where l_partkey % 2 <> 0 group by 1")
 def _(t):
     new = t("lineitem").select(F.col("l_partkey").alias("p_partkey"), F.concat(F.lit("new "), F.col("l_linenumber").cast("string")).alias("p_name"))

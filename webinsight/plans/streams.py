@@ -126,7 +126,7 @@ def _(t):
 
 @query("str_04_tripwires", "select count(*) as hits, true as passed from v_hits where (host = 'www.shop.example' or host like '%.shop.example') and ua not like '%Firefox%'")
 def _(t):
-    got = ST.check_tripwires(L.with_membership(L.parse_hits(t("v_hits")), t("v_known")))
+    _, got = ST.gated(L.with_membership(L.parse_hits(t("v_hits")), t("v_known")))
     return t("v_hits").limit(1).select(F.lit(got["hits"]).cast("long").alias("hits"), F.lit(got["known"] > 0).alias("passed"))
 
 
@@ -140,6 +140,41 @@ def _(t):
     return settled(t, ST.action_sessions(events(t).filter("event_type in ('signup', 'error')")), "sessions").withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
 
 
+#: Events come in three waves by time, but for every fiftieth one of the first wave, which comes with the last, too late.
+_WAVES = """span as (select epoch_us(min(ts)) as a, epoch_us(max(ts)) as b from events),
+  waves as (select e.*, epoch_us(ts) as us, case when epoch_us(ts) < a + 4 * ((b - a) // 10) then case when event_id % 50 = 7 then 2 else 0 end when epoch_us(ts) < a + 7 * ((b - a) // 10) then 1 else 2 end as wave from events e, span)"""
+
+
+def in_waves(t, name, build):
+    """What a stream in append mode has written after three runs on one checkpoint: groups that the watermark has closed, each once."""
+    rows = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    a, b = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    edge = lambda k: F.unix_micros("ts") < (a or 0) + k * (((b or 0) - (a or 0)) // 10)
+    wave = F.when(edge(4), F.when(F.col("event_id") % 50 == 7, 2).otherwise(0)).when(edge(7), 1).otherwise(2)
+    drop, state, path = (work_path(t.spark, f"{name}-{x}") for x in ("drop", "state", "out"))
+    late = 0
+    for k in range(3):
+        rows.filter(wave == k).write.mode("append").parquet(drop)
+        late += ST.run_now(build(t.spark.readStream.schema(rows.schema).parquet(drop)), state, path=path)
+    return t.spark.read.parquet(path), late
+
+
+@query("str_05_append", f"with {_WAVES} select date_trunc('hour', ts) as hour, event_type, count(*) as hits from waves where wave < 2 or us >= (select min(us) from waves where wave = 1) group by 1, 2 having epoch_us(date_trunc('hour', ts)) + 10800000000 <= (select max(us) // 1000 * 1000 from waves)")
+def _(t):
+    """Hours that are closed (two hours of lateness); rows that come later are dropped."""
+    return in_waves(t, "hourly", ST.hourly_hits)[0].withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("str_06_append", f"""with {_WAVES}, kept as (select * from waves where wave < 2 or us >= (select min(us) from waves where wave = 1)),
+  g as (select user_id, ts, us, case when lag(us) over w is null or us - lag(us) over w > 1800000000 then 1 else 0 end as gap from kept where event_type in ('signup', 'error') window w as (partition by user_id order by ts, event_id)),
+  s as (select *, sum(gap) over (partition by user_id order by ts rows unbounded preceding) as session from g)
+  select user_id, min(ts) as started_at, count(*) as actions from s group by user_id, session having max(us) + 1800000000 <= (select max(us) // 1000 * 1000 from waves where event_type in ('signup', 'error')) - 3600000000""")
+def _(t):
+    """Sessions that are closed (an hour of lateness)."""
+    actions = lambda s: ST.action_sessions(s.filter("event_type in ('signup', 'error')"))
+    return in_waves(t, "sessions", actions)[0].withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
+
+
 @query("str_07_fresh_files", "select 'f' || event_id || '.gz' as name, '/a/f' || event_id || '.gz' as path from events where event_id % 3 <> 0")
 def _(t):
     name = F.concat(F.lit("/f"), F.col("event_id").cast("string"), F.lit(".gz"))

@@ -89,6 +89,28 @@ def _(t):
     return R.apply_rules(urls(t), _RULES)
 
 
+#: A rule for every colour and size that parts have, two of every brand, and one that takes search buckets away.
+_RULE_ROWS = """select 'cat_cat' as kind, cast(null as varchar) as cat, main_cat as old, main_cat || '_new' as new from (select distinct main_cat from v_cats)
+  union all select 'facet_facet', null, 'color_' || c || '~' || s, 'tint_' || c || '~' || s from (select distinct split_part(p_name, ' ', 1) as c, p_size as s from part where p_size % 2 = 0)
+  union all select 'cat_facet', main_cat, 'bulk~1', 'amount_' || main_cat || '~1' from (select distinct main_cat from v_cats)
+  union all select 'cat_facet_remove', main_cat, 'rare', null from (select distinct main_cat from v_cats where main_cat > 'brand_3') union all select 'remove_bucket', null, null, null"""
+
+
+@query("url_10_rule_table", f"""with u as (select distinct url, {_RAW} as raw from v_visits), r as (select *, list_position(['cat_cat', 'facet_facet', 'cat_facet', 'cat_facet_remove', 'bucket_bucket', 'remove_bucket'], kind) as family from ({_RULE_ROWS})),
+  seg as (select url, raw, unnest(list_distinct(string_split(raw, '/'))) as piece from u), tok as (select url, raw, unnest(list_distinct(string_split(split_part(raw, '/c/', 2), '~~'))) as piece from u),
+  m as (select url, raw, r.* from seg join r on (kind = 'cat_cat' and old = piece) union all select url, raw, r.* from seg join r on kind in ('cat_facet', 'cat_facet_remove') and cat = piece and contains(raw, old)
+    union all select url, raw, r.* from u join r on kind = 'remove_bucket' and contains(raw, '/r/')
+    union all select url, raw, r.* from tok join r on kind = 'facet_facet' and starts_with(piece, old)),
+  l as (select url, any_value(raw) as raw, list({{kind: kind, old: old, new: new}} order by family, coalesce(cat, '') || '|' || coalesce(old, '')) as rules from m group by 1),
+  f as (select url, raw, rules, 0 as k, raw as x from l union all select url, raw, rules, k + 1, case rules[k + 1].kind when 'cat_cat' then replace(x, '/' || rules[k + 1].old || '/', '/' || rules[k + 1].new || '/') when 'remove_bucket' then regexp_replace(x, '/r/[^/]+', '', 'g')
+    when 'cat_facet_remove' then regexp_replace(x, rules[k + 1].old || '[^~/]*(~[^~/]+)?(~~)?', '', 'g') else replace(x, rules[k + 1].old, rules[k + 1].new) end from f where k < len(rules)),
+  d as (select u.url, u.raw, regexp_replace(regexp_replace(lower(coalesce(x, u.raw)), '([^:])//+', '\\1/', 'g'), '(~~)+$|/c/?$', '', 'g') as y from u left join (select * from f where k = len(rules)) g using (url))
+  select url, {_SORTED('y')} as new_url, {_SORTED('y')} <> raw as changed from d""".replace("with u as", "with recursive u as", 1))
+def _(t):
+    rules = t.spark.sql(_RULE_ROWS.replace("varchar", "string").replace("from part", "from {part}").replace("from v_cats", "from {v_cats}"), part=t("part"), v_cats=t("v_cats"))
+    return R.apply_rule_table(urls(t), rules.withColumn("seq", F.concat_ws("|", F.coalesce("cat", F.lit("")), F.coalesce("old", F.lit("")))))
+
+
 @query("url_11_rewrite", f"""with a as (select distinct url, {_RAW} as raw from v_visits), b as (select url, raw, replace(raw, '/brand_3/', '/brand_three/') as x from a), c as (select url, raw, case when contains(x, '/c/') then split_part(x, '/c/', 1) || '/c/' || array_to_string(list_transform(string_split(split_part(x, '/c/', 2), '~~'), lambda y: case when y = 'bulk~1' then 'amount~9' else y end), '~~') else x end as x from b)
   select url, {_SORTED('x')} as new_url, {_SORTED('x')} <> raw as changed from c""")
 def _(t):

@@ -45,11 +45,33 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def read_dates(spark: SparkSession, folders: list[str], dates: list[str]) -> DataFrame:
-    """Lines of all files of the dates in any of the folders, each base name from one folder."""
-    lines = read_lines(spark, folders).filter(file_date(F.col("file")).isin(dates))
-    files = lines.select("file").distinct().groupBy(base_name(F.col("file")).alias("name")).agg(F.min("file").alias("file"))
-    return lines.join(files.select("file"), "file", "left_semi")
+def land(lines: DataFrame, landing: str, batch: int) -> list[str]:
+    """Take a batch's lines (value, file) over into the landing folder, and note its files in the manifest of their dates; the dates.
+
+    Lines lie at lines/batch=/log_date=, files at manifest/log_date=/batch=, so a date's manifest names all that has to be read for it.
+    A batch that comes again replaces itself. Files without a date in their name are left out.
+    """
+    spark = lines.sparkSession
+    mine = f"{landing}/lines/batch={batch}"
+    dated = lines.select("value", "file", file_date(F.col("file")).alias("log_date")).filter(F.col("log_date").isNotNull())
+    dated.write.mode("overwrite").partitionBy("log_date").parquet(mine)
+    schema = "value string, file string, log_date string"
+    files = spark.read.schema(schema).parquet(mine).groupBy("log_date", "file").agg(F.count("*").alias("n_lines"))
+    files = files.select("file", base_name(F.col("file")).alias("name"), "n_lines", "log_date", F.lit(batch).cast("bigint").alias("batch"))
+    files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("log_date", "batch").parquet(f"{landing}/manifest")
+    return sorted(r[0] for r in spark.read.schema(schema).parquet(mine).select("log_date").distinct().collect())
+
+
+def read_dates(spark: SparkSession, landing: str, dates: list[str]) -> DataFrame:
+    """Lines (value, file, log_date) of the dates' files, each base name from its first batch. Folders of other dates are neither
+    listed nor opened."""
+    manifest = f"{landing}/manifest"
+    books = spark.read.schema("file string, name string, n_lines bigint, log_date string, batch bigint").option("basePath", manifest).parquet(*(f"{manifest}/log_date={d}" for d in dates))
+    first = books.groupBy("log_date", "name").agg(F.min(F.struct("batch", "file")).alias("b")).select("log_date", "b.batch", "b.file")
+    found = sorted((r["log_date"], r["batch"]) for r in books.select("log_date", "batch").distinct().collect())
+    lines = f"{landing}/lines"
+    rows = spark.read.schema("value string, file string, batch bigint, log_date string").option("basePath", lines).parquet(*(f"{lines}/batch={b}/log_date={d}" for d, b in found))
+    return rows.join(first, ["log_date", "batch", "file"], "left_semi").select("value", "file", "log_date")
 
 
 def write_access_logs(rows: DataFrame, path: str, keys: list[str], salts: int = 4) -> None:

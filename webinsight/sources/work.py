@@ -17,10 +17,3 @@ def work_path(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="webinsight-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a folder is there, on whatever file system it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -8,35 +8,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webinsight.operators import logs as L
-from webinsight.operators.common import stage
+from webinsight.operators.common import stage_observed
 from webinsight.sources import logs as SL
 from webinsight.sources.sinks import overwrite_dates
-from webinsight.sources.work import exists
 
 
 def event_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def run_now(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, path: str | None = None, mode: str = "append") -> None:
-    """Process what is there and end: the stream's own checkpoint remembers which files are done."""
+def run_now(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, path: str | None = None, mode: str = "append") -> int:
+    """Process what is there and end: the stream's own checkpoint remembers which files are done, and the state of open groups.
+    Returns how many late groups the watermark dropped."""
     w = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     q = w.foreachBatch(each).start() if each else w.format("parquet").option("path", path).start()
     q.awaitTermination()
+    return sum(s.numRowsDroppedByWatermark for p in q.recentProgress for s in p.stateOperators)
 
 
 class TripwireError(RuntimeError):
     """A batch that must not be written."""
 
 
-def check_tripwires(hits: DataFrame, most_without_known: int = 100_000) -> dict[str, int]:
-    """Refuse an empty batch, and one with many hits of which none is known. One pass."""
-    n, known = hits.agg(F.count("*"), F.count_if("is_known_url")).first()
+def check_tripwires(n: int, known: int, most_without_known: int = 100_000) -> None:
+    """Refuse an empty batch, and one with many hits of which none is known."""
     if not n:
         raise TripwireError("no lines")
     if n > most_without_known and not known:
         raise TripwireError(f"{n} hits, none of a known URL")
-    return {"hits": n, "known": known}
+
+
+def gated(hits: DataFrame, most_without_known: int = 100_000) -> tuple[DataFrame, dict[str, int]]:
+    """hits, written, with their metrics, gathered in the same pass; raises where they must not be published."""
+    rows, got = stage_observed(hits, "gated-hits", hits=F.count("*"), known=F.count_if("is_known_url"))
+    check_tripwires(got["hits"], got["known"], most_without_known)
+    return rows, got
 
 
 def log_stream(spark: SparkSession, drop: str, archive: str | None = None) -> DataFrame:
@@ -48,17 +54,16 @@ def log_stream(spark: SparkSession, drop: str, archive: str | None = None) -> Da
     return r.load(drop).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def rebuild_dates(spark: SparkSession, folders: list[str], dates: list[str], catalog: DataFrame, ranges: DataFrame, target: str, ledger: str, expected: int = 1) -> None:
-    """The cube and the ledger of whole dates, from every file of theirs in any of the folders; other dates stay as they are.
+def rebuild_dates(spark: SparkSession, landing: str, dates: list[str], catalog: DataFrame, ranges: DataFrame, target: str, ledger: str, expected: int = 1) -> None:
+    """The cube and the ledger of whole dates, from every file that the manifest has of them; other dates stay as they are.
 
     A file without a required field counts as failed, and its lines don't enter the cube. Nothing is written where the
     tripwires hold the lines back, and running it again gives the same tables.
     """
-    lines = SL.read_dates(spark, folders, dates).withColumn("log_date", F.to_date(SL.file_date(F.col("file"))))
+    lines = SL.read_dates(spark, landing, dates).withColumn("log_date", F.to_date("log_date"))
     bad = SL.missing_fields(lines.select("value", "file")).select("file").withColumn("failed", F.lit(True))
     parsed = SL.parse_lines(lines.join(bad, "file", "left_anti").select("value", "file")).withColumn("log_date", F.to_date(SL.file_date(F.col("file"))))
-    hits = stage(L.verify_ips(L.with_membership(L.parse_hits(parsed), catalog), ranges), "ingested-hits")
-    check_tripwires(hits)
+    hits, _ = gated(L.verify_ips(L.with_membership(L.parse_hits(parsed), catalog), ranges))
     data = F.when(~F.col("value").startswith("#") & (F.col("value") != ""), 1).otherwise(0)
     files = lines.groupBy("file", "log_date").agg(F.sum(data).alias("lines")).join(bad, "file", "left")
     books = files.groupBy("log_date").agg(
@@ -70,14 +75,14 @@ def rebuild_dates(spark: SparkSession, folders: list[str], dates: list[str], cat
     overwrite_dates(books.withColumn("is_complete", L.ledger_complete()), ledger)
 
 
-def ingest(spark: SparkSession, drop: str, archive: str, catalog: DataFrame, ranges: DataFrame, target: str, ledger: str, checkpoint: str, expected: int = 1) -> None:
-    """Read what has arrived. A batch only tells which dates have new files; each of these dates is rebuilt whole, from the drop
-    folder and the archive together, so a late file, a second batch or a replay of one never loses lines of its date."""
+def ingest(spark: SparkSession, drop: str, archive: str, catalog: DataFrame, ranges: DataFrame, target: str, ledger: str, checkpoint: str, expected: int = 1, landing: str | None = None) -> None:
+    """Read what has arrived. A batch lands its lines, which tells the dates that have new files; each of these is rebuilt whole from
+    all batches that its manifest names, so a late file, a second batch or a replay of one never loses lines of its date."""
+    landing = landing or f"{ledger}-landing"
 
-    def each(batch: DataFrame, _: int) -> None:
-        dates = [r[0] for r in batch.select(SL.file_date(F.col("file")).alias("d")).filter("d is not null").distinct().collect()]
-        if dates:
-            rebuild_dates(spark, [p for p in (drop, archive) if exists(spark, p)], sorted(dates), catalog, ranges, target, ledger, expected)
+    def each(batch: DataFrame, number: int) -> None:
+        if dates := SL.land(batch, landing, number):
+            rebuild_dates(spark, landing, dates, catalog, ranges, target, ledger, expected)
 
     run_now(log_stream(spark, drop, archive), checkpoint, each)
 
