@@ -54,7 +54,9 @@ def land(lines: DataFrame, landing: str, batch: int) -> list[str]:
     spark = lines.sparkSession
     mine = f"{landing}/lines/batch={batch}"
     dated = lines.select("value", "file", file_date(F.col("file")).alias("log_date")).filter(F.col("log_date").isNotNull())
-    dated.write.mode("overwrite").partitionBy("log_date").parquet(mine)
+    # A date's lines go to a few tasks, by file, so that a batch of very many small files leaves few.
+    dealt = dated.repartition("log_date", F.pmod(F.xxhash64("file"), F.lit(4)))
+    dealt.write.mode("overwrite").partitionBy("log_date").parquet(mine)
     schema = "value string, file string, log_date string"
     files = spark.read.schema(schema).parquet(mine).groupBy("log_date", "file").agg(F.count("*").alias("n_lines"))
     files = files.select("file", base_name(F.col("file")).alias("name"), "n_lines", "log_date", F.lit(batch).cast("bigint").alias("batch"))
