@@ -11,7 +11,8 @@ from ..conftest import SF
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "labels"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.execute(registry.oracle_sql()[name])
     names = [d[0] for d in want.description]
     got = registry.queries()[name](spark, SF)
