@@ -428,3 +428,15 @@ def test_pieces_in_stage_of_pipeline_take_bytes(spark):
     for _, stage in pipeline.STAGES[1:]:
         docs = stage(spark, docs, SF)
     assert docs.count() >= 1 and docs.filter("not decodes").count() == 0
+
+
+def test_features_in_slices_and_equal_seed_pages(spark, monkeypatch):
+    """Slices change nothing; a page that is there many times is learnt from once."""
+    html = "<html><body><div class='menu'><a href='/'>x</a></div><article>" + "".join(f"<p>Some text {i}, of words.</p>" for i in range(40)) + "</article></body></html>"
+    nodes = html_extraction.Page(html).nodes
+    f = html_extraction.features(nodes)
+    monkeypatch.setattr(html_extraction, "SLICE", 7)
+    parts = list(f.slices())
+    assert len(parts) > 5 and all(len(p) <= 7 for p in parts) and np.array_equal(np.concatenate(parts), f.rows(np.arange(len(nodes))))
+    pages = spark.createDataFrame([(i, "u", html) for i in range(50)] + [(50, "v", html.replace("Some", "Other"))], "page_id bigint, url string, html string")
+    assert {r["text"] for r in html_extraction.extract(pages, 2).collect()} == {"\n\n".join(f"{w} text {i}, of words." for i in range(40)) for w in ("Some", "Other")}

@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -61,7 +62,7 @@ _TOKEN = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     parent: int
@@ -166,9 +167,28 @@ class Page(HTMLParser):
 _GROUPS = len(BLOCK_GROUPS) + 1
 _PLAIN = 20
 N_FEATURES = 2 * _GROUPS + _PLAIN + 2 * BUCKETS
+#: Nodes whose features are held as numbers at once.
+SLICE = 20_000
+
+
+@dataclass
+class Features:
+    """Of a page's nodes: own tag group and tokens, the same of all ancestors (bits), and plain numbers. Rows are built in slices, so a
+    page with very many nodes takes bits, not numbers, for each of them."""
 
+    mine: np.ndarray
+    above: np.ndarray
+    plain: np.ndarray
 
-def features(nodes: list[Node], bare: bool = False) -> np.ndarray:
+    def rows(self, at) -> np.ndarray:
+        return np.concatenate([self.mine[at], self.above[at], self.plain[at]], axis=1, dtype=float)
+
+    def slices(self) -> Iterator[np.ndarray]:
+        for i in range(0, len(self.mine), SLICE):
+            yield self.rows(slice(i, i + SLICE))
+
+
+def features(nodes: list[Node], bare: bool = False) -> Features:
     """bare: as if landmarks were plain containers and no node had attributes."""
     n = len(nodes)
     own = np.array([[x.own, x.linked, x.marks, x.words, 1] for x in nodes], float)
@@ -177,8 +197,6 @@ def features(nodes: list[Node], bare: bool = False) -> np.ndarray:
         tree[nodes[i].parent] += tree[i]
     tags = ["div" if bare and x.tag in LANDMARKS else x.tag for x in nodes]
     up = np.array([max(x.parent, 0) for x in nodes])
-    out = np.zeros((n, N_FEATURES))
-    # Own tag group and tokens, then the same of all ancestors.
     mine = np.zeros((n, _GROUPS + BUCKETS), bool)
     mine[np.arange(n), [GROUP.get(t, _GROUPS - 1) for t in tags]] = True
     if not bare:
@@ -188,8 +206,6 @@ def features(nodes: list[Node], bare: bool = False) -> np.ndarray:
     above = np.zeros_like(mine)
     for i in range(1, n):
         np.logical_or(above[up[i]], mine[up[i]], out=above[i])
-    out[:, : mine.shape[1]] = mine
-    out[:, mine.shape[1] : 2 * mine.shape[1]] = above
     # Siblings: how many, of the same tag, and the place among them.
     kinds = Counter((x.parent, t) for x, t in zip(nodes, tags, strict=True))
     same = np.array([kinds[x.parent, t] for x, t in zip(nodes, tags, strict=True)], float)
@@ -203,7 +219,7 @@ def features(nodes: list[Node], bare: bool = False) -> np.ndarray:
     parent[0] = tree[0]
     beside = np.where(np.arange(n) > 0, (parent[:, 0] - size) / np.maximum(around - 1, 1), 0)
     one = lambda a: np.maximum(a, 1)
-    out[:, 2 * mine.shape[1] :] = np.stack(
+    plain = np.stack(
         [
             np.array([x.depth for x in nodes], float), np.log1p(o_size), np.log1p(size), size / max(size[0], 1), linked / one(size), o_linked / one(o_size), marks / one(words), o_marks / one(o_words),
             count / one(words), size / one(words), np.array([len(x.children) for x in nodes], float), around, same, same / around, place / around, np.log1p(beside),
@@ -211,7 +227,7 @@ def features(nodes: list[Node], bare: bool = False) -> np.ndarray:
         ],
         axis=1,
     )
-    return out
+    return Features(mine, above, plain)
 
 
 @lru_cache(1 << 16)
@@ -259,7 +275,7 @@ def main_text(html: str | None, forest: gbdt.Forest) -> str:
     page = Page(html)
     if not page.text:
         return ""
-    keep = decode(page.nodes, forest.predict(features(page.nodes)))
+    keep = decode(page.nodes, np.concatenate([forest.predict(x) for x in features(page.nodes).slices()]))
     blocks, last = [], None
     for node, block, piece in page.text:
         if keep[node]:
@@ -274,7 +290,9 @@ def main_text(html: str | None, forest: gbdt.Forest) -> str:
 def fit(pages: DataFrame, seed_pages: int = SEED_PAGES) -> gbdt.Forest:
     hashed = pages.select("html", F.xxhash64("url", "html").alias("at")).filter(F.col("html").isNotNull())
     first = common.stage(hashed.select("at").distinct().orderBy("at").limit(seed_pages), "seed-hashes")
-    chosen = common.stage(hashed.join(F.broadcast(first), "at").select(F.col("html").cast("binary").alias("html")), "seed-pages")
+    # Of pages that are the same, one is learnt from.
+    one = hashed.join(F.broadcast(first), "at").groupBy("at").agg(F.min("html").alias("html"))
+    chosen = common.stage(one.select(F.col("html").cast("binary").alias("html")), "seed-pages")
 
     def run(batches):
         for batch in batches:
@@ -283,7 +301,7 @@ def fit(pages: DataFrame, seed_pages: int = SEED_PAGES) -> gbdt.Forest:
                 y = seeds(nodes)
                 on = np.flatnonzero(y >= 0)
                 if len(on):
-                    x = np.concatenate([features(nodes, bare)[on] for bare in (False, True)])
+                    x = np.concatenate([features(nodes, bare).rows(on) for bare in (False, True)])
                     yield pa.RecordBatch.from_arrays([pa.array(np.tile(y[on], 2).astype(np.int32)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["y", "x"])
 
     # Equal nodes count once.
