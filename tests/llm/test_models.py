@@ -410,6 +410,28 @@ def test_pieces_of_bytes_that_are_not_utf8(spark):
     assert all(bytes(r["b"]) == (raw[r["doc_id"]] or b"") for r in back)
 
 
+def test_words_are_solved_once_and_alike(vocabulary, monkeypatch):
+    """Later batches solve only words that no earlier one had, and samples don't depend on what was solved before or is let go."""
+    solve, solved = piece_sampling.lattices, []
+    monkeypatch.setattr(piece_sampling, "lattices", lambda codes, *more: solved.append(len(codes)) or solve(codes, *more))
+    texts = ["the cat sat\n on the mat", "the cat sat", "", "\nthe  cat ", " ", "\n\nthe\n", "a \nb", "sat 🙂 \udcc3", "\udca9 the mat"] * 3
+    keys = [piece_sampling.row_key(i, "t") for i in range(len(texts))]
+    once = list(piece_sampling.sample(texts, keys, vocabulary, 3, 1.0))
+    every = {(r, s): (p, i.tolist()) for r, s, p, _, i in once}
+    assert all(vocabulary.decode(i) == texts[r].encode(errors="surrogateescape") for r, _, _, _, i in once)
+    for held in (0, 9, 1000):
+        store, got = piece_sampling.Solved(vocabulary, 1.0, held), {}
+        solved.clear()
+        for at in range(0, len(texts), 9):
+            got |= {(at + r, s): (p, i.tolist()) for r, s, p, _, i in piece_sampling.sample(texts[at : at + 9], keys[at : at + 9], vocabulary, 3, 1.0, store)}
+            assert sum(piece_sampling._chunk_codes(store.keys)[1]) <= held
+        assert got.keys() == every.keys() and all(got[x][1] == every[x][1] and got[x][0] == pytest.approx(every[x][0]) for x in every)
+        assert solved[1:] == [0, 0] if held == 1000 else all(solved[1:])
+    # Sums at a node are the same to the last bit beside any other chunks.
+    alone, beside = (solve(*piece_sampling._codes(c), vocabulary, 1.0) for c in ([" the"], [f" w{i}" for i in range(20000)] + [" the"]))
+    assert (alone.upto == beside.upto[-len(alone.upto) :]).all() and (alone.log_p == beside.log_p[-len(alone.log_p) :]).all()
+
+
 @pytest.mark.parametrize(("run", "label"), [(quality_classifier.fit, "quality"), (toxicity.fit, "toxic")])
 def test_one_row_of_an_id_is_learnt_from(spark, run, label):
     """An id with very many rows doesn't make the sample grow."""

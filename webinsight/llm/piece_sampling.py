@@ -5,7 +5,8 @@ model); a character without a piece of its own has its UTF-8 bytes as one edge,
 decodes to itself. A BPE model has merge ranks in place of probabilities; by Zipf's law an edge gets ALPHA times
 -log(rank + ZIPF), and a segmentation's probability is its share of exp(sum of edges) over all segmentations. No piece
 crosses from a non-blank to a blank or over a line end, so the lattice is a chain of small lattices (a word and the blanks before it),
-and each distinct word of a batch is solved once: backward sums give every edge's probability at its node.
+and each distinct word of a batch is solved once, those of a task's first HELD_CHARS characters once a task: backward sums give every
+edge's probability at its node.
 
 Search: a set of segmentations is a prefix of edges and a node with the edges still open there. The agenda holds each set
 with the maximum of its perturbed log-probabilities; popping the largest gives a segmentation whose prefix is shared with
@@ -27,9 +28,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +44,12 @@ ZIPF = 2.7
 SEED = "pieces-1"
 #: Characters that are searched at once (a longer text is searched alone).
 BATCH_CHARS = 1_000_000
+#: Characters of distinct words whose lattices a task keeps from batch to batch (about 120 bytes each).
+HELD_CHARS = 1_000_000
 
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
+#: Before a word that begins a line; see _keys.
+_LINE = "\n\n"
 _P = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 17
 #: Probability that counts as none.
@@ -60,9 +67,11 @@ class Vocabulary:
     hash_ids: np.ndarray  # -1 for a beginning that is no piece
     bucket: np.ndarray  # where the hashes with given leading bits begin
     unseen: float
-    flat: np.ndarray  # bytes of all ids, one after the other
-    starts: np.ndarray
-    sizes: np.ndarray
+    def __post_init__(self):
+        self.table = pa.array(self.data, pa.binary())
+
+    def __reduce__(self):  # the table is made again where the vocabulary is read
+        return Vocabulary, (self.pieces, self.data, self.byte_ids, self.weight, self.longest, self.hashes, self.hash_ids, self.bucket, self.unseen)
 
     @staticmethod
     def load(path: str = MODEL, zipf: float = ZIPF) -> Vocabulary:
@@ -100,14 +109,19 @@ class Vocabulary:
             raise ValueError("piece hashes collide")
         order = np.argsort(h)
         bucket = np.searchsorted((h[order] >> np.uint64(64 - _FILTER_BITS)).astype(np.int64), np.arange((1 << _FILTER_BITS) + 1)).astype(np.int32)
-        sizes = np.fromiter(map(len, data), np.int64, len(data))
-        flat = np.frombuffer(b"".join(data), np.uint8)
-        return Vocabulary(pieces, data, byte_ids, weight, int(lengths.max()), h[order], ids[order], bucket, float(weight.min()), flat, np.cumsum(sizes) - sizes, sizes)
+        return Vocabulary(pieces, data, byte_ids, weight, int(lengths.max()), h[order], ids[order], bucket, float(weight.min()))
+
+    def decode_all(self, ids: np.ndarray) -> tuple[np.ndarray, pa.Buffer]:
+        """What the ids decode to, one after the other, and where each begins (one more at the end)."""
+        _, offsets, flat = self.table.take(pa.array(ids, pa.int32())).buffers()
+        return np.frombuffer(offsets, np.int32)[: len(ids) + 1], flat
 
     def decode(self, ids) -> bytes:
         """The UTF-8 text of a segmentation; the blank before the text is taken off."""
-        ids = np.asarray(ids, np.int64)
-        return self.flat[_spread(self.starts[ids], self.sizes[ids])].tobytes()[1:]
+        if not len(ids):
+            return b""
+        at, flat = self.decode_all(ids)
+        return flat.slice(1, int(at[-1]) - 1).to_pybytes()
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +140,17 @@ def _roll(h: np.ndarray, code: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _counter(key: np.ndarray, sample: int, use: int, at: np.ndarray) -> np.ndarray:
+    return key + _mix(np.array([sample * 16 + use + 1], np.uint64)) + at.astype(np.uint64) * _P
+
+
+def _unit(counter: np.ndarray) -> np.ndarray:
+    return ((_mix(counter) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
 def _uniform(key: np.ndarray, sample: int, use: int, at: np.ndarray) -> np.ndarray:
     """In (0, 1), by row key, sample, use and place."""
-    x = _mix(key + _mix(np.array([sample * 16 + use + 1], np.uint64)) + at.astype(np.uint64) * _P)
-    return ((x >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+    return _unit(_counter(key, sample, use, at))
 
 
 @dataclass
@@ -147,14 +168,14 @@ class Lattices:
     code: np.ndarray  # by node: character
 
 
-def lattices(chunks: list[str], v: Vocabulary, alpha: float) -> Lattices:
-    codes, lengths = _codes(chunks)
+def lattices(codes: np.ndarray, lengths: np.ndarray, v: Vocabulary, alpha: float) -> Lattices:
+    """codes: characters of all chunks, lengths: their number by chunk."""
     n, ends = len(codes), np.cumsum(lengths)
     first = ends - lengths
     left = np.repeat(ends, lengths) - np.arange(n)  # characters to the chunk's end
     width = min(v.longest, int(lengths.max(initial=1)))
-    found: list[tuple[np.ndarray, np.ndarray]] = []  # by size: nodes, and their pieces of that size
-    pos, h = np.arange(n), np.zeros(n, np.uint64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # by size: nodes, their pieces of that size, and how many shorter ones
+    pos, h, degree = np.arange(n), np.zeros(n, np.uint64), np.zeros(n, np.int64)
     for k in range(width):
         if k:
             on = left[pos] > k
@@ -165,51 +186,130 @@ def lattices(chunks: list[str], v: Vocabulary, alpha: float) -> Lattices:
         b = (h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
         i, end = v.bucket[b], v.bucket[b + 1]
         hit = np.flatnonzero(i < end)
-        i, end, ids = i[hit], end[hit], np.full(len(pos), -2, np.int32)
+        i, end, wanted, ids = i[hit], end[hit], h[hit], np.full(len(pos), -2, np.int32)
         while len(hit):
-            ok = v.hashes[i] == h[hit]
+            ok = v.hashes[i] == wanted
             ids[hit[ok]] = v.hash_ids[i[ok]]
             on = ~ok & (i + 1 < end)
-            hit, i, end = hit[on], i[on] + 1, end[on]
+            hit, i, end, wanted = hit[on], i[on] + 1, end[on], wanted[on]
         # A character always has an edge: its piece, or its bytes.
         full = ids >= 0
-        found.append((pos, np.maximum(ids, -1)) if not k else (pos[full], ids[full]))
+        at, its = (pos[full], ids[full]) if k else (pos, np.maximum(ids, -1))
+        found.append((at, its, degree[at]))
+        degree[at] += 1
         goes_on = ids > -2
         pos, h = pos[goes_on], h[goes_on]
-    size = np.repeat(np.arange(1, len(found) + 1), [len(x) for x, _ in found])
-    source, piece = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-    order = np.argsort(source * 256 - size, kind="stable")  # longest first
-    source, size, piece = source[order], size[order], piece[order].astype(np.int64)
+    edge_at = np.concatenate(([0], np.cumsum(degree)))
+    m = int(edge_at[-1])
+    source, piece, to = np.repeat(np.arange(n, dtype=np.int32), degree), np.empty(m, np.int32), np.empty(m, np.int32)
+    for k, (at, its, shorter) in enumerate(found, 1):
+        slot = edge_at[at + 1] - 1 - shorter  # longest first
+        piece[slot] = its
+        to[slot] = np.where(left[at] > k, at + k, -1)
     weight = alpha * np.where(piece >= 0, v.weight[piece], 2 * v.unseen)
-    lone = np.flatnonzero((piece < 0) & (codes[source] < 128))
+    lone = np.flatnonzero(piece < 0)
+    lone = lone[codes[source[lone]] < 128]
     piece[lone] = np.array(v.byte_ids)[codes[source[lone]].astype(np.int64)]
-    rest = left[source] - size
-    to = np.where(rest > 0, source + size, -1)
-    edge_at = np.concatenate(([0], np.cumsum(np.bincount(source, minlength=n)))).astype(np.int64)
     # Backward sums, by distance from the end of the chunk.
-    beta = np.zeros(n + 1)
-    order = np.argsort(left, kind="stable")
+    beta = np.zeros(n + 1)  # the last for -1
+    order = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
     bounds = np.concatenate(([0], np.cumsum(np.bincount(left, minlength=1)[1:]))) if n else np.zeros(1, np.int64)
-    degree = np.diff(edge_at)
-    log_p = np.zeros(len(source))
+    d = degree[order]
+    turned = _spread(edge_at[order], d)  # edges in the order of their nodes
+    heads = np.concatenate(([0], np.cumsum(d)))
+    x, ahead = weight[turned], to[turned]
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        nodes = order[a:b]
-        d = degree[nodes]
-        heads = np.concatenate(([0], np.cumsum(d)[:-1]))
-        e = np.repeat(edge_at[nodes] - heads, d) + np.arange(d.sum())
-        x = weight[e] + beta[to[e]]
-        top = np.maximum.reduceat(x, heads)
-        total = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, d)), heads))
-        beta[nodes] = total
-        log_p[e] = x - np.repeat(total, d)
+        p, q = int(heads[a]), int(heads[b])
+        y = x[p:q] + beta[ahead[p:q]]
+        starts = heads[a:b] - p
+        top = np.maximum.reduceat(y, starts)
+        beta[order[a:b]] = top + np.log(np.add.reduceat(np.exp(y - np.repeat(top, d[a:b])), starts))
+    log_p = weight + beta[to] - np.repeat(beta[:n], degree)
     p = np.exp(log_p)
-    run = np.cumsum(p)
-    upto = run - np.repeat((run - p)[edge_at[:-1]], degree) if n else run
-    if n:
-        upto[edge_at[1:] - 1] = 2.0  # the last edge takes what rounding leaves
+    upto, on, rank = p.copy(), np.flatnonzero(degree > 1), 1  # summed node by node, so that a chunk's sums don't depend on other chunks
+    while len(on):
+        at = edge_at[on] + rank
+        upto[at] += upto[at - 1]
+        rank += 1
+        on = on[degree[on] > rank]
+    upto[edge_at[1:] - 1] = 2.0  # the last edge takes what rounding leaves
     rest_p = 1 - p
     log_rest = np.where(rest_p > EPSILON, np.log(np.maximum(rest_p, EPSILON)), -np.inf)
-    return Lattices(first, edge_at, to, source, log_p, log_rest, upto, piece, codes)
+    return Lattices(first, edge_at.astype(np.int32), to, source, log_p, log_rest, upto, piece, codes.astype(np.uint32))
+
+
+def _slow(text: str) -> bool:
+    """Whether blanks (the one before the text too) stand at an end of a line or in a row, so that they don't divide it into chunks."""
+    return "  " in text or text[:1] in (" ", "\n") or text[-1:] == " " or " \n" in text or "\n " in text
+
+
+def _keys(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of all texts with a blank before each, and their number by text.
+
+    In short: a word after one blank as the word, a word that begins a line after _LINE.
+    """
+    parts, counts = [pa.array([], pa.binary())], [np.zeros(0, np.int64)]
+    for slow, group in groupby(texts, _slow):
+        if slow:
+            short = [[c if c in (" ", "\n") or c[:2] == "  " else c[1:] if c[0] == " " else _LINE + c for c in _CHUNK.findall(" " + t)] for t in group]
+            parts.append(pa.array([c.encode(errors="surrogateescape") for keys in short for c in keys], pa.binary()))
+            counts.append(np.fromiter(map(len, short), np.int64, len(short)))
+            continue
+        # The first line has its blank; an empty text has no chunk (its one part is empty), nor has an empty line (its part is _LINE alone).
+        split = pc.split_pattern(pa.array([t.replace("\n", f" \n {_LINE}").encode(errors="surrogateescape") for t in group], pa.binary()), b" ")
+        keys, ends = split.values, split.offsets.to_numpy()
+        full = pc.invert(pc.is_in(keys, pa.array([b"", _LINE.encode()], pa.binary())))
+        ends = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False))))[ends]
+        parts.append(keys.filter(full))
+        counts.append(np.diff(ends))
+    return pa.concat_arrays(parts), np.concatenate(counts)
+
+
+def _chunk_codes(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of the chunks that the keys stand for, and how many by chunk."""
+    line = pc.starts_with(keys, _LINE)
+    bare = pc.or_(pc.equal(keys, b"\n"), pc.starts_with(keys, " "))
+    before = pc.if_else(pc.or_(line, bare), pa.scalar(b""), pa.scalar(b" "))
+    chunks = pc.binary_join_element_wise(before, pc.if_else(line, pc.binary_replace_slice(keys, 0, len(_LINE), b""), keys), b"")
+    try:
+        chunks = chunks.cast(pa.string())
+    except pa.ArrowInvalid:
+        return _codes([c.decode(errors="surrogateescape") for c in chunks.to_pylist()])
+    return _codes(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), "").to_pylist())[0], pc.utf8_length(chunks).to_numpy().astype(np.int64)
+
+
+class Solved:
+    """Lattices of distinct chunks, each solved when it is met first. Those of the first `held` characters stay; the
+    others go when the next texts come, so memory is bounded by them and one batch."""
+
+    def __init__(self, v: Vocabulary, alpha: float, held: int = HELD_CHARS):
+        self.v, self.alpha, self.held = v, alpha, held
+        self.keys = pa.array([], pa.binary())  # by number, of those that stay
+        self.g = lattices(*_codes([]), v, alpha)
+        self.room = dict(vars(self.g))
+
+    def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, Lattices]:
+        """Numbers of all chunks, how many by text, and the lattices."""
+        stay, (keys, counts) = len(self.keys), _keys(texts)
+        found = pa.concat_arrays([self.keys, keys]).dictionary_encode()  # numbers by first occurrence, so those that stay keep theirs
+        at = int(self.g.first[stay]) if stay < len(self.g.first) else len(self.g.code)
+        new = lattices(*_chunk_codes(found.dictionary.slice(stay)), self.v, self.alpha)
+        new.first += at
+        new.source += at
+        new.to[new.to >= 0] += at
+        new.edge_at = new.edge_at[1:] + self.g.edge_at[at]
+        used = {"first": stay, "edge_at": at + 1, "code": at}
+        for name, old in self.room.items():
+            more, n = getattr(new, name), used.setdefault(name, int(self.g.edge_at[at]))
+            if n + len(more) > len(old):
+                self.room[name] = np.empty((n + len(more)) * 5 // 4, old.dtype)
+                self.room[name][:n] = old[:n]
+            self.room[name][n : n + len(more)] = more
+            used[name] = n + len(more)
+        self.g = Lattices(**{name: a[: used[name]] for name, a in self.room.items()})
+        ends = np.append(self.g.first[1:], len(self.g.code))[: len(self.g.first)]
+        self.keys = pa.concat_arrays([found.dictionary.slice(0, int(np.searchsorted(ends, self.held, side="right")))])
+        return found.indices.to_numpy()[stay:].astype(np.int64), counts, self.g
 
 
 @dataclass
@@ -220,7 +320,8 @@ class Paths:
     item: np.ndarray  # by step: place of its chunk among all chunks
     off: np.ndarray
     log_p: np.ndarray  # by row
-    bound: np.ndarray  # by step: maximum of the set left there
+    bound: np.ndarray  # by step: log of what the set left there adds to exp(-ceiling), see _top
+    ceiling: np.ndarray  # by row: maximum of the set that the row was drawn from
     taken: list[np.ndarray]  # by row: edges used before at the row's branching step
     branch: np.ndarray  # by row: branching step within the row, -1 for none
 
@@ -236,20 +337,23 @@ def _walk(g: Lattices, node: np.ndarray, key: np.ndarray, place: np.ndarray, sam
     """From each node on, edges to the end of the chunk: all in order, and how many for each."""
     count = np.zeros(len(node), np.int64)
     live, parts, depth = np.flatnonzero(node >= 0), [], 0
-    now = node[live]
+    now, counter = node[live], _counter(key[live], sample, 0, place[live] << np.int64(20))
     while len(live):
-        u = _uniform(key[live], sample, 0, (place[live] << np.int64(20)) + depth)
-        e = g.edge_at[now].copy()
+        u = _unit(counter)
+        e = g.edge_at[now].astype(np.int64)
         on = np.flatnonzero(u > g.upto[e])
+        v, f = u[on], e[on]
         while len(on):
-            e[on] += 1
-            on = on[u[on] > g.upto[e[on]]]
+            f += 1
+            over = v > g.upto[f]
+            e[on] = f
+            on, v, f = on[over], v[over], f[over]
         parts.append((live, e))
         count[live] += 1
         depth += 1
         now = g.to[e]
-        go = now >= 0
-        live, now = live[go], now[go]
+        go = np.flatnonzero(now >= 0)
+        live, now, counter = live[go], now[go], counter[go] + _P
     off = np.cumsum(count) - count
     out = np.empty(int(count.sum()), np.int64)
     for d, (i, e) in enumerate(parts):
@@ -257,25 +361,25 @@ def _walk(g: Lattices, node: np.ndarray, key: np.ndarray, place: np.ndarray, sam
     return out, count
 
 
-def _bounds(g: Lattices, edges: np.ndarray, off: np.ndarray, ceiling: np.ndarray, key: np.ndarray, sample: int, from_step: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maxima of the sets left beside each step from from_step on (-inf before), and log p of each row.
+def _bounds(g: Lattices, edges: np.ndarray, off: np.ndarray, key: np.ndarray, sample: int, from_step: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the sets left beside each step from from_step on: log of an exponential over the set's probability (infinite before,
+    and where nothing is left), and log p of each row.
 
     others: by row, probability at step from_step of edges that are taken besides the path's own.
     """
     counts = np.diff(off)
-    row = np.repeat(np.arange(len(counts)), counts)
     lp = g.log_p[edges]
     run = np.concatenate(([0.0], np.cumsum(lp)))
-    before = run[:-1] - run[off[:-1]][row]
-    step = np.arange(len(edges)) - off[:-1][row]
     spare = g.log_rest[edges]
     at = (off[:-1] + from_step)[others > 0]
     left = 1 - np.exp(lp[at]) - others[others > 0]
     spare[at] = np.where(left > EPSILON, np.log(np.maximum(left, EPSILON)), -np.inf)
-    bound = np.full(len(edges), -np.inf)
-    on = np.flatnonzero((spare > -np.inf) & (step >= from_step[row]))
-    e = -np.log(_uniform(key[row[on]], sample, 1, step[on]))
-    bound[on] = -np.logaddexp(-ceiling[row[on]], np.log(e) - (before[on] + spare[on]))
+    bound = np.full(len(edges), np.inf)
+    on = _spread(off[:-1] + from_step, counts - from_step)
+    on = on[spare[on] > -np.inf]
+    row = np.repeat(np.arange(len(counts)), counts)[on]
+    e = -np.log(_uniform(key[row], sample, 1, on - off[row]))
+    bound[on] = np.log(e) - (run[on] - run[off[row]] + spare[on])
     return bound, run[off[1:]] - run[off[:-1]]
 
 
@@ -288,8 +392,8 @@ def search(g: Lattices, rows: np.ndarray, chunk: np.ndarray, key: np.ndarray, k:
     edges, count = _walk(g, g.first[chunk], key[item_row], place, 0)
     item = np.repeat(np.arange(len(chunk)), count)
     ends = np.concatenate(([0], np.cumsum(count)))[rows]
-    bound, log_p = _bounds(g, edges, ends, gumbel, key, 0, np.zeros(n, np.int64), np.zeros(n))
-    out = [(np.arange(n), Paths(edges, item, ends, log_p, bound, [], np.full(n, -1)))]
+    bound, log_p = _bounds(g, edges, ends, key, 0, np.zeros(n, np.int64), np.zeros(n))
+    out = [(np.arange(n), Paths(edges, item, ends, log_p, bound, gumbel, [], np.full(n, -1)))]
     for s in range(1, k):
         best, which, step = _top(out, n)
         alive = np.flatnonzero(best > -np.inf)
@@ -307,7 +411,7 @@ def search(g: Lattices, rows: np.ndarray, chunk: np.ndarray, key: np.ndarray, k:
             j = step[alive[mine]]
             at = path.off[local] + j
             own_edge[mine], own_item[mine], prefix_len[mine] = path.edges[at], path.item[at], j
-            path.bound[at] = -np.inf
+            path.bound[at] = np.inf
             taken[0][mine] = path.edges[at]
             same = path.branch[local] == j
             for i, t in enumerate(path.taken):
@@ -351,22 +455,25 @@ def search(g: Lattices, rows: np.ndarray, chunk: np.ndarray, key: np.ndarray, k:
         new[off[:-1] + prefix_len], new_item[off[:-1] + prefix_len] = chosen, own_item
         dst = _spread(off[:-1] + prefix_len + 1, tail_rows)
         new[dst], new_item[dst] = tail, np.repeat(items, tail_count)
-        bound, log_p = _bounds(g, new, off, best[alive], key[alive], s, prefix_len, others)
-        out.append((alive, Paths(new, new_item, off, log_p, bound, taken, prefix_len)))
+        bound, log_p = _bounds(g, new, off, key[alive], s, prefix_len, others)
+        out.append((alive, Paths(new, new_item, off, log_p, bound, best[alive], taken, prefix_len)))
     return out, _top(out, n)[0]
 
 
 def _top(paths: list[tuple[np.ndarray, Paths]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By row: the largest value on the agenda, which path has it, and at which step."""
+    """By row: the largest value on the agenda, which path has it, and at which step.
+
+    A set's maximum, truncated at the ceiling of its path, is -log(exp(-ceiling) + exp(bound)): largest where bound is least.
+    """
     best, which, step = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for q, (numbers, path) in enumerate(paths):
         full = np.flatnonzero(np.diff(path.off) > 0)
         if not len(full):
             continue
-        top = np.maximum.reduceat(path.bound, path.off[full])
-        row = np.repeat(np.arange(len(full)), np.diff(path.off)[full])
-        hits = np.flatnonzero(path.bound == top[row])  # paths without steps have no entries, so bounds align with full
-        first = hits[np.unique(row[hits], return_index=True)[1]]
+        least = np.minimum.reduceat(path.bound, path.off[full])
+        hits = np.flatnonzero(path.bound == np.repeat(least, np.diff(path.off)[full]))  # paths without steps have no entries, so bounds align with full
+        first = hits[np.searchsorted(hits, path.off[full])]
+        top = np.where(least < np.inf, -np.logaddexp(-path.ceiling[full], least), -np.inf)
         better = top > best[numbers[full]]
         i = numbers[full[better]]
         best[i], which[i], step[i] = top[better], q, (first - path.off[full])[better]
@@ -377,39 +484,49 @@ def row_key(doc_id, seed: str) -> int:
     return xxhash.xxh64_intdigest(f"{seed}:{'' if doc_id is None else doc_id}")
 
 
-def sample(texts: list[str], keys: list[int], v: Vocabulary, k: int, alpha: float) -> Iterator[tuple[int, int, float, float, np.ndarray]]:
-    """(row, sample, log p, log inclusion, piece ids) for all texts; searched together."""
-    table: dict[str, int] = {}
-    parts, sizes = [], []
-    for t in texts:
-        found = _CHUNK.findall(" " + t) if t else []
-        sizes.append(len(found))
-        for c in set(found).difference(table):
-            table[c] = len(table)
-        parts.append(np.fromiter(map(table.__getitem__, found), np.int64, len(found)))
-    rows = np.concatenate(([0], np.cumsum(sizes)))
-    key = np.array(keys, np.uint64)
-    if rows[-1]:
-        g = lattices(list(table), v, alpha)
-        paths, kappa = search(g, rows, np.concatenate(parts), key, k)
-    else:
-        paths, kappa = [], np.full(len(texts), -np.inf)
+def _ids(g: Lattices, edges: np.ndarray, off: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all rows, and where each row's begin (one more at the end)."""
+    ids = g.piece[edges]
+    bare = np.flatnonzero(ids < 0)
+    if not len(bare):
+        return ids, off
+    codes, which = np.unique(g.code[g.source[edges[bare]]], return_inverse=True)
+    own = [[v.byte_ids[c] for c in chr(x).encode(errors="surrogateescape")] for x in codes.tolist()]
+    sizes = np.fromiter(map(len, own), np.int64, len(own))
+    counts = np.ones(len(ids), np.int64)
+    counts[bare] = sizes[which]
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    ids = np.repeat(ids, counts)
+    ids[_spread(ends[bare], counts[bare])] = np.concatenate(own)[_spread((np.cumsum(sizes) - sizes)[which], sizes[which])]
+    return ids, ends[off]
+
+
+def samples(texts: list[str], keys: list[int], k: int, solved: Solved) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Samples of all texts, searched together: the sample's number, and of the rows that have it: row, log p, log
+    inclusion, piece ids, and where each row's begin (one more at the end)."""
+    chunk, counts, g = solved.numbers(texts)
+    rows = np.concatenate(([0], np.cumsum(counts)))
+    paths, kappa = search(g, rows, chunk, np.array(keys, np.uint64), k) if rows[-1] else ([], np.full(len(texts), -np.inf))
     for s, (numbers, path) in enumerate(paths):
         over = np.clip(path.log_p - kappa[numbers], -1e9, 50)
         inclusion = np.where(over < -20, over, np.log(-np.expm1(-np.exp(np.maximum(over, -20)))))  # 1 - exp(-x) is x for small x
         inclusion[np.isneginf(kappa[numbers])] = 0.0
-        ids = g.piece[path.edges]
-        for i, r in enumerate(numbers.tolist()):
-            a, b = path.off[i], path.off[i + 1]
-            if a == b:
-                continue
-            mine = ids[a:b]
-            if (mine < 0).any():
-                mine = np.array([x for p, e in zip(mine.tolist(), path.edges[a:b].tolist(), strict=True) for x in ([p] if p >= 0 else [v.byte_ids[c] for c in chr(int(g.code[g.source[e]])).encode(errors="surrogateescape")])])
-            yield r, s, float(path.log_p[i]), float(min(inclusion[i], 0.0)), mine.astype(np.int32)
-    for r, n in enumerate(sizes):
-        if not n:
-            yield r, 0, 0.0, 0.0, np.zeros(0, np.int32)
+        ids, off = _ids(g, path.edges, path.off, solved.v)
+        full = np.flatnonzero(np.diff(off) > 0)
+        yield s, numbers[full], path.log_p[full], np.minimum(inclusion, 0.0)[full], ids, off[np.append(full, len(off) - 1)]
+    none = np.flatnonzero(counts == 0)
+    if len(none):
+        yield 0, none, np.zeros(len(none)), np.zeros(len(none)), np.zeros(0, np.int32), np.zeros(len(none) + 1, np.int64)
+
+
+def sample(texts: list[str], keys: list[int], v: Vocabulary, k: int, alpha: float, solved: Solved | None = None) -> Iterator[tuple[int, int, float, float, np.ndarray]]:
+    """(row, sample, log p, log inclusion, piece ids) for all texts.
+
+    solved: lattices that earlier calls with this vocabulary and alpha have left.
+    """
+    for s, rows, log_p, inclusion, ids, off in samples(texts, keys, k, solved or Solved(v, alpha)):
+        for i, (r, p, c) in enumerate(zip(rows.tolist(), log_p.tolist(), inclusion.tolist(), strict=True)):
+            yield r, s, p, c, ids[off[i] : off[i + 1]]
 
 
 def _groups(batch, text: int, most: int) -> Iterator[tuple[int, list[str]]]:
@@ -438,28 +555,26 @@ def encode(docs: DataFrame, k: int = K, alpha: float = ALPHA, seed: str = SEED,
 
     def run(batches):
         v = bc.value
+        solved = Solved(v, alpha)
         for batch in batches:
             keys = [row_key(i, seed) for i in batch.column(0).to_pylist()]
             for first, texts in _groups(batch, 1, batch_chars):
-                rows, more, back = [], [], []
-                for r, s, log_p, inclusion, ids in sample(texts, keys[first : first + len(texts)], v, k, alpha):
-                    rows.append((first + r, s, len(ids), log_p, inclusion))
-                    more.append(xxhash.xxh64_hexdigest(ids.astype("<i4").tobytes()) if digest else ids)
+                for s, rows, log_p, inclusion, ids, off in samples(texts, keys[first : first + len(texts)], k, solved):
+                    spans = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+                    columns = [batch.column(0).take(pa.array(first + rows)), pa.array(np.full(len(rows), s, np.int32)), pa.array(np.diff(off)), pa.array(log_p), pa.array(inclusion)]
+                    if digest:
+                        little = ids.astype("<i4", copy=False)
+                        columns.append(pa.array([xxhash.xxh64_hexdigest(little[a:b]) for a, b in spans], pa.string()))
+                        names = ["ids_hash"]
+                    else:
+                        columns.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids)))
+                        names = ["ids"]
                     if digest or check:
-                        back.append(v.decode(ids) == texts[r].encode(errors="surrogateescape"))
-                at, s, n, log_p, inclusion = zip(*rows, strict=True)
-                columns = [batch.column(0).take(pa.array(at)), pa.array(s, pa.int32()), pa.array(n, pa.int64()), pa.array(log_p), pa.array(inclusion)]
-                if digest:
-                    columns.append(pa.array(more))
-                    names = ["ids_hash"]
-                else:
-                    off = np.concatenate(([0], np.cumsum([len(m) for m in more]))).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(more))))
-                    names = ["ids"]
-                if digest or check:
-                    columns.append(pa.array(back))
-                    names.append("decodes")
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sample", "n_pieces", "log_p", "log_inclusion", *names])
+                        at, flat = v.decode_all(ids)
+                        back = [flat.slice(int(at[a]) + 1, int(at[b] - at[a]) - 1).to_pybytes() if a < b else b"" for a, b in spans]
+                        columns.append(pa.array([x == texts[r].encode(errors="surrogateescape") for x, r in zip(back, rows.tolist(), strict=True)], pa.bool_()))
+                        names.append("decodes")
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sample", "n_pieces", "log_p", "log_inclusion", *names])
 
     schema = f"doc_id {kind}, sample int, n_pieces bigint, log_p double, log_inclusion double, {last}"
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
