@@ -44,8 +44,8 @@ ZIPF = 2.7
 SEED = "pieces-1"
 #: Characters that are searched at once (a longer text is searched alone).
 BATCH_CHARS = 1_000_000
-#: Characters of distinct words whose lattices a task keeps from batch to batch (about 120 bytes each).
-HELD_CHARS = 1_000_000
+#: Characters of distinct words whose lattices a task keeps from batch to batch (about 75 bytes each).
+HELD_CHARS = 250_000
 
 _CHUNK = re.compile(r" *[^ \n]+| +|\n")
 #: Before a word that begins a line; see _keys.
@@ -162,7 +162,6 @@ class Lattices:
     to: np.ndarray
     source: np.ndarray
     log_p: np.ndarray  # of an edge at its node
-    log_rest: np.ndarray  # of the node's other edges together
     upto: np.ndarray  # running sum of probabilities at the node
     piece: np.ndarray  # -1: the bytes of a character over 127
     code: np.ndarray  # by node: character
@@ -206,6 +205,7 @@ def lattices(codes: np.ndarray, lengths: np.ndarray, v: Vocabulary, alpha: float
         slot = edge_at[at + 1] - 1 - shorter  # longest first
         piece[slot] = its
         to[slot] = np.where(left[at] > k, at + k, -1)
+    del found
     weight = alpha * np.where(piece >= 0, v.weight[piece], 2 * v.unseen)
     lone = np.flatnonzero(piece < 0)
     lone = lone[codes[source[lone]] < 128]
@@ -233,9 +233,7 @@ def lattices(codes: np.ndarray, lengths: np.ndarray, v: Vocabulary, alpha: float
         rank += 1
         on = on[degree[on] > rank]
     upto[edge_at[1:] - 1] = 2.0  # the last edge takes what rounding leaves
-    rest_p = 1 - p
-    log_rest = np.where(rest_p > EPSILON, np.log(np.maximum(rest_p, EPSILON)), -np.inf)
-    return Lattices(first, edge_at.astype(np.int32), to, source, log_p, log_rest, upto, piece, codes.astype(np.uint32))
+    return Lattices(first, edge_at.astype(np.int32), to, source, log_p, upto, piece, codes.astype(np.uint32))
 
 
 def _slow(text: str) -> bool:
@@ -286,7 +284,8 @@ class Solved:
         self.v, self.alpha, self.held = v, alpha, held
         self.keys = pa.array([], pa.binary())  # by number, of those that stay
         self.g = lattices(*_codes([]), v, alpha)
-        self.room = dict(vars(self.g))
+        self.room = {name: np.empty(8 * held + 8, a.dtype) for name, a in vars(self.g).items()}
+        self.room["edge_at"][0] = 0
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, Lattices]:
         """Numbers of all chunks, how many by text, and the lattices."""
@@ -370,16 +369,14 @@ def _bounds(g: Lattices, edges: np.ndarray, off: np.ndarray, key: np.ndarray, sa
     counts = np.diff(off)
     lp = g.log_p[edges]
     run = np.concatenate(([0.0], np.cumsum(lp)))
-    spare = g.log_rest[edges]
-    at = (off[:-1] + from_step)[others > 0]
-    left = 1 - np.exp(lp[at]) - others[others > 0]
-    spare[at] = np.where(left > EPSILON, np.log(np.maximum(left, EPSILON)), -np.inf)
+    spare = 1 - np.exp(lp)
+    spare[(off[:-1] + from_step)[others > 0]] -= others[others > 0]
     bound = np.full(len(edges), np.inf)
     on = _spread(off[:-1] + from_step, counts - from_step)
-    on = on[spare[on] > -np.inf]
+    on = on[spare[on] > EPSILON]
     row = np.repeat(np.arange(len(counts)), counts)[on]
     e = -np.log(_uniform(key[row], sample, 1, on - off[row]))
-    bound[on] = np.log(e) - (run[on] - run[off[row]] + spare[on])
+    bound[on] = np.log(e) - (run[on] - run[off[row]] + np.log(spare[on]))
     return bound, run[off[1:]] - run[off[:-1]]
 
 
