@@ -4,8 +4,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 from webinsight.functions import text as X
-from webinsight.plans import load
+from webinsight.plans import load, registry
 
+from .conftest import SF
 from .test_oracles import rows
 
 REGISTRY = load()
@@ -46,3 +47,12 @@ def test_clean_upload_where_documents_are_bad_themselves(spark, tmp_path):
     text = spark.createDataFrame([(1, " "), (2, "12 <b>34</b>"), (3, None), (4, "a1"), (None, "a")], "id int, text string")
     got = [r["reason"] for r in text.select(X.quarantine_reason(F.col("id"), F.col("text"), F.lit(4), 4).alias("reason")).collect()]
     assert got == ["empty", "numeric_only", "empty", None, "no_id"]
+
+
+def test_coverage_grade_reads_visits_once(spark, monkeypatch):
+    """One pass over the visits, and facets are parsed by URL: what is left to do reads no visits."""
+    seen, table = [], registry.table
+    monkeypatch.setattr(registry, "table", lambda spark, folder, name: seen.append(name) or table(spark, folder, name))
+    graded = REGISTRY.QUERIES["con_18_coverage_grade"](spark, SF)
+    assert seen == ["v_visits"]
+    assert "lineitem" not in graded._jdf.queryExecution().optimizedPlan().toString() and not any("lineitem" in f for f in graded.inputFiles())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webinsight.functions.norm import canon_key, canonical_url, facet_pairs, fold
+from webinsight.operators.common import stage
 
 
 def failure_tags(url: Column) -> Column:
@@ -77,11 +78,16 @@ def publish_set(content: DataFrame) -> DataFrame:
 
 
 def facet_keys(visits: DataFrame) -> DataFrame:
-    """(cat, key, visits, revenue, urls, sample): traffic by category and facet key in URL order."""
-    sums = visits.groupBy(F.col("deepest_cat").alias("cat"), "url").agg(F.count("*").alias("visits"), F.sum("revenue").alias("revenue"))
-    slugs = F.transform(facet_pairs(F.col("url")), lambda p: p["slug"])
-    rows = sums.withColumn("key", F.array_join(slugs, "~")).filter("key <> ''")
-    return rows.groupBy("cat", "key").agg(F.sum("visits").alias("visits"), F.sum("revenue").cast("double").alias("revenue"), F.count("*").alias("urls"), F.min("url").alias("sample"))
+    """(cat, key, visits, revenue, urls, sample): traffic by category and facet key in URL order; revenue where visits have it.
+
+    The sums by URL are written first. Else the facets, which a URL alone decides, would be parsed below the sums, for every visit.
+    """
+    url, money = F.col("url"), "revenue" in visits.columns
+    sums = visits.filter(F.contains(url, F.lit("/c/"))).groupBy(F.col("deepest_cat").alias("cat"), "url")
+    sums = stage(sums.agg(F.count("*").alias("visits"), *([F.sum("revenue").alias("revenue")] if money else [])), "facet-urls")
+    rows = sums.withColumn("key", F.array_join(F.transform(facet_pairs(url), lambda p: p["slug"]), "~")).filter("key <> ''")
+    revenue = [F.sum("revenue").cast("double").alias("revenue")] if money else []
+    return rows.groupBy("cat", "key").agg(F.sum("visits").alias("visits"), *revenue, F.count("*").alias("urls"), F.min("url").alias("sample"))
 
 
 def gap_combos(traffic: DataFrame, covered: DataFrame) -> DataFrame:
