@@ -1,10 +1,14 @@
 """Queries against their SQL on rows that only larger tables have."""
 
+import re
+
 import duckdb
 from pyspark.sql import functions as F
 
 from webinsight.functions import text as X
+from webinsight.operators import logs as L
 from webinsight.plans import load, registry
+from webinsight.sources import logs as SL
 
 from .conftest import SF
 from .test_oracles import rows
@@ -56,3 +60,34 @@ def test_coverage_grade_reads_visits_once(spark, monkeypatch):
     graded = REGISTRY.QUERIES["con_18_coverage_grade"](spark, SF)
     assert seen == ["v_visits"]
     assert "lineitem" not in graded._jdf.queryExecution().optimizedPlan().toString() and not any("lineitem" in f for f in graded.inputFiles())
+
+
+def test_late_dates_parse_lines_once(spark, monkeypatch):
+    """Every date is rebuilt from parsed rows: what classifies and verifies hits opens no landed lines."""
+    seen, verify = [], L.verify_ips
+    monkeypatch.setattr(L, "verify_ips", lambda hits, ranges: seen.append(hits.inputFiles()) or verify(hits, ranges))
+    assert REGISTRY.QUERIES["str_03_late_dates"](spark, SF).count() > 0
+    assert len(seen) == 2 and all(seen) and not any("-landing" in f for files in seen for f in files)
+
+
+def test_log_folders_hold_few_files(spark, tmp_path, request):
+    """A folder is one file until it has many lines; each file has the header, and no line is lost."""
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.range(400).select((F.col("id") % 2).alias("hour"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
+    for path, given, least, top in (("few", {}, 2, 2), ("many", {"most": 60}, 3, 8)):
+        SL.write_access_logs(rows, str(tmp_path / path), ["hour"], **given)
+        files = [f.read_text().splitlines() for f in (tmp_path / path).rglob("*.txt")]
+        assert least <= len(files) <= top
+        assert all(f[0] == "#Version: 1.0" and f[1].startswith("#Fields: ") for f in files)
+        assert sorted(x for f in files for x in f if not x.startswith("#")) == sorted(f"line {i}" for i in range(400))
+
+
+def test_dates_of_files_are_those_of_the_whole_path(spark):
+    """Sought in the name alone, a date is the one that the pattern finds in the path."""
+    paths = ["file:///in/E1.2024-01-02-05.abc.gz", "/in/A.2024-01-02-05.x", "/in/a.2024-01-01-01.x/b", "/.2024-01-02-05.x", "/in/a.b.2024-01-02-05.x.gz", "/in/2024-01-02-05.x", "/in/log_date=2024-01-03/hour=7/part-0.c000.txt", "/in/log_date=2024-01-03/A.2024-01-02-05.x", "A.2024-01-02-05.x", "/in/A.2024-01-02-05.x.y", "/in/", ""]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", SL.file_date(F.col("p")).alias("day"), SL.file_hour(F.col("p")).alias("hour")).collect()
+    for r in got:
+        name, day, hour = (re.search(x, r["p"]) for x in (SL.FILE_NAME, r"log_date=(\d{4}-\d{2}-\d{2})", r"hour=(\d{1,2})"))
+        assert (r["day"], r["hour"]) == (name[2] if name else day and day[1], int(name[3]) if name else hour and int(hour[1])), r["p"]
